@@ -13,7 +13,10 @@ null; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import os
+import unicodedata
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import chunks, written
+
 WINDOW, END = 4096, 2
 #: Ids of a shard, about; the tokenizer's vocabulary, all of whose ids fit 16 bits.
 SHARD_TOKENS, VOCABULARY = 1 << 20, 49_408
@@ -28,6 +33,8 @@ SHARD_TOKENS, VOCABULARY = 1 << 20, 49_408
 K1, B, QUERY_TERMS = 1.2, 0.75, 48
 #: Distinct words whose ids a worker keeps.
 CACHE_WORDS = 1 << 19
+#: Words that are encoded as one text.
+JOINED = 512
 
 
 def default_tokenizer() -> str:
@@ -39,37 +46,87 @@ def default_tokenizer() -> str:
 class Ids:
     """Little-endian 16-bit token ids of a text, with a cache by word.
 
-    The tokenizer drops white space, and no token crosses it, so ids of a text are those of its words in turn.
+    The tokenizer lower-cases and drops white space, and no token crosses it, so ids of a text are those of its words in
+    turn. A word of letters alone is one pre-token, whose last token is marked as a word's end; so new words of that kind
+    (and such words with stops or commas after them) are encoded many at a time and cut apart at those marks.
     """
 
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path or default_tokenizer())
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel ones
+        self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
+        self.last = np.zeros(VOCABULARY, bool)
+        self.last[[i for w, i in self.model.get_vocab().items() if w.endswith("</w>")]] = True
         self.cache: dict[bytes, bytes] = {}
 
+    def encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u2") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    @staticmethod
+    def plain(word: bytes) -> bool:
+        """Whether the word is one pre-token, all letters even when normalised."""
+        if word.isalpha():  # of bytes: ASCII letters
+            return True
+        return unicodedata.normalize("NFC", word.decode("utf-8", "replace")).lower().isalpha()
+
+    def learn(self, words: set[bytes]):
+        cores = {w: w.rstrip(b".,") for w in words}
+        good = {c for c in set(cores.values()) if self.plain(c)}
+        plain = list(good.difference(self.cache))
+        stops = [w for w, c in cores.items() if c in good and c != w]
+        rest = list({w for w, c in cores.items() if c not in good} | {w[len(cores[w]) :] for w in stops})
+        for at in range(0, len(plain), JOINED):
+            own = plain[at : at + JOINED]
+            (ids,) = self.encoded([b" ".join(own).decode("utf-8", "replace")])
+            ends = (2 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            data = ids.tobytes()
+            self.cache.update(zip(own, map(data.__getitem__, map(slice, [0, *ends], ends)), strict=True))
+        for at in range(0, len(rest), JOINED):
+            own = rest[at : at + JOINED]
+            for w, x in zip(own, self.encoded([w.decode("utf-8", "replace") for w in own]), strict=True):
+                self.cache[w] = x.tobytes()
+        for w in stops:
+            c = cores[w]
+            self.cache[w] = self.cache[c] + self.cache[w[len(c) :]]
+
     def __call__(self, texts: list[bytes | None]) -> list[bytes]:
-        split = [t.split() if t else [] for t in texts]
+        split = [t.lower().split() if t else [] for t in texts]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        new = list(set().union(*split).difference(self.cache)) if split else []
-        encoded = self.model.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        for w, e in zip(new, encoded, strict=True):
-            self.cache[w] = np.array(e.ids, "<u2").tobytes()
+        new = set().union(*split).difference(self.cache)
+        if new:
+            self.learn(new)
         get, end = self.cache.__getitem__, np.array([END], "<u2").tobytes()
         return [b"".join(map(get, own)) + end for own in split]
 
 
-def tokenised(batches, path):
-    """(row of the batch, ids) of every document, some texts at a time."""
-    from .common import chunks
+@lru_cache(1)
+def ids_of(path: str) -> Ids:
+    """One tokenizer and cache for all tasks of a worker."""
+    return Ids(path)
+
+
+def tokenised(docs: DataFrame, path: str | None) -> DataFrame:
+    """doc_id, mixed (a hash of id and text) and ids of every row."""
+
+    def run(batches):
+        ids = ids_of(path or default_tokenizer())
+        for batch in batches:
+            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()
+            out = [x for part in chunks(texts, lambda t: len(t or b"") + 64, 1 << 20) for x in ids(part)]
+            mixed = [xxhash.xxh64_intdigest(x, seed=hash(i) & 0xFFFF) >> 1 for i, x in zip(doc_ids, out, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(mixed, pa.int64()), pa.array(out, pa.binary())],
+                names=["doc_id", "mixed", "ids"],
+            )
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, mixed long, ids binary")
+
 
-    ids = Ids(path)
-    for batch in batches:
-        texts = batch.column("text").cast(pa.binary()).to_pylist()
-        out = [x for part in chunks(texts, lambda t: len(t or b"") + 64, 1 << 20) for x in ids(part)]
-        yield batch, [np.frombuffer(x, "<u2") for x in out]
+def as_ids(batch) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u2") for x in batch.column("ids").to_pylist()]
 
 
 def crc(ids: np.ndarray) -> int:
@@ -160,12 +217,12 @@ OUT = (
 
 def pack(docs: DataFrame, tokenizer: str | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """The pieces of all documents."""
-    docs = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    tokens = written(tokenised(docs, tokenizer), "tokens")  # texts are tokenised once
 
     def measure(batches):
         df, docs_n, rest_n = np.zeros(VOCABULARY, np.int64), 0, 0
-        for _, ids in tokenised(batches, tokenizer):
-            for x in ids:
+        for batch in batches:
+            for x in as_ids(batch):
                 df[np.unique(x)] += 1
                 docs_n, rest_n = docs_n + 1, rest_n + len(x) % WINDOW
         terms = np.flatnonzero(df)
@@ -175,7 +232,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, shard_tokens: int = SHAR
         )
 
     # A row for each vocabulary entry at most.
-    stats = dict(docs.mapInArrow(measure, "term int, n long").groupBy("term").agg(F.sum("n")).collect())
+    stats = dict(tokens.select("ids").mapInArrow(measure, "term int, n long").groupBy("term").agg(F.sum("n")).collect())
     docs_n, rest_n = stats.pop(-1, 0), stats.pop(-2, 0)
     df = np.zeros(VOCABULARY)
     df[list(stats)] = list(stats.values())
@@ -183,15 +240,16 @@ def pack(docs: DataFrame, tokenizer: str | None = None, shard_tokens: int = SHAR
     mean_length, shards = max(1.0, rest_n / max(1, docs_n)), max(1, round(rest_n / shard_tokens))
 
     def cut(batches):
-        for batch, ids in tokenised(batches, tokenizer):
+        for batch in batches:
             rows = []
-            for doc_id, x, text in zip(batch.column("doc_id").to_pylist(), ids, batch.column("text"), strict=True):
-                to = xxhash.xxh64_intdigest(f"{doc_id}:".encode() + (text.as_py() or b"")) % shards
+            for doc_id, to, x in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mixed")), as_ids(batch), strict=True):
+                to %= shards
                 for at in range(0, len(x), WINDOW):
                     own = x[at : at + WINDOW]
                     rows.append((to, doc_id, at, len(own), len(x), crc(own), None if len(own) == WINDOW else own.tobytes()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), CUT_TYPES, strict=True)], names=CUT_NAMES
+                [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), CUT_TYPES, strict=True)]
+                if rows else [pa.array([], k) for k in CUT_TYPES], names=CUT_NAMES,
             )
 
     def fill(table: pa.Table) -> pa.Table:
@@ -219,7 +277,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, shard_tokens: int = SHAR
         )
 
     cut_schema = "shard int, doc_id long, at long, n long, total long, crc long, ids binary"
-    return docs.mapInArrow(cut, cut_schema).groupBy("shard").applyInArrow(fill, OUT)
+    return tokens.mapInArrow(cut, cut_schema).groupBy("shard").applyInArrow(fill, OUT)
 
 
 CUT_NAMES = ["shard", "doc_id", "at", "n", "total", "crc", "ids"]
