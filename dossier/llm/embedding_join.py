@@ -29,9 +29,11 @@ from pyspark.sql import functions as F
 from .common import written
 from .components import components
 
-COSINE, BLOCK_DIMS = 0.95, 8
+COSINE, BLOCK_DIMS = 0.95, 16
 #: Vectors for which a cell is meant, home rows of one task, and a margin over rounding in single precision.
 CELL, HOME, MARGIN = 4096, 4096, 1e-5
+#: Rows and columns of one tile of distances, which stays in a core's cache.
+TILE = (128, 4096)
 
 
 @lru_cache
@@ -57,8 +59,8 @@ def budget(cosine: float, width: int, dims: int) -> float:
     return (2 - 2 * cosine) * width / dims + MARGIN
 
 
-def placed(batches, cosine: float, bits: int):
-    """Rows (dims, block, cell, home) of each vector: its own cell of each block, and those near enough."""
+def placed(batches, cosine: float, bits: int, guests: bool = True):
+    """Rows (dims, block, cell, home) of each vector: its own cell of each block, and those near enough (if asked for)."""
     for batch in batches:
         vectors = batch.column("embedding")
         sizes = np.diff(vectors.offsets.to_numpy())
@@ -73,11 +75,17 @@ def placed(batches, cosine: float, bits: int):
                 x = own[:, a : a + g]
                 cell = (x >= 0) @ (1 << np.arange(g)) if g else np.zeros(len(rows), np.int64)
                 out.append((rows, np.full(len(rows), block), cell, np.ones(len(rows), bool)))
-                for flips in range(1, 1 << g):
+                for flips in range(1, 1 << g) if guests else ():
                     which = (flips >> np.arange(g)) & 1 == 1
                     near = np.flatnonzero((x[:, which] ** 2).sum(axis=1) <= budget(cosine, b - a, int(dims)))
                     out.append((rows[near], np.full(len(near), block), cell[near] ^ flips, np.zeros(len(near), bool)))
             row, block, cell, home = (np.concatenate(c) for c in zip(*out, strict=True))
+            if not guests:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(row), dims), pa.int32()), pa.array(block, pa.int32()), pa.array(cell, pa.int32())],
+                    names=["dims", "block", "cell"],
+                )
+                continue
             for at in range(0, len(row), 20_000):
                 s = slice(at, at + 20_000)
                 take = batch.take(pa.array(row[s]))
@@ -116,12 +124,18 @@ def met(table: pa.Table, cosine: float) -> pa.Table:
     edges = block_edges(dims)
     a, b = edges[block]
     x = turned[:, a:b].astype(np.float32)
-    square = (x * x).sum(axis=1)
-    forest, rows = Forest(), []
-    for at in range(0, len(home), 256):
-        own = home[at : at + 256]
-        distance = square[own][:, None] + square[None, :] - 2 * (x[own] @ x.T)
-        i, j = np.nonzero(distance <= budget(cosine, b - a, dims))
+    # Squared distances as one product: (x, |x|^2, 1) . (-2y, 1, |y|^2).
+    square, one = (x * x).sum(axis=1, keepdims=True), np.ones((len(x), 1), np.float32)
+    left, right = np.hstack([x, square, one]), np.hstack([-2 * x, one, square]).T.copy()
+    forest, rows, reach = Forest(), [], np.float32(budget(cosine, b - a, dims))
+    for at in range(0, len(home), TILE[0]):
+        own = home[at : at + TILE[0]]
+        near = [
+            (i, j + to)
+            for to in range(0, len(x), TILE[1])
+            for i, j in [np.nonzero(left[own] @ right[:, to : to + TILE[1]] <= reach)]
+        ]
+        i, j = (np.concatenate(c) for c in zip(*near, strict=True))
         i = own[i]
         i, j = i[ids[i] != ids[j]], j[ids[i] != ids[j]]
         if not len(i):
@@ -165,13 +179,10 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     spread = classes.select(F.col("class_id").alias("vec_id"), "copies", "embedding").mapInArrow(
         lambda batches: placed(batches, cosine, bits), schema
     )
-    full = classes.select("class_id", "embedding").select(
-        F.col("class_id").alias("vec_id"), F.lit(1).cast("long").alias("copies"), "embedding"
-    ).mapInArrow(lambda batches: (  # home cells alone, without the vectors, for the parts that each cell needs
-        b.select(["dims", "block", "cell"]).filter(b.column("home")) for b in placed(batches, cosine, bits)
-    ), "dims int, block int, cell int").groupBy("dims", "block", "cell").agg(
-        F.ceil(F.count("*") / HOME).cast("int").alias("parts")
-    )
+    homes = classes.select("embedding").mapInArrow(
+        lambda batches: placed(batches, cosine, bits, guests=False), "dims int, block int, cell int"
+    )
+    full = homes.groupBy("dims", "block", "cell").agg(F.ceil(F.count("*") / HOME).cast("int").alias("parts"))
     own = F.when(F.col("home"), F.array(F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")))
     dealt = spread.join(full, ["dims", "block", "cell"]).withColumn("own", own).withColumn(
         # A home row is at home in one part of its cell and a guest in the others.
