@@ -31,7 +31,7 @@ from .components import components
 
 COSINE, BLOCK_DIMS = 0.95, 16
 #: Vectors for which a cell is meant, home rows of one task, and a margin over rounding in single precision.
-CELL, HOME, MARGIN = 4096, 4096, 1e-5
+CELL, HOME, MARGIN = 16_384, 16_384, 1e-5
 #: Rows and columns of one tile of distances, which stays in a core's cache.
 TILE = (128, 4096)
 
