@@ -11,7 +11,6 @@ columns, which stay.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 
 import numpy as np
@@ -214,10 +213,6 @@ def remove_hit_spans(docs: DataFrame, benchmark: DataFrame, **options) -> DataFr
     return found.mapInArrow(run, docs.schema)
 
 
-def sha_of_items(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
-
-
 #: The same rows by joins of whole window strings.
 ORACLE = r"""
 WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
