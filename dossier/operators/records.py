@@ -14,11 +14,9 @@ def last_by(df: DataFrame, key: str, position: str) -> DataFrame:
 
 def latest_batch(reviews: DataFrame) -> DataFrame:
     """The rows of each document's latest batch, the last one of each field; fields of older batches alone are gone."""
+    last = reviews.groupBy("document_id", "field_path", "batch").agg(F.max_by("confirmed_value", "id").alias("confirmed_value"))
     newest = F.max("batch").over(Window.partitionBy("document_id"))
-    current = reviews.withColumn("newest", newest).where("batch = newest")
-    return current.groupBy("document_id", "field_path").agg(
-        F.max("batch").alias("batch"), F.max_by("confirmed_value", "id").alias("confirmed_value")
-    )
+    return last.withColumn("newest", newest).where("batch = newest").drop("newest")
 
 
 def revisions(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -64,19 +62,48 @@ def duplicates(df: DataFrame, key: str) -> DataFrame:
 
 
 def manifest(df: DataFrame, kind: str, value: str) -> DataFrame:
-    """The hash of each kind's set of hashes: of the sorted hashes, one in a line."""
+    """The hash of each kind's set of hashes, in two levels, so that no kind's hashes are gathered in one task: each of 4096
+    prefixes has the hash of its sorted hashes, one in a line; the kind has that of its prefixes' in order."""
     own = df.select(kind, F.sha2(value, 256).alias("h"))
-    return own.groupBy(kind).agg(
-        F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("set_sha256")
-    )
+    lines = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n"), 256)
+    parts = own.groupBy(kind, F.substring("h", 1, 3).alias("prefix")).agg(F.count("*").alias("n"), lines("h").alias("part"))
+    return parts.groupBy(kind).agg(F.sum("n").alias("n"), lines(F.concat("prefix", F.lit(":"), "part")).alias("set_sha256"))
+
+
+def bag_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """key, n_a, n_b of the values whose multiplicities differ; counted on both sides before the join."""
+    count = lambda df, n: df.groupBy(key).agg(F.count("*").alias(n))
+    both = count(a, "n_a").join(count(b, "n_b"), key, "full")
+    return both.select(key, *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_a", "n_b"))).where("n_a <> n_b")
+
+
+def id_disagreement(sets: dict[str, DataFrame], key: str) -> DataFrame:
+    """Ids that aren't in all of the named sets, with the names of those that lack them."""
+    tagged = None
+    for name, df in sets.items():
+        own = df.select(key).distinct().withColumn("set", F.lit(name))
+        tagged = own if tagged is None else tagged.union(own)
+    every = F.array(*(F.lit(n) for n in sorted(sets)))
+    lacking = F.array_except(every, F.collect_set("set"))
+    return tagged.groupBy(key).agg(F.array_join(lacking, ",").alias("missing_in")).where("missing_in <> ''")
+
+
+def inputs_digest(df: DataFrame, by: str, *columns: str) -> DataFrame:
+    """One hash of each group's rows (NUL between values), whatever their order; in two levels as for `manifest`."""
+    row = F.concat_ws("\x00", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
+    return manifest(df.select(by, row.alias("_row")), by, "_row")
 
 
 def percentiles(df: DataFrame, by: str, value: str, qs: list[int]) -> DataFrame:
-    """Nearest-rank percentiles (rank q/100 of n - 1, half to even), mean and maximum."""
+    """Nearest-rank percentiles (rank q/100 of n - 1, half to even), mean and maximum of whole numbers.
+
+    Rows are counted by value first; only distinct values reach the window, so a group that holds most rows is no burden."""
     w = Window.partitionBy(by)
-    ranked = df.select(by, value, (F.row_number().over(w.orderBy(value)) - 1).alias("rank"), F.count("*").over(w).alias("_rows"))
+    n = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = n.select(by, value, "_n", upto.alias("_upto"), F.sum("_n").over(w).alias("_rows"))
     at = lambda q: F.bround(F.lit(q / 100) * (F.col("_rows") - 1)).cast("long")
     return ranked.groupBy(by).agg(
-        *(F.max(F.when(F.col("rank") == at(q), F.col(value))).alias(f"p{q}") for q in qs),
-        F.round(F.avg(value), 6).alias("mean"), F.max(value).alias("max"),
+        *(F.min(F.when(F.col("_upto") > at(q), F.col(value))).alias(f"p{q}") for q in qs),
+        F.round(F.sum(F.col(value) * F.col("_n")) / F.sum("_n"), 6).alias("mean"), F.max(value).alias("max"),
     )

@@ -90,3 +90,84 @@ def conclusion(lo: Column, hi: Column) -> Column:
     return (
         F.when(lo.isNull() | hi.isNull(), "undecided").when(lo > 0, "better").when(hi < 0, "worse").otherwise("no difference")
     )
+
+
+#: Outcomes of a document, and those that may not get worse.
+NO_WORSE = ["parse_rate", "schema_rate", "product_name_acc", "cas_f1", "pair_f1"]
+
+
+def with_missing(gold: DataFrame, pred: DataFrame, key: str) -> DataFrame:
+    """Every gold document with its prediction's columns; a missing one has nulls and stays in all denominators."""
+    return gold.join(pred.withColumn("has_prediction", F.lit(True)), key, "left").withColumn(
+        "has_prediction", F.coalesce("has_prediction", F.lit(False))
+    )
+
+
+def document_outcomes(docs: DataFrame, families: dict[str, DataFrame], key: str) -> DataFrame:
+    """key, one flag a family (no false positive, no false negative; so no rows at all are right), and `exact`: all of them,
+    with a prediction there. docs: key, has_prediction."""
+    out = docs.select(key, "has_prediction")
+    for name, counts in families.items():
+        right = (F.col("fp") + F.col("fn") == 0).alias(name)
+        out = out.join(counts.select(key, right), key, "left").withColumn(name, F.coalesce(name, F.lit(True)))
+    every = F.col("has_prediction")
+    for name in families:
+        every = every & F.col(name)
+    return out.withColumn("exact", every)
+
+
+def accuracy(outcomes: DataFrame, by: str, flags: list[str]) -> DataFrame:
+    """Share of all documents of each subset with each flag."""
+    return outcomes.groupBy(by).agg(
+        F.count("*").alias("n_docs"), *(F.round(F.avg(F.coalesce(F.col(f), F.lit(False)).cast("double")), 6).alias(f) for f in flags)
+    )
+
+
+def misplaced(pred: DataFrame, key: str) -> DataFrame:
+    """Values in a wrong column by document: numbers of another kind under KE, identifiers under content."""
+    from dossier.functions.textnorm import content_misplaced, ke_misplaced
+
+    return pred.groupBy(key).agg(
+        F.count_if(ke_misplaced(F.col("ke"))).alias("ke_misplaced"), F.count_if(content_misplaced(F.col("content"))).alias("content_misplaced")
+    )
+
+
+def fabricated(values: DataFrame, sources: DataFrame, key: str) -> DataFrame:
+    """(key, kind, value) of predicted codes (kind `hcode`) and identifiers (kind `cas`) that the source text lacks; an
+    identifier broken across lines counts as there if all but its last digit is."""
+    flat = F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", "")
+    own = sources.where("text is not null").select(key, F.col("text"), flat.alias("flat"))
+    body = F.regexp_replace("value", "[^-]*$", "")
+    there = F.when(F.col("kind") == "hcode", F.col("text").rlike(F.concat(F.lit(r"(?<![A-Za-z])\Q"), "value", F.lit(r"\E"))))
+    there = there.otherwise(F.col("flat").contains(F.col("value")) | ((body != "") & F.col("flat").contains(body)))
+    return values.where("value is not null").distinct().join(own, key).where(~there).select(key, "kind", "value")
+
+
+def worsened(a: DataFrame, b: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """metric, a, b, state (`worse` or `unknown`, if one side has no value) of metrics (metric, value) that may not get worse."""
+    names = NO_WORSE if names is None else names
+    x, y = (df.where(F.col("metric").isin(names)).select("metric", F.col("value").alias(n)) for df, n in ((a, "a"), (b, "b")))
+    state = F.when(F.col("a").isNull() | F.col("b").isNull(), "unknown").when(F.col("b") < F.col("a"), "worse")
+    return x.join(y, "metric", "full").withColumn("state", state).where("state is not null")
+
+
+def token_ratio(log: DataFrame, condition: str, numerator: str, denominator: str, tokens: str) -> DataFrame:
+    """One row: the ratio of two conditions' mean tokens; null where one has none."""
+    mean = lambda c: F.avg(F.when(F.col(condition) == c, F.col(tokens)))
+    return log.agg(F.round(mean(numerator) / F.nullif(mean(denominator), F.lit(0.0)), 6).alias("ratio"))
+
+
+def unknown_classes(gold: DataFrame, pred: DataFrame, known: DataFrame, column: str) -> DataFrame:
+    """Classes that the table lacks, and the sides that use them."""
+    both = gold.select(column, F.lit("gold").alias("side")).union(pred.select(column, F.lit("pred").alias("side")))
+    own = both.where(F.col(column).isNotNull()).distinct().join(known.select(column).distinct(), column, "left_anti")
+    return own.groupBy(column).agg(F.array_join(F.array_sort(F.collect_set("side")), ",").alias("sides"))
+
+
+def failures(log: DataFrame, by: str, error: str, prefix: str = "API_ERROR") -> DataFrame:
+    """Runs, those that failed with the prefix, distinct models and mean tokens of the others."""
+    failed = F.coalesce(F.col(error).startswith(prefix), F.lit(False))
+    return log.groupBy(by).agg(
+        F.count("*").alias("n"), F.count_if(failed).alias("n_failed"), F.countDistinct("model").alias("n_models"),
+        F.round(F.avg(F.when(~failed, F.col("tokens"))), 4).alias("mean_tokens"),
+    )

@@ -31,3 +31,29 @@ def write_csv(df: DataFrame, path: str) -> None:
     """CSV whose text values no spreadsheet takes for formulas; fails where the path exists."""
     text = [c for c, k in df.dtypes if k == "string"]
     df.withColumns({c: safe_csv(F.col(c)) for c in text}).write.mode("errorifexists").csv(path, header=True)
+
+
+def unique_by(df: DataFrame, key: str) -> DataFrame:
+    """The table, or an error that names a key which is blank or stands there twice."""
+    bad = df.groupBy(key).agg(F.count("*").alias("n")).where(f"n > 1 or {key} is null or trim(cast({key} as string)) = ''")
+    row = bad.limit(1).collect()
+    if row:
+        raise ValueError(f"{key} {row[0][key]!r} is blank or stands in {row[0]['n']} rows")
+    return df
+
+
+def last_record(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
+    """JSON lines with the last one of each key (by file name and place in the file)."""
+    own = spark.read.json(path, schema=schema)
+    at = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    own = own.withColumn("_at", at)
+    rest = [c for c in own.columns if c not in (key, "_at")]
+    return own.groupBy(key).agg(F.max_by(F.struct(*rest), "_at").alias("r")).select(key, "r.*")
+
+
+def header_and_rows(spark: SparkSession, path: str, header: str, rows: str) -> tuple[DataFrame, DataFrame]:
+    """JSON lines of two kinds: those without a doc_id are headers."""
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    is_row = F.get_json_object("value", "$.doc_id").isNotNull()
+    parse = lambda df, schema: df.select(F.from_json("value", schema).alias("r")).select("r.*")
+    return parse(lines.where(~is_row), header), parse(lines.where(is_row), rows)
