@@ -65,9 +65,14 @@ def some(*errors: Column) -> Column:
     return F.filter(F.array(*errors), lambda e: e.isNotNull())
 
 
+def let(x: Column, f) -> Column:
+    """f of x, with x worked out once however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def then(first: Column, rule: Column) -> Column:
     """The first errors; where there are none, those of the rule across fields."""
-    return F.when(F.size(first) > 0, first).otherwise(some(rule))
+    return let(first, lambda e: F.when(F.size(e) > 0, e).otherwise(some(rule)))
 
 
 def value_field(v: Column, name: str) -> Column:
@@ -114,7 +119,10 @@ def _items(name: str):
 
 def errors(json: Column) -> Column:
     """array<struct<loc, type>> of a record's JSON text; one `json_invalid` for text that is none."""
-    v = F.try_parse_json(json)
+    return let(F.try_parse_json(json), _errors)
+
+
+def _errors(v: Column) -> Column:
     parts = [value_field(v, f) for f in VALUE_FIELDS]
     for name, fields in (("supplier", SUPPLIER), ("list_status", list(LISTS))):
         own = F.try_variant_get(v, f"$.{name}", "variant")

@@ -138,7 +138,7 @@ def fabricated(values: DataFrame, sources: DataFrame, key: str) -> DataFrame:
     flat = F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", "")
     own = sources.where("text is not null").select(key, F.col("text"), flat.alias("flat"))
     body = F.regexp_replace("value", "[^-]*$", "")
-    there = F.when(F.col("kind") == "hcode", F.col("text").rlike(F.concat(F.lit(r"(?<![A-Za-z])\Q"), "value", F.lit(r"\E"))))
+    there = F.when(F.col("kind") == "hcode", F.regexp_like("text", F.concat(F.lit(r"(?<![A-Za-z])\Q"), "value", F.lit(r"\E"))))
     there = there.otherwise(F.col("flat").contains(F.col("value")) | ((body != "") & F.col("flat").contains(body)))
     return values.where("value is not null").distinct().join(own, key).where(~there).select(key, "kind", "value")
 

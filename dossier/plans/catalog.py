@@ -249,7 +249,8 @@ def overlap_ids(s, d):
     return own.where("split = 'train'").select("text_key").intersect(own.where("split = 'val'").select("text_key"))
 
 
-@query("""SELECT source, COUNT(*) AS n, sha256(string_agg(sha256(text), chr(10) ORDER BY sha256(text))) AS set_sha256 FROM documents GROUP BY source""")
+@query("""WITH p AS (SELECT source, substring(sha256(text), 1, 3) AS prefix, COUNT(*) AS n, sha256(string_agg(sha256(text), chr(10) ORDER BY sha256(text))) AS part FROM documents GROUP BY 1, 2)
+SELECT source, CAST(SUM(n) AS BIGINT) AS n, sha256(string_agg(prefix || ':' || part, chr(10) ORDER BY prefix)) AS set_sha256 FROM p GROUP BY source""")
 def set_hash(s, d):
     return records.manifest(table(s, d, "documents"), "source", "text")
 
@@ -295,10 +296,10 @@ def chunk_overlap(s, d):
     return text.chunks(table(s, d, "documents").select("doc_id", "text"))
 
 
-@query(f"""WITH s AS (SELECT label, vec_id, ROUND(list_dot_product(e, q) / sqrt(list_dot_product(e, e) * list_dot_product(q, q)), 6) AS score FROM (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS e, CAST({QUERY_VECTOR} AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 16 IN (1, 2, 3))),
+@query(f"""WITH s AS (SELECT product AS label, vec_id, ROUND(list_dot_product(e, q) / sqrt(list_dot_product(e, e) * list_dot_product(q, q)), 6) AS score FROM (SELECT product, vec_id, CAST(embedding AS DOUBLE[]) AS e, CAST({QUERY_VECTOR} AS DOUBLE[]) AS q FROM fx_chunk WHERE section IN (2, 3, 4))),
 r AS (SELECT label, vec_id, score, ROW_NUMBER() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM s) SELECT * FROM r WHERE rank <= 4""")
 def topk_cosine_filtered(s, d):
-    return text.top_k(table(s, d, "embeddings").where("vec_id % 16 in (1, 2, 3)"), QUERY_VECTOR, 4)
+    return text.top_k(fixture(s, d, "fx_chunk").where("section in (2, 3, 4)").withColumnRenamed("product", "label"), QUERY_VECTOR, 4)
 
 
 @query("""WITH r AS (SELECT role, length(text) AS n, ROW_NUMBER() OVER (PARTITION BY role ORDER BY length(text)) - 1 AS k, COUNT(*) OVER (PARTITION BY role) AS c FROM conversations),
@@ -321,6 +322,9 @@ def overlength_quarantine(s, d):
     return own.withColumn("too_long", F.col("n_chars") > 2000)
 
 
+from . import catalog_documents  # noqa: E402, F401  (registers its queries here)
+
+
 def queries():
     return dict(QUERIES)
 

@@ -47,6 +47,28 @@ FIXTURES = {
     "fx_text": """SELECT doc_id, CONCAT('1. Product', chr(10), 'name ', CAST(doc_id AS STRING), chr(10), '2. Hazards', chr(10),
  'H 225 highly flammable', chr(10), 'P-statements', chr(10), CASE WHEN doc_id % 5 = 0 THEN 'H314 hidden' ELSE 'P210 keep away' END, chr(10),
  '3. Composition', chr(10), SUBSTRING(text, 1, 200), chr(10), '4. First aid', chr(10), 'rinse H301') AS text FROM documents""",
+    # Predicted values in wrong columns, by place.
+    "fx_misplaced": """SELECT doc_id, seq, CASE (doc_id + seq) % 9 WHEN 0 THEN 'KE-12345' WHEN 1 THEN '200-578-6' WHEN 2 THEN ' ke-123 ' END AS ke,
+ CASE WHEN (doc_id + seq) % 13 = 0 THEN cas ELSE content END AS content FROM fx_pred_ing""",
+    # One source line for each ingredient; some identifiers are broken by a space, some are left out.
+    "fx_line_text": """SELECT doc_id, seq, cas, CONCAT('row: ', CASE (doc_id + seq) % 5 WHEN 0 THEN REPLACE(cas, '-', '- ') WHEN 1 THEN 'none' ELSE cas END) AS line
+ FROM fx_gold_ing WHERE cas IS NOT NULL""",
+    # Stored records as JSON, with errors of several kinds.
+    "fx_json": """SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 11 = 0 THEN 'not json' ELSE CONCAT('{"product_name":{"value":',
+ CASE WHEN o_custkey % 5 = 0 THEN 'null' ELSE '"p"' END, ',"source_status":"기재"},"recommended_use":{"value":null,"source_status":"',
+ CASE WHEN o_custkey % 7 = 0 THEN 'maybe' ELSE '자료없음' END, '"},"use_restrictions":{"value":null,"source_status":"해당없음"},"signal_word":{"value":"',
+ CASE WHEN o_custkey % 3 = 0 THEN 'DANGER' ELSE '위험' END, '","source_status":"기재"},"supplier":{"company_name":"c","address":null',
+ CASE WHEN o_custkey % 4 = 0 THEN '' ELSE ',"emergency_phone":null' END, '},"ingredients":[],"ghs_classification":[{"hazard_class":"x","category":"',
+ CASE WHEN o_custkey % 6 = 0 THEN '2' ELSE '구분 2' END, '"}],"hazard_statements":[],"list_status":{"ingredients":"',
+ CASE WHEN o_custkey % 13 = 0 THEN '기재' ELSE '자료없음' END, '","ghs_classification":"기재","hazard_statements":"자료없음"}}') END AS json FROM orders""",
+    "fx_chunk": "SELECT vec_id, label AS product, CAST(vec_id % 16 + 1 AS INT) AS section, embedding FROM embeddings",
+    # Model answers: bare JSON, fenced, within a sentence, broken.
+    "fx_answer": """SELECT event_id, props, CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN CONCAT('<think>no</think>', '```json', chr(10), props, chr(10), '```')
+ WHEN 2 THEN CONCAT('Here: ', props, ' done') ELSE 'sorry' END AS answer FROM events""",
+    "fx_korean": """SELECT doc_id, CONCAT('1. 화학제품과 회사', chr(10), '가. 제품명 : ', source, chr(10), '- 위험', chr(10), '2. 유해성', chr(10),
+ 'CAS 번호 64-17-5 80 이상', chr(10), '3. 구성성분', chr(10), text) AS text FROM documents""",
+    "fx_category": """SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN CONCAT('Category ', CAST(p_size % 4 + 1 AS STRING)) WHEN 1 THEN CONCAT('구분', CAST(p_size % 4 + 1 AS STRING), '(1A/1B)')
+ WHEN 2 THEN 'Liquefied gas' WHEN 3 THEN ' - ' ELSE CONCAT('Cat. ', CAST(p_size % 4 + 1 AS STRING), 'b') END AS category FROM part""",
 }
 
 
