@@ -10,6 +10,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .chem import squash
 
@@ -26,7 +27,7 @@ SENTINELS = [
 NESTING = 8
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _folded(values: pd.Series) -> pd.Series:
     return values.map(lambda s: unicodedata.normalize("NFKC", s), na_action="ignore")
 

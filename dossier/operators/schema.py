@@ -151,7 +151,8 @@ def _errors(v: Column) -> Column:
 
 def validate(records: DataFrame, key: str = "doc_id", json: str = "json") -> DataFrame:
     """key, loc, type: a row for each error."""
-    return records.select(key, F.inline(errors(F.col(json))))
+    # The outer form: a plain one is filtered by its own array first, which would be worked out twice.
+    return records.select(key, F.inline_outer(errors(F.col(json)))).where("loc is not null")
 
 
 def totals(records: DataFrame, key: str = "doc_id", json: str = "json") -> DataFrame:

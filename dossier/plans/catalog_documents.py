@@ -10,7 +10,7 @@ from dossier.operators import augment, evidence, governance, headings, records,
 from .catalog import CAS_SETS, HCODE_SQL, KEY, MICRO, NUMBERS, PHRASE_SQL, QUERY_VECTOR, cas_micro_f1_by_subset, query, table
 from .fixtures import fixture
 
-NAMES = ["part 1", "STEEL", "brass small", "zzz"]
+NAMES = ["cold widget", "small", "widget economy", "steel pipe", "zzz"]
 PROMPT = "Answer from the text."
 
 
@@ -215,7 +215,7 @@ def product_list_distinct(s, d):
     return table(s, d, "part").select(F.col("p_name").alias("product")).distinct()
 
 
-@query("""WITH n AS (SELECT unnest(['part 1', 'STEEL', 'brass small', 'zzz']) AS name), k AS (SELECT DISTINCT p_name || ' ' || p_type AS item FROM part)
+@query("""WITH n AS (SELECT unnest(['cold widget', 'small', 'widget economy', 'steel pipe', 'zzz']) AS name), k AS (SELECT DISTINCT p_name || ' ' || p_type AS item FROM part)
 SELECT name FROM n WHERE NOT EXISTS (SELECT 1 FROM k WHERE contains(item, name) OR contains(name, item) OR len(list_filter(string_split(lower(name), ' '), lambda w: NOT contains(lower(item), w))) = 0)""")
 def registered_match(s, d):
     return retrieval.unregistered(NAMES, table(s, d, "part").select(F.concat_ws(" ", "p_name", "p_type").alias("item")))
