@@ -5,7 +5,7 @@ r"""Near-duplicate documents by one-permutation MinHash with densification, band
 2. Equal sets are one class, whose smallest doc_id stands for it from here on: copies cost one row of the signatures.
 3. The smallest class of each band bucket is its centre; a centre and all that share a bucket with it are a group. Every
    candidate pair (two classes in one bucket) lies in that bucket's group, and a bucket gives rows in its size.
-4. Groups, cut by a hash of the member into parts of PART, fetch whole texts; in a part, links are confirmed on full
+4. Groups, cut by a hash of the member into parts of about PART members and PART_SHINGLES shingles, fetch whole texts; in a part, links are confirmed on full
    sets, the centre's first; then each member not in the centre's component is compared with all others. Only links that
    join two components are returned. A group of several parts whose members still have several components is finished
    in a second pass: its members outside the largest component against all its members.
@@ -34,8 +34,8 @@ from .components import components
 SHINGLE, NUMERATOR, DENOMINATOR = 3, 85, 100
 BANDS, ROWS = 28, 5
 BINS = BANDS * ROWS
-#: Texts of a group that one task holds at once.
-PART = 512
+#: Texts of a group that one task holds at once, about, and their shingles; a group with more of either has several parts.
+PART, PART_SHINGLES = 512, 1 << 20
 #: Candidate documents up to which their ids are broadcast (8 bytes each); beyond it, they are joined by a shuffle.
 BROADCAST_IDS = 500_000
 CACHE_WORDS, CHUNK_BYTES = 1 << 19, 1 << 20
@@ -193,18 +193,23 @@ def confirm(roles: DataFrame, docs: DataFrame, count: int, shingle: int) -> Data
     return texts.groupBy("centre", "part").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, part: int = PART) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, shingle: int = SHINGLE, part: int = PART, part_shingles: int = PART_SHINGLES
+) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
+    parts_of = F.ceil(F.greatest(F.count("*") / part, F.sum("n") / part_shingles)).cast("int")
     rows = written(features(docs, shingle), "features")
     classes = (
-        rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
+        rows.where("digest is not null").groupBy("digest").agg(
+            F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")
+        )
     )
     classes = written(classes, "classes")
     buckets = classes.where("id is not null").select("id", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last")
     members = buckets.join(shared.select("key", "centre"), "key").where("id > centre").select("centre", "id").distinct()
-    members = written(members, "members")
-    sizes = members.groupBy("centre").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    members = written(members.join(classes.select("id", "n"), "id"), "members")
+    sizes = members.groupBy("centre").agg(parts_of.alias("parts"))
     sizes = written(sizes, "sizes")
     count = members.count()
 
@@ -219,15 +224,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, part: int = PART) -
 
     if sizes.where("parts > 1").limit(1).count():  # groups whose parts haven't all met
         found = components(links)
-        large = members.join(sizes.where("parts > 1"), "centre").select("centre", "id", "parts")
-        large = large.union(sizes.where("parts > 1").select("centre", F.col("centre").alias("id"), "parts"))
+        large = members.join(sizes.where("parts > 1"), "centre").select("centre", "id", "parts", "n")
+        heads = sizes.where("parts > 1").withColumn("id", F.col("centre")).join(classes.select("id", "n"), "id")
+        large = large.union(heads.select("centre", "id", "parts", "n"))
         large = large.join(found, "id", "left").withColumn("c", F.coalesce("component_id", "id"))
-        by = large.groupBy("centre", "c").agg(F.count("*").alias("n"))
-        main = by.groupBy("centre").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("cs"))
+        by = large.groupBy("centre", "c").agg(F.count("*").alias("members"))
+        main = by.groupBy("centre").agg(F.max_by("c", F.struct("members", "c")).alias("main"), F.count("*").alias("cs"))
         open_ = large.join(main.where("cs > 1"), "centre")
-        open_ = written(open_.select("centre", "id", "parts", (F.col("c") != F.col("main")).alias("odd")), "open")
+        open_ = written(open_.select("centre", "id", "parts", "n", (F.col("c") != F.col("main")).alias("odd")), "open")
         # Odd members, in runs of PART, meet every part of the group.
-        runs = open_.where("odd").groupBy("centre").agg(F.ceil(F.count("*") / part).cast("int").alias("runs"))
+        runs = open_.where("odd").groupBy("centre").agg(parts_of.alias("runs"))
         odd = open_.where("odd").join(runs, "centre").select(
             "centre", "id", "parts", F.pmod(F.xxhash64("id", F.lit(1)), F.col("runs")).cast("int").alias("run")
         ).select("centre", "id", "parts", "run", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"))

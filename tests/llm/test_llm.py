@@ -199,8 +199,8 @@ def brute_components(sets):
     return {i: root(i) for i in sets}
 
 
-@pytest.mark.parametrize("part", [512, 7])
-def test_near_duplicates_of_a_large_group(spark, part):
+@pytest.mark.parametrize("part, shingles", [(512, 1 << 20), (7, 1 << 20), (512, 700)])
+def test_near_duplicates_of_a_large_group(spark, part, shingles):
     rng, base = np.random.default_rng(1), [f"w{k}" for k in range(120)]
     rows = []
     for k in range(90):
@@ -209,7 +209,7 @@ def test_near_duplicates_of_a_large_group(spark, part):
             own[at] = f"x{rng.integers(50)}"
         rows.append((k, " ".join(own), "e"))
     rows += [(200 + k, " ".join(f"y{k}_{j}" for j in range(30)), "e") for k in range(20)]
-    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, id string"), part=part).collect()
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, id string"), part=part, part_shingles=shingles).collect()
     sets = {i: {tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)} for i, t, _ in rows}
     assert {r.doc_id: r.component_id for r in got} == brute_components(sets)
 
