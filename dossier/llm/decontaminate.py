@@ -12,9 +12,12 @@ columns, which stay.
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,8 +25,8 @@ from pyspark.sql import types as T
 from .common import chunks, fresh, written
 
 WINDOW = 13
-#: Bytes of benchmark text in one broadcast.
-BLOCK_BYTES = 32 << 20
+#: Bytes of benchmark text in one broadcast; its windows take about twenty times that while they are made.
+BLOCK_BYTES = 16 << 20
 #: Bytes of text that one vectorised scan takes at once.
 SCAN_BYTES = 2 << 20
 
@@ -37,32 +40,68 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(WORD_BYTES).split() if text else []
 
 
+class Table:
+    """The distinct windows of one length: sorted hashes, where each window lies among the items' words, and its items."""
+
+    def __init__(self, flat: np.ndarray, starts: np.ndarray, owners: np.ndarray, size: int):
+        self.flat, self.size = flat, size
+        for seed in count():  # until different windows have different hashes
+            hashed = self.hashed(flat, starts, seed)
+            order = np.argsort(hashed, kind="stable")
+            twin = np.append(False, hashed[order][1:] == hashed[order][:-1])
+            k = np.flatnonzero(twin)
+            if self.same(flat, starts[order[k]], starts[order[k - 1]]).all():
+                break
+        self.seed, first = seed, order[~twin]
+        self.hashes, self.starts = hashed[first], starts[first]
+        n = int(owners.max()) + 1
+        window, self.owners = np.divmod(np.unique((np.cumsum(~twin) - 1) * n + owners[order]), n)
+        self.ends = np.cumsum(np.bincount(window))
+
+    def hashed(self, ids: np.ndarray, at: np.ndarray, seed: int) -> np.ndarray:
+        out = np.full(len(at), seed, np.uint64)
+        for k in range(self.size):
+            out = (out ^ ids[at + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+        return out
+
+    def same(self, ids: np.ndarray, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Whether the windows of `ids` at each place equal the items' windows at `starts`."""
+        out = np.ones(len(at), bool)
+        for k in range(self.size):
+            out &= ids[at + k] == self.flat[starts + k]
+        return out
+
+    def found(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places that hold one of the windows, and its number."""
+        hashed = self.hashed(ids, at, self.seed)
+        near = np.minimum(np.searchsorted(self.hashes, hashed), len(self.hashes) - 1)
+        hit = np.flatnonzero(self.hashes[near] == hashed)
+        hit = hit[self.same(ids, at[hit], self.starts[near[hit]])]
+        return at[hit], near[hit]
+
+    def owners_of(self, window: int) -> np.ndarray:
+        return self.owners[self.ends[window - 1] if window else 0 : self.ends[window]]
+
+
 class Windows:
-    """The windows of some items: word ids, a sorted hash array per window length, and the exact windows behind it."""
+    """The windows of some items in arrays, about 40 bytes each: word ids and a table for each window length."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
         self.ids: dict[bytes, int] = {}
-        self.exact: dict[int, dict[bytes, list[str]]] = defaultdict(lambda: defaultdict(list))
+        number: dict[str, int] = {}
+        flat, starts, owners, at = [], defaultdict(list), defaultdict(list), 0
         for item, text in items:
             found = np.array([self.ids.setdefault(w, len(self.ids)) for w in words(text)], np.int32)
             size = min(window, len(found))
-            for at in range(len(found) - size + 1) if size else ():
-                owners = self.exact[size][found[at : at + size].tobytes()]
-                if not owners or owners[-1] != item:
-                    owners.append(item)
-        self.exact = {size: dict(table) for size, table in self.exact.items()}
-        self.hashes = {
-            size: np.unique(self.hashed(np.frombuffer(b"".join(table), np.int32).reshape(-1, size)))
-            for size, table in self.exact.items()
-        }
-
-    @staticmethod
-    def hashed(rows: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(rows), np.uint64)
-        for k in range(rows.shape[1]):
-            out = (out ^ rows[:, k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(29)
-        return out
+            if size:
+                flat.append(found)
+                starts[size].append(at + np.arange(len(found) - size + 1))
+                owners[size].append(np.full(len(found) - size + 1, number.setdefault(item, len(number))))
+                at += len(found)
+        self.items = list(number)
+        joined = np.concatenate(flat) if flat else np.empty(0, np.int32)
+        self.tables = {k: Table(joined, np.concatenate(starts[k]), np.concatenate(owners[k]), k) for k in starts}
 
     def scan(self, texts: list[bytes | None]) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
         """Of each text: number of words, merged word ranges that are hit, items with an occurring window."""
@@ -79,26 +118,30 @@ class Windows:
         out = [(n, [], set()) for n in counts]
         unknown = np.concatenate([[0], np.cumsum(ids < 0)])
         marks: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        met: dict[tuple[int, int], set[int]] = defaultdict(set)
         starts_at = np.array(starts)
-        for size, table in self.exact.items():
-            at = np.flatnonzero(unknown[size:] == unknown[:-size]) if len(ids) >= size else np.empty(0, np.int64)
-            if not len(at):
+        for size, table in self.tables.items():
+            if len(ids) < size:
                 continue
-            rows = ids[at[:, None] + np.arange(size)]
-            hashed, known = self.hashed(rows), self.hashes[size]
-            near = np.minimum(np.searchsorted(known, hashed), len(known) - 1)
-            for k in np.flatnonzero(known[near] == hashed):
-                owners = table.get(rows[k].tobytes())
-                if owners:
-                    doc = int(np.searchsorted(starts_at, at[k], "right")) - 1
-                    begin = int(at[k]) - starts[doc]
-                    marks[doc].append((begin, begin + size))
-                    out[doc][2].update(owners)
+            at, window = table.found(ids, np.flatnonzero(unknown[size:] == unknown[:-size]))
+            docs = np.searchsorted(starts_at, at, "right") - 1
+            for doc, begin, w in zip(docs.tolist(), (at - starts_at[docs]).tolist(), window.tolist(), strict=True):
+                marks[doc].append((begin, begin + size))
+                met[doc, size].add(w)
+        for (doc, size), found in met.items():
+            table = self.tables[size]
+            out[doc][2].update(self.items[k] for w in found for k in table.owners_of(w))
         for doc, ranges in marks.items():
             out[doc][1].extend(merged(ranges))
         return out
 
 
+@lru_cache(1)
+def windows_of(shared: Broadcast, window: int) -> Windows:
+    """One set of windows for all tasks of a worker."""
+    return Windows(shared.value, window)
+
+
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for begin, end in sorted(ranges):
@@ -141,7 +184,7 @@ def find_contamination(
             out = written(out, "contamination")
 
         def run(batches, first=not k, shared=shared):
-            table = Windows(shared.value, window)
+            table = windows_of(shared, window)
             for batch in batches:
                 texts = batch.column("text").cast(pa.binary()).to_pylist()
                 found = [x for c in chunks(texts, lambda t: len(t or b""), SCAN_BYTES) for x in table.scan(c)]
