@@ -31,6 +31,8 @@ WINDOW, END = 4096, 2
 SHARD_TOKENS, VOCABULARY = 1 << 20, 49_408
 #: Okapi constants and the number of a seed's terms (those of largest weight) that form its query.
 K1, B, QUERY_TERMS = 1.2, 0.75, 48
+#: A seed's bits: all of an id's, so that copies of one text spread over any number of shards.
+MASK = (1 << 64) - 1
 #: Distinct words whose ids a worker keeps.
 CACHE_WORDS = 1 << 19
 #: Words that are encoded as one text.
@@ -116,7 +118,7 @@ def tokenised(docs: DataFrame, path: str | None) -> DataFrame:
         for batch in batches:
             doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()
             out = [x for part in chunks(texts, lambda t: len(t or b"") + 64, 1 << 20) for x in ids(part)]
-            mixed = [xxhash.xxh64_intdigest(x, seed=hash(i) & 0xFFFF) >> 1 for i, x in zip(doc_ids, out, strict=True)]
+            mixed = [xxhash.xxh64_intdigest(x, seed=hash(i) & MASK) >> 1 for i, x in zip(doc_ids, out, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(mixed, pa.int64()), pa.array(out, pa.binary())],
                 names=["doc_id", "mixed", "ids"],
