@@ -20,11 +20,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, written
+from .common import written
 
 WINDOW, END = 4096, 2
 #: Ids of a shard, about; the tokenizer's vocabulary, all of whose ids fit 16 bits.
@@ -34,9 +35,11 @@ K1, B, QUERY_TERMS = 1.2, 0.75, 48
 #: A seed's bits: all of an id's, so that copies of one text spread over any number of shards.
 MASK = (1 << 64) - 1
 #: Distinct words whose ids a worker keeps.
-CACHE_WORDS = 1 << 19
+CACHE_WORDS = 1 << 20
 #: Words that are encoded as one text.
 JOINED = 512
+#: A special token of the vocabulary, put between words that are encoded as one text.
+MARK = "<|endoftext|>"
 
 
 def default_tokenizer() -> str:
@@ -45,23 +48,36 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def normalised(text: bytes) -> str:
+    return unicodedata.normalize("NFC", text.decode()).lower()
+
+
 class Ids:
     """Little-endian 16-bit token ids of a text, with a cache by word.
 
     The tokenizer lower-cases and drops white space, and no token crosses it, so ids of a text are those of its words in
     turn. A word of letters alone is one pre-token, whose last token is marked as a word's end; so new words of that kind
-    (and such words with stops or commas after them) are encoded many at a time and cut apart at those marks.
+    are encoded many at a time and cut apart at those marks. Stops and commas after such a word are pre-tokens too.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel ones
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
+        self.marked = Tokenizer.from_file(path)  # knows special tokens
+        self.mark = self.marked.token_to_id(MARK)
+        # For words of letters, already normalised: the same without looking for pre-tokens in them.
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = None
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         self.last = np.zeros(VOCABULARY, bool)
         self.last[[i for w, i in self.model.get_vocab().items() if w.endswith("</w>")]] = True
-        self.cache: dict[bytes, bytes] = {}
+        self.cores: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
 
     def encoded(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u2") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -71,37 +87,51 @@ class Ids:
         """Whether the word is one pre-token, all letters even when normalised."""
         if word.isalpha():  # of bytes: ASCII letters
             return True
-        return unicodedata.normalize("NFC", word.decode("utf-8", "replace")).lower().isalpha()
-
-    def learn(self, words: set[bytes]):
-        cores = {w: w.rstrip(b".,") for w in words}
-        good = {c for c in set(cores.values()) if self.plain(c)}
-        plain = list(good.difference(self.cache))
-        stops = [w for w, c in cores.items() if c in good and c != w]
-        rest = list({w for w, c in cores.items() if c not in good} | {w[len(cores[w]) :] for w in stops})
-        for at in range(0, len(plain), JOINED):
-            own = plain[at : at + JOINED]
-            (ids,) = self.encoded([b" ".join(own).decode("utf-8", "replace")])
+        return normalised(word).isalpha()
+
+    def learn(self, cores: list[bytes], words: list[bytes]):
+        for at in range(0, len(cores), JOINED):
+            own = cores[at : at + JOINED]
+            text = normalised(b" ".join(own))
+            ids = np.array(self.letters.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
             ends = (2 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
             data = ids.tobytes()
-            self.cache.update(zip(own, map(data.__getitem__, map(slice, [0, *ends], ends)), strict=True))
-        for at in range(0, len(rest), JOINED):
-            own = rest[at : at + JOINED]
-            for w, x in zip(own, self.encoded([w.decode("utf-8", "replace") for w in own]), strict=True):
-                self.cache[w] = x.tobytes()
-        for w in stops:
-            c = cores[w]
-            self.cache[w] = self.cache[c] + self.cache[w[len(c) :]]
-
-    def __call__(self, texts: list[bytes | None]) -> list[bytes]:
-        split = [t.lower().split() if t else [] for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        new = set().union(*split).difference(self.cache)
-        if new:
-            self.learn(new)
-        get, end = self.cache.__getitem__, np.array([END], "<u2").tobytes()
-        return [b"".join(map(get, own)) + end for own in split]
+            self.cores.update(zip(own, map(data.__getitem__, map(slice, [0, *ends], ends)), strict=True))
+        for at in range(0, len(words), JOINED):
+            own = words[at : at + JOINED]
+            text = MARK.join(w.decode() for w in own)
+            ids = np.array(self.marked.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
+            ends = (2 * np.flatnonzero(ids == self.mark)).tolist()
+            data = ids.tobytes()
+            cuts = map(slice, [0, *(e + 2 for e in ends)], [*ends, len(data)])
+            self.words.update(zip(own, map(data.__getitem__, cuts), strict=True))
+
+    def __call__(self, texts: pa.Array) -> pa.Array:
+        if len(self.cores) + len(self.words) > CACHE_WORDS:
+            self.cores.clear()
+            self.words.clear()
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary
+        cores = pc.ascii_rtrim(words, ".,").dictionary_encode()
+        tails = pc.replace_substring_regex(words, r"\A(?s:.*?)([.,]*)\z", r"\1").dictionary_encode()
+        own = cores.dictionary.cast(pa.binary()).to_pylist()
+        self.learn([c for c in own if c not in self.cores and self.plain(c)], [])
+        ends = [x.tobytes() for x in self.encoded(tails.dictionary.to_pylist())]
+        ids = pc.binary_join_element_wise(
+            pa.array(map(self.cores.get, own), pa.binary()).take(cores.indices),
+            pa.array(ends, pa.binary()).take(tails.indices), b"",
+        )
+        if ids.null_count:  # words of other cores
+            rest = words.filter(ids.is_null()).cast(pa.binary()).to_pylist()
+            new = [w for w in rest if w not in self.words]
+            self.learn([], [w for w in new if b"<|" not in w])
+            for w in new:
+                if b"<|" in w:
+                    self.words[w] = self.encoded([w.decode()])[0].tobytes()
+            ids = pc.replace_with_mask(ids, ids.is_null(), pa.array(map(self.words.__getitem__, rest), pa.binary()))
+        joined = pc.binary_join(pa.ListArray.from_arrays(split.offsets, ids.take(coded.indices)), b"")
+        return pc.binary_join_element_wise(joined, np.array([END], "<u2").tobytes(), b"")
 
 
 @lru_cache(1)
@@ -116,11 +146,10 @@ def tokenised(docs: DataFrame, path: str | None) -> DataFrame:
     def run(batches):
         ids = ids_of(path or default_tokenizer())
         for batch in batches:
-            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()
-            out = [x for part in chunks(texts, lambda t: len(t or b"") + 64, 1 << 20) for x in ids(part)]
-            mixed = [xxhash.xxh64_intdigest(x, seed=hash(i) & MASK) >> 1 for i, x in zip(doc_ids, out, strict=True)]
+            doc_ids, out = batch.column("doc_id").to_pylist(), ids(batch.column("text"))
+            mixed = [xxhash.xxh64_intdigest(x.as_buffer(), seed=hash(i) & MASK) >> 1 for i, x in zip(doc_ids, out, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(mixed, pa.int64()), pa.array(out, pa.binary())],
+                [batch.column("doc_id"), pa.array(mixed, pa.int64()), out],
                 names=["doc_id", "mixed", "ids"],
             )
 

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -85,14 +86,15 @@ def test_pack_covers_every_id_once(spark, odd, none):
     plain = ids.model
     for t in [*(r[1] for r in odd_rows() if r[1]), "it's 'sa don't.", "İx ŉ ﬁ É áb", "…», a,b (,) x.,.", "日本語。 テスト", "<|endoftext|> a", "x y\x85z"]:
         want = plain.encode(t, add_special_tokens=False).ids + [2]
-        assert np.frombuffer(ids([t.encode()])[0], "<u2").tolist() == want
+        assert np.frombuffer(ids(pa.array([t]))[0].as_py(), "<u2").tolist() == want
     got = pack.pack(odd, shard_tokens=600).collect()
     assert Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in got if r.doc_id == 0) == {(0, 0, 1, zlib.crc32(b"\x02\0\0\0")): 1}
     per, seq = defaultdict(int), defaultdict(list)
     for r in got:
         per[r.doc_id] += r.length
         seq[r.sequence_id].append((r.offset, r.length))
-    assert per[7] == len(ids([LONG.encode()])[0]) // 2 and per[3] == 2 * (len(ids([BASE.encode()])[0]) // 2)
+    long, base = (len(x.as_py()) // 2 for x in ids(pa.array([LONG, BASE])))
+    assert per[7] == long and per[3] == 2 * base
     for pieces in seq.values():
         at = 0
         for start, n in sorted(pieces):
