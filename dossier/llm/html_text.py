@@ -78,7 +78,7 @@ class Page:
     """Elements (tag, parent, whether boilerplate or within) and text blocks (element, text, characters in links)."""
 
     def __init__(self, source: str):
-        self.tags, self.parents, self.dropped = ["html"], [-1], [False]
+        self.tags, self.parents, self.dropped, self.in_article = ["html"], [-1], [False], [False]
         self.blocks: list[tuple[int, str, int]] = []
         self._stack, self._text, self._links = [0], [], 0
         self._at = 0  # the element of the block's first text
@@ -132,9 +132,10 @@ class Page:
         if tag in ("html", "body") and tag in (self.tags[k] for k in self._stack) or tag in VOID:
             return
         up = self._stack[-1]
-        in_article = any(self.tags[k] in ("article", "main") for k in self._stack)
+        in_article = self.in_article[up] or self.tags[up] in ("article", "main")
         self.tags.append(tag)
         self.parents.append(up)
+        self.in_article.append(in_article)
         self.dropped.append(self.dropped[up] or is_boilerplate(tag, attributes, in_article))
         if not attributes.endswith("/") or tag in BLOCKS:
             self._stack.append(len(self.tags) - 1)
