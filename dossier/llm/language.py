@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import chunks
 
 ORDER, SAMPLE_DOCS, FOLDS = 4, 400, 5
+#: Values of the sampling hash: far more than any table's rows, so that a share of them is met at every size.
+HASHES = 1 << 40
 CHUNK_BYTES = 1 << 20
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -143,8 +145,8 @@ def sample(docs: DataFrame, per_language: int) -> DataFrame:
     share = F.create_map(
         *(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.5 * per_language / n + 40 / n)))
     )
-    few = named.where((F.pmod("order", F.lit(1 << 20)) / float(1 << 20)) < F.try_element_at(share, "lang"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("order", F.lit(1 << 20)), "order", "doc_id", "text"))
+    few = named.where((F.pmod("order", F.lit(HASHES)) / float(HASHES)) < F.try_element_at(share, "lang"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("order", F.lit(HASHES)), "order", "doc_id", "text"))
     return few.withColumn("place", place).where(F.col("place") <= per_language).select("lang", "text")
 
 
