@@ -4,8 +4,8 @@ Three base patterns give base spans. The field adds spans: a field is a run of `
 more, or of 8 with a digit; its tokens (runs of letters and digits, single signs) are tagged begin, inside or outside from
 shape, neighbouring tokens and words, and file features, and decoded by Viterbi. Tags other than outside are possible in
 fields alone, and a field begins afresh, so decoding each field decodes the whole text's chain. Weights are fitted to
-the base spans of at most SAMPLE_DOCS whole documents (the smallest hashes of doc_id), with and without their context.
-Decoded spans that touch no base span are of kind `crf`.
+the base spans of at most EXAMPLES fields of about SAMPLE_DOCS whole documents (the smallest hashes), with and without
+their context. Decoded spans that touch no base span are of kind `crf`.
 
 Defined results: null and empty texts have no spans; spans of two base kinds may overlap and all stay; repeated rows are
 scanned one by one; an empty table gives no rows and an empty sample a field that adds nothing; further columns stay where
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import fresh
 
 SAMPLE_DOCS, EPOCHS, RATE, DECAY = 20_000, 12, 0.3, 1e-4
+#: Distinct fields of the sample that are learned from, at most (the smallest hashes), and values of the sampling hash.
+EXAMPLES, HASHES = 40_000, 1 << 40
 KINDS = ["assign", "access", "hex", "crf"]
 
 
@@ -185,8 +187,8 @@ def examples(text: str) -> list[tuple[list[list[str]], list[int]]]:
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field:
     """A field from a sample of at most sample_docs documents; only its secret-like fields' features are fetched."""
     n = docs.count()
-    order = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("secret")), F.lit(1 << 20))
-    few = docs.select("doc_id", "text").where(order < int(min(1.0, sample_docs / max(n, 1)) * (1 << 20)))
+    order = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("secret")), F.lit(HASHES))
+    few = docs.select("doc_id", "text").where(order < int(min(1.0, sample_docs / max(n, 1)) * HASHES))
 
     def run(batches):
         for batch in batches:
@@ -198,9 +200,10 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field:
                             names=["features", "tags"],
                         )
 
-    rows = few.mapInArrow(run, "features array<string>, tags array<int>").distinct().collect()
+    rows = few.mapInArrow(run, "features array<string>, tags array<int>").distinct()
+    rows = rows.orderBy(F.xxhash64("features", "tags"), "features", "tags").limit(EXAMPLES).collect()
     rows = sorted(((list(r["features"]), list(r["tags"])) for r in rows), key=str)
-    return Field().fit([([own.split("\n") for own in fs], tags) for fs, tags in rows[: 4 * sample_docs]])
+    return Field().fit([([own.split("\n") for own in fs], tags) for fs, tags in rows])
 
 
 def scan_text(text: str | None, field: Field) -> list[tuple[str, int, int, int, int]]:
