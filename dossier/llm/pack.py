@@ -35,7 +35,7 @@ K1, B, QUERY_TERMS = 1.2, 0.75, 48
 #: A seed's bits: all of an id's, so that copies of one text spread over any number of shards.
 MASK = (1 << 64) - 1
 #: Distinct words whose ids a worker keeps.
-CACHE_WORDS = 1 << 20
+CACHE_WORDS = 1 << 19
 #: Words that are encoded as one text.
 JOINED = 512
 #: A special token of the vocabulary, put between words that are encoded as one text.
@@ -66,8 +66,7 @@ class Ids:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel ones
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.marked = Tokenizer.from_file(path)  # knows special tokens
-        self.mark = self.marked.token_to_id(MARK)
+        self.mark = self.model.token_to_id(MARK)
         # For words of letters, already normalised: the same without looking for pre-tokens in them.
         self.letters = Tokenizer.from_file(path)
         self.letters.normalizer = None
@@ -100,7 +99,9 @@ class Ids:
         for at in range(0, len(words), JOINED):
             own = words[at : at + JOINED]
             text = MARK.join(w.decode() for w in own)
-            ids = np.array(self.marked.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
+            self.model.encode_special_tokens = False
+            (ids,) = self.encoded([text])
+            self.model.encode_special_tokens = True
             ends = (2 * np.flatnonzero(ids == self.mark)).tolist()
             data = ids.tobytes()
             cuts = map(slice, [0, *(e + 2 for e in ends)], [*ends, len(data)])
