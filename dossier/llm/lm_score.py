@@ -1,18 +1,18 @@
-r"""Language-model scores from an Elias-Fano n-gram trie.
+r"""Language-model scores from Elias-Fano levels of words, pairs and triples, kept as files per range of hashes.
 
-Counts of words, pairs and triples are taken over all training documents by Spark. Words are known by 64-bit hashes. The
-trie's vocabulary are the words of at least VOCABULARY_SHARE of all tokens; pairs and triples of them are kept from
-NGRAM_SHARE of all tokens (and twice) up, so each level has at most 1 / share entries at any corpus size, which bounds
-the broadcast; counts of all other words, which base scores and unigrams need, stay a table and meet the documents' rare
-words in a join. Shares are modelling parameters, alike at every size.
+Counts of words, pairs and triples are taken over all training documents by Spark. Every word, and every pair and triple
+that occurs LEAST times, is in the model, at any corpus size. Words are known by 64-bit hashes, a pair by a hash of its
+words', a triple by a hash of its pairs'. So a level is a set of uniform 64-bit keys; each range of keys, meant for about
+SHARD entries, is a file in the shared folder that a task of its own wrote: the keys as one monotone Elias-Fano sequence,
+and arrays of values. Their number grows with the model, and no process holds it: a worker looks up the distinct keys of
+some FLUSH tokens in one file after the other, each mapped only meanwhile.
 
 Smoothing is interpolated absolute discounting down to the add-one unigram of the base score, so that
 
     p(w|uv) = max(c(uvw) - D, 0) / c(uv) + g(uv) p(w|v),  p(w|v) = max(c(vw) - D, 0) / c(v) + g(v) p(w)
 
-with g from what the kept continuations leave. Levels hold successors per context as one monotone Elias-Fano sequence
-(each context's word ids start from the last number of the context before), monotone pointers, and 8-bit codes of the
-smoothed log probabilities and of log g. A worker maps the levels from a file that it unlinks at once.
+with g from what the kept continuations leave. Scores use 8-bit codes of the smoothed log probabilities of pairs and
+triples and of log g(uv).
 
 Defined results: null and empty texts are the end alone; null ids hash as the empty string; with no training rows N and V
 are 0; repeated rows are scored one by one; further columns are ignored.
@@ -23,27 +23,31 @@ from __future__ import annotations
 import math
 import mmap
 import os
-import tempfile
+import pickle
+import uuid
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, space_words, written
+from .common import chunks, shared_dir, space_words, written
 from .elias_fano import EliasFano
+from .near_dedup import mixed
 
-VOCABULARY_SHARE, NGRAM_SHARE, DISCOUNT = 2e-7, 5e-7, 0.75
+#: Occurrences from which pairs and triples are kept, alike at every size.
+LEAST, DISCOUNT = 2, 0.75
 FOLDS, HELD = 7, 2
-#: The token after the last word; no word holds a line end.
-END = b"\n"
-CHUNK_BYTES, CACHE_WORDS, FLUSH = 1 << 20, 1 << 19, 1 << 21
+#: The token after the last word; no word holds a line end. What stands before the first word.
+END, BEGIN = b"\n", np.uint64(0x5DEECE66D1234567)
+CHUNK_BYTES, CACHE_WORDS, FLUSH = 1 << 20, 1 << 19, 1 << 20
+#: Entries for which a file is meant.
+SHARD = 1 << 18
 
 
 def word_hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word) - (1 << 63)
+    return xxhash.xxh64_intdigest(word)
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -54,102 +58,70 @@ def texts_of(batch) -> list[bytes | None]:
     return batch.column("text").cast(pa.binary()).to_pylist()
 
 
-def emit(name: str, keys: np.ndarray, counts: np.ndarray):
-    for at in range(0, len(keys), 1 << 17):
-        s = slice(at, at + (1 << 17))
-        yield pa.RecordBatch.from_arrays([pa.array(keys[s]), pa.array(counts[s].astype(np.int64))], names=[name, "n"])
+def pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mixed(mixed(first) + second)
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(h, n) of every distinct token of docs."""
+class Hashes:
+    """Hashes of tokens, with a cache by word."""
 
-    def run(batches):
-        from collections import Counter
-
-        held: Counter = Counter()
-
-        def out():
-            keys = np.fromiter(map(word_hash, held), np.int64, len(held))
-            return emit("h", keys, np.fromiter(held.values(), np.int64, len(held)))
-
-        for batch in batches:
-            for text in texts_of(batch):
-                held.update(tokens(text))
-                if len(held) > CACHE_WORDS:
-                    yield from out()
-                    held = Counter()
-        yield from out()
+    def __init__(self):
+        self.cache: dict[bytes, int] = {}
 
-    return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-
-
-class Vocabulary:
-    """Ids of the words of a sorted array of hashes."""
-
-    def __init__(self, hashes: np.ndarray):
-        self.hashes, self.cache = hashes, {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        """Word ids, -1 for other words."""
-        cache = self.cache
+    def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of all tokens of some texts, and each text's number of them."""
+        split = [tokens(t) for t in texts]
+        words, cache = [w for own in split for w in own], self.cache
         if len(cache) > CACHE_WORDS:
             cache.clear()
-        new = list(set(words).difference(cache))
-        if new:
-            own = np.fromiter(map(word_hash, new), np.int64, len(new))
-            at = np.minimum(np.searchsorted(self.hashes, own), max(len(self.hashes) - 1, 0))
-            ids = np.where(self.hashes[at] == own, at, -1) if len(self.hashes) else np.full(len(new), -1)
-            cache.update(zip(new, ids.tolist(), strict=True))
-        return np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
+        for w in set(words).difference(cache):
+            cache[w] = xxhash.xxh64_intdigest(w)
+        return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)), np.array([len(own) for own in split])
 
 
-def laid_out(texts: list[bytes | None], vocabulary: Vocabulary):
-    """(words, ids, ids before, text of each token) of all tokens of some texts; before the first comes the begin id."""
-    split = [tokens(t) for t in texts]
-    words = [w for own in split for w in own]
-    ids, sizes = vocabulary(words), np.array([len(own) for own in split])
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    before = np.concatenate([[0], ids[:-1]])
-    before[starts] = len(vocabulary.hashes)
-    return words, ids, before, np.repeat(np.arange(len(texts)), sizes), starts
+def laid_out(hashes: np.ndarray, sizes: np.ndarray):
+    """(word before, pair, whether a text begins, place of each text's first token) of the tokens of some texts."""
+    starts = np.cumsum(sizes) - sizes
+    begins = np.zeros(len(hashes), bool)
+    begins[starts] = True
+    before = np.concatenate([[BEGIN], hashes[:-1]]).astype(np.uint64)
+    before[begins] = BEGIN
+    return before, pair_key(before, hashes), begins, starts
 
 
-def find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    if not len(sorted_keys):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return np.where(sorted_keys[at] == keys, at, -1)
+def unique_rows(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows, told apart by a hash of the first two columns, and how often each occurs."""
+    _, at, n = np.unique(columns[0] if len(columns) == 1 else pair_key(*columns), return_index=True, return_counts=True)
+    return [c[at] for c in columns], n
 
 
-def count_ngrams(docs: DataFrame, keys_of) -> DataFrame:
-    """(code, n) of the codes that keys_of() makes from the texts of a chunk; equal codes are added up before they leave."""
+def counted(docs: DataFrame, names: list[str], rows_of) -> DataFrame:
+    """(*names, n) of the rows that rows_of makes of the hashes and sizes of some texts."""
 
     def run(batches):
-        of, held, size = keys_of(), [], 0
+        hashes, held, size = Hashes(), [], 0
 
         def out():
-            codes, counts = np.unique(np.concatenate(held), return_counts=True)
-            return emit("code", codes, counts)
+            h, sizes = (np.concatenate(c) for c in zip(*held, strict=True))
+            columns, n = unique_rows(rows_of(h, sizes))
+            for at in range(0, len(n), 1 << 17):
+                s = slice(at, at + (1 << 17))
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(c[s].view(np.int64)) for c in columns), pa.array(n[s].astype(np.int64))], names=[*names, "n"]
+                )
 
         for batch in batches:
             for part in chunks(texts_of(batch), lambda t: len(t or b"") + 64, CHUNK_BYTES):
-                held.append(of(part))
-                size += len(held[-1])
+                held.append(hashes(part))
+                size += len(held[-1][0])
                 if size > FLUSH:
                     yield from out()
                     held, size = [], 0
         if held:
             yield from out()
 
-    return docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def fetched(counts: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and counts of at least `least`: no more than tokens / least rows."""
-    table = counts.where(F.col("n") >= least).toArrow()
-    keys, n = (table.column(k).to_numpy() for k in range(2))
-    order = np.argsort(keys)
-    return keys[order], n[order].astype(np.float64)
+    schema = ", ".join(f"{c} long" for c in [*names, "n"])
+    return docs.select("text").mapInArrow(run, schema).groupBy(*names).agg(F.sum("n").alias("n"))
 
 
 def quantised(logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,209 +135,220 @@ def quantised(logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes, sums / np.maximum(np.bincount(codes, minlength=256), 1)
 
 
-class Trie:
-    """Levels of word, pair and triple; arrays by name, so that they can be put in a file and mapped."""
-
-    def __init__(self, arrays: dict[str, np.ndarray]):
-        self.arrays = arrays
-        self.words = int(arrays["shape"][0])
-        self.levels = [
-            tuple(
-                EliasFano(*arrays[f"{kind}{k}.shape"].tolist(), *(arrays[f"{kind}{k}.{f}"] for f in EliasFano.FIELDS))
-                for kind in ("pointers", "successors")
+class Level:
+    """Files of one level; the top `bits` bits of a key name its file."""
+
+    def __init__(self, folder: str, bits: int, names: list[str], coded: str | None):
+        self.folder, self.bits, self.names, self.coded = folder, bits, names, coded
+
+    def path(self, shard: int) -> str:
+        return f"{self.folder}/{shard:06d}"
+
+    def put(self, shard: int, keys: np.ndarray, values: dict[str, np.ndarray]):
+        """Write a file; a task that runs again replaces it by an equal one."""
+        order = np.argsort(keys)
+        own = EliasFano.of(self.within(keys[order]))
+        arrays = {f: getattr(own, f) for f in EliasFano.FIELDS} | {k: v[order] for k, v in values.items()}
+        if self.coded:
+            codes, table = quantised(np.log10(arrays[self.coded]))
+            arrays |= {"codes": codes, "table": table}
+        entries, data, at = [], [], 0
+        for name, x in arrays.items():
+            if name == "n" and len(x):
+                x = x.astype(np.min_scalar_type(x.max()))
+            raw = np.ascontiguousarray(x).tobytes()
+            entries.append((name, x.dtype.str, at, len(x)))
+            raw += bytes(-len(raw) % 8)
+            data.append(raw)
+            at += len(raw)
+        head = pickle.dumps((own.n, own.width, entries))
+        head = len(head).to_bytes(8, "little") + head
+        temporary = f"{self.path(shard)}.{uuid.uuid4().hex}"
+        with open(temporary, "wb") as f:
+            f.write(head + bytes(-len(head) % 8) + b"".join(data))
+        os.replace(temporary, self.path(shard))
+
+    def within(self, keys: np.ndarray) -> np.ndarray:
+        """What tells keys of one file apart, below 2**62."""
+        return (keys << np.uint64(self.bits)) >> np.uint64(max(self.bits, 2))
+
+    def get(self, keys: np.ndarray, *names: str) -> list[np.ndarray]:
+        """The values of each key under each name, `codes` meaning the coded logarithm; 0 for keys that aren't there."""
+        if not len(keys):
+            return [np.zeros(0) for _ in names]
+        keys, back = np.unique(keys, return_inverse=True)
+        out = [np.zeros(len(keys)) for _ in names]
+        shard = (keys >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
+        edges = np.flatnonzero(np.diff(shard, prepend=-1))
+        for a, b in zip(edges, [*edges[1:], len(keys)], strict=True):
+            try:
+                f = open(self.path(int(shard[a])), "rb")
+            except FileNotFoundError:  # no key lies in this range
+                continue
+            with f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as view:
+                size = int.from_bytes(view[:8], "little")
+                n, width, entries = pickle.loads(view[8 : 8 + size])
+                start = -(-(8 + size) // 8) * 8
+                arrays = {name: np.frombuffer(view, np.dtype(kind), length, start + at) for name, kind, at, length in entries}
+                coded = EliasFano(n, width, *(arrays[x] for x in EliasFano.FIELDS))
+                found = coded.find(self.within(keys[a:b]).astype(np.int64))
+                there = np.flatnonzero(found >= 0)
+                for to, name in zip(out, names, strict=True):
+                    own = arrays[name][found[there]]
+                    to[a:b][there] = arrays["table"][own] if name == "codes" else own
+                del arrays, coded
+        return [x[back] for x in out]
+
+
+def level(rows: DataFrame, name: str, key, columns: list[str], values_of, count: int, coded: str | None = None) -> Level:
+    """Write a level of at most `count` entries: key(*columns) gives the keys, values_of(arrays by column) the values."""
+    spark = rows.sparkSession
+    bits = max(0, math.ceil(math.log2(max(1, count) / SHARD)))
+    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}".removeprefix("file:")
+    os.makedirs(folder)
+    out = Level(folder, bits, columns, coded)
+
+    def keyed(batches):
+        for batch in batches:
+            keys = key(*(batch.column(c).to_numpy().view(np.uint64) for c in columns))
+            shard = (keys >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(keys), np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(keys.view(np.int64)), pa.array(shard)], names=[*batch.schema.names, "key", "shard"]
             )
-            for k in (2, 3)
-        ]
-
-    @classmethod
-    def build(cls, word_counts, n_docs, pair_codes, pair_counts, triple_codes, triple_counts, total, distinct) -> Trie:
-        """pair code: first * words + second, the begin id counting as a first word; triple code: pair * words + third."""
-        words = len(word_counts)
-        p1 = (word_counts + 1) / (total + distinct + 1)
-        context = np.append(word_counts, n_docs)
-        first, second = np.divmod(pair_codes, max(words, 1))
-        pair, third = np.divmod(triple_codes, max(words, 1))
-        rest1 = 1 - np.bincount(first, (pair_counts - DISCOUNT) / context[first], words + 1)
-        rest2 = 1 - np.bincount(pair, (triple_counts - DISCOUNT) / pair_counts[pair], len(pair_codes))
-        rest1, rest2 = np.maximum(rest1, 1e-9), np.maximum(rest2, 1e-9)
-        p2 = (pair_counts - DISCOUNT) / context[first] + rest1[first] * p1[second]
-        inner = find(pair_codes, second[pair] * words + third)
-        p3 = (triple_counts - DISCOUNT) / pair_counts[pair] + rest2[pair] * p2[inner]
-        arrays = {"shape": np.array([words]), "p1": np.log10(p1).astype(np.float32)}
-        for name, values in (("g1", rest1), ("p2", p2), ("g2", rest2), ("p3", p3)):
-            arrays[name], arrays[f"{name}.values"] = quantised(np.log10(values))
-        for k, own, word, contexts in ((2, first, second, words + 1), (3, pair, third, len(pair_codes))):
-            sizes = np.bincount(own, minlength=contexts)
-            ends = np.cumsum(sizes)
-            last = np.zeros(contexts, np.int64)  # what the context's last word adds
-            last[sizes > 0] = word[ends[sizes > 0] - 1] + 1
-            base = np.cumsum(last) - last
-            for kind, values in (("pointers", np.append(0, ends)), ("successors", word + base[own])):
-                coded = EliasFano.of(values)
-                arrays[f"{kind}{k}.shape"] = np.array([coded.n, coded.width])
-                arrays |= {f"{kind}{k}.{f}": getattr(coded, f) for f in EliasFano.FIELDS}
-        return cls(arrays)
-
-    def packed(self) -> tuple[list[tuple[str, str, int, int]], bytes]:
-        """Where each array lies, and all of them."""
-        table, out, at = [], [], 0
-        for name, x in self.arrays.items():
-            data = np.ascontiguousarray(x).tobytes()
-            data += bytes(-len(data) % 8)
-            table.append((name, x.dtype.str, at, len(x)))
-            out.append(data)
-            at += len(data)
-        return table, b"".join(out)
-
-    @classmethod
-    def mapped(cls, table: list[tuple[str, str, int, int]], data: bytes) -> Trie:
-        """The trie on a mapped file of this worker's temporary folder; the file has no name any more afterwards."""
-        handle, path = tempfile.mkstemp(prefix="trie-")
-        try:
-            with os.fdopen(os.dup(handle), "wb") as out:
-                out.write(data)
-            view = mmap.mmap(handle, len(data), access=mmap.ACCESS_READ)
-        finally:
-            os.close(handle)
-            os.unlink(path)
-        return cls({n: np.frombuffer(view, np.dtype(kind), size, at) for n, kind, at, size in table})
-
-    def child(self, level: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """The entry of `word` among the successors of `context`, or -1 (also where either is negative)."""
-        pointers, successors = self.levels[level - 2]
-        out = np.full(len(context), -1, np.int64)
-        some = np.flatnonzero((context >= 0) & (word >= 0))
-        if not len(some) or not successors.n:
-            return out
-        begin, end = pointers.access(context[some]), pointers.access(context[some] + 1)
-        some, begin, end = some[begin < end], begin[begin < end], end[begin < end]
-        base = np.zeros(len(some), np.int64)
-        later = begin > 0
-        base[later] = successors.access(begin[later] - 1) + 1
-        at = successors.find(base + word[some])
-        out[some] = np.where((at >= begin) & (at < end), at, -1)
-        return out
-
-    def _value(self, name: str, at: np.ndarray) -> np.ndarray:
-        """Logarithms of entries, 0 for entry -1."""
-        codes = self.arrays[name]
-        if not len(codes):
-            return np.zeros(len(at))
-        return np.where(at >= 0, self.arrays[f"{name}.values"][codes[np.maximum(at, 0)]], 0.0)
-
-    def log10(self, ids: np.ndarray, before: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Of each token, the logarithm of its probability; of a word out of the vocabulary, without the unigram's part."""
-        keys, back = np.unique((before + 1) * (self.words + 2) + ids + 1, return_inverse=True)
-        first, second = np.divmod(keys, self.words + 2)
-        pair = self.child(2, first - 1, second - 1)[back]
-        context = np.concatenate([[-1], pair[:-1]])  # the pair that ends before the token
-        context[starts] = -1
-        keys, back = np.unique((context + 1) * (self.words + 2) + ids + 1, return_inverse=True)
-        first, second = np.divmod(keys, self.words + 2)
-        triple = np.where(pair >= 0, self.child(3, first - 1, second - 1)[back], -1)
-        single = np.where(ids >= 0, self.arrays["p1"][np.maximum(ids, 0)] if self.words else 0.0, 0.0)
-        lower = np.where(pair >= 0, self._value("p2", pair), self._value("g1", before) + single)
-        return np.where(triple >= 0, self._value("p3", triple), self._value("g2", context) + lower)
+
+    def write(table: pa.Table) -> pa.Table:
+        arrays = {c: table.column(c).to_numpy() for c in table.column_names}
+        shard, keys = int(arrays["shard"][0]), arrays["key"].view(np.uint64)
+        out.put(shard, keys, values_of(arrays))
+        return pa.table({"n": pa.array([len(keys)], pa.int64())})
+
+    schema = ", ".join(f"{c} {kind}" for c, kind in [*rows.dtypes, ("key", "long"), ("shard", "int")])
+    rows.mapInArrow(keyed, schema).groupBy("shard").applyInArrow(write, "n long").agg(F.sum("n")).collect()
+    return out
 
 
 def held_out():
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) == HELD
 
 
-def score(docs: DataFrame, vocabulary_share: float = VOCABULARY_SHARE, ngram_share: float = NGRAM_SHARE) -> DataFrame:
-    """The contract's row of every document."""
-    spark = docs.sparkSession
-    train = docs.where(~held_out())
-    counts = written(count_words(train), "words")
+def same(x: np.ndarray) -> np.ndarray:
+    return x
+
+
+class Model:
+    """The levels, and what scores and smoothing read from them."""
+
+    def __init__(self, total: int, distinct: int, n_docs: float):
+        self.norm, self.n_docs = total + distinct + 1, n_docs
+        self.words = self.left1 = self.pairs = self.left2 = self.triples = None
+
+    def rest1(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """c(v) and g(v) of contexts, of which g is 1 where nothing of them is kept."""
+        (c,), (taken,) = self.words.get(words, "n"), self.left1.get(words, "taken")
+        c = np.where(words == BEGIN, self.n_docs, c)
+        return c, np.maximum(1 - taken / np.maximum(c, 1), 1e-9)
+
+    def p1(self, words: np.ndarray) -> np.ndarray:
+        return (self.words.get(words, "n")[0] + 1) / self.norm
+
+    def logs(self, hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each token, its count and the logarithm of its smoothed probability."""
+        before, pair, begins, _ = laid_out(hashes, sizes)
+        context = np.concatenate([pair[:1], pair[:-1]])
+        (n,) = self.words.get(hashes, "n")
+        lower = np.log10(self.rest1(before)[1]) + np.log10((n + 1) / self.norm)
+        kept, p2 = self.pairs.get(pair, "n", "codes")
+        lower = np.where(kept > 0, p2, lower)
+        (g2,) = self.left2.get(context, "codes")
+        # A triple is kept only if both of its pairs are.
+        has, there = np.flatnonzero((kept > 0) & ~begins), np.zeros(len(pair))
+        n3, p3 = self.triples.get(pair_key(context[has], pair[has]), "n", "codes")
+        there[has] = n3 > 0
+        value = np.where(begins, 0, g2) + lower
+        value[has] = np.where(there[has] > 0, p3, value[has])
+        return n, value
+
+
+def trained(train: DataFrame, vocabulary_share: float, ngram_share: float) -> tuple[Model, int]:
+    counts = written(counted(train, ["h"], lambda h, _: [h]), "words")
     row = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     total, distinct = row["n"] or 0, row["v"]
-    least = max(1.0, vocabulary_share * total)
-    hashes, word_counts = fetched(counts, least)
-    n_docs = counts.where(F.col("h") == word_hash(END)).first()
-    n_docs = float(n_docs["n"]) if n_docs else 0.0
-    cut, words = max(2.0, ngram_share * total), len(hashes)
-    frequent = word_counts >= cut  # a pair isn't more frequent than its words
-    shared = spark.sparkContext.broadcast((hashes, frequent))
-
-    def pairs(texts, vocabulary):
-        hashes, frequent = shared.value
-        _, ids, before, _, starts = laid_out(texts, vocabulary)
-        known = np.append(frequent, [True, False])  # begin; -1
-        return ids, before, starts, known[ids] & known[before] & (ids >= 0)
-
-    def pair_keys():
-        vocabulary = Vocabulary(shared.value[0])
-
-        def of(texts):
-            ids, before, _, ok = pairs(texts, vocabulary)
-            return before[ok] * words + ids[ok]
-
-        return of
-
-    pair_codes, pair_counts = fetched(count_ngrams(train, pair_keys), cut)
-    pair_codes_shared = spark.sparkContext.broadcast(pair_codes)
-
-    def triple_keys():
-        vocabulary = Vocabulary(shared.value[0])
-
-        def of(texts):
-            ids, before, starts, ok = pairs(texts, vocabulary)
-            pair = np.where(ok, find(pair_codes_shared.value, before * words + ids), -1)
-            context = np.concatenate([[-1], pair[:-1]])
-            context[starts] = -1
-            both = (pair >= 0) & (context >= 0)  # a triple isn't more frequent than its pairs
-            return context[both] * words + ids[both]
-
-        return of
-
-    triple_codes, triple_counts = fetched(count_ngrams(train, triple_keys), cut)
-    trie = Trie.build(word_counts, n_docs, pair_codes, pair_counts, triple_codes, triple_counts, total, distinct)
-    model = spark.sparkContext.broadcast((hashes, word_counts, *trie.packed()))
-    norm = math.log10(total + distinct + 1)
+    end = counts.where(F.col("h") == int(np.uint64(word_hash(END)).view(np.int64))).first()
+    model = Model(total, distinct, float(end["n"]) if end else 0.0)
+    frequent, cut = max(LEAST, vocabulary_share * total), max(LEAST, ngram_share * total)
+    model.words = level(counts, "word", same, ["h"], lambda t: {"n": t["n"]}, distinct)
+
+    def pairs_of(h, sizes):
+        before, _, begins, _ = laid_out(h, sizes)
+        often = model.words.get(h, "n")[0] >= max(frequent, cut)  # a pair isn't more frequent than its words
+        ok = often & (begins | np.concatenate([[False], often[:-1]]))
+        return [before[ok], h[ok]]
+
+    pairs = written(counted(train, ["a", "b"], pairs_of).where(F.col("n") >= cut), "pairs")
+    n_pairs = pairs.count()
+    taken = F.sum(F.col("n") - DISCOUNT).alias("taken")
+    model.left1 = level(pairs.groupBy("a").agg(taken), "left1", same, ["a"], lambda t: {"taken": t["taken"]}, distinct)
+
+    def pair_values(t):
+        c, g = model.rest1(t["a"].view(np.uint64))
+        return {"n": t["n"], "p": np.float32((t["n"] - DISCOUNT) / c + g * model.p1(t["b"].view(np.uint64)))}
+
+    model.pairs = level(pairs, "pair", pair_key, ["a", "b"], pair_values, n_pairs, "p")
+
+    def triples_of(h, sizes):
+        _, pair, begins, _ = laid_out(h, sizes)
+        kept = model.pairs.get(pair, "n")[0] > 0  # a triple isn't more frequent than its pairs
+        ok = np.flatnonzero(kept & ~begins)
+        ok = ok[kept[ok - 1]]
+        return [pair[ok - 1], pair[ok]]
+
+    triples = written(counted(train, ["a", "b"], triples_of).where(F.col("n") >= cut), "triples")
+
+    def left_values(t):
+        (c,) = model.pairs.get(t["a"].view(np.uint64), "n")
+        return {"g": np.float32(np.maximum(1 - t["taken"] / c, 1e-9))}
+
+    model.left2 = level(triples.groupBy("a").agg(taken), "left2", same, ["a"], left_values, n_pairs, "g")
+
+    def triple_values(t):
+        (c,), (g,) = model.pairs.get(t["a"].view(np.uint64), "n"), model.left2.get(t["a"].view(np.uint64), "g")
+        (p,) = model.pairs.get(t["b"].view(np.uint64), "p")
+        return {"n": t["n"], "p": np.float32((t["n"] - DISCOUNT) / c + g * p)}
+
+    model.triples = level(triples, "triple", pair_key, ["a", "b"], triple_values, triples.count(), "p")
+    return model, total
+
+
+def score(docs: DataFrame, vocabulary_share: float = 0.0, ngram_share: float = 0.0) -> DataFrame:
+    """The contract's row of every document; shares of all tokens above 0 make a smaller model."""
+    model, total = trained(docs.where(~held_out()), vocabulary_share, ngram_share)
 
     def run(batches):
-        hashes, word_counts, table, data = model.value
-        trie, vocabulary = Trie.mapped(table, data), Vocabulary(hashes)
-        base_of = np.append(np.log10(word_counts + 1) - norm, 0.0)  # the last for words out of the vocabulary
-        row_id = TaskContext.get().partitionId() << 40
+        hashes, held, size = Hashes(), [], 0
+
+        def out():
+            ids, (h, sizes) = [i for own, _, _ in held for i in own], (np.concatenate(c) for c in list(zip(*held, strict=True))[1:])
+            n, logs = model.logs(h, sizes)
+            starts = np.cumsum(sizes) - sizes
+            sums = [np.add.reduceat(x, starts) for x in ((n > 0).astype(np.int64), np.log10((n + 1) / model.norm), logs)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(sizes.astype(np.int64)), *map(pa.array, sums)],
+                names=["doc_id", "n_tokens", "n_known", "base_score", "score"],
+            )
+
         for batch in batches:
-            doc_ids, texts = batch.column("doc_id").to_pylist(), texts_of(batch)
-            for part in chunks(list(zip(doc_ids, texts, strict=True)), lambda r: len(r[1] or b"") + 64, CHUNK_BYTES):
-                words_, ids, before, doc, starts = laid_out([t for _, t in part], vocabulary)
-                n = np.diff(np.append(starts, len(ids)))
-                own = np.add.reduceat(trie.log10(ids, before, starts), starts)
-                base = np.add.reduceat(base_of[ids], starts)
-                known = np.add.reduceat(ids >= 0, starts, dtype=np.int64)
-                rows = row_id + np.arange(len(part))
-                row_id += len(part)
-                # One row for the document, which no word's hash meets, and one for each of its words out of the vocabulary.
-                rare = np.flatnonzero(ids < 0)
-                h = np.fromiter((word_hash(words_[k]) for k in rare), np.int64, len(rare))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([rows, rows[doc[rare]]])),
-                     pa.array([r[0] for r in part] + [None] * len(rare), pa.int64()),
-                     pa.array(np.concatenate([rows * -7046029254386353131, h])),
-                     pa.array(np.concatenate([n, np.ones(len(rare), np.int64)])),
-                     pa.array(np.concatenate([np.ones(len(part), bool), np.zeros(len(rare), bool)])),
-                     pa.array(np.concatenate([known, np.zeros(len(rare), np.int64)])),
-                     pa.array(np.concatenate([base, np.zeros(len(rare))])),
-                     pa.array(np.concatenate([own, np.zeros(len(rare))]))],
-                    names=["row", "doc_id", "h", "n", "main", "known", "base", "own"],
-                )
-
-    parts = docs.select("doc_id", "text").mapInArrow(
-        run, "row long, doc_id long, h long, n long, main boolean, known long, base double, own double"
-    )
-    rare = counts.where(F.col("n") < least).select("h", F.col("n").alias("c"))
-    joined = parts.join(rare, "h", "left")
-    c = F.when(~F.col("main"), F.coalesce("c", F.lit(0)))
-    unigram = F.coalesce((F.log10(c + 1) - norm) * F.col("n"), F.lit(0.0))
-    sums = joined.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.sum(F.when(F.col("main"), F.col("n")).otherwise(0)).alias("n_tokens"),
-        F.sum(F.when(F.col("main"), F.col("known")).otherwise(F.when(c > 0, F.col("n")).otherwise(0))).alias("n_known"),
-        F.sum(F.col("base") + unigram).alias("base_score"), F.sum(F.col("own") + unigram).alias("score"),
-    )
-    return sums.select(
+            rows = list(zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True))
+            for part in chunks(rows, lambda r: len(r[1] or b"") + 64, CHUNK_BYTES):
+                held.append(([i for i, _ in part], *hashes([t for _, t in part])))
+                size += len(held[-1][1])
+                if size > FLUSH:
+                    yield from out()
+                    held, size = [], 0
+        if held:
+            yield from out()
+
+    found = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return found.select(
         "doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
         "base_score", "score",
     )

@@ -318,6 +318,53 @@ def test_scores(spark, odd, none, share):
     assert lm_score.score(none).count() == 0
 
 
+def plain_score(train, text):
+    """Interpolated absolute discounting with plain counts; pairs and triples count from two occurrences up."""
+    d, words, pairs, triples = lm_score.DISCOUNT, Counter(), Counter(), Counter()
+    for t in train:
+        own = [None, *lm_score.tokens(t.encode())]
+        words.update(own)
+        pairs.update(zip(own, own[1:]))
+        triples.update(zip(own, own[1:], own[2:]))
+    pairs, triples = ({k: n for k, n in c.items() if n >= 2} for c in (pairs, triples))
+    total, distinct = sum(words.values()) - words[None], len(words) - 1
+
+    def p2(v, w):
+        left = sum(n - d for (a, _), n in pairs.items() if a == v) / max(words[v], 1)
+        return max(pairs.get((v, w), 0) - d, 0) / max(words[v], 1) + (1 - left) * (words[w] + 1) / (total + distinct + 1)
+
+    def p3(u, v, w):
+        if (u, v) not in pairs:
+            return p2(v, w)
+        left = sum(n - d for (a, b, _), n in triples.items() if (a, b) == (u, v)) / pairs[u, v]
+        return max(triples.get((u, v, w), 0) - d, 0) / pairs[u, v] + (1 - left) * p2(v, w)
+
+    own = [None, *lm_score.tokens(text.encode())]
+    return sum(math.log10(p2(*own[k - 1 : k + 1]) if k == 1 else p3(*own[k - 2 : k + 1])) for k in range(1, len(own)))
+
+
+@pytest.mark.parametrize("entries", [1 << 18, 4])
+def test_scores_equal_plain_counts(spark, monkeypatch, entries):
+    monkeypatch.setattr(lm_score, "SHARD", entries)  # with 4, many files
+    texts = ["a b c d", "a b c e", "b c d a b", "", "x a b c", "c c c c c", "a q", "z y a b c d"] * 2
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    train = [t for k, t in rows if not got[k].held_out]
+    assert any(r.held_out for r in got.values())
+    for k, t in rows:
+        assert math.isclose(got[k].score, plain_score(train, t), rel_tol=1e-5)
+
+
+def test_scores_know_rare_pairs_at_any_size(spark):
+    """Ten million tokens more don't take pairs and triples that are seen a few times out of the model."""
+    rows = [(k, "rare pair here", 1) for k in range(4)]
+    rows += [(100 + k, "lorem", 50_000) for k in range(250)]
+    docs = spark.createDataFrame(rows, "doc_id long, t string, n int").selectExpr("doc_id", "repeat(concat(t, ' '), n) AS text")
+    got = lm_score.score(docs).where("doc_id < 4").collect()
+    assert min(r.train_tokens for r in got) > 10_000_000 and sum(not r.held_out for r in got) >= 2
+    assert all(r.score > r.base_score / 2 for r in got)
+
+
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
     odd = spark.createDataFrame(odd_rows(), SCHEMA).select(docs.columns)
