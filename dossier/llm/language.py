@@ -209,13 +209,17 @@ def identify(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> DataFrame:
 
 
 def drop_unidentified(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> DataFrame:
-    """The documents that have a language, as they were."""
+    """The documents that have a language, as they were; where no row teaches one, all that have a letter."""
     model = train(docs.where(~held_out()), per_language)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
-            found = shared.value.predict(batch.column("text").cast(pa.binary()).to_pylist())
-            yield batch.filter(pa.array([x != "und" for x, _ in found], pa.bool_()))
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            if shared.value.languages:
+                keep = [x != "und" for x, _ in shared.value.predict(texts)]
+            else:
+                keep = [bool(t and LETTER.search(t.decode("utf-8", "replace"))) for t in texts]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -256,11 +256,23 @@ def near_duplicates(
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component (the one of smallest doc_id), as it was; a doc_id's repeated rows are one document."""
-    kept = near_duplicates(docs, **options).where("kept").select("doc_id").distinct()
-    name = fresh("kept_id", docs.columns)
-    kept = kept.withColumnRenamed("doc_id", name)
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept[name]), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each component, as it was: that of smallest doc_id, null ids last, then of smallest hash of its columns.
+
+    Rows are told apart by a number of their own, so that rows with a null or repeated doc_id go only if they are linked or
+    equal to the one that stays; of wordless rows, those that share both doc_id and text are equal."""
+    row, plain = fresh("row", docs.columns), [c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    docs_ = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(docs_.select(F.col(row).alias("doc_id"), "text"), **options)
+    ids = docs_.select(
+        F.col(row).alias("row"), F.col("doc_id").alias("id"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"),
+        F.xxhash64(*plain).alias("hash"),
+    )
+    wordless = F.col("n_shingles") == 0
+    rows = found.select(F.col("doc_id").alias("row"), "n_shingles", "component_id").join(ids, "row").groupBy(
+        F.when(~wordless, F.col("component_id")).alias("c"), F.when(wordless, F.struct("id", "sha")).alias("w")
+    )
+    kept = rows.agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "hash", "row"))["row"].alias(row))
+    return docs_.join(kept, row, "left_semi").select(docs.columns)
 
 
 ORACLE = r"""

@@ -226,6 +226,20 @@ def test_near_duplicates_odd(spark, odd, none):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def test_stages_keep_rows_of_null_and_repeated_ids(spark):
+    other = [" ".join(f"{c}{k}" for k in range(40)) for c in "pqrs"]
+    rows = [(None, other[0]), (None, other[1]), (None, other[1]), (7, other[2]), (7, other[3]), (8, other[3]), (None, other[3]), (9, None), (9, ""), (9, "")]
+    docs = spark.createDataFrame([(*r, None, "s", None) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = near_dedup.drop_near_duplicates(docs)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(
+        [(None, other[0]), (None, other[1]), (7, other[2]), (7, other[3]), (9, None), (9, "")], key=str
+    )
+    assert kept.columns == docs.columns
+    # No row has a language to learn from.
+    letterless = docs.limit(1).selectExpr("doc_id", "'12 3' AS text", "lang", "source", "n_chars")
+    assert language.drop_unidentified(docs.union(letterless)).count() == 7
+
+
 def test_licenses(spark, odd, none):
     rows = [(1, "Released under the MIT License.\nLicensed under CC BY-NC 4.0. x"), (2, "MIT"), (3, None)]
     got = {r.doc_id: r for r in licenses.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
