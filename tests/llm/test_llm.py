@@ -7,11 +7,14 @@ import os
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 import corpus_pipeline
 from dossier.llm import (
@@ -82,9 +85,11 @@ def test_decontaminate_odd(spark, odd, none, bench):
 
 
 def test_pack_covers_every_id_once(spark, odd, none):
-    ids = pack.Ids(pack.default_tokenizer())
-    plain = ids.model
-    for t in [*(r[1] for r in odd_rows() if r[1]), "it's 'sa don't.", "İx ŉ ﬁ É áb", "…», a,b (,) x.,.", "日本語。 テスト", "<|endoftext|> a", "x y\x85z"]:
+    from tokenizers import Tokenizer
+
+    ids, plain = pack.Ids(pack.default_tokenizer()), Tokenizer.from_file(pack.default_tokenizer())
+    for t in [*(r[1] for r in odd_rows() if r[1]), "it's 'sa don't.", "İx ŉ ﬁ É áb", "…», a,b (,) x.,.", "日本語。 テスト", "<|endoftext|> a", "x y\x85z",
+              "ΑΣ ΟΔΟΣ.", "A<|ENDOFTEXT|>B<|startoftext|>C", "X|>< Y!! (z)", "dogs' 's."]:
         want = plain.encode(t, add_special_tokens=False).ids + [2]
         assert np.frombuffer(ids(pa.array([t]))[0].as_py(), "<u2").tolist() == want
     got = pack.pack(odd, shard_tokens=600).collect()
@@ -104,6 +109,77 @@ def test_pack_covers_every_id_once(spark, odd, none):
     assert pack.pack(none).count() == 0
 
 
+PIECES = [*"aB 'é.!<|>\t\u0301ΣΑß0Ⅷ日", "<|endoftext|>", "'s", "the"]
+TOKENS = st.lists(st.sampled_from(PIECES), max_size=30).map("".join)
+
+
+@given(st.lists(TOKENS, max_size=20))
+@settings(deadline=None, max_examples=200)
+def test_ids_are_those_of_a_tokenizer_of_its_own(texts):
+    ids, plain = token_ids()
+    want = [plain.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert [np.frombuffer(x, "<u2").tolist() for x in ids(pa.array(texts, pa.string())).to_pylist()] == want
+
+
+@cache
+def token_ids():
+    from tokenizers import Tokenizer
+
+    return pack.Ids(pack.default_tokenizer()), Tokenizer.from_file(pack.default_tokenizer())
+
+
+def plain_fill(ids, idf, mean, query_terms=None):
+    """Greedy filling by BM25 ranks, as the docstring of pack says it, one document at a time."""
+    k1, b = pack.K1, pack.B
+    left, start, out = [len(x) for x in ids], [0] * len(ids), []
+    tf = [Counter(x.tolist()) for x in ids]
+    weight = [{t: idf[t] * n * (k1 + 1) / (n + k1 * (1 - b + b * len(x) / mean)) for t, n in c.items()} for x, c in zip(ids, tf)]
+    while any(left):
+        seed = max(range(len(ids)), key=lambda k: (left[k], -k))
+        query = sorted(weight[seed], key=lambda t: -weight[seed][t])[:query_terms]
+        rank = sorted((k for k in range(len(ids)) if left[k] and k != seed), key=lambda k: (-sum(weight[k].get(t, 0) for t in query), k))
+        pieces, room = [(seed, start[seed], left[seed])], 4096 - left[seed]
+        left[seed] = 0
+        for k in rank:
+            if left[k] <= room:
+                pieces.append((k, start[k], left[k]))
+                room -= left[k]
+                left[k] = 0
+        rank = [k for k in rank if left[k]]
+        if room and rank:
+            pieces.append((rank[0], start[rank[0]], room))
+            start[rank[0]] += room
+            left[rank[0]] -= room
+            room = 0
+        out.append((pieces, room))
+    return [p for p, room in out if not room]
+
+
+def test_pack_fills_as_a_plain_packer_does():
+    r = np.random.default_rng(3)
+    ids = [(r.zipf(1.3, n) % 3000).astype("<u2") for n in r.integers(1, 1500, 90)]
+    ids += [ids[4], ids[4], r.integers(0, 9, 4095).astype("<u2")]
+    idf = r.random(pack.VOCABULARY).astype(np.float32) + 0.1
+    for terms in (None, 7):
+        got = list(pack.Shard(ids, idf, 700.0, terms).sequences())
+        want = plain_fill(ids, idf.astype(float), 700.0, terms)
+        full = [p for p in got if sum(n for _, _, n in p) == 4096]
+        assert len(want) > 10 and full[: len(want)] == want
+        assert Counter(d for p in got for d, _, n in p for _ in range(n)) == Counter(dict(enumerate(map(len, ids))))
+
+
+def test_pack_shards_hold_their_tokens():
+    sizes = np.random.default_rng(5).integers(0, 400, pack.VOCABULARY) * (np.arange(pack.VOCABULARY) % 50 == 0)
+    sizes[1000] = 50_000
+    first, number = pack.shards_of(sizes, 1000)
+    held = Counter()
+    for k in np.flatnonzero(sizes):
+        for p in range(number[k]):
+            held[first[k] + p] += sizes[k] / number[k]
+    assert number[1000] == 50 and max(held.values()) <= 1100 and len(held) < 2 * sizes.sum() / 1000
+    assert set(held) == set(range(len(held)))
+
+
 def test_html():
     page = html_text.main_text
     assert page(None) == page("") == page("<script>x</script>") == ""
