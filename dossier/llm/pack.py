@@ -107,10 +107,9 @@ class Ids:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel ones
         self.model = Tokenizer.from_file(path)
         self.mark = self.model.token_to_id(MARK)
+        self.steps = self.model.normalizer, self.model.pre_tokenizer
         # For words of letters, already normalised: the same without looking for pre-tokens in them.
-        self.letters = Tokenizer.from_file(path)
-        self.letters.normalizer = None
-        self.letters.pre_tokenizer = pre_tokenizers.Sequence(
+        self.split = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
         self.last = np.zeros(VOCABULARY, bool)
@@ -128,11 +127,13 @@ class Ids:
 
     def letter_ids(self, words: list[str]):
         """Ids of words that are each one pre-token."""
+        self.model.normalizer, self.model.pre_tokenizer = None, self.split
         for at in range(0, len(words), JOINED):
             text = normalised(" ".join(words[at : at + JOINED]))
-            ids = np.array(self.letters.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
+            (ids,) = self.encoded([text])
             ends = (2 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
             yield from map(ids.tobytes().__getitem__, map(slice, [0, *ends], ends))
+        self.model.normalizer, self.model.pre_tokenizer = self.steps
 
     def word_ids(self, words: list[str]):
         """Ids of any words; those in which a special token may lie are encoded one by one."""
@@ -151,7 +152,7 @@ class Ids:
         left = cores.filter(out.is_null())
         letters, left = pc.ascii_is_alpha(left).to_pylist(), left.to_pylist()
         plain = [a or self.plain(w) for a, w in zip(letters, left, strict=True)]
-        found = self.letter_ids([w for w, p in zip(left, plain, strict=True) if p])
+        found = iter(list(self.letter_ids([w for w, p in zip(left, plain, strict=True) if p])))
         out = pc.replace_with_mask(out, out.is_null(), pa.array((next(found) if p else None for p in plain), pa.binary()))
         known = out.is_valid()
         self.cores.put(cores.filter(known), out.filter(known))
@@ -215,6 +216,7 @@ def tokenised(docs: DataFrame, path: str | None) -> DataFrame:
                 [batch.column("doc_id"), pa.array(mixed, pa.int64()), pa.array(keys.astype(np.int32)), out],
                 names=["doc_id", "mixed", "key", "ids"],
             )
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, mixed long, key int, ids binary")
 
