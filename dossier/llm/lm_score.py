@@ -1,21 +1,25 @@
-r"""Language-model scores from Elias-Fano levels of words, pairs and triples, kept as files per range of hashes.
+r"""Language-model scores from an Elias-Fano trie of words, pairs and triples, kept as files per range of contexts.
 
-Counts of words, pairs and triples are taken over all training documents by Spark. Every word, and every pair and triple
-that occurs LEAST times, is in the model, at any corpus size. Words are known by 64-bit hashes, a pair by a hash of its
-words', a triple by a hash of its pairs'. So a level is a set of uniform 64-bit keys; each range of keys, meant for about
-SHARD entries, is a file in the shared folder that a task of its own wrote: the keys as one monotone Elias-Fano sequence,
-and arrays of values. Their number grows with the model, and no process holds it: a worker looks up the distinct keys of
-some FLUSH tokens in one file after the other, each mapped only meanwhile.
+Every word of the training documents, and every pair and triple that occurs LEAST times there, is in the model, at any
+corpus size. Words are known by 64-bit hashes, a pair as a context by a hash of its words', a successor by 48 bits. Each
+level is dealt by ranges of its contexts' hashes, meant for about RANGE_BYTES of text each; a context of more than SPLIT
+occurrences (bounded by those of its rarest word) is dealt by its successors too, in parts. A range is one file in the
+shared folder: contexts as a monotone Elias-Fano sequence, monotone Elias-Fano pointers to each context's successors,
+which are sorted, and an 8-bit code of each successor's discounted probability. A look-up finds the context, follows its
+pointers, and searches the successor between them alone.
+
+Map tasks count the n-grams of some FLUSH tokens and send them as one array a range; the task of a range adds them up and
+writes its file. To score, a worker looks up the distinct n-grams of some FLUSH tokens in one file after the other, each
+mapped only meanwhile, so no process holds the model; it visits every file for them, so look-ups cost some time a file.
 
 Smoothing is interpolated absolute discounting down to the add-one unigram of the base score, so that
 
     p(w|uv) = max(c(uvw) - D, 0) / c(uv) + g(uv) p(w|v),  p(w|v) = max(c(vw) - D, 0) / c(v) + g(v) p(w)
 
-with g from what the kept continuations leave. Scores use 8-bit codes of the smoothed log probabilities of pairs and
-triples and of log g(uv).
+with g what the kept successors leave.
 
 Defined results: null and empty texts are the end alone; null ids hash as the empty string; with no training rows N and V
-are 0; repeated rows are scored one by one; further columns are ignored.
+are 0; repeated rows are scored one by one; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,11 +32,12 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, shared_dir, space_words, written
+from .common import shared_dir
 from .elias_fano import EliasFano
 from .near_dedup import mixed
 
@@ -41,87 +46,117 @@ LEAST, DISCOUNT = 2, 0.75
 FOLDS, HELD = 7, 2
 #: The token after the last word; no word holds a line end. What stands before the first word.
 END, BEGIN = b"\n", np.uint64(0x5DEECE66D1234567)
-CHUNK_BYTES, CACHE_WORDS, FLUSH = 1 << 20, 1 << 19, 1 << 20
-#: Entries for which a file is meant.
-SHARD = 1 << 18
+#: Tokens whose n-grams are counted or looked up at once, about.
+FLUSH = 1 << 20
+#: Bytes of text for whose n-grams a file is meant, and occurrences of a context that one part of it is meant for.
+RANGE_BYTES, SPLIT = 1 << 24, 1 << 20
+#: Bits of a word's hash by which it is known as a successor.
+SUCCESSOR = 48
 
 
 def word_hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word)
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    return [*space_words(text), END]
-
-
-def texts_of(batch) -> list[bytes | None]:
-    return batch.column("text").cast(pa.binary()).to_pylist()
-
-
 def pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mixed(mixed(first) + second)
 
 
-class Hashes:
-    """Hashes of tokens, with a cache by word."""
-
-    def __init__(self):
-        self.cache: dict[bytes, int] = {}
-
-    def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The hashes of all tokens of some texts, and each text's number of them."""
-        split = [tokens(t) for t in texts]
-        words, cache = [w for own in split for w in own], self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        for w in set(words).difference(cache):
-            cache[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)), np.array([len(own) for own in split])
-
-
-def laid_out(hashes: np.ndarray, sizes: np.ndarray):
-    """(word before, pair, whether a text begins, place of each text's first token) of the tokens of some texts."""
-    starts = np.cumsum(sizes) - sizes
-    begins = np.zeros(len(hashes), bool)
-    begins[starts] = True
-    before = np.concatenate([[BEGIN], hashes[:-1]]).astype(np.uint64)
-    before[begins] = BEGIN
-    return before, pair_key(before, hashes), begins, starts
-
-
-def unique_rows(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows, told apart by a hash of the first two columns, and how often each occurs."""
-    _, at, n = np.unique(columns[0] if len(columns) == 1 else pair_key(*columns), return_index=True, return_counts=True)
-    return [c[at] for c in columns], n
-
-
-def counted(docs: DataFrame, names: list[str], rows_of) -> DataFrame:
-    """(*names, n) of the rows that rows_of makes of the hashes and sizes of some texts."""
-
-    def run(batches):
-        hashes, held, size = Hashes(), [], 0
-
-        def out():
-            h, sizes = (np.concatenate(c) for c in zip(*held, strict=True))
-            columns, n = unique_rows(rows_of(h, sizes))
-            for at in range(0, len(n), 1 << 17):
-                s = slice(at, at + (1 << 17))
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(c[s].view(np.int64)) for c in columns), pa.array(n[s].astype(np.int64))], names=[*names, "n"]
-                )
-
-        for batch in batches:
-            for part in chunks(texts_of(batch), lambda t: len(t or b"") + 64, CHUNK_BYTES):
-                held.append(hashes(part))
-                size += len(held[-1][0])
-                if size > FLUSH:
-                    yield from out()
-                    held, size = [], 0
-        if held:
-            yield from out()
-
-    schema = ", ".join(f"{c} long" for c in [*names, "n"])
-    return docs.select("text").mapInArrow(run, schema).groupBy(*names).agg(F.sum("n").alias("n"))
+class Tokens:
+    """The tokens of some texts: distinct hashes (sorted), each token's place among them, and each text's number of tokens."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        hashes, codes, sizes = zip(*parts, strict=True)
+        self.distinct, back = np.unique(np.concatenate(hashes), return_inverse=True)
+        shift = np.cumsum([0, *map(len, hashes[:-1])])
+        self.codes = back[np.concatenate([c + s for c, s in zip(codes, shift, strict=True)])]
+        self.sizes = np.concatenate(sizes)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.begins = np.zeros(len(self.codes), bool)
+        self.begins[self.starts] = True
+
+    @staticmethod
+    def of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of distinct tokens of some texts, each token's place among them, and each text's number of them."""
+        split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, ""))))
+        words = split.flatten().dictionary_encode()
+        places, sizes = words.indices.to_numpy(), np.diff(split.offsets.to_numpy())
+        distinct = words.dictionary.cast(pa.binary()).to_pylist()
+        if b"" in distinct:  # wordless texts are split into one empty string
+            empty = distinct.index(b"")
+            sizes -= np.add.reduceat(places == empty, split.offsets.to_numpy()[:-1] - split.offsets[0].as_py())
+            places = places[places != empty]
+        hashes = np.array([xxhash.xxh64_intdigest(w) for w in [*distinct, END]], np.uint64)
+        sizes = sizes + 1
+        codes = np.full(int(sizes.sum()), len(distinct), np.int64)
+        words_at = np.ones(len(codes), bool)
+        words_at[np.cumsum(sizes) - 1] = False
+        codes[words_at] = places
+        return hashes, codes, sizes
+
+    def contexts(self, c: np.ndarray, n_docs: int):
+        """For pairs, then triples: (contexts, bounds of their counts, tokens that have one); c are counts of distinct words."""
+        before = np.concatenate([[0], self.codes[:-1]])
+        words = np.where(self.begins, BEGIN, self.distinct[before])
+        bound = np.where(self.begins, n_docs, c[before])
+        yield words, bound, np.flatnonzero(bound >= LEAST)
+        pairs = np.concatenate([[BEGIN], pair_key(words, self.distinct[self.codes])[:-1]])
+        bound = np.where(self.begins, 0, np.minimum(np.concatenate([[0], bound[:-1]]), c[before]))
+        yield pairs, bound, np.flatnonzero(bound >= LEAST)
+
+
+def flushes(batches, *columns: str):
+    """(rows of `columns`, Tokens) of some FLUSH tokens each."""
+    held, kept, size = [], [[] for _ in columns], 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(Tokens.of(batch.column("text")))
+        for own, name in zip(kept, columns, strict=True):
+            own += batch.column(name).to_pylist()
+        size += len(held[-1][1])
+        if size > FLUSH:
+            yield kept, Tokens(held)
+            held, kept, size = [], [[] for _ in columns], 0
+    if held:
+        yield kept, Tokens(held)
+
+
+class Grams:
+    """Distinct (context, successor) rows in order of both; contexts of several parts have a key of their own for each part."""
+
+    def __init__(self, context: np.ndarray, successor: np.ndarray, bound: np.ndarray):
+        parts = -(-bound // SPLIT)
+        self.split_rows = np.flatnonzero(parts > 1)
+        key = context
+        if len(self.split_rows):
+            s = self.split_rows
+            key = context.copy()
+            key[s] = pair_key(context[s], mixed(successor[s]) % parts[s].astype(np.uint64))
+        self.keys, first, own = np.unique(key, return_index=True, return_inverse=True)
+        self.real, self.split = context[first], parts[first] > 1
+        low = 64 - max(1, len(self.keys).bit_length())
+        small = (successor >> np.uint64(64 - SUCCESSOR)).astype(np.uint64)
+        packed = own.astype(np.uint64) << np.uint64(low) | small >> np.uint64(max(0, SUCCESSOR - low))
+        order = np.argsort(packed, kind="stable")
+        new = np.diff(packed[order], prepend=packed[order][:1] + np.uint64(1)) != 0
+        self.first = order[new]
+        self.own, self.small = own[self.first], small[self.first]
+        self.back = np.empty(len(order), np.int64)
+        self.back[order] = np.cumsum(new) - 1
+
+    def runs(self) -> np.ndarray:
+        return np.bincount(self.own, minlength=len(self.keys))
+
+
+def six_bytes(x: np.ndarray) -> bytes:
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def from_six(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view("<u8")
 
 
 def quantised(logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,92 +173,108 @@ def quantised(logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Level:
     """Files of one level; the top `bits` bits of a key name its file."""
 
-    def __init__(self, folder: str, bits: int, names: list[str], coded: str | None):
-        self.folder, self.bits, self.names, self.coded = folder, bits, names, coded
+    def __init__(self, folder: str, bits: int):
+        self.folder, self.bits = folder, bits
 
     def path(self, shard: int) -> str:
-        return f"{self.folder}/{shard:06d}"
+        return f"{self.folder}/{shard:08d}"
 
-    def put(self, shard: int, keys: np.ndarray, values: dict[str, np.ndarray]):
-        """Write a file; a task that runs again replaces it by an equal one."""
-        order = np.argsort(keys)
-        own = EliasFano.of(self.within(keys[order]))
-        arrays = {f: getattr(own, f) for f in EliasFano.FIELDS} | {k: v[order] for k, v in values.items()}
-        if self.coded:
-            codes, table = quantised(np.log10(arrays[self.coded]))
-            arrays |= {"codes": codes, "table": table}
+    def shards(self, keys: np.ndarray) -> list[tuple[int, int, int]]:
+        """(file, first, last) runs of sorted keys."""
+        shard = (keys >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
+        edges = np.flatnonzero(np.diff(shard, prepend=-1))
+        return list(zip(shard[edges].tolist(), edges.tolist(), [*edges[1:].tolist(), len(keys)], strict=True))
+
+    def within(self, keys: np.ndarray) -> np.ndarray:
+        """What tells keys of one file apart, below 2**62."""
+        return (keys << np.uint64(self.bits)) >> np.uint64(max(self.bits, 2))
+
+    def put(self, shard: int, keys: np.ndarray, values: dict[str, np.ndarray], pointers: np.ndarray | None = None):
+        """Write a file of sorted keys; a task that runs again replaces it by an equal one."""
+        sequences, arrays = {"key": EliasFano.of(self.within(keys))}, dict(values)
+        if pointers is not None:
+            sequences["pointer"] = EliasFano.of(pointers)
+        for name, coded in sequences.items():
+            arrays |= {f"{name}.{f}": getattr(coded, f) for f in EliasFano.FIELDS}
         entries, data, at = [], [], 0
         for name, x in arrays.items():
-            if name == "n" and len(x):
-                x = x.astype(np.min_scalar_type(x.max()))
             raw = np.ascontiguousarray(x).tobytes()
             entries.append((name, x.dtype.str, at, len(x)))
             raw += bytes(-len(raw) % 8)
             data.append(raw)
             at += len(raw)
-        head = pickle.dumps((own.n, own.width, entries))
+        head = pickle.dumps(({k: (s.n, s.width) for k, s in sequences.items()}, entries))
         head = len(head).to_bytes(8, "little") + head
         temporary = f"{self.path(shard)}.{uuid.uuid4().hex}"
         with open(temporary, "wb") as f:
             f.write(head + bytes(-len(head) % 8) + b"".join(data))
         os.replace(temporary, self.path(shard))
 
-    def within(self, keys: np.ndarray) -> np.ndarray:
-        """What tells keys of one file apart, below 2**62."""
-        return (keys << np.uint64(self.bits)) >> np.uint64(max(self.bits, 2))
-
-    def get(self, keys: np.ndarray, *names: str) -> list[np.ndarray]:
-        """The values of each key under each name, `codes` meaning the coded logarithm; 0 for keys that aren't there."""
-        if not len(keys):
-            return [np.zeros(0) for _ in names]
-        keys, back = np.unique(keys, return_inverse=True)
-        out = [np.zeros(len(keys)) for _ in names]
-        shard = (keys >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
-        edges = np.flatnonzero(np.diff(shard, prepend=-1))
-        for a, b in zip(edges, [*edges[1:], len(keys)], strict=True):
+    def visit(self, keys: np.ndarray, look):
+        """Call look(first, last, arrays, sequences) for each file that some of the sorted keys lie in, mapped meanwhile."""
+        for shard, a, b in self.shards(keys):
             try:
-                f = open(self.path(int(shard[a])), "rb")
-            except FileNotFoundError:  # no key lies in this range
+                f = open(self.path(shard), "rb")
+            except FileNotFoundError:  # no key of the model lies in this range
                 continue
             with f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as view:
                 size = int.from_bytes(view[:8], "little")
-                n, width, entries = pickle.loads(view[8 : 8 + size])
+                sequences, entries = pickle.loads(view[8 : 8 + size])
                 start = -(-(8 + size) // 8) * 8
                 arrays = {name: np.frombuffer(view, np.dtype(kind), length, start + at) for name, kind, at, length in entries}
-                coded = EliasFano(n, width, *(arrays[x] for x in EliasFano.FIELDS))
-                found = coded.find(self.within(keys[a:b]).astype(np.int64))
-                there = np.flatnonzero(found >= 0)
-                for to, name in zip(out, names, strict=True):
-                    own = arrays[name][found[there]]
-                    to[a:b][there] = arrays["table"][own] if name == "codes" else own
+                coded = {k: EliasFano(*of, *(arrays[f"{k}.{x}"] for x in EliasFano.FIELDS)) for k, of in sequences.items()}
+                look(a, b, arrays, coded)
                 del arrays, coded
-        return [x[back] for x in out]
-
-
-def level(rows: DataFrame, name: str, key, columns: list[str], values_of, count: int, coded: str | None = None) -> Level:
-    """Write a level of at most `count` entries: key(*columns) gives the keys, values_of(arrays by column) the values."""
-    spark = rows.sparkSession
-    bits = max(0, math.ceil(math.log2(max(1, count) / SHARD)))
-    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}".removeprefix("file:")
-    os.makedirs(folder)
-    out = Level(folder, bits, columns, coded)
-
-    def keyed(batches):
-        for batch in batches:
-            keys = key(*(batch.column(c).to_numpy().view(np.uint64) for c in columns))
-            shard = (keys >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(keys), np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(keys.view(np.int64)), pa.array(shard)], names=[*batch.schema.names, "key", "shard"]
-            )
 
-    def write(table: pa.Table) -> pa.Table:
-        arrays = {c: table.column(c).to_numpy() for c in table.column_names}
-        shard, keys = int(arrays["shard"][0]), arrays["key"].view(np.uint64)
-        out.put(shard, keys, values_of(arrays))
-        return pa.table({"n": pa.array([len(keys)], pa.int64())})
+    def get(self, keys: np.ndarray, *names: str) -> list[np.ndarray]:
+        """The values of each of some sorted keys under each name; 0 for keys that aren't there."""
+        out = [np.zeros(len(keys)) for _ in names]
 
-    schema = ", ".join(f"{c} {kind}" for c, kind in [*rows.dtypes, ("key", "long"), ("shard", "int")])
-    rows.mapInArrow(keyed, schema).groupBy("shard").applyInArrow(write, "n long").agg(F.sum("n")).collect()
+        def look(a, b, arrays, coded):
+            found = coded["key"].find(self.within(keys[a:b]).astype(np.int64))
+            there = np.flatnonzero(found >= 0)
+            for to, name in zip(out, names, strict=True):
+                to[a + there] = arrays[name][found[there]]
+
+        self.visit(keys, look)
+        return out
+
+    def successors(self, grams: Grams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Discounted probabilities of the rows (0 where not kept); of the contexts, counts and what their successors leave."""
+        share, count, left = np.zeros(len(grams.own)), np.zeros(len(grams.keys)), np.ones(len(grams.keys))
+        ends = np.concatenate([[0], np.cumsum(grams.runs())])
+
+        def look(a, b, arrays, coded):
+            found = coded["key"].find(self.within(grams.keys[a:b]).astype(np.int64))
+            there = np.flatnonzero(found >= 0)
+            found = found[there]
+            count[a + there], left[a + there] = arrays["count"][found], arrays["left"][found]
+            of = np.full(b - a, -1)
+            of[there] = np.arange(len(there))
+            at, end = coded["pointer"].access(found), coded["pointer"].access(found + 1)
+            rows = slice(ends[a], ends[b])
+            own = of[grams.own[rows] - a]
+            rows, own = ends[a] + np.flatnonzero(own >= 0), own[own >= 0]
+            place = between(arrays["high"], arrays["low"], at[own], end[own], grams.small[rows])
+            hit = place >= 0
+            share[rows[hit]] = np.power(10.0, arrays["table"])[arrays["code"][place[hit]]]
+
+        self.visit(grams.keys, look)
+        return share, count, left
+
+
+def between(high: np.ndarray, low: np.ndarray, at: np.ndarray, end: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The index of each target between its own pair of pointers, or -1, by binary search of them all."""
+    out = np.full(len(target), -1, np.int64)
+    left = np.arange(len(target))
+    while len(left):
+        middle = (at + end) >> 1
+        own = high[middle].astype(np.uint64) << np.uint64(16) | low[middle]
+        same, below = own == target, own < target
+        out[left[same]] = middle[same]
+        at, end = np.where(below, middle + 1, at), np.where(below, end, middle)
+        go = ~same & (at < end)
+        left, at, end, target = left[go], at[go], end[go], target[go]
     return out
 
 
@@ -231,124 +282,174 @@ def held_out():
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) == HELD
 
 
-def same(x: np.ndarray) -> np.ndarray:
-    return x
-
-
 class Model:
-    """The levels, and what scores and smoothing read from them."""
+    """Levels in the shared folder; every level is there once `train` is done."""
+
+    def __init__(self, folder: str, bits: int):
+        for name in ("words", "pairs", "triples", "split_pairs", "split_triples"):
+            os.makedirs(f"{folder}/{name}")
+            setattr(self, name, Level(f"{folder}/{name}", bits))
+        self.total = self.n_docs = 0
+        self.norm = 1
+
+    def step(self, level: Level, split: Level, grams: Grams) -> tuple[np.ndarray, np.ndarray]:
+        """Of all tokens that have a context: what the kept n-grams give, and what they leave to the shorter context."""
+        share, count, left = level.successors(grams)
+        s = np.flatnonzero(grams.split)
+        if len(s):  # a part knows its own count; the context's are kept apart
+            real, back = np.unique(grams.real[s], return_inverse=True)
+            whole, taken = (x[back] for x in split.get(real, "count", "taken"))
+            scale = np.ones(len(grams.keys))
+            scale[s] = count[s] / np.maximum(whole, 1)
+            share *= scale[grams.own]
+            left[s] = np.where(whole > 0, np.maximum(1 - taken / np.maximum(whole, 1), 1e-9), 1)
+        return share[grams.back], left[grams.own][grams.back]
+
+    def logs(self, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """Of each token, its count and the logarithm of its smoothed probability."""
+        (c,) = self.words.get(tokens.distinct, "n")
+        p = ((c + 1) / self.norm)[tokens.codes]
+        for (context, bound, at), level, split in zip(
+            tokens.contexts(c, self.n_docs), (self.pairs, self.triples), (self.split_pairs, self.split_triples), strict=True
+        ):
+            if len(at):
+                share, left = self.step(level, split, Grams(context[at], tokens.distinct[tokens.codes[at]], bound[at]))
+                p[at] = share + left * p[at]
+        return c[tokens.codes], np.log10(p)
+
+
+def sent(level: Level, keys: np.ndarray, columns) -> pa.RecordBatch:
+    """One row for each file: columns(first, last) gives the arrays of its part of the sorted keys as bytes."""
+    rows = [(shard, *columns(a, b)) for shard, a, b in level.shards(keys)]
+    names = ["shard", *(f"x{k}" for k in range(len(rows[0]) - 1))]
+    kinds = [pa.int32(), *[pa.binary()] * (len(names) - 1)]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+
+def joined(table: pa.Table, name: str, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+
+
+def count_words(train: DataFrame, model: Model):
+    level = model.words
+
+    def count(batches):
+        for _, tokens in flushes(batches):
+            n = np.bincount(tokens.codes, minlength=len(tokens.distinct)).astype("<u4")
+            keys, n = tokens.distinct[n > 0], n[n > 0]
+            yield sent(level, keys, lambda a, b: (keys[a:b].tobytes(), n[a:b].tobytes()))  # noqa: B023
+
+    def add(table: pa.Table) -> pa.Table:
+        keys, back = np.unique(joined(table, "x0", "<u8"), return_inverse=True)
+        n = np.bincount(back, joined(table, "x1", "<u4")).astype(np.int64)
+        level.put(table.column("shard")[0].as_py(), keys, {"n": n.astype(np.min_scalar_type(n.max()))})
+        return pa.table({"distinct": [len(keys)], "total": [int(n.sum())]})
+
+    rows = train.select("text").mapInArrow(count, "shard int, x0 binary, x1 binary")
+    rows = rows.groupBy("shard").applyInArrow(add, "distinct long, total long")
+    found = rows.agg(F.sum("distinct").alias("v"), F.sum("total").alias("n")).first()
+    model.total = found["n"] or 0
+    model.norm = model.total + (found["v"] or 0) + 1
+    model.n_docs = int(model.words.get(np.array([word_hash(END)], np.uint64), "n")[0][0])
+
+
+def count_grams(train: DataFrame, model: Model, order: int):
+    """Pairs (order 0) or triples (order 1). Rows sent: contexts, their counts, numbers of successors, those, their counts."""
+    level = (model.pairs, model.triples)[order]
+    split = (model.split_pairs, model.split_triples)[order]
+
+    def count(batches):
+        for _, tokens in flushes(batches):
+            (c,) = model.words.get(tokens.distinct, "n")
+            context, bound, at = list(tokens.contexts(c, model.n_docs))[order]
+            if not len(at):
+                continue
+            grams = Grams(context[at], tokens.distinct[tokens.codes[at]], bound[at])
+            n = np.bincount(grams.back, minlength=len(grams.own))
+            totals = np.bincount(grams.own, n, len(grams.keys)).astype("<u4")
+            often = c[tokens.codes[at]][grams.first] >= LEAST  # others can't be kept, and count for their context alone
+            own, small, n = grams.own[often], grams.small[often], n[often].astype("<u4")
+            runs = np.bincount(own, minlength=len(grams.keys)).astype("<u4")
+            ends = np.concatenate([[0], np.cumsum(runs, dtype=np.int64)])
+            real = np.where(grams.split, grams.real, 0).astype("<u8")
+
+            def columns(a, b):
+                s = slice(ends[a], ends[b])  # noqa: B023
+                return (grams.keys[a:b].tobytes(), totals[a:b].tobytes(), runs[a:b].tobytes(), six_bytes(small[s]), n[s].tobytes(),  # noqa: B023
+                        real[a:b].tobytes() if grams.split[a:b].any() else b"")  # fmt: skip  # noqa: B023
+
+            yield sent(level, grams.keys, columns)
+
+    def add(table: pa.Table) -> pa.Table:
+        keys, back = np.unique(joined(table, "x0", "<u8"), return_inverse=True)
+        count = np.bincount(back, joined(table, "x1", "<u4")).astype(np.int64)
+        low = 64 - max(1, len(keys).bit_length())
+        own = np.repeat(back, joined(table, "x2", "<u4"))
+        small = from_six(b"".join(table.column("x3").to_pylist()))
+        packed = own.astype(np.uint64) << np.uint64(low) | small >> np.uint64(max(0, SUCCESSOR - low))
+        order = np.argsort(packed, kind="stable")
+        first = np.flatnonzero(np.diff(packed[order], prepend=packed[order][:1] + np.uint64(1)))
+        n = np.add.reduceat(joined(table, "x4", "<u4")[order], first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
+        kept = n >= LEAST
+        own, small, n = own[order[first[kept]]], small[order[first[kept]]], n[kept] - DISCOUNT
+        taken = np.bincount(own, n, len(keys)).astype(float)
+        some = np.flatnonzero(taken)  # contexts that have kept successors
+        pointers = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(keys))[some])])
+        code, values = quantised(np.log10(n / count[own]))
+        if len(some):
+            level.put(table.column("shard")[0].as_py(), keys[some], {
+                "count": count[some].astype(np.min_scalar_type(count[some].max())),
+                "left": np.maximum(1 - taken[some] / count[some], 1e-9).astype(np.float32), "code": code, "table": values,
+                "high": (small >> np.uint64(16)).astype(np.uint32), "low": (small & np.uint64(0xFFFF)).astype(np.uint16),
+            }, pointers)
+        real = np.concatenate([np.frombuffer(x or bytes(len(k)), "<u8") for x, k in zip(
+            table.column("x5").to_pylist(), table.column("x0").to_pylist(), strict=True)])
+        of = np.zeros(len(keys), np.uint64)
+        of[back] = real
+        s = np.flatnonzero(of)
+        return pa.table({"real": of[s].view(np.int64), "count": count[s], "taken": taken[s]})
+
+    def keep(table: pa.Table) -> pa.Table:
+        keys = table.column("real").to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        values = {k: table.column(k).to_numpy()[order] for k in ("count", "taken")}
+        split.put(table.column("shard")[0].as_py(), keys[order], values)
+        return pa.table({"n": [len(keys)]})
 
-    def __init__(self, total: int, distinct: int, n_docs: float):
-        self.norm, self.n_docs = total + distinct + 1, n_docs
-        self.words = self.left1 = self.pairs = self.left2 = self.triples = None
+    schema = "shard int, " + ", ".join(f"x{k} binary" for k in range(6))
+    rows = train.select("text").mapInArrow(count, schema).groupBy("shard").applyInArrow(add, "real long, count long, taken double")
+    # Contexts of several parts, of which there are few: their whole counts.
+    whole = rows.groupBy("real").agg(F.sum("count").alias("count"), F.sum("taken").alias("taken"))
+    shard = F.shiftrightunsigned("real", 64 - split.bits).cast("int") if split.bits else F.lit(0)
+    whole.withColumn("shard", shard).groupBy("shard").applyInArrow(keep, "n long").agg(F.sum("n")).collect()
 
-    def rest1(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """c(v) and g(v) of contexts, of which g is 1 where nothing of them is kept."""
-        (c,), (taken,) = self.words.get(words, "n"), self.left1.get(words, "taken")
-        c = np.where(words == BEGIN, self.n_docs, c)
-        return c, np.maximum(1 - taken / np.maximum(c, 1), 1e-9)
 
-    def p1(self, words: np.ndarray) -> np.ndarray:
-        return (self.words.get(words, "n")[0] + 1) / self.norm
+def train(docs: DataFrame) -> Model:
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(0, math.ceil(math.log2(max(1, size) / RANGE_BYTES)))
+    folder = f"{shared_dir(docs.sparkSession)}/lm-{uuid.uuid4().hex}".removeprefix("file:")
+    model = Model(folder, bits)
+    count_words(docs, model)
+    for order in (0, 1):
+        count_grams(docs, model, order)
+    return model
 
-    def logs(self, hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each token, its count and the logarithm of its smoothed probability."""
-        before, pair, begins, _ = laid_out(hashes, sizes)
-        context = np.concatenate([pair[:1], pair[:-1]])
-        (n,) = self.words.get(hashes, "n")
-        lower = np.log10(self.rest1(before)[1]) + np.log10((n + 1) / self.norm)
-        kept, p2 = self.pairs.get(pair, "n", "codes")
-        lower = np.where(kept > 0, p2, lower)
-        (g2,) = self.left2.get(context, "codes")
-        # A triple is kept only if both of its pairs are.
-        has, there = np.flatnonzero((kept > 0) & ~begins), np.zeros(len(pair))
-        n3, p3 = self.triples.get(pair_key(context[has], pair[has]), "n", "codes")
-        there[has] = n3 > 0
-        value = np.where(begins, 0, g2) + lower
-        value[has] = np.where(there[has] > 0, p3, value[has])
-        return n, value
-
-
-def trained(train: DataFrame, vocabulary_share: float, ngram_share: float) -> tuple[Model, int]:
-    counts = written(counted(train, ["h"], lambda h, _: [h]), "words")
-    row = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    total, distinct = row["n"] or 0, row["v"]
-    end = counts.where(F.col("h") == int(np.uint64(word_hash(END)).view(np.int64))).first()
-    model = Model(total, distinct, float(end["n"]) if end else 0.0)
-    frequent, cut = max(LEAST, vocabulary_share * total), max(LEAST, ngram_share * total)
-    model.words = level(counts, "word", same, ["h"], lambda t: {"n": t["n"]}, distinct)
-
-    def pairs_of(h, sizes):
-        before, _, begins, _ = laid_out(h, sizes)
-        often = model.words.get(h, "n")[0] >= max(frequent, cut)  # a pair isn't more frequent than its words
-        ok = often & (begins | np.concatenate([[False], often[:-1]]))
-        return [before[ok], h[ok]]
-
-    pairs = written(counted(train, ["a", "b"], pairs_of).where(F.col("n") >= cut), "pairs")
-    n_pairs = pairs.count()
-    taken = F.sum(F.col("n") - DISCOUNT).alias("taken")
-    model.left1 = level(pairs.groupBy("a").agg(taken), "left1", same, ["a"], lambda t: {"taken": t["taken"]}, distinct)
-
-    def pair_values(t):
-        c, g = model.rest1(t["a"].view(np.uint64))
-        return {"n": t["n"], "p": np.float32((t["n"] - DISCOUNT) / c + g * model.p1(t["b"].view(np.uint64)))}
-
-    model.pairs = level(pairs, "pair", pair_key, ["a", "b"], pair_values, n_pairs, "p")
-
-    def triples_of(h, sizes):
-        _, pair, begins, _ = laid_out(h, sizes)
-        kept = model.pairs.get(pair, "n")[0] > 0  # a triple isn't more frequent than its pairs
-        ok = np.flatnonzero(kept & ~begins)
-        ok = ok[kept[ok - 1]]
-        return [pair[ok - 1], pair[ok]]
-
-    triples = written(counted(train, ["a", "b"], triples_of).where(F.col("n") >= cut), "triples")
-
-    def left_values(t):
-        (c,) = model.pairs.get(t["a"].view(np.uint64), "n")
-        return {"g": np.float32(np.maximum(1 - t["taken"] / c, 1e-9))}
-
-    model.left2 = level(triples.groupBy("a").agg(taken), "left2", same, ["a"], left_values, n_pairs, "g")
-
-    def triple_values(t):
-        (c,), (g,) = model.pairs.get(t["a"].view(np.uint64), "n"), model.left2.get(t["a"].view(np.uint64), "g")
-        (p,) = model.pairs.get(t["b"].view(np.uint64), "p")
-        return {"n": t["n"], "p": np.float32((t["n"] - DISCOUNT) / c + g * p)}
-
-    model.triples = level(triples, "triple", pair_key, ["a", "b"], triple_values, triples.count(), "p")
-    return model, total
-
-
-def score(docs: DataFrame, vocabulary_share: float = 0.0, ngram_share: float = 0.0) -> DataFrame:
-    """The contract's row of every document; shares of all tokens above 0 make a smaller model."""
-    model, total = trained(docs.where(~held_out()), vocabulary_share, ngram_share)
 
-    def run(batches):
-        hashes, held, size = Hashes(), [], 0
+def score(docs: DataFrame) -> DataFrame:
+    """The contract's row of every document."""
+    model = train(docs.where(~held_out()))
 
-        def out():
-            ids, (h, sizes) = [i for own, _, _ in held for i in own], (np.concatenate(c) for c in list(zip(*held, strict=True))[1:])
-            n, logs = model.logs(h, sizes)
-            starts = np.cumsum(sizes) - sizes
-            sums = [np.add.reduceat(x, starts) for x in ((n > 0).astype(np.int64), np.log10((n + 1) / model.norm), logs)]
+    def run(batches):
+        for (ids,), tokens in flushes(batches, "doc_id"):
+            n, logs = model.logs(tokens)
+            sums = [np.add.reduceat(x, tokens.starts) for x in ((n > 0).astype(np.int64), np.log10((n + 1) / model.norm), logs)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes.astype(np.int64)), *map(pa.array, sums)],
+                [pa.array(ids, pa.int64()), pa.array(tokens.sizes.astype(np.int64)), *map(pa.array, sums)],
                 names=["doc_id", "n_tokens", "n_known", "base_score", "score"],
             )
 
-        for batch in batches:
-            rows = list(zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True))
-            for part in chunks(rows, lambda r: len(r[1] or b"") + 64, CHUNK_BYTES):
-                held.append(([i for i, _ in part], *hashes([t for _, t in part])))
-                size += len(held[-1][1])
-                if size > FLUSH:
-                    yield from out()
-                    held, size = [], 0
-        if held:
-            yield from out()
-
     found = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return found.select(
-        "doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
+        "doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"),
         "base_score", "score",
     )

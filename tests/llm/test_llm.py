@@ -394,14 +394,17 @@ def test_elias_fano():
             assert (a >= 0) == (x in v) and (a < 0 or v[a] == x)
 
 
-@pytest.mark.parametrize("share", [2e-7, 1e-2])
-def test_scores(spark, odd, none, share):
-    got = {r.doc_id: r for r in lm_score.score(odd, share, share).collect()}
+def lm_tokens(text):
+    return [*text.lower().split(), b"\n"]
+
+
+def test_scores(spark, odd, none):
+    got = {r.doc_id: r for r in lm_score.score(odd).collect()}
     rows = [r for r in odd_rows() if zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 7 != 2]
-    c = Counter(w for r in rows for w in lm_score.tokens((r[1] or "").encode()))
+    c = Counter(w for r in rows for w in lm_tokens((r[1] or "").encode()))
     total, distinct = sum(c.values()), len(c)
     for r in odd_rows():
-        own, x = lm_score.tokens((r[1] or "").encode()), got[r[0]]
+        own, x = lm_tokens((r[1] or "").encode()), got[r[0]]
         assert x.n_tokens == len(own) and x.n_known == sum(c[w] > 0 for w in own) and x.train_tokens == total
         assert math.isclose(x.base_score, sum(math.log10((c[w] + 1) / (total + distinct + 1)) for w in own), rel_tol=1e-9)
         assert x.score < 0
@@ -412,7 +415,7 @@ def plain_score(train, text):
     """Interpolated absolute discounting with plain counts; pairs and triples count from two occurrences up."""
     d, words, pairs, triples = lm_score.DISCOUNT, Counter(), Counter(), Counter()
     for t in train:
-        own = [None, *lm_score.tokens(t.encode())]
+        own = [None, *lm_tokens(t.encode())]
         words.update(own)
         pairs.update(zip(own, own[1:]))
         triples.update(zip(own, own[1:], own[2:]))
@@ -429,13 +432,14 @@ def plain_score(train, text):
         left = sum(n - d for (a, b, _), n in triples.items() if (a, b) == (u, v)) / pairs[u, v]
         return max(triples.get((u, v, w), 0) - d, 0) / pairs[u, v] + (1 - left) * p2(v, w)
 
-    own = [None, *lm_score.tokens(text.encode())]
+    own = [None, *lm_tokens(text.encode())]
     return sum(math.log10(p2(*own[k - 1 : k + 1]) if k == 1 else p3(*own[k - 2 : k + 1])) for k in range(1, len(own)))
 
 
-@pytest.mark.parametrize("entries", [1 << 18, 4])
-def test_scores_equal_plain_counts(spark, monkeypatch, entries):
-    monkeypatch.setattr(lm_score, "SHARD", entries)  # with 4, many files
+@pytest.mark.parametrize(("size", "split", "flush"), [(1 << 24, 1 << 20, 1 << 20), (4, 3, 5)])
+def test_scores_equal_plain_counts(spark, monkeypatch, size, split, flush):
+    for name, x in (("RANGE_BYTES", size), ("SPLIT", split), ("FLUSH", flush)):  # small ones: many files, parts and flushes
+        monkeypatch.setattr(lm_score, name, x)
     texts = ["a b c d", "a b c e", "b c d a b", "", "x a b c", "c c c c c", "a q", "z y a b c d"] * 2
     rows = list(enumerate(texts))
     got = {r.doc_id: r for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
