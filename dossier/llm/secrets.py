@@ -3,20 +3,27 @@ r"""Secret scan by a linear-chain conditional random field over the tokens of se
 Three base patterns give base spans. The field adds spans: a field is a run of `[A-Za-z0-9+/_.=-]` of 20 characters or
 more, or of 8 with a digit; its tokens (runs of letters and digits, single signs) are tagged begin, inside or outside from
 shape, neighbouring tokens and words, and file features, and decoded by Viterbi. Tags other than outside are possible in
-fields alone, and a field begins afresh, so decoding each field decodes the whole text's chain. Weights are fitted to
-the base spans of at most EXAMPLES fields of about SAMPLE_DOCS whole documents (the smallest hashes), with and without
-their context. Decoded spans that touch no base span are of kind `crf`.
+fields alone, and a field begins afresh, so decoding each field decodes the whole text's chain. Decoded spans that touch
+no base span are of kind `crf`.
+
+Weights are fitted to two sets: at most EXAMPLES fields of about SAMPLE_DOCS whole documents (the smallest hashes) with the
+tags that the base patterns give, each with and without its context; and PLANTED generated fields, half of them secrets of
+kinds that the patterns don't know (issuers' prefixes, signed tokens, random values after words like `pwd`), half of them
+harmless (versions, dates, paths, identifiers, UUIDs), with and without their context too.
 
 Defined results: null and empty texts have no spans; spans of two base kinds may overlap and all stay; repeated rows are
-scanned one by one; an empty table gives no rows and an empty sample a field that adds nothing; further columns stay where
-whole documents are returned.
+scanned one by one; an empty table gives no rows, an empty sample a field that knows the generated examples alone; further
+columns stay where whole documents are returned. Features see the first 12 characters of words, 6 of shapes and three words
+of the 40 characters before a field.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
+from string import ascii_letters, ascii_lowercase, ascii_uppercase, digits
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import fresh
 
-SAMPLE_DOCS, EPOCHS, RATE, DECAY = 20_000, 12, 0.3, 1e-4
+SAMPLE_DOCS, EPOCHS, RATE, DECAY = 20_000, 8, 0.3, 1e-4
+#: Generated fields that are learned from.
+PLANTED = 1600
 #: Distinct fields of the sample that are learned from, at most (the smallest hashes), and values of the sampling hash.
 EXAMPLES, HASHES = 40_000, 1 << 40
 KINDS = ["assign", "access", "hex", "crf"]
@@ -76,6 +85,18 @@ def bucket(n: float) -> int:
     return int(math.log2(n + 1))
 
 
+CONSONANTS = re.compile("[b-df-hj-np-tv-xzB-DF-HJ-NP-TV-XZ]+")
+CASES = re.compile(r"(?<=[a-z])[A-Z](?![a-z]{2})|(?<=[A-Z])[a-z](?=[A-Z0-9])")
+
+
+def randomness(token: str) -> list[str]:
+    """How unlike a word a token is: its longest run of consonants, share of vowels, and odd changes of case."""
+    run = max((len(m) for m in CONSONANTS.findall(token)), default=0)
+    letters = sum(c.isalpha() for c in token)
+    vowels = sum(c in "aeiouAEIOU" for c in token)
+    return [f"r{min(run, 6)}", f"v{4 * vowels // max(letters, 1)}{bucket(letters)}", f"u{bucket(len(CASES.findall(token)))}"]
+
+
 def token_features(text: str, start: int, end: int, file: list[str]) -> tuple[list[tuple[int, int]], list[list[str]]]:
     """Token spans of a field, and the features of each; those of context have a capital letter."""
     spans = [m.span() for m in TOKEN.finditer(text, start, end)]
@@ -88,6 +109,7 @@ def token_features(text: str, start: int, end: int, file: list[str]) -> tuple[li
     for k, t in enumerate(tokens):
         digits, changes = sum(c.isdigit() for c in t), len(re.findall(r"(?<=[0-9])[A-Za-z]|(?<=[A-Za-z])[0-9]", t))
         own = ["s" + shape(t), f"l{bucket(len(t))}", f"d{round(4 * digits / len(t))}", f"c{bucket(changes)}"]
+        own += randomness(t)
         own += [f"h{not t.strip('0123456789abcdef')}{bucket(len(t))}", f"x{len(set(t)) * 4 // len(t)}{bucket(len(t))}"]
         own += ["p" + (shape(tokens[k - 1]) if k else "^"), "n" + (shape(tokens[k + 1]) if k + 1 < len(tokens) else "$")]
         own += ["q" + (tokens[k - 1].lower()[:12] if k else "^"), f"f{k == 0}"]
@@ -168,10 +190,12 @@ class Field:
         return self
 
 
-def examples(text: str) -> list[tuple[list[list[str]], list[int]]]:
-    """Each field of a text with the tags that the base spans give, and once more without features of context."""
+def examples(text: str, secret: list[tuple[int, int]] | None = None) -> list[tuple[list[list[str]], list[int]]]:
+    """Each field of a text with the tags that the secrets (base spans if none are given) give, and once more without
+    features of context."""
     own = fields(text)
-    secret = [(a, b) for _, _, _, a, b in base_spans(text)]
+    if secret is None:
+        secret = [(a, b) for _, _, _, a, b in base_spans(text)]
     file, out = file_features(text, len(own)) if own else [], []
     for start, end in own:
         spans, features = token_features(text, start, end, file)
@@ -184,6 +208,89 @@ def examples(text: str) -> list[tuple[list[list[str]], list[int]]]:
     return out
 
 
+#: Prefixes of issuers' keys, the signs that follow them, and their number.
+ISSUERS = [
+    ("ghp_", "a", 36), ("gho_", "a", 36), ("ghs_", "a", 36), ("github_pat_", "a", 60), ("sk_live_", "a", 24), ("rk_live_", "a", 24),
+    ("pk_live_", "a", 24), ("xoxb-", "a", 40), ("xoxp-", "a", 48), ("AIza", "u", 35), ("ya29.", "u", 68), ("npm_", "a", 36),
+    ("hf_", "a", 34), ("sk-", "a", 48), ("dckr_pat_", "u", 27), ("SK", "h", 32), ("EAAC", "a", 64), ("ATATT3x", "u", 60),
+]
+#: What stands before a secret, and before a harmless field.
+SECRET_LEADS = [
+    "pwd=", "pwd: ", "PWD=", "passphrase: ", "passphrase=", "credentials: ", "credential=", "Authorization: Bearer ", "bearer ",
+    "auth=", "auth: ", "private key: ", "private_key=", "client_key=", "access key: ", "access_key=", "account_key=", "login with ",
+    "signing key ", "key=", "encryption key: ", "pass: ", "pass=", "DB_PASS=", "session: ", "cookie: sid=", "-----\n",
+]
+PLAIN_LEADS = [
+    "see ", "version ", "the ", "release ", "file ", "at ", "id=", "order ", "in ", "on ", "call ", "path: ", "url: ", "name=", "a ",
+    "and ", "de ", "la ", "der ", "und ", "of ", "page ", "isbn ", "build ", "model ", "date: ", "\n", "(", "- ",
+]
+CLUSTERS = "schaft ngth tsch rch str lls ght fahrt pfl ywrn dd".split()
+SYLLABLES = "an ber con der el fi gra ho in ka lo mer na or pa ris so ta un ver".split()
+
+
+def planted(n: int = PLANTED, seed: int = 8) -> list[tuple[str, int, int]]:
+    """Generated texts with the place of their secret (0, 0 for harmless ones), two harmless ones for each secret."""
+    r = random.Random(seed)
+    signs = {"a": ascii_letters + digits, "u": ascii_letters + digits + "-_", "h": "0123456789abcdef", "b": ascii_letters + digits + "+/"}
+
+    def draw(kind, k):
+        return "".join(r.choices(signs.get(kind, kind), k=k))
+
+    def word():
+        return "".join(r.choices(SYLLABLES, k=r.randint(1, 4)))
+
+    def secret():
+        kind = r.randrange(4)
+        if kind == 0:
+            prefix, of, k = r.choice(ISSUERS)
+            return prefix + draw(of, k + r.randint(-2, 4))
+        if kind == 1:
+            return "eyJ" + draw("u", r.randint(17, 40)) + ".eyJ" + draw("u", r.randint(20, 80)) + "." + draw("u", 43)
+        if kind == 2:
+            return draw(r.choice("aub"), r.randint(16, 64)) + r.choice(["", "", "=", "=="])
+        return r.choice([str.title, str.lower])(word() + word()) + draw(digits, r.randint(2, 4)) + draw("a", r.randint(0, 4))
+
+    def harmless():
+        kind = r.randrange(13)
+        if kind == 0:
+            return "v" * r.randrange(2) + ".".join(str(r.randrange(30)) for _ in range(3)) + r.choice(["", "-beta.2", "-rc1", "-alpha", ".dev0"])
+        if kind == 1:
+            return f"20{r.randrange(10, 30)}-{r.randrange(1, 13):02}-{r.randrange(1, 29):02}" + r.choice(["", f"T{r.randrange(24):02}"])
+        if kind == 2:
+            return "/".join(["", *(word() for _ in range(r.randint(2, 5)))]) + r.choice([".html", ".py", "", "/2", ".tar.gz", "3.11"])
+        if kind == 3:
+            return r.choice(["_", "-", ".", "_"]).join(word() for _ in range(r.randint(3, 6))) + r.choice(["", "_2", "10", "-2024"])
+        if kind == 4:
+            return "".join(word().title() for _ in range(r.randint(3, 5))) + draw(digits, r.randint(0, 2))
+        if kind == 5:
+            return "-".join(draw("h", k) for k in (8, 4, 4, 4, 12))
+        if kind == 6:
+            return draw(digits, r.randint(8, 14))
+        if kind == 7:
+            return "-".join(draw(r.choice([digits, ascii_uppercase]), r.randint(2, 5)) for _ in range(r.randint(3, 4)))
+        if kind == 8:
+            return r.choice(["www.", "mail.", ""]) + word() + "." + r.choice(["com", "org", "net"]) + "/" + word() + "/" + draw(digits, 5)
+        if kind == 9:
+            return "-" * r.randint(20, 60) if r.random() < 0.5 else "=" * r.randint(20, 60)
+        if kind == 10:
+            return "".join(r.choices([*SYLLABLES, *CLUSTERS], k=r.randint(6, 14))) + draw(digits, r.randint(0, 1))
+        if kind == 11:
+            return word() + "".join(word().title() for _ in range(r.randint(2, 6))) + draw(digits, r.randint(0, 1))
+        return word() + draw(digits, r.randint(1, 4)) + draw(ascii_lowercase, r.randint(0, 3)) + word()
+
+    out = []
+    for k in range(n):
+        around = " ".join(word() for _ in range(r.randint(0, 8)))
+        if k % 3 == 0:
+            own = secret()  # long ones are known wherever they stand
+            lead = r.choice(PLAIN_LEADS if len(own) >= 30 and r.random() < 0.5 else SECRET_LEADS)
+        else:  # words like `key` stand before harmless fields too
+            lead, own = r.choice(PLAIN_LEADS if r.random() < 0.9 else ["key ", "pass ", "session ", "auth "]), harmless()
+        text = f"{around} {lead}{r.choice(['', '', chr(34)])}"
+        out.append((text + own + r.choice(["", " ", ".", ",\n", chr(34), ")"]) + around, *((len(text), len(text) + len(own)) if k % 3 == 0 else (0, 0))))
+    return out
+
+
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field:
     """A field from a sample of at most sample_docs documents; only its secret-like fields' features are fetched."""
     n = docs.count()
@@ -203,7 +310,8 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field:
     rows = few.mapInArrow(run, "features array<string>, tags array<int>").distinct()
     rows = rows.orderBy(F.xxhash64("features", "tags"), "features", "tags").limit(EXAMPLES).collect()
     rows = sorted(((list(r["features"]), list(r["tags"])) for r in rows), key=str)
-    return Field().fit([([own.split("\n") for own in fs], tags) for fs, tags in rows])
+    made = [x for text, a, b in planted() for x in examples(text, [(a, b)] if b else [])]
+    return Field().fit([([own.split("\n") for own in fs], tags) for fs, tags in rows] + made)
 
 
 def scan_text(text: str | None, field: Field) -> list[tuple[str, int, int, int, int]]:
@@ -212,13 +320,12 @@ def scan_text(text: str | None, field: Field) -> list[tuple[str, int, int, int,
     base, own = base_spans(text), fields(text)
     file, more = file_features(text, len(own)) if own else [], []
     for start, end in own:
-        if any(a < end and start < b for _, a, b, _, _ in base):
-            continue
         spans, features = token_features(text, start, end, file)
         at = None
         for (a, b), tag in [*zip(spans, field.decode(features), strict=True), ((end, end), 0)]:
             if at is not None and tag != 2:
-                more.append(("crf", *at, *at))
+                if not any(x < at[1] and at[0] < y for _, x, y, _, _ in base):
+                    more.append(("crf", *at, *at))
                 at = None
             if tag == 1:
                 at = (a, b)
