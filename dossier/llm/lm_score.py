@@ -1,7 +1,7 @@
 r"""Language-model scores from an Elias-Fano trie of words, pairs and triples, kept as files per range of contexts.
 
 Every word of the training documents, and every pair and triple that occurs LEAST times there, is in the model, at any
-corpus size. Words are known by 64-bit hashes, a pair as a context by a hash of its words', a successor by 48 bits. Each
+corpus size. Words are known by 64-bit hashes, a pair as a context by a hash of its words', a successor by 40 bits. Each
 level is dealt by ranges of its contexts' hashes, meant for about RANGE_BYTES of text each; a context of more than SPLIT
 occurrences (bounded by those of its rarest word) is dealt by its successors too, in parts. A range is one file in the
 shared folder: contexts as a monotone Elias-Fano sequence, monotone Elias-Fano pointers to each context's successors,
@@ -47,11 +47,11 @@ FOLDS, HELD = 7, 2
 #: The token after the last word; no word holds a line end. What stands before the first word.
 END, BEGIN = b"\n", np.uint64(0x5DEECE66D1234567)
 #: Tokens whose n-grams are counted or looked up at once, about.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 #: Bytes of text for whose n-grams a file is meant, and occurrences of a context that one part of it is meant for.
-RANGE_BYTES, SPLIT = 1 << 24, 1 << 20
+RANGE_BYTES, SPLIT = 1 << 23, 1 << 20
 #: Bits of a word's hash by which it is known as a successor.
-SUCCESSOR = 48
+SUCCESSOR = 40
 
 
 def word_hash(word: bytes) -> int:
@@ -120,6 +120,7 @@ def flushes(batches, *columns: str):
             held, kept, size = [], [[] for _ in columns], 0
     if held:
         yield kept, Tokens(held)
+    pa.default_memory_pool().release_unused()  # the worker lives on
 
 
 class Grams:
@@ -149,14 +150,19 @@ class Grams:
         return np.bincount(self.own, minlength=len(self.keys))
 
 
-def six_bytes(x: np.ndarray) -> bytes:
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def planes(x: np.ndarray, width: int) -> bytes:
+    """The low `width` bytes of integers, all first bytes first: equal ones stand together, which a shuffle compresses."""
+    return np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
-def from_six(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view("<u8")
+def joined(table: pa.Table, name: str, width: int) -> np.ndarray:
+    """The integers of all rows' planes."""
+    parts = []
+    for data in table.column(name).to_pylist():
+        out = np.zeros((len(data) // width, 8), np.uint8)
+        out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
+        parts.append(out.reshape(-1).view("<u8"))
+    return np.concatenate(parts)
 
 
 def quantised(logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -269,7 +275,7 @@ def between(high: np.ndarray, low: np.ndarray, at: np.ndarray, end: np.ndarray,
     left = np.arange(len(target))
     while len(left):
         middle = (at + end) >> 1
-        own = high[middle].astype(np.uint64) << np.uint64(16) | low[middle]
+        own = high[middle].astype(np.uint64) << np.uint64(8) | low[middle]
         same, below = own == target, own < target
         out[left[same]] = middle[same]
         at, end = np.where(below, middle + 1, at), np.where(below, end, middle)
@@ -326,22 +332,18 @@ def sent(level: Level, keys: np.ndarray, columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
-def joined(table: pa.Table, name: str, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-
-
 def count_words(train: DataFrame, model: Model):
     level = model.words
 
     def count(batches):
         for _, tokens in flushes(batches):
-            n = np.bincount(tokens.codes, minlength=len(tokens.distinct)).astype("<u4")
+            n = np.bincount(tokens.codes, minlength=len(tokens.distinct))
             keys, n = tokens.distinct[n > 0], n[n > 0]
-            yield sent(level, keys, lambda a, b: (keys[a:b].tobytes(), n[a:b].tobytes()))  # noqa: B023
+            yield sent(level, keys, lambda a, b: (planes(keys[a:b], 8), planes(n[a:b], 4)))  # noqa: B023
 
     def add(table: pa.Table) -> pa.Table:
-        keys, back = np.unique(joined(table, "x0", "<u8"), return_inverse=True)
-        n = np.bincount(back, joined(table, "x1", "<u4")).astype(np.int64)
+        keys, back = np.unique(joined(table, "x0", 8), return_inverse=True)
+        n = np.bincount(back, joined(table, "x1", 4)).astype(np.int64)
         level.put(table.column("shard")[0].as_py(), keys, {"n": n.astype(np.min_scalar_type(n.max()))})
         return pa.table({"distinct": [len(keys)], "total": [int(n.sum())]})
 
@@ -366,30 +368,30 @@ def count_grams(train: DataFrame, model: Model, order: int):
                 continue
             grams = Grams(context[at], tokens.distinct[tokens.codes[at]], bound[at])
             n = np.bincount(grams.back, minlength=len(grams.own))
-            totals = np.bincount(grams.own, n, len(grams.keys)).astype("<u4")
+            totals = np.bincount(grams.own, n, len(grams.keys)).astype(np.int64)
             often = c[tokens.codes[at]][grams.first] >= LEAST  # others can't be kept, and count for their context alone
-            own, small, n = grams.own[often], grams.small[often], n[often].astype("<u4")
-            runs = np.bincount(own, minlength=len(grams.keys)).astype("<u4")
-            ends = np.concatenate([[0], np.cumsum(runs, dtype=np.int64)])
+            own, small, n = grams.own[often], grams.small[often], n[often]
+            runs = np.bincount(own, minlength=len(grams.keys))
+            ends = np.concatenate([[0], np.cumsum(runs)])
             real = np.where(grams.split, grams.real, 0).astype("<u8")
 
             def columns(a, b):
                 s = slice(ends[a], ends[b])  # noqa: B023
-                return (grams.keys[a:b].tobytes(), totals[a:b].tobytes(), runs[a:b].tobytes(), six_bytes(small[s]), n[s].tobytes(),  # noqa: B023
-                        real[a:b].tobytes() if grams.split[a:b].any() else b"")  # fmt: skip  # noqa: B023
+                return (planes(grams.keys[a:b], 8), planes(totals[a:b], 4), planes(runs[a:b], 4), planes(small[s], SUCCESSOR // 8),  # noqa: B023
+                        planes(n[s], 4), real[a:b].tobytes() if grams.split[a:b].any() else b"")  # fmt: skip  # noqa: B023
 
             yield sent(level, grams.keys, columns)
 
     def add(table: pa.Table) -> pa.Table:
-        keys, back = np.unique(joined(table, "x0", "<u8"), return_inverse=True)
-        count = np.bincount(back, joined(table, "x1", "<u4")).astype(np.int64)
+        keys, back = np.unique(joined(table, "x0", 8), return_inverse=True)
+        count = np.bincount(back, joined(table, "x1", 4)).astype(np.int64)
         low = 64 - max(1, len(keys).bit_length())
-        own = np.repeat(back, joined(table, "x2", "<u4"))
-        small = from_six(b"".join(table.column("x3").to_pylist()))
+        own = np.repeat(back, joined(table, "x2", 4).astype(np.int64))
+        small = joined(table, "x3", SUCCESSOR // 8)
         packed = own.astype(np.uint64) << np.uint64(low) | small >> np.uint64(max(0, SUCCESSOR - low))
         order = np.argsort(packed, kind="stable")
         first = np.flatnonzero(np.diff(packed[order], prepend=packed[order][:1] + np.uint64(1)))
-        n = np.add.reduceat(joined(table, "x4", "<u4")[order], first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
+        n = np.add.reduceat(joined(table, "x4", 4)[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
         kept = n >= LEAST
         own, small, n = own[order[first[kept]]], small[order[first[kept]]], n[kept] - DISCOUNT
         taken = np.bincount(own, n, len(keys)).astype(float)
@@ -400,7 +402,7 @@ def count_grams(train: DataFrame, model: Model, order: int):
             level.put(table.column("shard")[0].as_py(), keys[some], {
                 "count": count[some].astype(np.min_scalar_type(count[some].max())),
                 "left": np.maximum(1 - taken[some] / count[some], 1e-9).astype(np.float32), "code": code, "table": values,
-                "high": (small >> np.uint64(16)).astype(np.uint32), "low": (small & np.uint64(0xFFFF)).astype(np.uint16),
+                "high": (small >> np.uint64(8)).astype(np.uint32), "low": small.astype(np.uint8),
             }, pointers)
         real = np.concatenate([np.frombuffer(x or bytes(len(k)), "<u8") for x, k in zip(
             table.column("x5").to_pylist(), table.column("x0").to_pylist(), strict=True)])
