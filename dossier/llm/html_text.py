@@ -7,16 +7,20 @@ that is in links. The best container is taken with those siblings that score wel
 an article or main element, that element. Of it, all blocks but boilerplate are kept, whatever their length.
 
 Boilerplate are menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles, hidden parts and reader
-comments, told by tag, role and the words of class and id.
+comments, told by tag, role and the words of class and id. An element with a word of VAGUE alone is none if it holds more
+than half of the page's text outside links, or, with one of LINKY, if it reads like prose. Inside a paragraph, boilerplate
+is left out and the paragraph goes on.
 
-Defined results: a null, empty or text-free page has an empty text; broken and cut-off markup is read as far as it goes;
-repeated rows are extracted one by one; an empty table gives no rows; further columns are ignored.
+Defined results: a null, empty or text-free page has an empty text; broken and cut-off markup is read as far as it goes
+(after a tag whose quotes are never closed, quotes in tags mean nothing); time grows in proportion to the page; repeated
+rows are extracted one by one; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,121 +47,194 @@ ENDS = {
 }
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 WORDS = set(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promoted promotion banner "
-    "cookie cookies consent gdpr notice newsletter subscribe subscription signup popup modal overlay sidebar sidenav "
-    "aside widget menu nav navbar navigation breadcrumb breadcrumbs footer foot masthead header topbar comment comments "
-    "commentlist disqus respond reply replies share sharing social related recommended recommendations pagination pager "
-    "toolbar login hidden skip".split()
-)
-TAG = re.compile(
-    r"<!--(?:.*?-->|.*)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[/a-zA-Z][^<>]*\Z",
-    re.S,
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors cookie cookies consent gdpr newsletter "
+    "subscribe signup popup modal overlay sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs footer "
+    "comment comments commentlist disqus respond replies pagination pager login".split()
 )
+#: Words that may also be those of an article.
+LINKY = set("related recommended recommendations social share sharing skip widget header foot aside reply".split())
+VAGUE = LINKY | set("promo promoted promotion banner notice subscription masthead topbar toolbar hidden".split())
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+QUOTE = re.compile("[>\"']")
 COMMA = re.compile("[,،、，]")
 
 
-def is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
+KEPT, SURE, MAYBE = 0, 1, 2
+#: Text that reads like prose has a block of so many characters.
+PROSE = 80
+
+
+def boilerplate(tag: str, attributes: str, in_article: bool) -> tuple[int, bool]:
+    """Whether an element is boilerplate (SURE, or MAYBE for vague words), and whether prose would tell otherwise."""
     if tag in DROPPED or tag == "header" and not in_article:
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        words_matter = tag == "article"
-        if not attributes or not words_matter:
-            return False
+        return SURE, False
+    if not attributes or tag in ("html", "body", "main"):
+        return KEPT, False
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
     if "hidden" in found or found.get("aria-hidden") == "true":
-        return True
+        return SURE, False
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")) or found.get("role") in ROLES:
-        return True
+        return SURE, False
     names = re.sub(r"([a-z])([A-Z])", r"\1 \2", found.get("class", "") + " " + found.get("id", ""))
-    return not WORDS.isdisjoint(re.split(r"[^a-z]+", names.lower()))
+    words = set(re.split(r"[^a-z]+", names.lower()))
+    if not WORDS.isdisjoint(words):
+        return SURE, False
+    vague = words & VAGUE
+    return (MAYBE if vague else KEPT), bool(vague) and vague <= LINKY
 
 
 class Page:
     """Elements (tag, parent, whether boilerplate or within) and text blocks (element, text, characters in links)."""
 
     def __init__(self, source: str):
-        self.tags, self.parents, self.dropped, self.in_article = ["html"], [-1], [False], [False]
+        self.tags, self.parents, self.dropped, self.in_article = ["html"], [-1], [KEPT], [False]
+        self.block_of, self.doubt = [0], {}  # doubt: of elements that may be boilerplate, whether prose would tell otherwise
         self.blocks: list[tuple[int, str, int]] = []
-        self._stack, self._text, self._links = [0], [], 0
+        self._stack, self._open_tags = [0], Counter()
+        self._text, self._links = [], 0
         self._at = 0  # the element of the block's first text
-        at = 0
+        self._read(source)
+        self._flush()
+        self._decide()
+
+    def _read(self, source: str):
+        at, quotes, last_end, last_cdata = 0, True, source.rfind(">"), source.rfind("]]>")
         while at < len(source):
-            m = TAG.search(source, at)
-            self._add(source[at : m.start() if m else len(source)])
-            if not m:
-                break
-            at = m.end()
-            if m[1]:
-                self._add(m[1], False)
-            tag = (m[3] or m[6] or "").lower()
-            if tag and (m[2] or m[5]):
-                self._close(tag)
-            elif tag:
-                attributes = m[4] or m[7] or ""
-                self._open(tag, attributes)
+            start = source.find("<", at)
+            self._add(source[at : start if start >= 0 else len(source)])
+            if start < 0:
+                return
+            at = start + 1
+            if source.startswith("!--", at):
+                end = source.find("-->", at + 3)
+                at = end + 3 if end >= 0 else len(source)
+            elif source.startswith("![CDATA[", at) and at < last_cdata:
+                end = source.find("]]>", at)
+                self._add(source[at + 8 : end], False)
+                at = end + 3
+            elif source[at : at + 1] in ("!", "?"):
+                at = source.find(">", at) + 1 if at < last_end else len(source)
+            elif name := NAME.match(source, at):
+                if at > last_end:  # a tag that is cut off; what looks like more of them is text
+                    at = source.find("<", at)
+                    if at < 0:
+                        return
+                    self._add(source[start:at])
+                    continue
+                end = self._tag_end(source, name.end()) if quotes else -1
+                if end < 0:
+                    quotes, end = False, source.find(">", name.end())
+                tag, at = name[2].lower(), end + 1
+                if name[1]:
+                    self._close(tag)
+                    continue
+                self._open(tag, source[name.end() : end])
                 if tag in RAW:
-                    end = re.compile(f"</{re.escape(tag)}", re.I).search(source, at)
-                    at = end.start() if end else len(source)
-        self._flush()
+                    close = re.compile(f"</{re.escape(tag)}", re.I).search(source, at)
+                    at = close.start() if close else len(source)
+            else:
+                self._add("<")
+
+    @staticmethod
+    def _tag_end(source: str, at: int) -> int:
+        """The place of the `>` outside quotes, or -1 where there is none."""
+        while m := QUOTE.search(source, at):
+            if m[0] == ">":
+                return m.start()
+            at = source.find(m[0], m.end()) + 1
+            if not at:
+                return -1
+        return -1
 
     def _add(self, text: str, decode: bool = True):
-        if not text:
+        top = self._stack[-1]
+        if not text or self.dropped[top] == SURE:
             return
+        if self.dropped[top] == MAYBE and self.block_of[top] != top and self.dropped[self.block_of[top]] == KEPT:
+            return  # inside a paragraph, a vague word is enough
         if not self._text:
-            self._at = self._stack[-1]
+            self._at = top
         self._text.append(html.unescape(text) if decode and "&" in text else text)
-        if any(self.tags[k] == "a" for k in self._stack[-4:]):
+        if self._open_tags["a"]:
             self._links += len(text)
 
     def _flush(self):
         text = " ".join("".join(self._text).split())
-        if text and not self.dropped[self._at]:
-            at = self._at
-            while self.tags[at] not in BLOCKS and self.parents[at] >= 0:
-                at = self.parents[at]
-            self.blocks.append((at, text, min(self._links, len(text))))
+        if text:
+            self.blocks.append((self.block_of[self._at], text, min(self._links, len(text))))
         self._text, self._links = [], 0
 
     def _open(self, tag: str, attributes: str):
         if tag == "br":
             self._add(" ")
-        if tag in BLOCKS or tag in DROPPED:
+        if tag in BLOCKS:
             self._flush()
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and self._open_tags["p"]:
             self._end({"p"}, {"table", "td", "th", "button", "div", "article", "section"})
         if tag in ENDS:
             self._end(*ENDS[tag])
-        if tag in ("html", "body") and tag in (self.tags[k] for k in self._stack) or tag in VOID:
+        if tag in ("html", "body") and (tag == "html" or self._open_tags[tag]) or tag in VOID:
             return
-        up = self._stack[-1]
+        up, me = self._stack[-1], len(self.tags)
         in_article = self.in_article[up] or self.tags[up] in ("article", "main")
+        own, prose = boilerplate(tag, attributes, in_article)
+        if own == MAYBE and self.dropped[up] == KEPT:
+            self.doubt[me] = prose
         self.tags.append(tag)
         self.parents.append(up)
         self.in_article.append(in_article)
-        self.dropped.append(self.dropped[up] or is_boilerplate(tag, attributes, in_article))
+        self.dropped.append(SURE if SURE in (own, self.dropped[up]) else max(own, self.dropped[up]))
+        self.block_of.append(me if tag in BLOCKS else self.block_of[up])
         if not attributes.endswith("/") or tag in BLOCKS:
-            self._stack.append(len(self.tags) - 1)
+            self._stack.append(me)
+            self._open_tags[tag] += 1
+
+    def _cut(self, k: int):
+        for at in self._stack[k:]:
+            self._open_tags[self.tags[at]] -= 1
+        del self._stack[k:]
 
     def _end(self, names: set[str], until: set[str]):
         for k in range(len(self._stack) - 1, 0, -1):
             tag = self.tags[self._stack[k]]
             if tag in names:
-                del self._stack[k:]
-                return
+                return self._cut(k)
             if tag in until:
-                return
+                return None
 
     def _close(self, tag: str):
-        if tag in BLOCKS or tag in DROPPED:
+        if tag in BLOCKS:
             self._flush()
+        if not self._open_tags[tag]:
+            return
         for k in range(len(self._stack) - 1, 0, -1):
             if self.tags[self._stack[k]] == tag:
-                del self._stack[k:]
-                return
+                return self._cut(k)
             if tag not in BLOCKS and self.tags[self._stack[k]] in BLOCKS:
-                return  # a stray inline end tag doesn't end a block
+                return None  # a stray inline end tag doesn't end a block
+
+    def _decide(self):
+        """Keep or drop the elements in doubt, and their blocks with them."""
+        if not self.doubt:
+            return
+        of = [k if k in self.doubt else -1 for k in range(len(self.tags))]
+        for k in range(1, len(of)):
+            if of[self.parents[k]] >= 0:
+                of[k] = of[self.parents[k]]
+        plain, linked, prose, total = Counter(), Counter(), set(), 0
+        for at, text, links in self.blocks:
+            total += len(text) - links
+            if of[at] >= 0:
+                plain[of[at]] += len(text) - links
+                linked[of[at]] += links
+                if len(text) - links >= PROSE:
+                    prose.add(of[at])
+        kept = {
+            k for k, would in self.doubt.items()
+            if plain[k] and (2 * plain[k] > total or would and k in prose and 3 * linked[k] < plain[k])
+        }
+        self.blocks = [b for b in self.blocks if of[b[0]] < 0 or of[b[0]] in kept]
 
     def lineage(self, at: int):
         while at >= 0:
