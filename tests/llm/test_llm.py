@@ -5,6 +5,7 @@ import itertools
 import math
 import os
 import re
+import textwrap
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -376,6 +377,48 @@ def test_stages_keep_rows_of_null_and_repeated_ids(spark):
     assert language.drop_unidentified(docs.union(letterless)).count() == 7
 
 
+def notice(*keys):
+    return [licenses.PUBLISHED[k] for k in keys]
+
+
+#: Paragraphs of whole notices.
+NOTICES = {
+    "MIT": [["MIT License"], ["Copyright (c) 2020 A. Nobody"], *([x] for x in notice("mit-grant-whole", "mit-notice")), notice("mit-as-is", "mit-liable")],
+    "Apache-2.0": [["Copyright 2021 A Company, Inc."], [*notice("apache2-header"), "You may obtain a copy of the License at"],
+                   ["http://www.apache.org/licenses/LICENSE-2.0"], notice("apache2-as-is", "apache2-see")],
+    "BSD,BSD-3-Clause": [["Copyright (c) 2019, Some Body."], notice("bsd-redistribute"), ["1. " + x for x in notice("bsd-source")],
+                         ["2. " + x for x in notice("bsd-binary")], ["3. " + x for x in notice("bsd-name")], notice("bsd-as-is", "bsd-liable")],
+    "BSD,BSD-2-Clause": [notice("bsd-redistribute"), ["* " + x for x in notice("bsd-source")], ["* " + x for x in notice("bsd-binary")],
+                         notice("bsd-as-is", "bsd-liable")],
+    "GPL-3.0-or-later": [["x - a program. Copyright (C) 2018 B"], notice("gpl-free", "gpl3-later"), notice("gpl-useful") + ["See the GNU General Public License for more details."]],
+    "GPL-2.0-or-later": [notice("gpl2-later"), notice("gpl-useful")],
+    "AGPL-3.0-or-later": [notice("gpl-free", "agpl3-later")],
+    "LGPL-2.1-or-later": [notice("lgpl21-later")],
+    "ISC": [["Copyright (c) 2004 C"], notice("isc-grant"), notice("isc-as-is", "isc-liable")],
+    "0BSD": [notice("0bsd-grant"), notice("isc-as-is", "isc-liable")],
+    "MPL-2.0": [["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", *notice("mpl2-copy")]],
+    "Unlicense": [notice("unlicense-free"), notice("unlicense-anyone")],
+    "Zlib": [notice("zlib-as-is", "zlib-liable"), notice("zlib-grant")],
+}
+
+
+def test_license_texts(spark):
+    """Whole notices, on long lines, wrapped, indented, and in comments, within other text."""
+    rows, want = [], {}
+    for name, paragraphs in NOTICES.items():
+        texts = [" ".join(p) for p in paragraphs]
+        wrapped = ["\n".join(textwrap.wrap(t, 68)) for t in texts]
+        for text in (
+            "\n\n".join(texts), "\n\n".join(wrapped), textwrap.indent("\n\n".join(wrapped), "    "),
+            "import os\n\n" + "\n#\n".join(textwrap.indent(w, "# ") for w in wrapped) + "\n\nx = 1",
+            "/*\n" + "\n *\n".join(textwrap.indent(w, " * ") for w in wrapped) + "\n */\nint x;",
+        ):
+            want[len(rows)] = name
+            rows.append((len(rows), text))
+    got = licenses.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.licenses for r in got} == want
+
+
 def test_licenses(spark, odd, none):
     rows = [(1, "Released under the MIT License.\nLicensed under CC BY-NC 4.0. x"), (2, "MIT"), (3, None)]
     got = {r.doc_id: r for r in licenses.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
