@@ -67,7 +67,8 @@ class Tokens:
 
     def __init__(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
         hashes, codes, sizes = zip(*parts, strict=True)
-        self.distinct, back = np.unique(np.concatenate(hashes), return_inverse=True)
+        self.distinct, back = np.unique(np.concatenate([*hashes, [BEGIN]]), return_inverse=True)
+        self.begin = back[-1]
         shift = np.cumsum([0, *map(len, hashes[:-1])])
         self.codes = back[np.concatenate([c + s for c, s in zip(codes, shift, strict=True)])]
         self.sizes = np.concatenate(sizes)
@@ -94,15 +95,22 @@ class Tokens:
         codes[words_at] = places
         return hashes, codes, sizes
 
-    def contexts(self, c: np.ndarray, n_docs: int):
-        """For pairs, then triples: (contexts, bounds of their counts, tokens that have one); c are counts of distinct words."""
-        before = np.concatenate([[0], self.codes[:-1]])
-        words = np.where(self.begins, BEGIN, self.distinct[before])
-        bound = np.where(self.begins, n_docs, c[before])
-        yield words, bound, np.flatnonzero(bound >= LEAST)
-        pairs = np.concatenate([[BEGIN], pair_key(words, self.distinct[self.codes])[:-1]])
-        bound = np.where(self.begins, 0, np.minimum(np.concatenate([[0], bound[:-1]]), c[before]))
-        yield pairs, bound, np.flatnonzero(bound >= LEAST)
+    def counts(self, model: Model) -> np.ndarray:
+        """Of each distinct token; of what stands before the first, the number of texts."""
+        (c,) = model.words.get(self.distinct, "n")
+        c[self.begin] = model.n_docs
+        return c
+
+    def grams(self, c: np.ndarray):
+        """For pairs, then triples: (tokens that have a context, their Grams); c are the counts of distinct tokens."""
+        before = np.where(self.begins, self.begin, np.concatenate([[0], self.codes[:-1]]))
+        bound, own = c[before], self.distinct[self.codes]
+        at = np.flatnonzero(bound >= LEAST)
+        yield at, Grams(self.distinct, before[at], own[at], bound[at]) if len(at) else None
+        pairs = np.concatenate([[BEGIN], pair_key(self.distinct[before], own)[:-1]])
+        bound = np.where(self.begins, 0, np.minimum(np.concatenate([[0], bound[:-1]]), bound))
+        at = np.flatnonzero(bound >= LEAST)
+        yield at, Grams(pairs[at], None, own[at], bound[at]) if len(at) else None
 
 
 def flushes(batches, *columns: str):
@@ -123,28 +131,42 @@ def flushes(batches, *columns: str):
     pa.default_memory_pool().release_unused()  # the worker lives on
 
 
+def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, each key's place among them, and one row that has each."""
+    order = np.argsort(keys)
+    placed = keys[order]
+    new = np.diff(placed, prepend=placed[:1] + np.uint64(1)) != 0
+    own = np.empty(len(keys), np.int64)
+    own[order] = np.cumsum(new) - 1
+    return placed[new], own, order[new]
+
+
 class Grams:
-    """Distinct (context, successor) rows in order of both; contexts of several parts have a key of their own for each part."""
+    """Distinct (context, successor) rows in order of both; contexts of several parts have a key of their own for each part.
 
-    def __init__(self, context: np.ndarray, successor: np.ndarray, bound: np.ndarray):
+    Contexts are given as they are, or as places in a sorted table."""
+
+    def __init__(self, context: np.ndarray, places: np.ndarray | None, successor: np.ndarray, bound: np.ndarray):
         parts = -(-bound // SPLIT)
-        self.split_rows = np.flatnonzero(parts > 1)
-        key = context
-        if len(self.split_rows):
-            s = self.split_rows
-            key = context.copy()
-            key[s] = pair_key(context[s], mixed(successor[s]) % parts[s].astype(np.uint64))
-        self.keys, first, own = np.unique(key, return_index=True, return_inverse=True)
-        self.real, self.split = context[first], parts[first] > 1
+        s = np.flatnonzero(parts > 1)
+        if places is not None and not len(s):  # the table's order is that of the keys
+            used = np.zeros(len(context), bool)
+            used[places] = True
+            self.keys, own = context[used], (np.cumsum(used) - 1)[places]
+            self.real, self.split = self.keys, np.zeros(len(self.keys), bool)
+        else:
+            context = context if places is None else context[places]
+            key = context
+            if len(s):
+                key = context.copy()
+                key[s] = pair_key(context[s], mixed(successor[s]) % parts[s].astype(np.uint64))
+            self.keys, own, first = ranked(key)
+            self.real, self.split = context[first], parts[first] > 1
         low = 64 - max(1, len(self.keys).bit_length())
-        small = (successor >> np.uint64(64 - SUCCESSOR)).astype(np.uint64)
+        small = successor >> np.uint64(64 - SUCCESSOR)
         packed = own.astype(np.uint64) << np.uint64(low) | small >> np.uint64(max(0, SUCCESSOR - low))
-        order = np.argsort(packed, kind="stable")
-        new = np.diff(packed[order], prepend=packed[order][:1] + np.uint64(1)) != 0
-        self.first = order[new]
+        _, self.back, self.first = ranked(packed)
         self.own, self.small = own[self.first], small[self.first]
-        self.back = np.empty(len(order), np.int64)
-        self.back[order] = np.cumsum(new) - 1
 
     def runs(self) -> np.ndarray:
         return np.bincount(self.own, minlength=len(self.keys))
@@ -313,22 +335,23 @@ class Model:
 
     def logs(self, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
         """Of each token, its count and the logarithm of its smoothed probability."""
-        (c,) = self.words.get(tokens.distinct, "n")
+        c = tokens.counts(self)
         p = ((c + 1) / self.norm)[tokens.codes]
-        for (context, bound, at), level, split in zip(
-            tokens.contexts(c, self.n_docs), (self.pairs, self.triples), (self.split_pairs, self.split_triples), strict=True
+        for (at, grams), level, split in zip(
+            tokens.grams(c), (self.pairs, self.triples), (self.split_pairs, self.split_triples), strict=True
         ):
             if len(at):
-                share, left = self.step(level, split, Grams(context[at], tokens.distinct[tokens.codes[at]], bound[at]))
+                share, left = self.step(level, split, grams)
                 p[at] = share + left * p[at]
         return c[tokens.codes], np.log10(p)
 
 
 def sent(level: Level, keys: np.ndarray, columns) -> pa.RecordBatch:
-    """One row for each file: columns(first, last) gives the arrays of its part of the sorted keys as bytes."""
+    """One row for each file: columns(first, last) gives what is sent of its part of the sorted keys; arrays go as bytes."""
     rows = [(shard, *columns(a, b)) for shard, a, b in level.shards(keys)]
-    names = ["shard", *(f"x{k}" for k in range(len(rows[0]) - 1))]
-    kinds = [pa.int32(), *[pa.binary()] * (len(names) - 1)]
+    whole = [x for x in rows[0] if isinstance(x, int)]
+    names = [*["shard", "level"][: len(whole)], *(f"x{k}" for k in range(len(rows[0]) - len(whole)))]
+    kinds = [*[pa.int32()] * len(whole), *[pa.binary()] * (len(names) - len(whole))]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
@@ -355,41 +378,42 @@ def count_words(train: DataFrame, model: Model):
     model.n_docs = int(model.words.get(np.array([word_hash(END)], np.uint64), "n")[0][0])
 
 
-def count_grams(train: DataFrame, model: Model, order: int):
-    """Pairs (order 0) or triples (order 1). Rows sent: contexts, their counts, numbers of successors, those, their counts."""
-    level = (model.pairs, model.triples)[order]
-    split = (model.split_pairs, model.split_triples)[order]
+def count_grams(train: DataFrame, model: Model):
+    """Pairs and triples. Rows sent: contexts, their counts, numbers of successors, those, their counts, split contexts."""
+    levels, splits = (model.pairs, model.triples), (model.split_pairs, model.split_triples)
 
     def count(batches):
         for _, tokens in flushes(batches):
-            (c,) = model.words.get(tokens.distinct, "n")
-            context, bound, at = list(tokens.contexts(c, model.n_docs))[order]
-            if not len(at):
-                continue
-            grams = Grams(context[at], tokens.distinct[tokens.codes[at]], bound[at])
-            n = np.bincount(grams.back, minlength=len(grams.own))
-            totals = np.bincount(grams.own, n, len(grams.keys)).astype(np.int64)
-            often = c[tokens.codes[at]][grams.first] >= LEAST  # others can't be kept, and count for their context alone
-            own, small, n = grams.own[often], grams.small[often], n[often]
-            runs = np.bincount(own, minlength=len(grams.keys))
-            ends = np.concatenate([[0], np.cumsum(runs)])
-            real = np.where(grams.split, grams.real, 0).astype("<u8")
-
-            def columns(a, b):
-                s = slice(ends[a], ends[b])  # noqa: B023
-                return (planes(grams.keys[a:b], 8), planes(totals[a:b], 4), planes(runs[a:b], 4), planes(small[s], SUCCESSOR // 8),  # noqa: B023
-                        planes(n[s], 4), real[a:b].tobytes() if grams.split[a:b].any() else b"")  # fmt: skip  # noqa: B023
-
-            yield sent(level, grams.keys, columns)
+            c = tokens.counts(model)
+            for order, (at, grams) in enumerate(tokens.grams(c)):
+                if len(at):
+                    yield counted(order, grams, c[tokens.codes[at]])
+
+    def counted(order: int, grams: Grams, c: np.ndarray) -> pa.RecordBatch:
+        n = np.bincount(grams.back, minlength=len(grams.own))
+        totals = np.bincount(grams.own, n, len(grams.keys)).astype(np.int64)
+        often = c[grams.first] >= LEAST  # others can't be kept, and count for their context alone
+        own, small, n = grams.own[often], grams.small[often], n[often]
+        runs = np.bincount(own, minlength=len(grams.keys))
+        ends = np.concatenate([[0], np.cumsum(runs)])
+        real = np.where(grams.split, grams.real, 0).astype("<u8")
+
+        def columns(a, b):
+            s = slice(ends[a], ends[b])
+            return (order, planes(grams.keys[a:b], 8), planes(totals[a:b], 4), planes(runs[a:b], 4), planes(small[s], SUCCESSOR // 8),
+                    planes(n[s], 4), real[a:b].tobytes() if grams.split[a:b].any() else b"")
+
+        return sent(levels[order], grams.keys, columns)
 
     def add(table: pa.Table) -> pa.Table:
+        level = table.column("level")[0].as_py()
         keys, back = np.unique(joined(table, "x0", 8), return_inverse=True)
         count = np.bincount(back, joined(table, "x1", 4)).astype(np.int64)
         low = 64 - max(1, len(keys).bit_length())
         own = np.repeat(back, joined(table, "x2", 4).astype(np.int64))
         small = joined(table, "x3", SUCCESSOR // 8)
         packed = own.astype(np.uint64) << np.uint64(low) | small >> np.uint64(max(0, SUCCESSOR - low))
-        order = np.argsort(packed, kind="stable")
+        order = np.argsort(packed)
         first = np.flatnonzero(np.diff(packed[order], prepend=packed[order][:1] + np.uint64(1)))
         n = np.add.reduceat(joined(table, "x4", 4)[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
         kept = n >= LEAST
@@ -399,7 +423,7 @@ def count_grams(train: DataFrame, model: Model, order: int):
         pointers = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(keys))[some])])
         code, values = quantised(np.log10(n / count[own]))
         if len(some):
-            level.put(table.column("shard")[0].as_py(), keys[some], {
+            levels[level].put(table.column("shard")[0].as_py(), keys[some], {
                 "count": count[some].astype(np.min_scalar_type(count[some].max())),
                 "left": np.maximum(1 - taken[some] / count[some], 1e-9).astype(np.float32), "code": code, "table": values,
                 "high": (small >> np.uint64(8)).astype(np.uint32), "low": small.astype(np.uint8),
@@ -409,21 +433,23 @@ def count_grams(train: DataFrame, model: Model, order: int):
         of = np.zeros(len(keys), np.uint64)
         of[back] = real
         s = np.flatnonzero(of)
-        return pa.table({"real": of[s].view(np.int64), "count": count[s], "taken": taken[s]})
+        return pa.table({"level": np.full(len(s), level, np.int32), "real": of[s].view(np.int64), "count": count[s], "taken": taken[s]})
 
     def keep(table: pa.Table) -> pa.Table:
         keys = table.column("real").to_numpy().view(np.uint64)
         order = np.argsort(keys)
         values = {k: table.column(k).to_numpy()[order] for k in ("count", "taken")}
-        split.put(table.column("shard")[0].as_py(), keys[order], values)
+        splits[table.column("level")[0].as_py()].put(table.column("shard")[0].as_py(), keys[order], values)
         return pa.table({"n": [len(keys)]})
 
-    schema = "shard int, " + ", ".join(f"x{k} binary" for k in range(6))
-    rows = train.select("text").mapInArrow(count, schema).groupBy("shard").applyInArrow(add, "real long, count long, taken double")
+    schema = "shard int, level int, " + ", ".join(f"x{k} binary" for k in range(6))
+    rows = train.select("text").mapInArrow(count, schema).groupBy("level", "shard")
+    rows = rows.applyInArrow(add, "level int, real long, count long, taken double")
     # Contexts of several parts, of which there are few: their whole counts.
-    whole = rows.groupBy("real").agg(F.sum("count").alias("count"), F.sum("taken").alias("taken"))
-    shard = F.shiftrightunsigned("real", 64 - split.bits).cast("int") if split.bits else F.lit(0)
-    whole.withColumn("shard", shard).groupBy("shard").applyInArrow(keep, "n long").agg(F.sum("n")).collect()
+    whole = rows.groupBy("level", "real").agg(F.sum("count").alias("count"), F.sum("taken").alias("taken"))
+    bits = model.pairs.bits
+    shard = F.shiftrightunsigned("real", 64 - bits).cast("int") if bits else F.lit(0)
+    whole.withColumn("shard", shard).groupBy("level", "shard").applyInArrow(keep, "n long").agg(F.sum("n")).collect()
 
 
 def train(docs: DataFrame) -> Model:
@@ -432,8 +458,7 @@ def train(docs: DataFrame) -> Model:
     folder = f"{shared_dir(docs.sparkSession)}/lm-{uuid.uuid4().hex}".removeprefix("file:")
     model = Model(folder, bits)
     count_words(docs, model)
-    for order in (0, 1):
-        count_grams(docs, model, order)
+    count_grams(docs, model)
     return model
 
 
