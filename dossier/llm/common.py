@@ -6,6 +6,10 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,9 +28,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; a temporary one only where none is set (tests)."""
+    """The folder of spark.checkpoint.dir, which all executors share; a temporary one only on a local master (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -53,9 +59,18 @@ def fresh(base: str, taken: Iterable[str]) -> str:
     return base
 
 
-def space_words(text: bytes | None) -> list[bytes]:
-    r"""Words `[^\x20\x09-\x0D]+` after A-Z are lower-cased; bytes.lower and bytes.split treat ASCII alone."""
-    return text.lower().split() if text else []
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    r"""Words `[^\x20\x09-\x0D]+` of lower-cased (A-Z) texts: hashes of the distinct ones, each word's place among those,
+    and each text's number of words. Null is as empty."""
+    split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, ""))))
+    words = split.flatten().dictionary_encode()
+    places, sizes = words.indices.to_numpy(), np.diff(split.offsets.to_numpy())
+    distinct = words.dictionary.cast(pa.binary()).to_pylist()
+    if b"" in distinct:  # a wordless text is split into one empty string
+        empty = places == distinct.index(b"")
+        sizes = sizes - np.add.reduceat(empty, split.offsets.to_numpy()[:-1] - split.offsets[0].as_py(), dtype=np.int32)
+        places = places[~empty]
+    return np.array([xxhash.xxh64_intdigest(w) for w in distinct], np.uint64), places, sizes
 
 
 def chunks(rows: Iterable, size, limit: int) -> Iterator[list]:

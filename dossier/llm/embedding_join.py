@@ -77,7 +77,7 @@ def placed(batches, cosine: float, bits: int, guests: bool = True):
                 out.append((rows, np.full(len(rows), block), cell, np.ones(len(rows), bool)))
                 for flips in range(1, 1 << g) if guests else ():
                     which = (flips >> np.arange(g)) & 1 == 1
-                    near = np.flatnonzero((x[:, which] ** 2).sum(axis=1) <= budget(cosine, b - a, int(dims)))
+                    near = np.flatnonzero((x[:, which] ** 2).sum(axis=1) <= budget(cosine, b - a, int(dims)) + MARGIN)
                     out.append((rows[near], np.full(len(near), block), cell[near] ^ flips, np.zeros(len(near), bool)))
             row, block, cell, home = (np.concatenate(c) for c in zip(*out, strict=True))
             if not guests:
@@ -127,7 +127,8 @@ def met(table: pa.Table, cosine: float) -> pa.Table:
     # Squared distances as one product: (x, |x|^2, 1) . (-2y, 1, |y|^2).
     square, one = (x * x).sum(axis=1, keepdims=True), np.ones((len(x), 1), np.float32)
     left, right = np.hstack([x, square, one]), np.hstack([-2 * x, one, square]).T.copy()
-    forest, rows, reach = Forest(), [], np.float32(budget(cosine, b - a, dims))
+    # Proposed by single precision with room for its error; which block a pair counts in is decided in double precision.
+    forest, rows, reach = Forest(), [], np.float32(budget(cosine, b - a, dims) + MARGIN)
     for at in range(0, len(home), TILE[0]):
         own = home[at : at + TILE[0]]
         near = [
@@ -143,9 +144,9 @@ def met(table: pa.Table, cosine: float) -> pa.Table:
         linked = np.einsum("ij,ij->i", exact[i], exact[j]) >= cosine
         i, j = i[linked], j[linked]
         first = np.ones(len(i), bool)
-        for c, d in edges[:block]:
-            y = turned[:, c:d].astype(np.float32)
-            first &= ((y[i] - y[j]) ** 2).sum(axis=1) > budget(cosine, d - c, dims)
+        for c, d in edges[: block + 1]:
+            inside = ((turned[i, c:d] - turned[j, c:d]) ** 2).sum(axis=1) <= budget(cosine, d - c, dims)
+            first &= inside if c == a else ~inside
         i, j = i[first], j[first]
         found, counts = np.unique(i, return_inverse=True)
         sums = np.bincount(counts, copies[j], len(found)).astype(np.int64) if len(found) else []

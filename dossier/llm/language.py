@@ -1,8 +1,8 @@
 """Language identification by prediction by partial matching over bytes.
 
 For each language, byte contexts of 0 to ORDER bytes hold the counts of the byte that follows, learned once from a sample
-(at most SAMPLE_DOCS whole documents of each language: the smallest hashes of doc_id among labelled training rows) and
-then frozen. A byte's exact code length is that of its longest context in which it was seen, plus an escape (method C:
+(at most SAMPLE_DOCS whole documents of each of the LANGUAGES most frequent ones: the smallest hashes of doc_id among
+labelled training rows, up to the one that makes SAMPLE_BYTES full) and then frozen. A byte's exact code length is that of its longest context in which it was seen, plus an escape (method C:
 distinct / (total + distinct)) for each longer known context, down to 8 bits for a byte never seen. A text gets the
 language of least total code length; the score is that language's posterior under equal priors.
 
@@ -20,12 +20,15 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks
 
 ORDER, SAMPLE_DOCS, FOLDS = 4, 400, 5
+#: Bounds of what is learned from: languages, and bytes of a language's texts.
+LANGUAGES, SAMPLE_BYTES = 512, 8 << 20
 #: Values of the sampling hash: far more than any table's rows, so that a share of them is met at every size.
 HASHES = 1 << 40
 CHUNK_BYTES = 1 << 20
@@ -139,15 +142,18 @@ def sample(docs: DataFrame, per_language: int) -> DataFrame:
     """lang, text of at most per_language rows of each language; rows that can't be among them are left before the sort."""
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("language"))
     named = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text", order.alias("order"))
-    counts = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    most = named.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    counts = {r["lang"]: r["n"] for r in most.collect()}
     if not counts:
         return named.select("lang", "text")
     share = F.create_map(
         *(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.5 * per_language / n + 40 / n)))
     )
     few = named.where((F.pmod("order", F.lit(HASHES)) / float(HASHES)) < F.try_element_at(share, "lang"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("order", F.lit(HASHES)), "order", "doc_id", "text"))
-    return few.withColumn("place", place).where(F.col("place") <= per_language).select("lang", "text")
+    placed = Window.partitionBy("lang").orderBy(F.pmod("order", F.lit(HASHES)), "order", "doc_id", "text")
+    first = few.withColumn("place", F.row_number().over(placed)).where(F.col("place") <= per_language)
+    before = F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    return first.withColumn("before", before).where(F.coalesce("before", F.lit(0)) < SAMPLE_BYTES).select("lang", "text")
 
 
 def train(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> Model:
@@ -209,15 +215,21 @@ def identify(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> DataFrame:
 
 
 def drop_unidentified(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> DataFrame:
-    """The documents that have a language, as they were; where no row teaches one, all that have a letter."""
+    """The documents that have a language; where no row teaches one, all that have a letter. A null lang becomes the
+    language found, if lang is a string; all else is as it was."""
     model = train(docs.where(~held_out()), per_language)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("lang") if dict(docs.dtypes).get("lang") == "string" else -1
 
     def run(batches):
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             if shared.value.languages:
-                keep = [x != "und" for x, _ in shared.value.predict(texts)]
+                found = [x for x, _ in shared.value.predict(texts)]
+                keep = [x != "und" for x in found]
+                if at >= 0 and batch.column(at).null_count:
+                    lang = pc.coalesce(batch.column(at), pa.array(found, batch.schema.field(at).type))
+                    batch = batch.set_column(at, batch.schema.field(at), lang)
             else:
                 keep = [bool(t and LETTER.search(t.decode("utf-8", "replace"))) for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))

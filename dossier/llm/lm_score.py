@@ -32,12 +32,11 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import hashed_words, shared_dir
 from .elias_fano import EliasFano
 from .near_dedup import mixed
 
@@ -79,17 +78,10 @@ class Tokens:
     @staticmethod
     def of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashes of distinct tokens of some texts, each token's place among them, and each text's number of them."""
-        split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, ""))))
-        words = split.flatten().dictionary_encode()
-        places, sizes = words.indices.to_numpy(), np.diff(split.offsets.to_numpy())
-        distinct = words.dictionary.cast(pa.binary()).to_pylist()
-        if b"" in distinct:  # wordless texts are split into one empty string
-            empty = distinct.index(b"")
-            sizes -= np.add.reduceat(places == empty, split.offsets.to_numpy()[:-1] - split.offsets[0].as_py())
-            places = places[places != empty]
-        hashes = np.array([xxhash.xxh64_intdigest(w) for w in [*distinct, END]], np.uint64)
+        hashes, places, sizes = hashed_words(texts)
+        hashes = np.append(hashes, np.uint64(word_hash(END)))
         sizes = sizes + 1
-        codes = np.full(int(sizes.sum()), len(distinct), np.int64)
+        codes = np.full(int(sizes.sum()), len(hashes) - 1, np.int64)
         words_at = np.ones(len(codes), bool)
         words_at[np.cumsum(sizes) - 1] = False
         codes[words_at] = places

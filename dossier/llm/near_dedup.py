@@ -24,11 +24,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, fresh, space_words, written
+from .common import chunks, fresh, hashed_words, written
 from .components import components
 
 SHINGLE, NUMERATOR, DENOMINATOR = 3, 85, 100
@@ -38,7 +37,7 @@ BINS = BANDS * ROWS
 PART, PART_SHINGLES = 512, 1 << 20
 #: Candidate documents up to which their ids are broadcast (8 bytes each); beyond it, they are joined by a shuffle.
 BROADCAST_IDS = 500_000
-CACHE_WORDS, CHUNK_BYTES = 1 << 19, 1 << 20
+CHUNK_BYTES = 1 << 22
 
 #: Row i: the order in which other bins are tried to fill bin i.
 FILL_ORDER = np.argsort(np.random.default_rng(20).random((BINS, BINS)), axis=1)
@@ -50,40 +49,26 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Shingles:
-    """Sorted sets of shingle hashes, with a cache of word hashes."""
-
-    def __init__(self, size: int = SHINGLE):
-        self.size, self.cache = size, {}
-
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        for w in set(words).difference(cache):
-            cache[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-
-    def __call__(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        split = [space_words(t) for t in texts]
-        flat = self.hashes([w for own in split for w in own])
-        out, at = [], 0
-        n = self.size
-        rolled = np.zeros(max(0, len(flat) - n + 1), np.uint64)
-        for k in range(n):
-            rolled = mixed(rolled ^ flat[k : len(flat) - n + 1 + k]) if len(rolled) else rolled
-        for own in split:
-            if len(own) >= n:
-                out.append(np.unique(rolled[at : at + len(own) - n + 1]))
-            elif own:
-                x = np.full(1, len(own), np.uint64)
-                for h in flat[at : at + len(own)]:
-                    x = mixed(x ^ h)
-                out.append(x)
-            else:
-                out.append(np.empty(0, np.uint64))
-            at += len(own)
-        return out
+def shingle_sets(texts: list[str | None], n: int = SHINGLE) -> list[np.ndarray]:
+    """Sorted sets of shingle hashes."""
+    hashes, places, sizes = hashed_words(pa.array(texts, pa.string()))
+    flat = hashes[places] if len(places) else np.empty(0, np.uint64)
+    out, at = [], 0
+    rolled = np.zeros(max(0, len(flat) - n + 1), np.uint64)
+    for k in range(n):
+        rolled = mixed(rolled ^ flat[k : len(flat) - n + 1 + k]) if len(rolled) else rolled
+    for size in sizes.tolist():
+        if size >= n:
+            out.append(np.unique(rolled[at : at + size - n + 1]))
+        elif size:
+            x = np.full(1, size, np.uint64)
+            for h in flat[at : at + size]:
+                x = mixed(x ^ h)
+            out.append(x)
+        else:
+            out.append(np.empty(0, np.uint64))
+        at += size
+    return out
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -113,10 +98,9 @@ def features(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, digest of the set (null if empty) and its bands (null if empty)."""
 
     def run(batches):
-        sets = Shingles(shingle)
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            found = [s for part in chunks(texts, lambda t: len(t or b"") + 64, CHUNK_BYTES) for s in sets(part)]
+            texts = batch.column("text").to_pylist()
+            found = [s for part in chunks(texts, lambda t: len(t or "") + 64, CHUNK_BYTES) for s in shingle_sets(part, shingle)]
             full = [k for k, s in enumerate(found) if len(s)]
             keys = band_keys(np.array([signature(found[k]) for k in full], np.uint64)) if full else []
             bands = [None] * len(found)
@@ -175,15 +159,12 @@ def confirm(roles: DataFrame, docs: DataFrame, count: int, shingle: int) -> Data
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(roles, "id")
 
     def run(table: pa.Table) -> pa.Table:
-        sets, rows = Shingles(shingle), {}
-        for i, side, text in zip(
-            *(table.column(c).to_pylist() for c in ("id", "side")), table.column("text").cast(pa.binary()).to_pylist(),
-            strict=True,
-        ):
+        rows = {}
+        for i, side, text in zip(*(table.column(c).to_pylist() for c in ("id", "side", "text")), strict=True):
             old = rows.get(i)
             rows[i] = (min(side, old[0]) if old else side, text)
         ids = sorted(rows, key=lambda i: (rows[i][0], i))
-        part = Part(ids, [s for c in chunks([rows[i][1] for i in ids], len, CHUNK_BYTES) for s in sets(c)])
+        part = Part(ids, [s for c in chunks([rows[i][1] for i in ids], len, CHUNK_BYTES) for s in shingle_sets(c, shingle)])
         if rows[ids[0]][0] == 0 and rows[ids[-1]][0] == 1 and table.column("centre")[0].as_py() == ids[0]:
             found = list(part.links(0))
         else:
