@@ -1,12 +1,12 @@
 r"""Language-model scores from an Elias-Fano trie of words, pairs and triples, kept as files per range of contexts.
 
 Every word of the training documents, and every pair and triple that occurs LEAST times there, is in the model, at any
-corpus size. Words are known by 64-bit hashes, a pair as a context by a hash of its words', a successor by 40 bits. Each
-level is dealt by ranges of its contexts' hashes, meant for about RANGE_BYTES of text each; a context of more than SPLIT
-occurrences (bounded by those of its rarest word) is dealt by its successors too, in parts. A range is one file in the
-shared folder: contexts as a monotone Elias-Fano sequence, monotone Elias-Fano pointers to each context's successors,
-which are sorted, and an 8-bit code of each successor's discounted probability. A look-up finds the context, follows its
-pointers, and searches the successor between them alone.
+corpus size. Words are known by 64-bit hashes, contexts by 56 bits (of a pair: of a hash of its words'), successors by 40
+bits. Each level is dealt by ranges of its contexts' hashes, meant for about RANGE_BYTES of text each; a context of more
+than SPLIT occurrences (bounded by those of its rarest word) is dealt by its successors too, in parts. A range is one file
+in the shared folder: contexts as a monotone Elias-Fano sequence, monotone Elias-Fano pointers to each context's successors,
+which are sorted, 8-bit codes of what each context leaves and of each successor's discounted probability. A look-up finds
+the context, follows its pointers, and searches the successor between them alone.
 
 Map tasks count the n-grams of some FLUSH tokens and send them as one array a range; the task of a range adds them up and
 writes its file. To score, a worker looks up the distinct n-grams of some FLUSH tokens in one file after the other, each
@@ -51,6 +51,8 @@ FLUSH = 1 << 19
 RANGE_BYTES, SPLIT = 1 << 23, 1 << 20
 #: Bits of a word's hash by which it is known as a successor.
 SUCCESSOR = 40
+#: Bits of a context's hash that are left out.
+DROPPED = np.uint64(8)
 
 
 def word_hash(word: bytes) -> int:
@@ -154,6 +156,7 @@ class Grams:
                 key[s] = pair_key(context[s], mixed(successor[s]) % parts[s].astype(np.uint64))
             self.keys, own, first = ranked(key)
             self.real, self.split = context[first], parts[first] > 1
+        self.keys = self.keys >> DROPPED << DROPPED
         low = 64 - max(1, len(self.keys).bit_length())
         small = successor >> np.uint64(64 - SUCCESSOR)
         packed = own.astype(np.uint64) << np.uint64(low) | small >> np.uint64(max(0, SUCCESSOR - low))
@@ -268,7 +271,9 @@ class Level:
             found = coded["key"].find(self.within(grams.keys[a:b]).astype(np.int64))
             there = np.flatnonzero(found >= 0)
             found = found[there]
-            count[a + there], left[a + there] = arrays["count"][found], arrays["left"][found]
+            left[a + there] = np.power(10.0, arrays["lefts"])[arrays["left"][found]]
+            if len(arrays["count"]):
+                count[a + there] = arrays["count"][found]
             of = np.full(b - a, -1)
             of[there] = np.arange(len(there))
             at, end = coded["pointer"].access(found), coded["pointer"].access(found + 1)
@@ -363,7 +368,7 @@ def count_words(train: DataFrame, model: Model):
         return pa.table({"distinct": [len(keys)], "total": [int(n.sum())]})
 
     rows = train.select("text").mapInArrow(count, "shard int, x0 binary, x1 binary")
-    rows = rows.groupBy("shard").applyInArrow(add, "distinct long, total long")
+    rows = rows.repartition(1 << level.bits, "shard").groupBy("shard").applyInArrow(add, "distinct long, total long")
     found = rows.agg(F.sum("distinct").alias("v"), F.sum("total").alias("n")).first()
     model.total = found["n"] or 0
     model.norm = model.total + (found["v"] or 0) + 1
@@ -392,14 +397,14 @@ def count_grams(train: DataFrame, model: Model):
 
         def columns(a, b):
             s = slice(ends[a], ends[b])
-            return (order, planes(grams.keys[a:b], 8), planes(totals[a:b], 4), planes(runs[a:b], 4), planes(small[s], SUCCESSOR // 8),
+            return (order, planes(grams.keys[a:b] >> DROPPED, 7), planes(totals[a:b], 4), planes(runs[a:b], 4), planes(small[s], SUCCESSOR // 8),
                     planes(n[s], 4), real[a:b].tobytes() if grams.split[a:b].any() else b"")
 
         return sent(levels[order], grams.keys, columns)
 
     def add(table: pa.Table) -> pa.Table:
         level = table.column("level")[0].as_py()
-        keys, back = np.unique(joined(table, "x0", 8), return_inverse=True)
+        keys, back = np.unique(joined(table, "x0", 7) << DROPPED, return_inverse=True)
         count = np.bincount(back, joined(table, "x1", 4)).astype(np.int64)
         low = 64 - max(1, len(keys).bit_length())
         own = np.repeat(back, joined(table, "x2", 4).astype(np.int64))
@@ -413,18 +418,19 @@ def count_grams(train: DataFrame, model: Model):
         taken = np.bincount(own, n, len(keys)).astype(float)
         some = np.flatnonzero(taken)  # contexts that have kept successors
         pointers = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(keys))[some])])
+        real = np.concatenate([np.frombuffer(x or bytes(8 * (len(k) // 7)), "<u8") for x, k in zip(
+            table.column("x5").to_pylist(), table.column("x0").to_pylist(), strict=True)])
+        of = np.zeros(len(keys), np.uint64)
+        of[back] = real
+        s = np.flatnonzero(of)
         code, values = quantised(np.log10(n / count[own]))
+        left, lefts = quantised(np.log10(np.maximum(1 - taken[some] / count[some], 1e-9)))
         if len(some):
+            counts = count[some] if len(s) else count[:0]  # of parts alone
             levels[level].put(table.column("shard")[0].as_py(), keys[some], {
-                "count": count[some].astype(np.min_scalar_type(count[some].max())),
-                "left": np.maximum(1 - taken[some] / count[some], 1e-9).astype(np.float32), "code": code, "table": values,
+                "count": counts.astype("<u4"), "left": left, "lefts": lefts, "code": code, "table": values,
                 "high": (small >> np.uint64(8)).astype(np.uint32), "low": small.astype(np.uint8),
             }, pointers)
-        real = np.concatenate([np.frombuffer(x or bytes(len(k)), "<u8") for x, k in zip(
-            table.column("x5").to_pylist(), table.column("x0").to_pylist(), strict=True)])
-        of = np.zeros(len(keys), np.uint64)
-        of[back] = real
-        s = np.flatnonzero(of)
         return pa.table({"level": np.full(len(s), level, np.int32), "real": of[s].view(np.int64), "count": count[s], "taken": taken[s]})
 
     def keep(table: pa.Table) -> pa.Table:
@@ -435,7 +441,8 @@ def count_grams(train: DataFrame, model: Model):
         return pa.table({"n": [len(keys)]})
 
     schema = "shard int, level int, " + ", ".join(f"x{k} binary" for k in range(6))
-    rows = train.select("text").mapInArrow(count, schema).groupBy("level", "shard")
+    rows = train.select("text").mapInArrow(count, schema)
+    rows = rows.repartition(2 << model.pairs.bits, "level", "shard").groupBy("level", "shard")
     rows = rows.applyInArrow(add, "level int, real long, count long, taken double")
     # Contexts of several parts, of which there are few: their whole counts.
     whole = rows.groupBy("level", "real").agg(F.sum("count").alias("count"), F.sum("taken").alias("taken"))
