@@ -8,7 +8,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -23,8 +23,8 @@ SENTINELS = [
     "자료없음", "해당없음", "없음", "-", "--", "―", "‐", "미기재", "미상",
     "n/a", "na", "none", "unknown", "not available", "not applicable", "tbd",
 ]
-#: Bracketed notes are taken away from the inside out, this many levels deep.
-NESTING = 8
+#: Fixed value: an innermost bracketed note.
+NOTE = r"\([^()]*\)|\[[^\[\]]*\]|（[^（）]*）"
 
 
 @F.pandas_udf(StringType())
@@ -47,11 +47,12 @@ def key(c: Column, fold=nfkc) -> Column:
 
 
 def product_name_key(c: Column, fold=nfkc) -> Column:
-    """A product's name without bracketed notes, list marks, white space and case."""
+    """A product's name without bracketed notes (from the inside out, however deep), list marks, white space and case."""
     s = fold(c)
-    for _ in range(NESTING):
-        s = F.regexp_replace(s, r"\([^()]*\)|\[[^\[\]]*\]|（[^（）]*）", "")
-    return F.lower(squash(F.regexp_replace(s, NAME_MARKS, "")))
+    closing = F.length(F.regexp_replace(s, r"[^)\]）]", ""))  # no more rounds than closing brackets can change anything
+    rounds = F.when(closing > 0, F.sequence(F.lit(1), closing)).otherwise(F.array().cast("array<int>"))
+    bare = F.aggregate(rounds, s, lambda acc, _: F.regexp_replace(acc, NOTE, ""))
+    return F.lower(squash(F.regexp_replace(bare, NAME_MARKS, "")))
 
 
 def cas_key(c: Column, fold=nfkc) -> Column:
@@ -74,6 +75,16 @@ def category_key(c: Column, fold=nfkc) -> Column:
     return out.when(digit != "", F.concat(F.lit("구분 "), digit, letter)).otherwise(q)
 
 
+def canonical_class(classes: DataFrame, aliases: DataFrame, column: str, fold=nfkc) -> DataFrame:
+    """Rows with `canonical` and `known`: the name that the alias table (raw, canonical) gives a class, by the key of either
+    (a later row wins for raw names, and these over canonical ones); a class that isn't there keeps its own, trimmed."""
+    rows = aliases.where("trim(canonical) <> ''").withColumn("row_no", F.monotonically_increasing_id())
+    named = lambda c, rank: rows.select(key(F.col(c), fold).alias("class_key"), F.struct(F.lit(rank), "row_no").alias("at"), strip(F.col("canonical")).alias("name"))
+    table = named("raw", 1).union(named("canonical", 0)).groupBy("class_key").agg(F.max_by("name", "at").alias("name"))
+    met = classes.withColumn("class_key", key(F.col(column), fold)).join(table, "class_key", "left").drop("class_key")
+    return met.withColumn("known", F.col("name").isNotNull()).withColumn("canonical", F.coalesce("name", strip(F.col(column)))).drop("name")
+
+
 def is_non_ghs(c: Column) -> Column:
     return F.coalesce(c.startswith(NON_GHS), F.lit(False))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .text import SECTION2, SECTION3, SECTION4, first_match
+
 ID = "^[A-Za-z0-9_-]+$"
 
 
@@ -59,10 +61,10 @@ def config_changes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def extraction_reason(pages: DataFrame, least: int = 200) -> DataFrame:
     """doc_id, reason of extracted texts: missing, too short, or without section 2, 3 or 4; null where all is there."""
-    head = lambda n: F.col("text").rlike(rf"(?m)^\s*{n}\s*[.)]")
-    reason = F.when(F.col("text").isNull(), "PDF_NOT_FOUND").when(F.length("text") < least, "TEXT_TOO_SHORT")
-    for n in (2, 3, 4):
-        reason = reason.when(~head(n), f"NOT_FOUND_SECTION{n}")
+    lines = F.split("text", "\n")
+    reason = F.when(F.col("text").isNull(), "PDF_NOT_FOUND").when(F.length(F.trim("text")) < least, "TEXT_TOO_SHORT")
+    for n, patterns in ((2, SECTION2), (3, SECTION3), (4, SECTION4)):
+        reason = reason.when(first_match(lines, patterns, F.lit(0)).isNull(), f"NOT_FOUND_SECTION{n}")
     return pages.select("doc_id", reason.alias("reason"))
 
 
@@ -76,3 +78,32 @@ def rename_plan(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links (doc_id, old, new) to make where a document's file has another name, and documents without an old file."""
     pair = new.select("doc_id", F.col("source_file").alias("new")).join(old.select("doc_id", F.col("source_file").alias("old")), "doc_id", "left")
     return pair.where("old is not null and old <> new").select("doc_id", "old", "new"), pair.where("old is null").select("doc_id", "new")
+
+
+def verify(sealed: DataFrame, current: DataFrame) -> DataFrame:
+    """kind, n_missing, n_extra, renamed of two manifests (kind, name, sha256): hashes are compared as bags; where those are
+    the same, names are looked at too."""
+    side = lambda df, n: df.groupBy("kind", "sha256").agg(F.count("*").alias(n))
+    bags = side(sealed, "a").join(side(current, "b"), ["kind", "sha256"], "full").na.fill(0, ["a", "b"])
+    n = bags.groupBy("kind").agg(
+        F.sum(F.greatest(F.col("a") - F.col("b"), F.lit(0))).alias("n_missing"), F.sum(F.greatest(F.col("b") - F.col("a"), F.lit(0))).alias("n_extra")
+    )
+    named = lambda df: df.select("kind", "name", "sha256")
+    moved = named(sealed).exceptAll(named(current)).groupBy("kind").agg(F.count("*").alias("moved"))
+    same = (F.col("n_missing") == 0) & (F.col("n_extra") == 0)
+    return n.join(moved, "kind", "left").select("kind", "n_missing", "n_extra", (same & F.col("moved").isNotNull()).alias("renamed"))
+
+
+def changed_hashes(report: DataFrame, current: DataFrame, name: str = "name") -> DataFrame:
+    """name, sha256, now of a report's files that are gone (now is null) or have other contents."""
+    now = current.select(name, F.col("sha256").alias("now"))
+    return report.select(name, "sha256").join(now, name, "left").where(~F.col("sha256").eqNullSafe(F.col("now")))
+
+
+def gate_violations(settings: DataFrame, required: DataFrame) -> DataFrame:
+    """run, name, value, wanted of runs' settings (run, name, value) that aren't as the gates (name, wanted) demand; a setting
+    that a run lacks has a null value."""
+    runs = settings.select("run").distinct()
+    demanded = runs.join(required)  # the gates are a fixed list of settings
+    met = demanded.join(settings, ["run", "name"], "left")
+    return met.where(~F.col("value").eqNullSafe(F.col("wanted"))).select("run", "name", "value", "wanted")

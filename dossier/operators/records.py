@@ -107,3 +107,38 @@ def percentiles(df: DataFrame, by: str, value: str, qs: list[int]) -> DataFrame:
         *(F.min(F.when(F.col("_upto") > at(q), F.col(value))).alias(f"p{q}") for q in qs),
         F.round(F.sum(F.col(value) * F.col("_n")) / F.sum("_n"), 6).alias("mean"), F.max(value).alias("max"),
     )
+
+
+def next_revisions(new: DataFrame, stored: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """New rows with the revisions that follow the stored ones of their keys."""
+    last = stored.groupBy(*keys).agg(F.max("revision").alias("last"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    return new.withColumn("place", place).join(last, keys, "left").withColumn("revision", (F.coalesce("last", F.lit(0)) + F.col("place")).cast("long")).drop("place", "last")
+
+
+def numbered(df: DataFrame, by: str, order: str) -> DataFrame:
+    """Rows with a number over all of them, by group and then by order; counts of the groups come first, so that no task
+    sees more than one group."""
+    before = df.groupBy(by).agg(F.count("*").alias("n"))
+    w = Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)  # groups are few (conditions)
+    before = before.select(by, F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy(by).orderBy(order))
+    return df.withColumn("number", within).join(before, by).withColumn("number", F.col("number") + F.col("before")).drop("before")
+
+
+def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """Rows in an order that depends on the seed and the key alone."""
+    return df.orderBy(F.xxhash64(F.lit(seed), key), key)
+
+
+def calibration(df: DataFrame, key: str, tokens: str, least: int, n: int, seed: int) -> DataFrame:
+    """The first n rows of a seeded order that have `least` tokens or more."""
+    return shuffled(df.where(F.col(tokens) >= least), key, seed).limit(n)
+
+
+def heads(df: DataFrame, by: str, order: str, value: str, n: int) -> DataFrame:
+    """by and the first n values of each group, joined by line ends; no more than n values of a group reach its array."""
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(order))
+    own = df.withColumn("rank", rank).where(F.col("rank") <= n)
+    values = F.transform(F.array_sort(F.collect_list(F.struct("rank", value))), lambda x: x[value])
+    return own.groupBy(by).agg(F.array_join(values, "\n").alias("values"))

@@ -1,14 +1,19 @@
-"""Rule checks: each returns findings (doc_id, seq, check_name, severity, code)."""
+"""The rule engine: nine checks, each of which returns findings (doc_id, seq, check_name, severity, code)."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.functions.chem import HCODE, cas_checksum_ok, cas_format_ok, content_lower, norm_phrase, split_hcodes
+from dossier.functions.chem import HCODE, cas_checksum_ok, cas_format_ok, content_lower, norm_phrase
+from dossier.functions.textnorm import is_sentinel, strip
 
-#: Order of severities and of document states.
+#: Order of severities and of checks, and the checks of consistency.
 SEVERITIES = ["error", "warning", "info"]
+CHECKS = ["schema", "empty_value", "not_found", "evidence", "cas", "hcode", "phrase_to_hcode", "ghs_signal_hcode_consistency", "content_sum"]
+CONSISTENCY = ["ghs_signal_hcode_consistency", "phrase_to_hcode"]
 
 
 def finding(df: DataFrame, check: str, severity: Column | str, code: Column | str) -> DataFrame:
@@ -33,30 +38,67 @@ def check_hcode(statements: DataFrame, phrases: DataFrame) -> DataFrame:
     return finding(found, "hcode", F.when(F.col("bad") == "HCODE_FORMAT_INVALID", "error").otherwise("warning"), F.col("bad"))
 
 
-def check_phrase(statements: DataFrame, phrases: DataFrame) -> DataFrame:
-    found = statements.join(phrases, "code").where(norm_phrase(F.col("text")) != norm_phrase(F.col("phrase")))
-    return finding(found, "phrase_to_hcode", "error", "HCODE_PHRASE_MISMATCH")
+def check_schema(violations: DataFrame) -> DataFrame:
+    """A finding for each error (doc_id, loc, type) of a record's structure."""
+    return finding(violations, "schema", "error", "SCHEMA_FIELD_INVALID")
 
 
-def check_signal(classes: DataFrame, statements: DataFrame, signals: DataFrame, dim: DataFrame) -> DataFrame:
-    """Classes against the lookup table, their expected codes against the statements, and the strongest signal word."""
-    rank = lambda c: F.when(c == "위험", 2).when(c == "경고", 1).otherwise(0)
-    stated = statements.select("doc_id", F.explode(split_hcodes(F.col("code"))).alias("code")).groupBy("doc_id").agg(
-        F.collect_set("code").alias("stated")
-    )
-    looked_up = classes.join(F.broadcast(dim.withColumnRenamed("signal_word", "expected_word")), ["hazard_class", "category"], "left")
-    joined = looked_up.join(stated, "doc_id", "left")
-    unknown = finding(joined.where("codes is null"), "ghs_signal_hcode_consistency", "info", "CLASSIFICATION_NOT_IN_TABLE")
-    none = ~F.arrays_overlap(F.split("codes", r"\|"), F.coalesce("stated", F.array().cast("array<string>")))
-    missing = finding(
-        joined.where("codes is not null").where(none), "ghs_signal_hcode_consistency", "error", "HCODE_MISSING_FOR_CLASSIFICATION"
+def check_empty(values: DataFrame) -> DataFrame:
+    """Values (doc_id, name, value, source_status) that are said to be there and are blank or a word for none."""
+    suspect = values.where((F.col("source_status") == "기재") & F.col("value").isNotNull() & is_sentinel(F.col("value")))
+    return finding(suspect, "empty_value", "warning", "EMPTY_VALUE_SUSPECT")
+
+
+def check_not_found(located: DataFrame) -> DataFrame:
+    """Values (doc_id, found) that their source text lacks."""
+    return finding(located.where("not found"), "not_found", "warning", "VALUE_NOT_FOUND_IN_SOURCE")
+
+
+def check_source(docs: DataFrame, sources: DataFrame) -> DataFrame:
+    """Documents without a source text (doc_id, text): their evidence is skipped."""
+    own = docs.select("doc_id").join(sources.where("text <> ''").select("doc_id"), "doc_id", "left_anti")
+    return finding(own, "evidence", "info", "EVIDENCE_SKIPPED_NO_SOURCE")
+
+
+def check_phrase(statements: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Statements whose text is none of the phrases (code, phrase) accepted for their code."""
+    accepted = phrases.groupBy("code").agg(F.collect_set(norm_phrase(F.col("phrase"))).alias("accepted"))
+    found = statements.where(F.col("text").isNotNull()).join(accepted, "code")
+    return finding(found.where(~F.array_contains("accepted", norm_phrase(F.col("text")))), "phrase_to_hcode", "error", "HCODE_PHRASE_MISMATCH")
+
+
+def codes_by_phrase(phrases: DataFrame) -> DataFrame:
+    """phrase, code: the first code, in the table's order (row_no), that has each phrase."""
+    return phrases.groupBy(strip(F.col("phrase")).alias("phrase")).agg(F.min_by("code", "row_no").alias("code"))
+
+
+def actual_codes(statements: DataFrame, phrases: DataFrame) -> DataFrame:
+    """doc_id, code: the parts of each statement's code; of a statement without one, the code that its text is a phrase of."""
+    own = statements.where("code <> ''").select("doc_id", F.explode(F.split("code", r"\+")).alias("code"))
+    bare = statements.where("coalesce(code, '') = ''").select("doc_id", strip(F.col("text")).alias("phrase"))
+    return own.union(bare.join(codes_by_phrase(phrases), "phrase").select("doc_id", "code")).distinct()
+
+
+def check_signal(classes: DataFrame, statements: DataFrame, signals: DataFrame, dim: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Classes against the lookup table (hazard_class, category, signal_word, codes), their expected codes against the
+    statements' and these against them, and the strongest expected signal word against the document's."""
+    check, rank = "ghs_signal_hcode_consistency", F.when(F.col("expected_word") == "위험", 2).when(F.col("expected_word") == "경고", 1).otherwise(0)
+    stated = actual_codes(statements, phrases).groupBy("doc_id").agg(F.collect_set("code").alias("stated"))
+    looked_up = classes.join(dim.withColumnRenamed("signal_word", "expected_word"), ["hazard_class", "category"], "left")
+    unknown = finding(looked_up.where("codes is null"), check, "info", "CLASSIFICATION_NOT_IN_TABLE")
+    known = looked_up.where("codes is not null").withColumn("expected", F.split("codes", r"\|"))
+    none = F.coalesce("stated", F.array().cast("array<string>"))
+    missing = known.join(stated, "doc_id", "left").where("codes <> ''").where(~F.arrays_overlap("expected", none))
+    per_doc = known.groupBy("doc_id").agg(F.max(rank).alias("want"), F.array_distinct(F.flatten(F.collect_set("expected"))).alias("expected"))
+    per_doc = per_doc.join(stated, "doc_id", "left").join(signals.select("doc_id", "signal_word"), "doc_id", "left")
+    expected_word = F.when(F.col("want") == 2, "위험").when(F.col("want") == 1, "경고")
+    word = per_doc.where(~F.col("signal_word").eqNullSafe(expected_word))
+    unexplained = per_doc.where(F.size(F.array_except(none, "expected")) > 0)
+    return (
+        unknown.union(finding(missing, check, "error", "HCODE_MISSING_FOR_CLASSIFICATION"))
+        .union(finding(unexplained, check, "error", "HCODE_MISSING_FOR_CLASSIFICATION"))
+        .union(finding(word, check, "error", "SIGNAL_WORD_MISMATCH"))
     )
-    strongest = looked_up.where("codes is not null").groupBy("doc_id").agg(F.max(rank(F.col("expected_word"))).alias("want"))
-    word = finding(
-        strongest.join(signals, "doc_id").where(F.col("want") != rank(F.col("signal_word"))),
-        "ghs_signal_hcode_consistency", "error", "SIGNAL_WORD_MISMATCH",
-    )
-    return unknown.union(missing).union(word)
 
 
 def check_content_sum(ingredients: DataFrame) -> DataFrame:
@@ -66,11 +108,37 @@ def check_content_sum(ingredients: DataFrame) -> DataFrame:
     return unread.union(finding(total, "content_sum", "error", "CONTENT_SUM_EXCEEDS_100"))
 
 
+def all_checks(
+    *, violations: DataFrame, values: DataFrame, located: DataFrame, docs: DataFrame, sources: DataFrame, ingredients: DataFrame,
+    classes: DataFrame, statements: DataFrame, signals: DataFrame, dim: DataFrame, phrases: DataFrame,
+) -> DataFrame:
+    """The findings of all nine checks."""
+    return reduce(
+        DataFrame.union,
+        [
+            check_schema(violations), check_empty(values), check_not_found(located), check_source(docs, sources), check_cas(ingredients),
+            check_hcode(statements, phrases), check_phrase(statements, phrases), check_signal(classes, statements, signals, dim, phrases),
+            check_content_sum(ingredients),
+        ],
+    )
+
+
 def status(findings: DataFrame, docs: DataFrame) -> DataFrame:
-    """Each document's state, by its gravest finding, and its numbers of findings by severity."""
-    n = findings.groupBy("doc_id").agg(*(F.count_if(F.col("severity") == s).alias(f"n_{s}") for s in SEVERITIES))
+    """Each document's state and its numbers of findings by severity. An error of structure is graver than one of
+    consistency, and that than any other error or warning."""
+    is_error = F.col("severity") == "error"
+    n = findings.groupBy("doc_id").agg(
+        *(F.count_if(F.col("severity") == s).alias(f"n_{s}") for s in SEVERITIES),
+        F.max(is_error & (F.col("check_name") == "schema")).alias("broken"), F.max(is_error & F.col("check_name").isin(CONSISTENCY)).alias("odd"),
+    )
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    counts = docs.select("doc_id").join(n, "doc_id", "left").select("doc_id", *(zero(F.col(f"n_{s}")).alias(f"n_{s}") for s in SEVERITIES))
-    return counts.withColumn(
-        "status", F.when(F.col("n_error") > 0, "INCONSISTENT").when(F.col("n_warning") > 0, "NEEDS_REVIEW").otherwise("OK")
-    )
+    state = F.when(F.col("broken"), "SCHEMA_ERROR").when(F.col("odd"), "INCONSISTENT").when(F.col("n_error") + F.col("n_warning") > 0, "NEEDS_REVIEW").otherwise("OK")
+    return docs.select("doc_id").join(n, "doc_id", "left").select("doc_id", *(zero(F.col(f"n_{s}")).alias(f"n_{s}") for s in SEVERITIES), state.alias("status"))
+
+
+def in_order(findings: DataFrame) -> DataFrame:
+    """doc_id and its findings' codes, by severity, then by check, then by place."""
+    at = lambda names, c: F.array_position(F.array(*map(F.lit, names)), F.col(c))
+    row = F.struct(at(SEVERITIES, "severity").alias("s"), at(CHECKS, "check_name").alias("c"), F.coalesce("seq", F.lit(0)).alias("seq"), "code")
+    codes = F.transform(F.array_sort(F.collect_list(row)), lambda x: x["code"])
+    return findings.groupBy("doc_id").agg(F.array_join(codes, ",").alias("codes"))

@@ -62,34 +62,38 @@ def win_loss_tie(a: DataFrame, b: DataFrame, key: str, by: list[str], value: str
     )
 
 
+#: Tasks that share the repeats of one subset.
+SLICES = 16
+
+
 def bootstrap_interval(groups: DataFrame, by: str, group: str, total: str, size: str, n_boot: int, seed: int = 42) -> DataFrame:
     """Percentile interval of sum(total) / sum(size) when whole groups are drawn with replacement; null for one group.
 
-    Draws come from integer arithmetic on (seed, repeat, place), so that they are the same anywhere. Groups are few (an
-    aggregate), and the repeats, not the documents, are what is dealt out."""
-    n = F.count("*").over(Window.partitionBy(by)).cast("long")
-    place = F.row_number().over(Window.partitionBy(by).orderBy(group)).cast("long") - 1
-    numbered = groups.select(by, total, size, place.alias("idx"), n.alias("g"))
-    repeats = numbered.where("idx = 0").select(by, "g", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("boot"))
-    places = repeats.select(by, "g", "boot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)).alias("k"))
-    x = F.col("boot").cast("long") * 40503 + F.col("k") * 65599 + seed * 97
-    y = (x * 1103515245 + 12345) % 2147483648
-    drawn = places.select(by, "boot", F.pmod(F.floor(y / 65536).cast("long"), F.col("g")).alias("idx"))
-    stat = drawn.join(numbered, [by, "idx"]).groupBy(by, "boot").agg(
-        (F.sum(total).cast("double") / F.sum(size).cast("double")).alias("stat"), F.first("g").alias("g")
-    )
-    rank = F.row_number().over(Window.partitionBy(by).orderBy("stat", "boot")) - 1
+    Each repeat draws as many groups as there are; a draw is a 64-bit hash of (seed, repeat, place) modulo their number, so
+    results are the same anywhere. Groups are an aggregate (a pair of numbers each); a subset's are one array, which goes to
+    SLICES tasks that each work out their share of the repeats, so that no draw is a row."""
+    pairs = F.struct(group, F.col(total).cast("double").alias("t"), F.col(size).cast("double").alias("n"))
+    own = groups.groupBy(by).agg(F.array_sort(F.collect_list(pairs)).alias("_groups"))
+    sliced = own.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)))).repartition(by, "_slice")
+    repeats = sliced.withColumn("_boot", F.explode(F.sequence(F.col("_slice"), F.lit(n_boot + SLICES), F.lit(SLICES)))).where(F.col("_boot") < n_boot)
+    many = F.size("_groups")
+    drawn = F.transform(F.sequence(F.lit(0), many - 1), lambda k: F.get("_groups", F.pmod(F.xxhash64(F.lit(seed), F.col("_boot"), k), many).cast("int")))
+    zero = F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("n"))
+    stat = F.aggregate(drawn, zero, lambda a, x: F.struct((a["t"] + x["t"]).alias("t"), (a["n"] + x["n"]).alias("n")), lambda a: a["t"] / a["n"])
+    stats = repeats.select(by, stat.alias("_stat"), many.alias("_many"))
     lo, hi = int(0.025 * n_boot), min(n_boot - 1, int(0.975 * n_boot))
-    return stat.withColumn("rank", rank).groupBy(by).agg(
-        F.round(F.max(F.when((F.col("rank") == lo) & (F.col("g") > 1), F.col("stat"))), 6).alias("ci_low"),
-        F.round(F.max(F.when((F.col("rank") == hi) & (F.col("g") > 1), F.col("stat"))), 6).alias("ci_high"),
-    )
+    ordered = stats.groupBy(by).agg(F.array_sort(F.collect_list("_stat")).alias("_stats"), F.max("_many").alias("_many"))
+    at = lambda k: F.when(F.col("_many") > 1, F.round(F.get("_stats", F.lit(k)), 6))
+    return ordered.select(by, at(lo).alias("ci_low"), at(hi).alias("ci_high"))
 
 
-def conclusion(lo: Column, hi: Column) -> Column:
+def conclusion(lo: Column, hi: Column, worsened: Column | None = None) -> Column:
+    """What an interval of differences says; an advantage isn't claimed where fields that may not get worse did."""
+    worse = F.lit(False) if worsened is None else F.coalesce(worsened, F.lit(False))
     return (
-        F.when(lo.isNull() | hi.isNull(), "undecided").when(lo > 0, "better").when(hi < 0, "worse").otherwise("no difference")
-    )
+        F.when(lo.isNull() | hi.isNull(), "undecided").when((lo > 0) & worse, "better but worsened").when(lo > 0, "better")
+        .when(hi < 0, "worse").otherwise("no difference")
+    )
 
 
 #: Outcomes of a document, and those that may not get worse.
@@ -103,6 +107,137 @@ def with_missing(gold: DataFrame, pred: DataFrame, key: str) -> DataFrame:
     )
 
 
+#: Families of precision and recall, single hits, and the order of a report's metrics.
+FAMILIES = ["ghs", "hcode", "htext", "cas", "pair", "nocas"]
+HITS = ["product_name", "signal_word", "ghs_status", "hazard_status"]
+METRICS = [
+    "n_docs", "n_missing_output", "parse_rate", "schema_rate", *(f"{h}_acc" for h in HITS), *(f"{f}_{m}" for f in FAMILIES for m in ("p", "r", "f1")),
+    "content_acc", "doc_exact_rate", "doc_exact_ext_rate", "fab_hcode_n", "fab_hcode_docs", "fab_ghs_docs", "fab_cas_n", "fab_any_docs",
+    "misplace_ke_n", "misplace_content_n", "gen_time_mean_s", "input_tokens_mean", "output_tokens_mean", "n_hit_max_new_tokens",
+]
+#: The outcomes of a paired comparison.
+OUTCOMES = [
+    "parse_rate", "schema_rate", "product_name_acc", "signal_word_acc", "ghs_classification", "hazard_statements", "cas", "pair", "nocas",
+    "doc_exact", "doc_exact_ext",
+]
+
+
+def by_document(runs: DataFrame, families: dict[str, DataFrame], extra: DataFrame) -> DataFrame:
+    """One row a document: the run's flags and hits, each family's counts (0 where it has no rows), `extra`'s numbers
+    (fab_hcode, fab_ghs, fab_cas, ke_misplaced, content_misplaced, cas_paired), and `exact` and `exact_ext`.
+
+    The families are gathered as rows and turned into columns by one aggregation."""
+    rows = None
+    for name, counts in families.items():
+        own = counts.select("doc_id", F.lit(name).alias("family"), "tp", "fp", "fn")
+        rows = own if rows is None else rows.union(own)
+    of = lambda f, c: F.sum(F.when(F.col("family") == f, F.col(c)).otherwise(0)).alias(f"{f}_{c}")
+    wide = rows.groupBy("doc_id").agg(*(of(f, c) for f in families for c in ("tp", "fp", "fn")))
+    out = runs.join(wide, "doc_id", "left").join(extra, "doc_id", "left").na.fill(0)
+    right = lambda f: F.col(f"{f}_fp") + F.col(f"{f}_fn") == 0
+    exact = F.col("parsed") & F.col("schema_ok")
+    for h in HITS:
+        exact = exact & F.col(h)
+    for f in ("ghs", "hcode", "htext", "cas", "pair"):
+        exact = exact & right(f)
+    ext = F.col("exact") & right("nocas") & (F.col("ke_misplaced") + F.col("content_misplaced") == 0)
+    return out.withColumn("exact", exact).withColumn("exact_ext", ext)
+
+
+def report(docs: DataFrame, by: str) -> DataFrame:
+    """by, metric, value (null where there is nothing to measure), place in the report, of the rows of `by_document`."""
+    n, total = (lambda c: F.count_if(F.col(c))), (lambda c: F.sum(c))
+    made = ~F.col("skipped")
+    mean = lambda c: F.avg(F.when(made, F.col(c)))
+    rate = lambda c: F.avg(F.col(c).cast("double"))
+    sums = docs.groupBy(by).agg(
+        F.count("*").alias("n_docs"), F.count_if(~F.col("has_output")).alias("n_missing_output"), rate("parsed").alias("parse_rate"),
+        rate("schema_ok").alias("schema_rate"), *(rate(h).alias(f"{h}_acc") for h in HITS),
+        *(total(f"{f}_{c}").alias(f"{f}_{c}") for f in FAMILIES for c in ("tp", "fp", "fn")), total("cas_paired").alias("cas_paired"),
+        rate("exact").alias("doc_exact_rate"), rate("exact_ext").alias("doc_exact_ext_rate"), total("fab_hcode").alias("fab_hcode_n"),
+        F.count_if(F.col("fab_hcode") > 0).alias("fab_hcode_docs"), F.count_if(F.col("fab_ghs") > 0).alias("fab_ghs_docs"),
+        total("fab_cas").alias("fab_cas_n"), F.count_if(F.col("fab_hcode") + F.col("fab_ghs") + F.col("fab_cas") > 0).alias("fab_any_docs"),
+        total("ke_misplaced").alias("misplace_ke_n"), total("content_misplaced").alias("misplace_content_n"),
+        mean("gen_time").alias("gen_time_mean_s"), mean("input_tokens").alias("input_tokens_mean"),
+        mean("output_tokens").alias("output_tokens_mean"), n("hit_max").alias("n_hit_max_new_tokens"),
+    )
+    for f in FAMILIES:
+        tp, fp, fn = (F.col(f"{f}_{c}") for c in ("tp", "fp", "fn"))
+        some = lambda x: F.when(tp + fp + fn > 0, F.coalesce(x, F.lit(0.0)))  # noqa: B023, E731
+        sums = sums.withColumns({f"{f}_p": some(ratio(tp, tp + fp)), f"{f}_r": some(ratio(tp, tp + fn)), f"{f}_f1": f1(tp, fp, fn)})
+    sums = sums.withColumn("content_acc", ratio(F.col("pair_tp"), F.col("cas_paired")))
+    doubles = sums.select(by, *(F.round(F.col(m).cast("double"), 6).alias(m) for m in METRICS))
+    place = F.array_position(F.array(*map(F.lit, METRICS)), F.col("metric")).cast("int")
+    return doubles.unpivot([by], METRICS, "metric", "value").withColumn("place", place)
+
+
+def outcomes(docs: DataFrame) -> DataFrame:
+    """doc_id and the eleven outcomes, 0 or 1, of the rows of `by_document`; a list field is right only with its state."""
+    right = lambda f: F.col(f"{f}_fp") + F.col(f"{f}_fn") == 0
+    flags = {
+        "parse_rate": F.col("parsed"), "schema_rate": F.col("parsed") & F.col("schema_ok"), "product_name_acc": F.col("product_name"),
+        "signal_word_acc": F.col("signal_word"), "ghs_classification": right("ghs") & F.col("ghs_status"),
+        "hazard_statements": right("hcode") & right("htext") & F.col("hazard_status"), "cas": right("cas"), "pair": right("pair"),
+        "nocas": right("nocas"), "doc_exact": F.col("exact"), "doc_exact_ext": F.col("exact_ext"),
+    }
+    return docs.select("doc_id", *(flags[k].cast("int").alias(k) for k in OUTCOMES))
+
+
+def paired(a: DataFrame, b: DataFrame, groups: DataFrame, n_boot: int, seed: int = 42) -> DataFrame:
+    """subset, metric, win, loss, tie, mean_diff, n_docs, n_groups, ci_low, ci_high of outcomes a less b, for `all` and, where
+    there are several, for each subset; groups: doc_id, subset, grp. Both sides must have the same documents."""
+    both = a.unpivot(["doc_id"], OUTCOMES, "metric", "x").join(b.unpivot(["doc_id"], OUTCOMES, "metric", "y"), ["doc_id", "metric"])
+    own = both.join(groups, "doc_id")
+    several = groups.agg(F.countDistinct("subset").alias("n")).where("n > 1").select(F.lit(True).alias("several"))
+    every = own.withColumn("subset", F.lit("all")).unionByName(own.join(several).drop("several"))
+    every = every.withColumn("key", F.concat_ws("\x00", "subset", "metric")).withColumn("diff", F.col("x") - F.col("y"))
+    sums = every.groupBy("key", "grp").agg(
+        F.sum("diff").alias("t"), F.count("*").alias("n"), F.count_if(F.col("diff") > 0).alias("win"), F.count_if(F.col("diff") < 0).alias("loss")
+    )
+    totals = sums.groupBy("key").agg(
+        F.sum("win").alias("win"), F.sum("loss").alias("loss"), F.sum("n").alias("n_docs"), F.count("*").alias("n_groups"),
+        F.round(F.sum("t") / F.sum("n"), 6).alias("mean_diff"),
+    )
+    found = totals.join(bootstrap_interval(sums, "key", "grp", "t", "n", n_boot, seed), "key")
+    parts = F.split("key", "\x00")
+    return found.select(
+        parts[0].alias("subset"), parts[1].alias("metric"), "win", "loss", (F.col("n_docs") - F.col("win") - F.col("loss")).alias("tie"),
+        "mean_diff", "n_docs", "n_groups", "ci_low", "ci_high",
+    )
+
+
+def average_f1(report_: DataFrame, base: str) -> DataFrame:
+    """condition, average (of the F1 of identifiers, pairs and codes), delta against the base condition; rows (condition,
+    metric, value); null unless all three are there."""
+    names = ["cas_f1", "pair_f1", "hcode_f1"]
+    own = report_.where(F.col("metric").isin(names)).groupBy("condition").agg(F.count("value").alias("n"), (F.sum("value") / 3).alias("average"))
+    own = own.select("condition", F.when(F.col("n") == 3, F.col("average")).alias("average"))
+    first = own.where(F.col("condition") == base).select(F.col("average").alias("base"))
+    return own.join(first, how="left").select("condition", F.round("average", 6).alias("average"), F.round(F.col("average") - F.col("base"), 6).alias("delta"))
+
+
+def shown(value: Column, metric: Column) -> Column:
+    """A report's text of a value: a dash for none; counts and tokens whole, with commas; seconds and means with one digit;
+    rates with three at most."""
+    whole = metric.rlike("(_n|_docs)$") | metric.startswith("n_") | metric.contains("tokens")
+    digits = lambda k: F.replace(F.format_number(value, k), F.lit(","), F.lit(""))  # noqa: E731  (half to even, of the exact value)
+    plain = F.regexp_replace(F.regexp_replace(digits(3), "0+$", ""), r"\.$", "")
+    return (
+        F.when(value.isNull(), "—").when(whole, F.format_number(value, 0)).when(metric.rlike("(_s|_mean)$") | value.isin(0.0, 1.0), digits(1)).otherwise(plain)
+    )
+
+
+def markdown(wide: DataFrame, metric: str, conditions: list[str]) -> DataFrame:
+    """line_no, line of a Markdown table of a comparison (metric, one column a condition), in order of the metric's name."""
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", metric, *(shown(F.col(c), F.col(metric)) for c in conditions)), F.lit(" |"))
+    head = ["| " + " | ".join(["metric", *conditions]) + " |", "|" + "---|" * (len(conditions) + 1)]
+    spark = wide.sparkSession
+    body = wide.select(F.lit(2).alias("part"), F.col(metric).alias("at"), row.alias("line"))
+    top = spark.createDataFrame([(k, "", x) for k, x in enumerate(head)], "part int, at string, line string")
+    order = Window.orderBy("part", "at")  # a report has few rows
+    return top.union(body).select(F.row_number().over(order).alias("line_no"), "line")
+
+
 def document_outcomes(docs: DataFrame, families: dict[str, DataFrame], key: str) -> DataFrame:
     """key, one flag a family (no false positive, no false negative; so no rows at all are right), and `exact`: all of them,
     with a prediction there. docs: key, has_prediction."""

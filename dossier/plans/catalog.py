@@ -10,7 +10,7 @@ from dossier.operators import records, rules, scoring, text
 from .fixtures import fixture, with_fixtures
 
 REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
-N_BOOT = 200
+N_BOOT = 10_000
 QUERY_VECTOR = [((7 * i) % 11 - 5) / 5 for i in range(64)]
 
 QUERIES, ORACLES = {}, {}
@@ -59,7 +59,8 @@ def metrics_long_unpivot(s, d):
 @query("WITH " + CAS_SETS + ", m AS (" + MICRO + """), l AS (SELECT subset, 'tp' AS metric, CAST(tp AS DOUBLE) AS value FROM m UNION ALL SELECT subset, 'f1', f1 FROM m)
 SELECT metric, """ + ", ".join(f"""MAX(CASE WHEN subset = '{r}' THEN value END) AS "{r}" """ for r in REGIONS) + " FROM l GROUP BY metric")
 def compare_pivot(s, d):
-    return scoring.wide_metrics(metrics_long_unpivot(s, d).where("metric in ('tp', 'f1')"), "subset", REGIONS)
+    regions = [r[0] for r in table(s, d, "region").select("r_name").orderBy("r_name").collect()]  # a dimension of few rows
+    return scoring.wide_metrics(metrics_long_unpivot(s, d).where("metric in ('tp', 'f1')"), "subset", regions)
 
 
 KEY = r"""CASE WHEN content IS NULL THEN 'null' WHEN LEN(n) = 2 THEN 'P:' || least(n[1], n[2]) || ':' || greatest(n[1], n[2])
@@ -100,9 +101,14 @@ def content_parse_minmax(s, d):
     return c.select("content", b["lo"].alias("lo"), b["hi"].alias("hi"), chem.content_lower(F.col("content")).alias("lower_bound"))
 
 
-@query("""SELECT CASE WHEN NOT regexp_full_match(cas, '[0-9]{2,7}-[0-9]{2}-[0-9]') THEN 'CAS_FORMAT_INVALID' ELSE 'ok' END AS code, COUNT(*) AS n FROM fx_pred_ing WHERE cas IS NOT NULL GROUP BY 1""")
+CAS_SQL = """SELECT doc_id, seq, 'cas' AS check_name, 'error' AS severity, CASE WHEN NOT regexp_full_match(cas, '[0-9]{2,7}-[0-9]{2}-[0-9]') THEN 'CAS_FORMAT_INVALID' ELSE 'CAS_CHECKSUM_INVALID' END AS code
+ FROM (SELECT *, reverse(replace(cas, '-', '')) AS r FROM {t} WHERE cas IS NOT NULL) WHERE NOT regexp_full_match(cas, '[0-9]{2,7}-[0-9]{2}-[0-9]')
+ OR list_sum(list_transform(range(2, length(r) + 1), lambda k: (k - 1) * CAST(r[k] AS BIGINT))) % 10 <> CAST(r[1] AS BIGINT)"""
+
+
+@query("WITH b AS (" + CAS_SQL.replace("{t}", "fx_typo_cas") + """) SELECT COALESCE(b.code, 'ok') AS code, COUNT(*) AS n FROM fx_typo_cas c LEFT JOIN b ON c.doc_id = b.doc_id AND c.seq = b.seq WHERE c.cas IS NOT NULL GROUP BY 1""")
 def cas_checksum_audit(s, d):
-    own = fixture(s, d, "fx_pred_ing").where("cas is not null")
+    own = fixture(s, d, "fx_typo_cas").where("cas is not null")
     bad = rules.check_cas(own).select("doc_id", "seq", "code")
     return own.select("doc_id", "seq").join(bad, ["doc_id", "seq"], "left").groupBy(F.coalesce("code", F.lit("ok")).alias("code")).agg(F.count("*").alias("n"))
 
@@ -142,17 +148,7 @@ def paired_win_loss_tie(s, d):
     return scoring.win_loss_tie(n("fx_gold_ing").join(fixture(s, d, "fx_doc"), "doc_id"), n("fx_pred_ing"), "doc_id", ["subset", "grp"], "v")
 
 
-BOOT = f"""WITH {OUTCOMES}, g AS (SELECT subset, grp, SUM(y - x) AS t, COUNT(*) AS n FROM x JOIN y ON x.doc_id = y.doc_id JOIN fx_doc d ON x.doc_id = d.doc_id GROUP BY subset, grp),
-i AS (SELECT subset, t, n, ROW_NUMBER() OVER (PARTITION BY subset ORDER BY grp) - 1 AS idx, COUNT(*) OVER (PARTITION BY subset) AS g FROM g),
-b AS (SELECT subset, g, unnest(range(0, {N_BOOT})) AS boot FROM i WHERE idx = 0), k AS (SELECT subset, g, boot, unnest(range(0, g)) AS k FROM b),
-w AS (SELECT subset, boot, g, CAST(FLOOR((((boot * 40503 + k * 65599 + 42 * 97) * 1103515245 + 12345) % 2147483648) / 65536) AS BIGINT) % g AS idx FROM k),
-s AS (SELECT w.subset, boot, MAX(w.g) AS g, CAST(SUM(t) AS DOUBLE) / SUM(n) AS stat FROM w JOIN i ON w.subset = i.subset AND w.idx = i.idx GROUP BY w.subset, boot),
-r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY subset ORDER BY stat, boot) - 1 AS rank FROM s),
-ci AS (SELECT subset, ROUND(MAX(stat) FILTER (rank = {int(0.025 * N_BOOT)} AND g > 1), 6) AS ci_low, ROUND(MAX(stat) FILTER (rank = {int(0.975 * N_BOOT)} AND g > 1), 6) AS ci_high FROM r GROUP BY subset)
-SELECT subset, ci_low, ci_high, CASE WHEN ci_low IS NULL OR ci_high IS NULL THEN 'undecided' WHEN ci_low > 0 THEN 'better' WHEN ci_high < 0 THEN 'worse' ELSE 'no difference' END AS conclusion FROM ci"""
-
-
-@query(BOOT)
+@query()
 def group_bootstrap_ci(s, d):
     n = lambda t, v: fixture(s, d, t).where("cas is not null").groupBy("doc_id").agg(F.count("*").alias(v))
     both = n("fx_gold_ing", "x").join(n("fx_pred_ing", "y"), "doc_id").join(fixture(s, d, "fx_doc"), "doc_id")
@@ -168,12 +164,12 @@ def by_code(findings):
     return findings.groupBy("check_name", "severity", "code").agg(F.count("*").alias("n"))
 
 
-HCODE_SQL = """SELECT h.doc_id, 'hcode' AS check_name, CASE WHEN NOT regexp_full_match(h.code, 'H[0-9]{3}[A-Za-z]{0,2}(\\+H[0-9]{3}[A-Za-z]{0,2})*') THEN 'error' ELSE 'warning' END AS severity,
+HCODE_SQL = """SELECT h.doc_id, h.seq, 'hcode' AS check_name, CASE WHEN NOT regexp_full_match(h.code, 'H[0-9]{3}[A-Za-z]{0,2}(\\+H[0-9]{3}[A-Za-z]{0,2})*') THEN 'error' ELSE 'warning' END AS severity,
  CASE WHEN NOT regexp_full_match(h.code, 'H[0-9]{3}[A-Za-z]{0,2}(\\+H[0-9]{3}[A-Za-z]{0,2})*') THEN 'HCODE_FORMAT_INVALID' ELSE 'HCODE_UNKNOWN_CODE' END AS code
- FROM fx_haz h LEFT JOIN fx_phrase p ON h.code = p.code WHERE p.code IS NULL"""
-PHRASE_SQL = """SELECT h.doc_id, 'phrase_to_hcode' AS check_name, 'error' AS severity, 'HCODE_PHRASE_MISMATCH' AS code FROM fx_haz h JOIN fx_phrase p ON h.code = p.code
- WHERE regexp_replace(replace(h.text, ' ', ''), '[.。]+$', '') <> regexp_replace(replace(p.phrase, ' ', ''), '[.。]+$', '')"""
-SUM_SQL = f"""SELECT doc_id, 'content_sum' AS check_name, 'error' AS severity, 'CONTENT_SUM_EXCEEDS_100' AS code FROM (SELECT doc_id, CASE WHEN LEN(n) = 1 AND regexp_matches(content, '미만|이하|<') THEN 0 ELSE list_min(n) END AS lo
+ FROM fx_haz h LEFT JOIN fx_phrase p ON h.code = p.code WHERE p.code IS NULL AND h.code IS NOT NULL"""
+PHRASE_SQL = """SELECT doc_id, seq, 'phrase_to_hcode' AS check_name, 'error' AS severity, 'HCODE_PHRASE_MISMATCH' AS code FROM (SELECT h.doc_id, h.seq,
+ bool_or(regexp_replace(replace(h.text, ' ', ''), '[.。]+$', '') = regexp_replace(replace(p.phrase, ' ', ''), '[.。]+$', '')) AS ok FROM fx_haz h JOIN fx_phrase p ON h.code = p.code GROUP BY h.doc_id, h.seq) WHERE NOT ok"""
+SUM_SQL = f"""SELECT doc_id, CAST(NULL AS BIGINT) AS seq, 'content_sum' AS check_name, 'error' AS severity, 'CONTENT_SUM_EXCEEDS_100' AS code FROM (SELECT doc_id, CASE WHEN LEN(n) = 1 AND regexp_matches(content, '미만|이하|<') THEN 0 ELSE list_min(n) END AS lo
  FROM (SELECT doc_id, content, {NUMBERS} AS n FROM fx_gold_ing)) GROUP BY doc_id HAVING SUM(lo) > 100.5"""
 
 
@@ -187,19 +183,25 @@ def phrase_mismatch_findings(s, d):
     return by_code(rules.check_phrase(fixture(s, d, "fx_haz"), fixture(s, d, "fx_phrase")))
 
 
-SIGNAL_SQL = """l AS (SELECT g.doc_id, g.seq, d.codes, CASE d.signal_word WHEN '위험' THEN 2 WHEN '경고' THEN 1 ELSE 0 END AS w FROM fx_ghs g LEFT JOIN fx_dim d ON g.hazard_class = d.hazard_class AND g.category = d.category),
-c AS (SELECT DISTINCT doc_id, unnest(string_split(upper(code), '+')) AS code FROM fx_haz),
+#: The rule's own steps: reverse look-up of phrases, stated and expected codes, the strongest expected word.
+SIGNAL_STEPS = """r AS (SELECT trim(phrase) AS phrase, arg_min(code, row_no) AS code FROM fx_phrase GROUP BY 1),
+c AS (SELECT DISTINCT doc_id, code FROM (SELECT doc_id, unnest(string_split(code, '+')) AS code FROM fx_haz WHERE code <> ''
+ UNION ALL SELECT h.doc_id, r.code FROM fx_haz h JOIN r ON trim(h.text) = r.phrase WHERE COALESCE(h.code, '') = '')),
+l AS (SELECT g.doc_id, g.seq, d.codes, CASE d.signal_word WHEN '위험' THEN 2 WHEN '경고' THEN 1 ELSE 0 END AS w FROM fx_ghs g LEFT JOIN fx_dim d ON g.hazard_class = d.hazard_class AND g.category = d.category),
 e AS (SELECT doc_id, seq, unnest(string_split(codes, '|')) AS code FROM l WHERE codes IS NOT NULL),
 m AS (SELECT e.doc_id, e.seq FROM e LEFT JOIN c ON e.doc_id = c.doc_id AND e.code = c.code GROUP BY e.doc_id, e.seq HAVING COUNT(c.code) = 0),
 w AS (SELECT doc_id, MAX(w) AS want FROM l WHERE codes IS NOT NULL GROUP BY doc_id),
-f AS (SELECT 'ghs_signal_hcode_consistency' AS check_name, 'info' AS severity, 'CLASSIFICATION_NOT_IN_TABLE' AS code FROM l WHERE codes IS NULL
- UNION ALL SELECT 'ghs_signal_hcode_consistency', 'error', 'HCODE_MISSING_FOR_CLASSIFICATION' FROM m
- UNION ALL SELECT 'ghs_signal_hcode_consistency', 'error', 'SIGNAL_WORD_MISMATCH' FROM w JOIN fx_signal s ON w.doc_id = s.doc_id WHERE want <> CASE s.signal_word WHEN '위험' THEN 2 WHEN '경고' THEN 1 ELSE 0 END)"""
+u AS (SELECT DISTINCT c.doc_id FROM c JOIN w ON c.doc_id = w.doc_id LEFT JOIN (SELECT DISTINCT doc_id, code FROM e) x ON c.doc_id = x.doc_id AND c.code = x.code WHERE x.code IS NULL)"""
+SIGNAL_FOUND = """SELECT doc_id, seq, 'ghs_signal_hcode_consistency' AS check_name, 'info' AS severity, 'CLASSIFICATION_NOT_IN_TABLE' AS code FROM l WHERE codes IS NULL
+ UNION ALL SELECT doc_id, seq, 'ghs_signal_hcode_consistency', 'error', 'HCODE_MISSING_FOR_CLASSIFICATION' FROM m
+ UNION ALL SELECT doc_id, NULL, 'ghs_signal_hcode_consistency', 'error', 'HCODE_MISSING_FOR_CLASSIFICATION' FROM u
+ UNION ALL SELECT w.doc_id, NULL, 'ghs_signal_hcode_consistency', 'error', 'SIGNAL_WORD_MISMATCH' FROM w LEFT JOIN fx_signal s ON w.doc_id = s.doc_id
+ WHERE CASE want WHEN 2 THEN '위험' WHEN 1 THEN '경고' END IS DISTINCT FROM s.signal_word"""
 
 
-@query(f"WITH {SIGNAL_SQL}{COUNTS}")
+@query(f"WITH {SIGNAL_STEPS}, f AS ({SIGNAL_FOUND}){COUNTS}")
 def ghs_signal_consistency(s, d):
-    return by_code(rules.check_signal(*(fixture(s, d, t) for t in ("fx_ghs", "fx_haz", "fx_signal", "fx_dim"))))
+    return by_code(rules.check_signal(*(fixture(s, d, t) for t in ("fx_ghs", "fx_haz", "fx_signal", "fx_dim", "fx_phrase"))))
 
 
 @query(f"WITH f AS ({SUM_SQL}){COUNTS}")
@@ -207,15 +209,6 @@ def content_sum_over_100(s, d):
     return by_code(rules.check_content_sum(fixture(s, d, "fx_gold_ing")))
 
 
-@query(f"""WITH f AS (SELECT doc_id, severity FROM ({HCODE_SQL}) UNION ALL SELECT doc_id, severity FROM ({PHRASE_SQL}) UNION ALL SELECT doc_id, severity FROM ({SUM_SQL})),
-n AS (SELECT d.doc_id, COUNT(*) FILTER (severity = 'error') AS n_error, COUNT(*) FILTER (severity = 'warning') AS n_warning, COUNT(*) FILTER (severity = 'info') AS n_info FROM fx_doc d LEFT JOIN f ON d.doc_id = f.doc_id GROUP BY d.doc_id)
-SELECT *, CASE WHEN n_error > 0 THEN 'INCONSISTENT' WHEN n_warning > 0 THEN 'NEEDS_REVIEW' ELSE 'OK' END AS status FROM n""")
-def review_status_precedence(s, d):
-    haz, phrase = fixture(s, d, "fx_haz"), fixture(s, d, "fx_phrase")
-    found = rules.check_hcode(haz, phrase).union(rules.check_phrase(haz, phrase)).union(rules.check_content_sum(fixture(s, d, "fx_gold_ing")))
-    return rules.status(found, fixture(s, d, "fx_doc"))
-
-
 @query("SELECT doc_id, seq AS position, name, cas, content, is_sub FROM fx_gold_ing")
 def regroup_round_trip(s, d):
     return records.unnest(records.nest(fixture(s, d, "fx_gold_ing"), "doc_id", "seq"), "doc_id").drop("seq")
@@ -262,17 +255,6 @@ def manifest_bag_diff(s, d):
     return extra.groupBy("h").agg((F.count("*") + 1).alias("n"))
 
 
-@query("""SELECT doc_id, regexp_replace(regexp_extract(text, '^((?s:.*?))\\n4\\. First', 1), '\\s+$', '') || chr(10) AS cut FROM fx_text""")
-def section_cut(s, d):
-    return fixture(s, d, "fx_text").select("doc_id", text.cut_to_section3(F.col("text")).alias("cut"))
-
-
-@query("SELECT CASE WHEN doc_id % 5 = 0 THEN 'ABORTED_H_LOSS' ELSE 'REMOVED' END AS status, COUNT(*) AS n FROM fx_text GROUP BY 1")
-def p_block_removal(s, d):
-    own = fixture(s, d, "fx_text").select(text.remove_p_block(F.col("text")).alias("r"))
-    return own.groupBy(F.col("r.status").alias("status")).agg(F.count("*").alias("n"))
-
-
 @query("""SELECT code, COUNT(DISTINCT doc_id) AS n FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(regexp_replace(text, '(^|[^A-Za-z])H ([0-9]{3})', '\\1H\\2', 'g'), '(?:^|[^A-Za-z])(H[0-9]{3})', 1))) AS code FROM fx_text) GROUP BY code""")
 def hcode_extract(s, d):
     own = fixture(s, d, "fx_text").select("doc_id", F.explode(chem.hcodes_of(text.join_codes(F.col("text")))).alias("code"))
@@ -322,7 +304,7 @@ def overlength_quarantine(s, d):
     return own.withColumn("too_long", F.col("n_chars") > 2000)
 
 
-from . import catalog_documents  # noqa: E402, F401  (registers its queries here)
+from . import catalog_documents, catalog_functions, catalog_rules, catalog_scores  # noqa: E402, F401  (they register their queries here)
 
 
 def queries():

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dossier.functions import lenient_json, textnorm
-from dossier.operators import augment, evidence, governance, headings, records, retrieval, review, rules, schema, scoring
+from dossier.operators import augment, evidence, governance, headings, records, retrieval, review, schema, scoring
 
-from .catalog import CAS_SETS, HCODE_SQL, KEY, MICRO, NUMBERS, PHRASE_SQL, QUERY_VECTOR, cas_micro_f1_by_subset, query, table
+from .catalog import CAS_SETS, KEY, MICRO, NUMBERS, QUERY_VECTOR, cas_micro_f1_by_subset, query, table
 from .fixtures import fixture
 
 NAMES = ["cold widget", "small", "widget economy", "steel pipe", "zzz"]
@@ -47,7 +47,7 @@ def evidence_locate(s, d):
     return evidence.evidence(targets, sources)
 
 
-@query("""WITH j AS (SELECT doc_id, try_cast(json AS JSON) AS j FROM fx_json),
+SCHEMA_SQL = """WITH j AS (SELECT doc_id, try_cast(json AS JSON) AS j FROM fx_json),
 e AS (SELECT doc_id, '' AS loc, 'json_invalid' AS type FROM j WHERE j IS NULL
 UNION ALL SELECT doc_id, 'product_name', 'value_error' FROM j WHERE json_type(j, '$.product_name.value') = 'NULL'
 UNION ALL SELECT doc_id, 'recommended_use.source_status', 'literal_error' FROM j WHERE json_extract_string(j, '$.recommended_use.source_status') NOT IN ('기재', '자료없음', '해당없음')
@@ -55,12 +55,16 @@ UNION ALL SELECT doc_id, 'signal_word.value', 'value_error' FROM j WHERE json_ex
 UNION ALL SELECT doc_id, 'supplier.emergency_phone', 'missing' FROM j WHERE j IS NOT NULL AND NOT json_exists(j, '$.supplier.emergency_phone')
 UNION ALL SELECT doc_id, 'ghs_classification.0.category', 'value_error' FROM j WHERE NOT regexp_full_match(json_extract_string(j, '$.ghs_classification[0].category'), '구분 [0-9][A-C]?')),
 r AS (SELECT j.doc_id, '' AS loc, 'value_error' AS type FROM j ANTI JOIN e ON j.doc_id = e.doc_id WHERE json_extract_string(j, '$.list_status.ingredients') = '기재' AND json_array_length(j, '$.ingredients') = 0)
-SELECT * FROM e UNION ALL SELECT * FROM r""")
+SELECT * FROM e UNION ALL SELECT * FROM r"""
+
+
+@query(SCHEMA_SQL)
 def schema_violations(s, d):
     return schema.validate(fixture(s, d, "fx_json"))
 
 
-@query()
+@query(f"""WITH e AS ({SCHEMA_SQL}) SELECT COUNT(*) AS n_files, COUNT(*) FILTER (try_cast(json AS JSON) IS NOT NULL) AS n_parsed,
+ COUNT(*) FILTER (doc_id NOT IN (SELECT doc_id FROM e)) AS n_ok, COUNT(*) FILTER (doc_id IN (SELECT doc_id FROM e)) AS n_bad FROM fx_json""")
 def schema_totals(s, d):
     return schema.totals(fixture(s, d, "fx_json"))
 
@@ -104,11 +108,10 @@ def document_outcomes(s, d):
     return scoring.accuracy(out.join(fixture(s, d, "fx_doc"), "doc_id"), "subset", ["cas", "nocas", "exact"])
 
 
-@query("""SELECT hazard_class, string_agg(DISTINCT side, ',' ORDER BY side) AS sides FROM (SELECT hazard_class, 'gold' AS side FROM fx_ghs WHERE seq = 1 UNION ALL SELECT hazard_class, 'pred' FROM fx_ghs WHERE seq = 2)
+@query("""SELECT hazard_class, string_agg(DISTINCT side, ',' ORDER BY side) AS sides FROM (SELECT hazard_class, 'gold' AS side FROM fx_ghs UNION ALL SELECT hazard_class, 'pred' FROM fx_pred_ghs)
 WHERE hazard_class NOT IN (SELECT hazard_class FROM fx_dim) GROUP BY hazard_class""")
 def unknown_hazard_classes(s, d):
-    ghs = fixture(s, d, "fx_ghs")
-    return scoring.unknown_classes(ghs.where("seq = 1"), ghs.where("seq = 2"), fixture(s, d, "fx_dim"), "hazard_class")
+    return scoring.unknown_classes(fixture(s, d, "fx_ghs"), fixture(s, d, "fx_pred_ghs"), fixture(s, d, "fx_dim"), "hazard_class")
 
 
 @query("""SELECT ROUND(AVG(CASE WHEN event_type = 'click' THEN FLOOR(value * 10) END) / AVG(CASE WHEN event_type = 'purchase' THEN FLOOR(value * 10) END), 6) AS ratio FROM events""")
@@ -125,19 +128,6 @@ def run_failures(s, d):
     return scoring.failures(log, "user_id", "error")
 
 
-FIELDS_SQL = f"""f AS (SELECT doc_id, 'hazard_statements' AS field, check_name FROM ({HCODE_SQL}) UNION ALL SELECT doc_id, 'hazard_statements', check_name FROM ({PHRASE_SQL})),
-n AS (SELECT doc_id, field, bool_or(check_name = 'hcode') AS bad_format, COUNT(*) AS n FROM f GROUP BY ALL), w AS (SELECT doc_id, unnest(['hazard_statements', 'ingredients']) AS field FROM fx_doc)"""
-
-
-@query("WITH " + FIELDS_SQL + """ SELECT w.doc_id, w.field, CASE WHEN n.n IS NULL THEN 'OK' ELSE 'REVIEW_REQUIRED' END AS review_status,
-CASE WHEN n.n IS NULL THEN NULL WHEN bad_format THEN 'FORMAT_ERROR' ELSE 'INCONSISTENT' END AS reason_code, COALESCE(n.n, 0) AS n_findings FROM w LEFT JOIN n ON w.doc_id = n.doc_id AND w.field = n.field""")
-def field_status_rollup(s, d):
-    haz, phrase = fixture(s, d, "fx_haz"), fixture(s, d, "fx_phrase")
-    found = rules.check_hcode(haz, phrase).union(rules.check_phrase(haz, phrase)).withColumn("field", F.lit("$.hazard_statements[0]"))
-    fields = fixture(s, d, "fx_doc").select("doc_id", F.explode(F.array(F.lit("hazard_statements"), F.lit("ingredients"))).alias("field"))
-    return review.field_status(found, fields)
-
-
 @query("""SELECT document_id, CASE WHEN n = 5 THEN 'confirmed' WHEN n > 1 THEN 'needs_review' ELSE 'unconfirmed' END AS status FROM (SELECT document_id, COUNT(DISTINCT field_path) AS n FROM fx_review GROUP BY document_id)""")
 def document_states(s, d):
     n = fixture(s, d, "fx_review").groupBy("document_id").agg(F.countDistinct("field_path").alias("n"))
@@ -196,11 +186,6 @@ def id_set_difference(s, d):
     )
 
 
-@query("""SELECT doc_id, CASE WHEN text IS NULL THEN 'PDF_NOT_FOUND' WHEN length(text) < 200 THEN 'TEXT_TOO_SHORT' END AS reason FROM fx_text""")
-def extraction_reasons(s, d):
-    return governance.extraction_reason(fixture(s, d, "fx_text"))
-
-
 @query("""SELECT conv_id AS doc_id FROM conversations GROUP BY conv_id HAVING conv_id % 5 = 0""")
 def prompt_mismatch(s, d):
     turns = table(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("turns"))

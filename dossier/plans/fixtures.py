@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 
+#: A table where a statement reads it.
+NAMED = re.compile(r"\b(?:FROM|JOIN)\s+(" + "|".join(TABLES) + r")\b")
+
 FIXTURES = {
     # One row per ingredient of a document: a CAS number with a right check digit, a content in one of six forms.
     "fx_line": """SELECT l_orderkey AS doc_id, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey,
@@ -22,20 +27,37 @@ FIXTURES = {
  CASE WHEN (doc_id * 7 + seq) % 10 = 2 AND cas IS NOT NULL THEN CONCAT(SUBSTRING(cas, 1, LENGTH(cas) - 1), 'x') ELSE cas END AS cas,
  CASE WHEN (doc_id * 7 + seq) % 10 = 1 THEN '33' WHEN (doc_id * 7 + seq) % 10 = 4 THEN REPLACE(content, ' ', '') ELSE content END AS content,
  is_sub FROM fx_gold_ing WHERE (doc_id * 7 + seq) % 10 <> 0""",
+    # Identifiers with a wrong last digit, and some that are none.
+    "fx_typo_cas": """SELECT doc_id, seq, CASE WHEN cas IS NULL THEN NULL WHEN (doc_id + seq) % 7 = 0 THEN CONCAT(SUBSTRING(cas, 1, LENGTH(cas) - 1), CAST((doc_id + seq) % 10 AS STRING))
+ WHEN (doc_id + seq) % 7 = 1 THEN CONCAT(cas, '0') ELSE cas END AS cas FROM fx_gold_ing""",
     "fx_doc": """SELECT o_orderkey AS doc_id, r_name AS subset, n_name AS grp, o_orderpriority AS form FROM orders
  JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
     "fx_dim": """SELECT * FROM (VALUES ('flammable', '1', '위험', 'H224'), ('flammable', '2', '위험', 'H225'),
  ('flammable', '3', '경고', 'H226'), ('corrosive', '1', '위험', 'H314'), ('irritant', '2', '경고', 'H315'),
  ('toxic', '3', '위험', 'H301|H311'), ('toxic', '4', '경고', 'H302')) t(hazard_class, category, signal_word, codes)""",
-    "fx_phrase": """SELECT * FROM (VALUES ('H224', 'extremely flammable'), ('H225', 'highly flammable'), ('H226', 'flammable'),
- ('H314', 'causes burns'), ('H315', 'irritates skin'), ('H301', 'toxic'), ('H302', 'harmful')) t(code, phrase)""",
+    "fx_phrase": """SELECT * FROM (VALUES (1, 'H224', 'extremely flammable'), (2, 'H225', 'highly flammable'), (3, 'H225', 'flammable'), (4, 'H226', 'flammable'),
+ (5, 'H314', 'causes burns'), (6, 'H315', 'irritates skin'), (7, 'H301', 'toxic'), (8, 'H302', 'harmful')) t(row_no, code, phrase)""",
     # Classes and statements of documents, some of them wrong.
     "fx_ghs": """SELECT doc_id, seq, CASE pk % 5 WHEN 0 THEN 'flammable' WHEN 1 THEN 'corrosive' WHEN 2 THEN 'irritant'
- WHEN 3 THEN 'toxic' ELSE 'explosive' END AS hazard_class, CAST(a % 4 + 1 AS STRING) AS category FROM fx_line WHERE seq <= 3""",
+ WHEN 3 THEN 'toxic' ELSE 'explosive' END AS hazard_class, CAST(a % 4 + 1 AS STRING) AS category FROM fx_line""",
     "fx_haz": """SELECT doc_id, seq, CASE b % 9 WHEN 0 THEN 'H224' WHEN 1 THEN 'H225' WHEN 2 THEN 'H226' WHEN 3 THEN 'H314'
- WHEN 4 THEN 'H315' WHEN 5 THEN 'H301+H311' WHEN 6 THEN 'H302' WHEN 7 THEN 'H999' ELSE 'X12' END AS code,
+ WHEN 4 THEN 'H315' WHEN 5 THEN 'H301+H311' WHEN 6 THEN NULL WHEN 7 THEN 'H999' ELSE 'X12' END AS code,
  CASE a % 7 WHEN 0 THEN 'Extremely flammable.' WHEN 1 THEN 'highly flammable' WHEN 2 THEN 'flammable' WHEN 3 THEN 'causes burns'
- WHEN 4 THEN 'irritates skin' WHEN 5 THEN 'toxic' ELSE 'harmful.' END AS text FROM fx_line WHERE seq <= 4""",
+ WHEN 4 THEN 'irritates skin' WHEN 5 THEN 'toxic' ELSE 'harmful.' END AS text FROM fx_line""",
+    # Four values of each document, some of which stand for none.
+    "fx_value": """SELECT o_orderkey AS doc_id, name, CASE (o_orderkey + k) % 9 WHEN 0 THEN '자료없음' WHEN 1 THEN ' - ' WHEN 2 THEN 'N/A' WHEN 3 THEN '' WHEN 4 THEN NULL ELSE 'p' END AS value,
+ CASE WHEN (o_custkey + k) % 4 = 0 THEN '자료없음' ELSE '기재' END AS source_status FROM orders
+ CROSS JOIN (SELECT * FROM (VALUES (0, 'product_name'), (1, 'recommended_use'), (2, 'use_restrictions'), (3, 'signal_word')) t(k, name)) f""",
+    # Predicted classes and statements: some rows are left out, some are changed.
+    "fx_pred_ghs": """SELECT doc_id, seq, CASE WHEN (doc_id * 5 + seq) % 9 = 2 THEN 'unheard' ELSE hazard_class END AS hazard_class,
+ CASE WHEN (doc_id * 5 + seq) % 9 = 1 THEN '4' ELSE category END AS category FROM fx_ghs WHERE (doc_id * 5 + seq) % 9 <> 0""",
+    "fx_pred_haz": """SELECT doc_id, seq, CASE WHEN (doc_id * 3 + seq) % 8 = 1 THEN 'H335' ELSE code END AS code,
+ CASE WHEN (doc_id * 3 + seq) % 8 = 2 THEN 'toxic' ELSE text END AS text FROM fx_haz WHERE (doc_id * 3 + seq) % 8 <> 0""",
+    # What the run of a model says of each document, and single values of both sides.
+    "fx_run": """SELECT o_orderkey AS doc_id, o_orderkey % 17 <> 0 AS has_output, o_orderkey % 17 <> 0 AND o_orderkey % 13 <> 0 AS parsed,
+ o_orderkey % 17 <> 0 AND o_orderkey % 13 <> 0 AND o_custkey % 7 <> 0 AS schema_ok, o_orderkey % 19 = 0 AS hit_max, CAST(o_custkey % 50 AS DOUBLE) AS gen_time,
+ o_custkey % 900 AS input_tokens, o_custkey % 700 AS output_tokens, o_orderkey % 5 <> 0 AS product_name, o_custkey % 6 <> 0 AS signal_word,
+ o_orderkey % 8 <> 0 AS ghs_status, o_custkey % 9 <> 0 AS hazard_status FROM orders""",
     "fx_signal": "SELECT o_orderkey AS doc_id, CASE o_custkey % 3 WHEN 0 THEN '위험' WHEN 1 THEN '경고' END AS signal_word FROM orders",
     "fx_log": """SELECT event_id AS pos, user_id AS doc_id, event_type = 'error' AS skipped, value AS gen_time,
  CAST(FLOOR(value * 10) AS BIGINT) AS input_tokens FROM events""",
@@ -43,10 +65,13 @@ FIXTURES = {
  CAST(CAST(FLOOR(value) AS BIGINT) AS STRING) AS confirmed_value FROM events""",
     "fx_split": """SELECT doc_id, lang, source AS grp, CASE WHEN doc_id % 7 = 0 THEN 'val' WHEN doc_id % 11 = 0 THEN 'test'
  ELSE 'train' END AS split, text FROM documents""",
-    # A document with numbered headings, a precaution block and codes.
-    "fx_text": """SELECT doc_id, CONCAT('1. Product', chr(10), 'name ', CAST(doc_id AS STRING), chr(10), '2. Hazards', chr(10),
- 'H 225 highly flammable', chr(10), 'P-statements', chr(10), CASE WHEN doc_id % 5 = 0 THEN 'H314 hidden' ELSE 'P210 keep away' END, chr(10),
- '3. Composition', chr(10), SUBSTRING(text, 1, 200), chr(10), '4. First aid', chr(10), 'rinse H301') AS text FROM documents""",
+    # A whole document under numbered headings, with a precaution block and codes; some lack a heading, have a table of contents
+    # first, or hide a code in the block.
+    "fx_text": """SELECT doc_id, CONCAT(CASE WHEN doc_id % 6 = 0 THEN CONCAT('4. First aid measures', chr(10)) ELSE '' END, '1. Product', chr(10), 'name ', CAST(doc_id AS STRING), chr(10),
+ CASE WHEN doc_id % 13 = 5 THEN '' ELSE CONCAT(CASE WHEN doc_id % 4 = 1 THEN 'SECTION 2' ELSE '2. Hazards' END, chr(10)) END, 'H 225 highly flammable', chr(10),
+ CASE WHEN doc_id % 5 = 1 THEN '' ELSE CONCAT('Precautionary statements', chr(10)) END, CASE WHEN doc_id % 5 = 0 THEN 'H314 hidden' ELSE 'P210 keep away' END, chr(10),
+ CASE WHEN doc_id % 3 = 0 THEN CONCAT('Other hazards: H412', chr(10)) ELSE '' END, CASE WHEN doc_id % 17 = 3 THEN '' ELSE CONCAT('3. Composition', chr(10)) END,
+ COALESCE(text, ''), chr(10), CASE WHEN doc_id % 11 = 2 THEN '' ELSE CONCAT(CASE WHEN doc_id % 2 = 0 THEN '4. First-aid measures' ELSE '제 4 항' END, chr(10)) END, 'rinse H301') AS text FROM documents""",
     # Predicted values in wrong columns, by place.
     "fx_misplaced": """SELECT doc_id, seq, CASE (doc_id + seq) % 9 WHEN 0 THEN 'KE-12345' WHEN 1 THEN '200-578-6' WHEN 2 THEN ' ke-123 ' END AS ke,
  CASE WHEN (doc_id + seq) % 13 = 0 THEN cas ELSE content END AS content FROM fx_pred_ing""",
@@ -97,7 +122,8 @@ def with_fixtures(body: str) -> str:
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    for table in TABLES:
-        if any(table in FIXTURES[k] for k in [*needed(f"SELECT * FROM {name}")]):
-            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
-    return spark.sql(with_fixtures(f"SELECT * FROM {name}"))
+    """The fixture's rows; tables are read into views with a prefix of their own, so that a session's views stay."""
+    sql = with_fixtures(f"SELECT * FROM {name}")
+    for table in set(NAMED.findall(sql)):
+        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(f"dossier_{table}")
+    return spark.sql(NAMED.sub(lambda m: m[0].replace(m[1], f"dossier_{m[1]}"), sql))

@@ -18,6 +18,28 @@ def csv_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=schema, enforceSchema=False)
 
 
+def keyed_csv(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
+    """CSV rows by key, a byte order mark left out; of a key that stands there twice, the last row (by place in the file)."""
+    own = spark.read.csv(path, header=True, schema=schema, enforceSchema=True)  # the reader drops the mark with the header
+    at = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    rest = [c for c in own.columns if c != key]
+    return own.withColumn("_at", at).groupBy(key).agg(F.max_by(F.struct(*rest), "_at").alias("r")).select(key, "r.*")
+
+
+def predictions(spark: SparkSession, path: str, schema: str, mock: DataFrame | None = None) -> DataFrame:
+    """doc_id and fields of saved predictions (one JSON file a document); documents of `mock` that have none get its rows."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        own = text_files(spark, path)
+    except AnalysisException as e:
+        if mock is None or e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return mock
+    saved = own.select("doc_id", F.from_json("text", schema).alias("r")).select("doc_id", "r.*")
+    return saved if mock is None else saved.unionByName(mock.join(saved.select("doc_id"), "doc_id", "left_anti"))
+
+
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.json(path, schema=schema)
 

@@ -40,7 +40,8 @@ def write_once(df: DataFrame, path: str) -> bool:
 def export_json(docs: DataFrame, path: str, names: list[str], columns: list[str]) -> None:
     """Each row's columns as a JSON text in a folder by the row's names (file stem, model, revision)."""
     body = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
-    docs.select(*names, body.alias("value")).write.mode("overwrite").partitionBy(*names).text(path)
+    rows = docs.select(*names, body.alias("value"))  # documents of earlier exports stay
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*names).text(path)
 
 
 def append_failures(df: DataFrame, path: str) -> None:

@@ -47,11 +47,63 @@ def test_checks_find_each_code(spark):
 
 
 def test_sections_and_p_block(spark):
-    t = "1. A\nx\n2. B\nH225\nP-statements\nP210\n3. C\ny\n4. D\nz"
-    assert one(spark, text.cut_to_section3(F.col("t")), t=t).endswith("3. C\ny\n")
-    assert one(spark, text.remove_p_block(F.col("t")), t=t)["status"] == "REMOVED"
-    assert one(spark, text.remove_p_block(F.col("t")), t=t.replace("P210", "P210 H301"))["status"] == "ABORTED_H_LOSS"
+    t = "1. A\nx\n2. Hazards\nH225\nPrecautionary statements\nP210\nOther hazards\nz\n3. Composition\ny\n4. First-aid\nz"
+    cut = one(spark, text.cut_to_section3(F.col("t")), t=t)
+    assert cut["text"].endswith("3. Composition\ny\n") and cut["name"] == "EN_4"
+    assert one(spark, text.cut_to_section3(F.col("t")), t="1. A") is None
+    got = one(spark, text.remove_p_block(F.col("t")), t=t)
+    assert got["status"] == "EN_P" and "P210" not in got["text"] and "Other hazards\nz" in got["text"]
+    assert one(spark, text.remove_p_block(F.col("t")), t=t.replace("P210", "P210 H301"))["status"] == "ABORTED_H_LOSS: H301"
+    assert one(spark, text.remove_p_block(F.col("t")), t=t.replace("Precautionary", "Some"))["status"] == "NONE"
+    korean = "2. 유해성\nH225\n예방조치 문구: \nP210\n다. 기타\n3. 구성성분\n4. 응급조치 요령\n"
+    assert one(spark, text.remove_p_block(F.col("t")), t=korean)["status"] == "KO_P"
+    assert one(spark, text.cut_to_section3(F.col("t")), t=korean)["name"] == "KO_4"
     assert one(spark, text.collapse_repeats(F.col("t")), t="aaabb") == "ab"
+    assert one(spark, text.undouble(F.col("t"), F.lit(4)), t="구구구구성성성성성성성성") == "구성성"
+
+
+def test_chunks_at_gaps():
+    words = " ".join(f"w{k}" for k in range(900))
+    body = "\n\n".join([words, "short", "x" * 3000, words[:700]])
+    got = text.split_recursively(body, 500, 80)
+    assert max(map(len, got)) <= 500 and all(c == c.strip() and c for c in got)
+    assert text.split_recursively("a b c", 100, 10) == ["a b c"] and text.split_recursively("", 100, 10) == []
+    flat = text.split_recursively(words, 200, 50)
+    assert all(set(a.split()[-3:]) & set(b.split()[:15]) for a, b in zip(flat, flat[1:]))  # neighbours share words
+    assert sorted({w for c in flat for w in c.split()}) == sorted(words.split())
+
+
+def test_bootstrap_draws_as_a_plain_loop_does(spark):
+    rows = [("x", f"g{k:03}", (k * 37) % 11 - 4, k % 5 + 1) for k in range(40)]
+    groups = spark.createDataFrame(rows, "by string, g string, t long, n long")
+    got = scoring.bootstrap_interval(groups, "by", "g", "t", "n", 100).first()
+    at = spark.range(100).selectExpr("cast(id as int) as boot", "explode(sequence(0, 39)) as k").selectExpr("boot", "pmod(xxhash64(42, boot, k), 40) as at").collect()
+    stats = sorted(sum(rows[r.at][2] for r in at if r.boot == b) / sum(rows[r.at][3] for r in at if r.boot == b) for b in range(100))
+    assert (got.ci_low, got.ci_high) == (round(stats[2], 6), round(stats[97], 6))
+
+
+def test_keyed_csv_and_predictions(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("\ufeffdoc_id,lang\n1,en\n2,fr\n1,ko\n", encoding="utf-8")
+    got = readers.keyed_csv(spark, f"{tmp_path}/a.csv", "doc_id string, lang string", "doc_id")
+    assert sorted(map(tuple, got.collect())) == [("1", "ko"), ("2", "fr")]
+    mock = spark.createDataFrame([("1", 0), ("3", 0)], "doc_id string, n int")
+    assert sorted(map(tuple, readers.predictions(spark, f"{tmp_path}/none", "n int", mock).collect())) == [("1", 0), ("3", 0)]
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "1.json").write_text('{"n": 5}')
+    assert sorted(map(tuple, readers.predictions(spark, f"{tmp_path}/p", "n int", mock).collect())) == [("1", 5), ("3", 0)]
+
+
+def test_tail_of_a_growing_file(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    log = tmp_path / "in" / "a.csv"
+    take = lambda: tail.tail_growing(spark, f"{tmp_path}/in", "step int, loss double", f"{tmp_path}/out", "result")
+    log.write_text("step,loss\n1,0.5\n2,0.")
+    assert take() == (1, False)
+    log.write_text("step,loss\n1,0.5\n2,0.25\n3,0.1\n")
+    assert take() == (2, False) and take() == (0, False)
+    log.write_text("step,loss\n1,0.5\n2,0.25\n3,0.1\nresult,0\n")
+    assert take() == (0, True)
+    assert sorted((r.step, r.loss) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(1, 0.5), (2, 0.25), (3, 0.1)]
 
 
 def test_upsert_and_csv_guard(spark, tmp_path):
