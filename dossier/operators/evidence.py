@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from dossier.functions.textnorm import strip
 
+from .schema import let
+
 #: Marks that read as a tilde; labels sought beside a value.
 TILDES = "∼～–—"
 LABELS = {"product_name": ["제품명", "상품명"], "signal_word": ["신호어"]}
@@ -20,38 +22,49 @@ def last_token(line: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(strip(line), r"(?U)[:\s]+"), -1), "[.)]+$", "")
 
 
+def lines_of(text: Column) -> Column:
+    """struct(lines, flat) of a text: what values are looked up in. Bound by `let`, it is made once for all of them."""
+    marked = F.transform(F.split(text, "\n"), lambda s: F.struct(s.alias("raw"), strip(s).alias("line"), last_token(s).alias("last")))
+    return F.struct(marked.alias("lines"), flat(text).alias("flat"))
+
+
 def locate(text: Column, value: Column, labels: Column | None = None) -> Column:
     """struct(found, match_type, snippet) of a value in a text.
 
     A line whose last token is the value is better than one that merely contains it, and the first line is best among
     equals. Where labels are given, a line that has one (or whose nearest line above with text has one, which then comes
     along) is better than any without. Else the value may be found without white space, and then has no snippet."""
-    lines = F.split(text, "\n")
-    has_label = lambda line: F.exists(labels, lambda h: line.contains(h))
-    ranked = F.transform(
-        lines, lambda s, i: F.struct(F.when(last_token(s) == value, 0).when(s.contains(value), 1).alias("rank"), i.alias("i"), strip(s).alias("line"))
-    )
-    hits = F.filter(ranked, lambda h: h["rank"].isNotNull())
-    first = F.array_min(hits)["line"]
+    return let(lines_of(text), lambda t: locate_in(t, value, labels))
+
+
+def locate_in(source: Column, value: Column, labels: Column | None = None) -> Column:
+    """As `locate`, in lines_of a text."""
+    lines = source["lines"]
+    at = F.transform(lines, lambda s, i: F.when(s["raw"].contains(value), F.struct(F.when(s["last"] == value, 0).otherwise(1).alias("rank"), i.alias("i"), s["line"].alias("line"))))
+    return let(F.filter(at, lambda h: h.isNotNull()), lambda hits: shown(source, hits, value, labels))
+
+
+def shown(source: Column, hits: Column, value: Column, labels: Column | None) -> Column:
+    lines, first = source["lines"], F.array_min(hits)["line"]
     snippet = first
     if labels is not None:
+        has_label = lambda line: F.exists(labels, lambda h: line.contains(h))
 
         def labelled(h):
-            above = F.filter(F.slice(lines, 1, h["i"]), lambda s: strip(s) != "")
-            near = F.get(above, F.size(above) - 1)
-            shown = F.when(has_label(h["line"]), h["line"]).when(has_label(near), F.concat(strip(near), F.lit("\n"), h["line"]))
-            return F.struct(h["rank"].alias("rank"), h["i"].alias("i"), shown.alias("line"))
-
-        with_label = F.filter(F.transform(hits, labelled), lambda h: h["line"].isNotNull())
-        snippet = F.when(F.size(labels) == 0, first).otherwise(F.coalesce(F.array_min(with_label)["line"], first))
-    none = text.isNull() | value.isNull() | (text == "") | (value == "")
-    near = (flat(value) != "") & flat(text).contains(flat(value))
+            above = F.filter(F.slice(lines, 1, h["i"]), lambda s: s["line"] != "")
+            return let(F.get(above, F.size(above) - 1)["line"], lambda near: F.struct(
+                h["rank"].alias("rank"), h["i"].alias("i"),
+                F.when(has_label(h["line"]), h["line"]).when(has_label(near), F.concat(near, F.lit("\n"), h["line"])).alias("line"),
+            ))
+
+        with_label = F.array_min(F.filter(F.transform(hits, labelled), lambda h: h["line"].isNotNull()))["line"]
+        snippet = F.when(F.size(labels) == 0, first).otherwise(F.coalesce(with_label, first))
+    near = (flat(value) != "") & source["flat"].contains(flat(value))
     kind = (
-        F.when(none, "not_found").when(F.size(hits) > 0, "exact").when(near, "normalized").otherwise("not_found")
-    )
-    return F.struct(
-        (kind != "not_found").alias("found"), kind.alias("match_type"), F.when(kind == "exact", snippet).alias("snippet")
-    )
+        F.when((value == "") | value.isNull() | (source["flat"] == "") | source["flat"].isNull(), "not_found").when(F.size(hits) > 0, "exact")
+        .when(near, "normalized").otherwise("not_found")
+    )
+    return F.struct((kind != "not_found").alias("found"), kind.alias("match_type"), F.when(kind == "exact", snippet).alias("snippet"))
 
 
 def evidence(targets: DataFrame, sources: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -62,10 +75,14 @@ def evidence(targets: DataFrame, sources: DataFrame, key: str = "doc_id") -> Dat
     hints = F.create_map(*(x for k, v in LABELS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
     name = lambda t: F.regexp_extract(t["field"], "([a-z_]+)", 1)
     labels = lambda t: F.coalesce(F.try_element_at(hints, name(t)), F.array().cast("array<string>"))
-    found = own.join(sources.select(key, "text"), key, "left").select(
-        key, F.inline(F.transform("targets", lambda t: F.struct(t["field"].alias("field"), t["value"].alias("value"), locate(F.col("text"), t["value"], labels(t)).alias("at"))))
-    )
-    return found.select(key, "field", "value", "at.*")
+
+    def look(source):
+        return F.transform("targets", lambda t: let(locate_in(source, t["value"], labels(t)), lambda at: F.struct(
+            t["field"].alias("field"), t["value"].alias("value"), at["found"].alias("found"), at["match_type"].alias("match_type"), at["snippet"].alias("snippet"),
+        )))
+
+    found = own.join(sources.select(key, "text"), key, "left").select(key, let(lines_of(F.col("text")), look).alias("found"))
+    return found.select(key, F.inline("found"))
 
 
 def not_found(located: DataFrame, key: str = "doc_id") -> DataFrame:
