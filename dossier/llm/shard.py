@@ -2,8 +2,10 @@
 
 Language, source and length are quantised to 4 bits each, the cell's place on the three-dimensional Hilbert curve orders
 the rows, and runs of that order are cut into shards, so that a file holds a compact box of metadata and can be skipped by
-any of the three. Law `rows`: shard sizes differ by one row at most. Ranks come from three levels of counts (curve cell,
-hash prefix within the cell, row within the prefix), so no task ever sees more than a cell's prefixes or a prefix's rows.
+any of the three. Law `rows`: shard sizes differ by one row at most. Ranks come from four levels of counts (curve cell, one
+of 4096 hash prefixes within the cell, longer prefix within that, row within the longer prefix), so no task sees more than
+4096 rows of a cell, or a prefix's own. Rows are told apart by a hash of doc_id and length; rows alike in both, and in
+metadata, share one longest prefix.
 
 Defined results: a null or empty text has size 8 and checksum 0; null metadata fall into fixed cells; repeated rows get
 slots of their own; an empty table gives no rows; further columns are ignored.
@@ -17,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BITS, DIMS, SHARDS = 4, 3, 24
+#: Hex digits of the first prefix.
+COARSE = 3
 
 
 def rotate(x: int, by: int) -> int:
@@ -87,30 +91,35 @@ def length_cell(n: Column) -> Column:
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row."""
     text = F.coalesce(F.col("text"), F.lit(""))
+    key = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("n_chars").cast("string"), F.lit("")))
     meta = [
         hilbert(hashed_cell(F.col("lang")), hashed_cell(F.col("source")), length_cell(F.col("n_chars"))).alias("cell"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("mixed"),
+        F.md5(key).alias("mixed"),
     ]
     rows = docs.count()
-    # Hex digits of the prefix: a prefix of the fullest cell has some hundred rows, whatever the table's size.
-    digits = max(1, math.ceil(math.log(max(rows, 1) / 1024, 16)) if rows > 1024 else 1)
-    prefix = F.substring("mixed", 1, digits)
-    counts = docs.select(*meta).groupBy("cell", prefix.alias("prefix")).agg(F.count("*").alias("n"))
-    cells = counts.groupBy("cell").agg(F.sum("n").alias("cell_n"))
-    # The curve has 4096 cells, so this window without partitions sorts that many rows at most.
-    up_to = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select("cell", F.coalesce(F.sum("cell_n").over(up_to), F.lit(0)).alias("cell_start"))
-    within = Window.partitionBy("cell").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(
-        "cell", "prefix", F.coalesce(F.sum("n").over(within), F.lit(0)).alias("prefix_start")
-    ).join(cells, "cell")
+    # Hex digits of the longer prefix: one of the fullest cell has some hundred rows, whatever the table's size.
+    digits = COARSE + (max(1, math.ceil(math.log(rows / 1024, 16)) - COARSE) if rows > 1024 else 1)
+    coarse, prefix = (F.substring("mixed", 1, k) for k in (COARSE, digits))
+    counts = docs.select(*meta).groupBy("cell", coarse.alias("coarse"), prefix.alias("prefix")).agg(F.count("*").alias("n"))
+    by_coarse = counts.groupBy("cell", "coarse").agg(F.sum("n").alias("n"))
+    by_cell = by_coarse.groupBy("cell").agg(F.sum("n").alias("n"))
+
+    def before(df, order, *within):
+        w = (Window.partitionBy(*within) if within else Window).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).drop("n")
+
+    # The curve has 4096 cells, so the window without partitions sorts that many rows at most.
+    starts = before(by_cell, "cell").withColumnRenamed("before", "cell_start")
+    starts = before(by_coarse, "coarse", "cell").withColumnRenamed("before", "coarse_start").join(starts, "cell")
+    starts = before(counts, "prefix", "cell", "coarse").join(starts, ["cell", "coarse"]).select(
+        "cell", "prefix", (F.col("before") + F.col("coarse_start") + F.col("cell_start")).alias("start")
+    )
     placed = docs.select(
         "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"), *meta
     ).withColumn("prefix", prefix)
     order = Window.partitionBy("cell", "prefix").orderBy("mixed", "doc_id", "crc", "size")
     ranked = placed.withColumn("within", F.row_number().over(order) - 1).join(starts, ["cell", "prefix"])
-    rank = F.col("cell_start") + F.col("prefix_start") + F.col("within")
-    n, k = F.lit(rows).cast("long"), F.lit(shards).cast("long")
+    rank = F.col("start") + F.col("within")
     number = F.expr(f"(rank * {shards}L) div {max(rows, 1)}L")
     return ranked.withColumn("rank", rank.cast("long")).withColumn("number", number).select(
         "doc_id", "size", F.col("crc").cast("long").alias("text_crc32"), F.lit("rows").alias("law"),

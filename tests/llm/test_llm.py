@@ -258,6 +258,37 @@ def test_html_frame(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_shards_as_a_plain_sort_does(spark, odd, sf_dir):
+    table = shard.transitions()
+
+    def cell(lang, source, n):
+        digit = lambda x: int(hashlib.md5((x or "").encode()).hexdigest()[0], 16)
+        dims = [digit(lang), digit(source), min(15, max(0, len(bin(max(n or 0, 0))) - 2 - 3))]
+        state = index = 0
+        for bit in (3, 2, 1, 0):
+            at = state * 8 + sum((x >> bit & 1) << k for k, x in enumerate(dims))
+            state, index = table["state"][at], index * 8 + table["child"][at]
+        return index
+
+    for docs, shards in ((odd, 5), (spark.read.parquet(f"{sf_dir}/documents.parquet"), 24)):
+        rows = docs.select("doc_id", "text", "lang", "source", "n_chars").collect()
+        show = lambda x: "" if x is None else str(x)
+
+        def order(r):
+            mixed = hashlib.md5(f"{show(r.doc_id)}/{show(r.n_chars)}".encode()).hexdigest()
+            data = (r.text or "").encode()
+            return cell(r.lang, r.source, r.n_chars), mixed, r.doc_id is not None, r.doc_id or 0, zlib.crc32(data), len(data) + 8
+
+        plain = sorted(rows, key=order)
+        want, first = [], {}
+        for rank, r in enumerate(plain):
+            at = rank * shards // len(plain)
+            first.setdefault(at, rank)
+            want.append((r.doc_id, order(r)[5], order(r)[4], at, rank - first[at]))
+        got = [(r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in shard.shard(docs, shards).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_hilbert_curve_is_continuous(spark):
     from pyspark.sql import functions as F
 
@@ -428,6 +459,16 @@ def test_licenses(spark, odd, none):
     assert licenses.digest(odd).count() == len(odd_rows()) and licenses.digest(none).count() == 0
 
 
+def test_secret_base_counts_equal_sql(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex) for r in secrets.digest(docs).collect()}
+    assign = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    want = duckdb.sql(f"""SELECT doc_id, len(list_filter(regexp_extract_all(t, '{assign.replace("'", "''")}', 1), lambda x: length(x) >= 6)),
+        len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)), len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 24))
+        FROM (SELECT doc_id, coalesce(text, '') AS t FROM '{sf_dir}/documents.parquet')""").fetchall()
+    assert got == {r[0]: r[1:] for r in want} and sum(map(sum, got.values())) > 0
+
+
 def test_secrets_of_other_kinds():
     """Kinds that neither the patterns nor the generated examples know, and harmless fields of kinds unlike those."""
     field = secrets.Field().fit([x for t, a, b in secrets.planted() for x in secrets.examples(t, [(a, b)] if b else [])])
