@@ -7,24 +7,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Styles of bullets, headings, numbers, colons, page headers, labels and masked identifiers.
-BULLETS = ["◦", "○", "-", "•", "·", "▶", "※", ""]
-SECTION_STYLES = ["{n}. ", "{n}) ", "제{n}항 ", "【{n}】 ", "{n}.", "SECTION {n}. "]
-COLONS = [" : ", ": ", ":", " ： ", " - "]
-PAGE_HEADERS = ["물질안전보건자료(MSDS)", "Page {p} of {t}", "페이지 {p} / {t}", "- {p} -", "{p}/{t}"]
-CAS_LABELS = ["CAS No.", "CAS 번호", "CAS NO.", "CAS번호", "CAS Registry No."]
-SECRETS = ["영업비밀", "비공개", "자료없음(영업비밀)", "Trade Secret"]
+from .schema import let
+
 HANGUL = "가나다라마바사아자차카타파하"
+#: What each renderer looks for, and what stands there instead; `$1` is the pattern's group. Bullets; numbers of
+#: sections 1 to 3 before their titles; colons after a Hangul label, but not within brackets; names of the CAS column.
+SECTION = r"(?m)^[ \t]*(?:제[ \t]*)?([123])[ \t]*(?:항)?[ \t]*[.)]?[ \t]*(?=(?:화학\s*제품|유해|구성\s*성분))"
+STYLES = {
+    "bullet": (r"(?m)^([ \t]*)(?:[◦○•·▶※\-]|[ㅇo](?=[ \t]))[ \t]*", ["$1◦ ", "$1○ ", "$1- ", "$1• ", "$1· ", "$1▶ ", "$1※ ", "$1"]),
+    "section": (SECTION, ["$1. ", "$1) ", "제$1항 ", "【$1】 ", "$1.", "SECTION $1. "]),
+    "colon": (r"(?<=[가-힣)])[ \t]*[:：][ \t]*(?![^()\n]*\))", [" : ", ": ", ":", " ： ", " - "]),
+    "caslabel": (r"(?i)\bCAS[ \t]*(?:Registry[ \t]*)?(?:No\.?|번호|Number)", ["CAS No.", "CAS 번호", "CAS NO.", "CAS번호", "CAS Registry No."]),
+}
+#: Sub-item numbers, by syllable {h} or digit {d}; header lines; words for a masked identifier, one twice as often.
 SUB_STYLES = ["{h}. ", "{h}) ", "({h}) ", "{d}) ", "({d}) "]
-#: Fixed patterns of tokens that decide a label.
+PAGE_HEADERS = [
+    "물질안전보건자료(MSDS)", "Page {p} of {t}", "페이지 {p} / {t}", "- {p} -", "MSDS번호 : AA{num}", "개정일자 : 2024.0{m}.1{p}", "{p}/{t}",
+]
+SECRETS = ["영업비밀", "영업비밀", "비공개", "자료없음(영업비밀)", "Trade Secret"]
+#: Fixed patterns of tokens that decide a label, and of a statement's codes with what stands between them and the phrase.
 PROTECTED = {
     "signal": r"(?i)위[ \t]*험|경[ \t]*고|\bDANGER\b|\bWARNING\b", "category": r"(?i)(?:구[ \t]*분|Category)[ \t]*[0-9][A-C]?",
     "gas": r"(?i)압축[ \t]*가스|냉동[ \t]*액화[ \t]*가스|액화[ \t]*가스|용해[ \t]*가스|Liquefied gas|Compressed gas",
     "state": r"(?i)자[ \t]*료[ \t]*없[ \t]*음|해[ \t]*당[ \t]*없[ \t]*음|분류[ \t]*되지[ \t]*않|Not applicable",
     "bound": "[<>≤≥＜＞]=?|이상|이하|미만|초과",
 }
-SECTION = r"^\s*(?:제\s*)?([123])\s*(?:항)?\s*[.)]?\s*(?=(?:화학\s*제품|유해|구성\s*성분))"
 CODES = r"\bH[0-9]{3}(?:[ \t]*\+[ \t]*H[0-9]{3})*[ \t]*[:：\-]?[ \t]*"
+#: Draws of a variant until one passes the checks.
+TRIES = 6
 
 
 def draw(seed: int, doc_id: Column, variant: Column, salt: str, n: int) -> Column:
@@ -35,18 +45,10 @@ def choose(pick: Column, styles: list[str]) -> Column:
     return F.get(F.array(*map(F.lit, styles)), pick)
 
 
-def per_line(text: Column, change) -> Column:
-    return F.array_join(F.transform(F.split(text, "\n"), change), "\n")
-
-
-def bullets(text: Column, pick: Column) -> Column:
-    mark = choose(pick, BULLETS)
-    put = F.when(mark == "", "$1").otherwise(F.concat(F.lit("$1"), mark, F.lit(" ")))
-    return per_line(text, lambda s: F.regexp_replace(s, F.lit(r"^(\s*)(?:[◦○•·▶※\-]|[ㅇo](?=\s))\s*"), put))
-
-
-def section_headers(text: Column, pick: Column) -> Column:
-    return per_line(text, lambda s: F.regexp_replace(s, F.lit(SECTION), choose(pick, [x.replace("{n}", "$1") for x in SECTION_STYLES])))
+def restyled(name: str):
+    """The renderer that puts one style in the place of all matches of a pattern."""
+    pattern, styles = STYLES[name]
+    return (lambda text, pick: F.regexp_replace(text, F.lit(pattern), choose(pick, styles))), len(styles)
 
 
 def sub_numbers(text: Column, pick: Column) -> Column:
@@ -60,35 +62,29 @@ def sub_numbers(text: Column, pick: Column) -> Column:
         rest = F.regexp_replace(s, rf"{syllable}|{digit}", "")
         return F.when(own.isNotNull(), F.concat(F.regexp_extract(s, r"^(\s*)", 1), mark, rest)).otherwise(s)
 
-    return per_line(text, renumber)
-
-
-def colons(text: Column, pick: Column) -> Column:
-    """The colon after a Hangul label; one within brackets belongs to a value and stays."""
-    return per_line(text, lambda s: F.regexp_replace(s, F.lit(r"(?<=[가-힣)])[ \t]*[:：][ \t]*(?![^()]*\))"), choose(pick, COLONS)))
+    return F.array_join(F.transform(F.split(text, "\n"), renumber), "\n")
 
 
 def page_headers(text: Column, pick: Column) -> Column:
-    """A header line before each section heading but one in the first line; pages count from 2."""
+    """A header line before each section heading but one in the first line, each drawn anew; pages count from 2."""
     lines = F.split(text, "\n")
-    is_head = F.transform(lines, lambda s, i: s.rlike(SECTION) & (i > 0))
-    total = (F.pmod(F.xxhash64(pick), F.lit(10)) + 3).cast("string")
+    heads = F.transform(lines, lambda s, i: s.rlike(SECTION) & (i > 0))
+    number = lambda k, low, n: (F.pmod(F.xxhash64(pick, k), F.lit(n)) + low).cast("string")
 
     def put(s, i):
-        page = (1 + F.size(F.filter(F.slice(is_head, 1, i + 1), lambda x: x))).cast("string")
-        header = F.replace(F.replace(choose(pick, PAGE_HEADERS), F.lit("{p}"), page), F.lit("{t}"), total)
-        return F.when(F.get(is_head, i), F.concat(header, F.lit("\n"), s)).otherwise(s)
+        page = F.size(F.filter(F.slice(heads, 1, i + 1), lambda x: x)) + 1
+        header = choose(F.pmod(F.xxhash64(pick, page), F.lit(len(PAGE_HEADERS))).cast("int"), PAGE_HEADERS)
+        values = {"{p}": page.cast("string"), "{t}": number(F.lit(0), 3, 10), "{num}": number(page + 1000, 10**9, 9 * 10**9), "{m}": number(page + 2000, 1, 9)}
+        for mark, value in values.items():
+            header = F.replace(header, F.lit(mark), value)
+        return F.when(F.get(heads, i), F.concat(header, F.lit("\n"), s)).otherwise(s)
 
     return F.array_join(F.transform(lines, put), "\n")
 
 
-def cas_labels(text: Column, pick: Column) -> Column:
-    return F.regexp_replace(text, F.lit(r"(?i)\bCAS[ \t]*(?:Registry[ \t]*)?(?:No\.?|번호|Number)"), choose(pick, CAS_LABELS))
-
-
 RENDERERS = {
-    "bullet": (bullets, len(BULLETS)), "section": (section_headers, len(SECTION_STYLES)), "subnum": (sub_numbers, len(SUB_STYLES)),
-    "colon": (colons, len(COLONS)), "pagehdr": (page_headers, len(PAGE_HEADERS)), "caslabel": (cas_labels, len(CAS_LABELS)),
+    "bullet": restyled("bullet"), "section": restyled("section"), "subnum": (sub_numbers, len(SUB_STYLES)), "colon": restyled("colon"),
+    "pagehdr": (page_headers, 1 << 20), "caslabel": restyled("caslabel"),
 }
 
 
@@ -142,12 +138,12 @@ def add_ec_numbers(text: Column, cas_numbers: Column, pick: Column) -> Column:
 
 def protected_tokens(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, kind, token, n: protected tokens without white space, in capitals."""
-    found = [_found(k, p) for k, p in PROTECTED.items()]
+    found = [_found(k, p, F.col("text")) for k, p in PROTECTED.items()]
     return docs.select(key, F.inline(F.concat(*found))).groupBy(key, "kind", "token").agg(F.count("*").alias("n"))
 
 
-def _found(kind: str, pattern: str) -> Column:
-    tokens = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+def _found(kind: str, pattern: str, text: Column) -> Column:
+    tokens = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     return F.transform(tokens, lambda t: F.struct(F.lit(kind).alias("kind"), F.upper(F.regexp_replace(t, r"\s+", "")).alias("token")))
 
 
@@ -171,6 +167,83 @@ def variants(docs: DataFrame, names: list[str], seed: int = 42) -> DataFrame:
     return own.groupBy("doc_id", F.xxhash64("text").alias("h"), "text").agg(F.min("variant").alias("variant")).select("doc_id", "variant", "text")
 
 
+def tokens_of(text: Column) -> Column:
+    """The protected tokens of a text, sorted."""
+    return F.array_sort(F.flatten(F.array(*(_found(k, p, text) for k, p in PROTECTED.items()))))
+
+
+def assemble(docs: DataFrame, seed: int = 42) -> DataFrame:
+    """doc_id, form, variant, state, text of documents (doc_id, split, form, text, ingredients as for `mask_ingredient`,
+    statements): the original, each renderer's variant, and for split train a masked ingredient and a text without codes.
+
+    A variant is drawn TRIES times at most, until its protected tokens are the original's (a mutator may add some, and what
+    it took away must be gone) and its text is that of no variant before it. State: `made`, `rejected` where no draw passed,
+    `not_applicable` where the document has nothing to change; only made ones have a text."""
+    doc, text = F.col("doc_id"), F.col("text")
+    bare = lambda c: F.regexp_replace(c, r"\s+", "")
+    row = lambda variant, state, t: F.struct(F.lit(variant).alias("variant"), state.alias("state"), t.alias("text"))
+    times = lambda of, x: F.size(F.filter(of, lambda y: y == x))
+    none = F.lit(None).cast("string")
+
+    def fewer(t):  # whether the new text has some token less often
+        return let(tokens_of(t), lambda new: F.exists(F.array_distinct("_tokens"), lambda x: times(F.col("_tokens"), x) > times(new, x)))
+
+    def secret(k):
+        return mask_ingredient(text, F.col("ingredients"), draw(seed, doc, F.lit("secret1"), str(k), 1 << 20))
+
+    def no_codes(k):
+        empty = F.array().cast("array<string>")
+        return let(drop_codes(text, F.col("statements")), lambda m: F.when(m.isNotNull(), F.struct(m["text"].alias("text"), empty.alias("gone"))))
+
+    def rendered(name):
+        render, n = RENDERERS[name]
+        own = lambda k: render(text, draw(seed, doc, F.lit(name), str(k), n))
+        return lambda k, seen: let(own(k), lambda t: F.when(~F.array_contains(seen, t) & (tokens_of(t) == F.col("_tokens")), t))
+
+    def mutated(make):
+        gone = lambda m: F.exists(m["gone"], lambda g: bare(m["text"]).contains(bare(g)))
+        passed = lambda m, seen: F.when(m.isNotNull() & ~F.array_contains(seen, m["text"]) & ~gone(m) & ~fewer(m["text"]), m["text"])
+        return lambda k, seen: let(make(k), lambda m: passed(m, seen))
+
+    mutators = {"secret1": (secret, TRIES), "nohcode": (no_codes, 1)}
+    steps = [(v, rendered(v), TRIES, None) for v in RENDERERS] + [(v, mutated(m), n, m) for v, (m, n) in mutators.items()]
+
+    def rows(left, seen, out):
+        """The rows of the variants that are left; draws are made one after the other, until one passes."""
+        if not left:
+            return out
+        (name, attempt, tries, make), *rest = left
+        found = F.coalesce(*(attempt(k, seen) for k in range(tries)))
+        if make is None:
+            lost = F.lit("rejected")
+        else:  # for training alone
+            found = F.when(F.col("split") == "train", found)
+            lost = F.when(F.col("split") == "train", let(make(0), lambda m: F.when(m.isNull(), "not_applicable").otherwise("rejected")))
+
+        def go_on(t):
+            own = row(name, F.when(t.isNotNull(), "made").otherwise(lost), t)
+            more = F.struct(F.when(t.isNotNull(), F.concat(seen, F.array(t))).otherwise(seen).alias("seen"), F.concat(out, F.array(own)).alias("out"))
+            return let(more, lambda acc: rows(rest, acc["seen"], acc["out"]))
+
+        return let(found, go_on)
+
+    first = F.array(row("orig", F.lit("made"), F.coalesce(text, none)))
+    own = docs.where("text is not null").withColumn("_tokens", tokens_of(text))
+    made = own.select("doc_id", "form", F.inline(rows(steps, F.array(text), first)))
+    return made.where("state is not null").select("doc_id", "form", "variant", "state", "text")
+
+
+def build_report(assembled: DataFrame) -> DataFrame:
+    """form (`all` for every one), n_docs, n_examples, multiplier (examples a document), n_rejected, n_not_applicable."""
+    count = lambda state: F.count_if(F.col("state") == state)
+    every = assembled.select("doc_id", "state", F.explode(F.array(F.coalesce("form", F.lit("?")), F.lit("all"))).alias("form"))
+    n = every.groupBy("form").agg(
+        F.countDistinct("doc_id").alias("n_docs"), count("made").alias("n_examples"), count("rejected").alias("n_rejected"),
+        count("not_applicable").alias("n_not_applicable"),
+    )
+    return n.select("form", "n_docs", "n_examples", F.round(F.col("n_examples") / F.col("n_docs"), 2).alias("multiplier"), "n_rejected", "n_not_applicable")
+
+
 def report(made: DataFrame) -> DataFrame:
     """Numbers of variants by name without its trailing digits."""
     return made.groupBy(F.regexp_replace("variant", "[0-9]+$", "").alias("variant")).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))

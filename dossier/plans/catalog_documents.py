@@ -242,3 +242,13 @@ def protected_token_diff(s, d):
     before = fixture(s, d, "fx_korean")
     after = before.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit("이상"), F.lit(""))).otherwise(F.col("text")))
     return augment.token_changes(before, after, more_allowed=True)
+
+
+@query()
+def variant_build_report(s, d):
+    own = fixture(s, d, "fx_korean")
+    ing = F.array(F.struct(F.lit("e").alias("name"), F.lit("64-17-5").alias("cas"), F.lit(None).cast("string").alias("ke"), F.lit(False).alias("is_sub")))
+    haz = F.array(F.struct(F.lit("H302").alias("code"), F.lit("t").alias("text")))
+    split = F.when(F.col("doc_id") % 5 == 0, "val").otherwise("train")
+    form = F.when(F.col("doc_id") % 3 == 0, "old").otherwise("current")
+    return augment.build_report(augment.assemble(own.select("doc_id", split.alias("split"), form.alias("form"), "text", ing.alias("ingredients"), haz.alias("statements"))))

@@ -141,6 +141,23 @@ def test_variants_keep_protected_tokens(spark):
     assert {tuple(r)[1:] for r in augment.token_changes(docs, lost).collect()} == {("bound", "이상", 1, 0)}
 
 
+def test_assembled_variants(spark):
+    kind = "doc_id int, split string, form string, text string, ingredients array<struct<name:string,cas:string,ke:string,is_sub:boolean>>, statements array<struct<code:string,text:string>>"
+    ing, haz = [("e", "64-17-5", "KE-12345", False)], [("H302", "t")]
+    rows = [(1, "train", "a", KOREAN + "H302 t\n", ing, haz), (2, "val", "a", KOREAN, ing, haz), (3, "train", "b", "plain", [], []), (4, "train", "b", None, [], [])]
+    made = augment.assemble(spark.createDataFrame(rows, kind))
+    got = {(r.doc_id, r.variant): r for r in made.collect()}
+    assert {v for d, v in got if d == 1} == {"orig", *augment.RENDERERS, "secret1", "nohcode"} and {v for d, v in got if d == 2} == {"orig", *augment.RENDERERS}
+    assert all(got[1, v].state == "made" for v in ["orig", "secret1", "nohcode", "bullet", "colon"]) and got[3, "secret1"].state == "not_applicable"
+    assert got[3, "bullet"].state == "rejected" and got[3, "bullet"].text is None and (4, "orig") not in got
+    assert "64-17-5" not in got[1, "secret1"].text and "H302" not in got[1, "nohcode"].text
+    for d in (1, 2):
+        texts = [r.text for (k, _), r in got.items() if k == d and r.text is not None]
+        assert len(texts) == len(set(texts))
+    report = {r.form: r for r in augment.build_report(made).collect()}
+    assert report["all"].n_docs == 3 and report["b"].n_examples == 1 and report["all"].n_examples == sum(r.state == "made" for r in got.values())
+
+
 def test_mutators(spark):
     row = spark.createDataFrame([(KOREAN, [("e", "64-17-5", "KE-12345", False)])], "text string, ing array<struct<name:string,cas:string,ke:string,is_sub:boolean>>")
     m = row.select(augment.mask_ingredient(F.col("text"), F.col("ing"), F.lit(1)).alias("m")).first()["m"]
