@@ -107,3 +107,25 @@ def gate_violations(settings: DataFrame, required: DataFrame) -> DataFrame:
     demanded = runs.join(required)  # the gates are a fixed list of settings
     met = demanded.join(settings, ["run", "name"], "left")
     return met.where(~F.col("value").eqNullSafe(F.col("wanted"))).select("run", "name", "value", "wanted")
+
+
+def source_violations(sources: DataFrame, required: list[str]) -> DataFrame:
+    """rule, key of each breach in a list of sources (doc_id, source_file, …): required columns that are blank, malformed or
+    repeated ids, files that aren't below the root."""
+    rows = sources.withColumn("key", F.col("doc_id").cast("string"))
+    blank = F.filter(F.array(*(F.when(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == "", F.lit(f"blank_{c}")) for c in required)), lambda x: x.isNotNull())
+    file = F.coalesce("source_file", F.lit(""))
+    outside_root = file.startswith("/") | file.rlike(r"(^|/)\.\.(/|$)") | file.rlike(r"^[A-Za-z]:")
+    found = rows.select(F.explode(blank).alias("rule"), "key")
+    for rule, cond in (("malformed_id", ~F.col("key").rlike(ID)), ("outside_root", outside_root)):
+        found = found.union(rows.where(cond).select(F.lit(rule), "key"))
+    return found.union(rows.groupBy("key").count().where("count > 1").select(F.lit("repeated_id"), "key"))
+
+
+def messages(prompt: str, examples: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, messages: the prompt, then the examples' texts and answers (place, text, answer; a handful), then the text."""
+    turn = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
+    pair = F.struct("place", F.array(turn("user", F.trim("text")), turn("assistant", F.col("answer"))).alias("turns"))
+    shots = examples.agg(F.flatten(F.transform(F.array_sort(F.collect_list(pair)), lambda x: x["turns"])).alias("shots"))
+    start = F.array(turn("system", F.lit(prompt)))
+    return docs.join(shots).select("doc_id", F.concat(start, "shots", F.array(turn("user", F.trim("text")))).alias("messages"))

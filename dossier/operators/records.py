@@ -142,3 +142,43 @@ def heads(df: DataFrame, by: str, order: str, value: str, n: int) -> DataFrame:
     own = df.withColumn("rank", rank).where(F.col("rank") <= n)
     values = F.transform(F.array_sort(F.collect_list(F.struct("rank", value))), lambda x: x[value])
     return own.groupBy(by).agg(F.array_join(values, "\n").alias("values"))
+
+
+def matching(docs: DataFrame, text: str, words: list[str], facets: dict[str, str]) -> DataFrame:
+    """Documents whose searched text has all of the words, whatever their case, and whose facets have the given values."""
+    out = docs
+    for w in words:
+        out = out.where(F.contains(F.lower(text), F.lit(w.lower())))
+    for column, value in facets.items():
+        out = out.where(F.col(column) == value)
+    return out
+
+
+def run_means(log: DataFrame) -> DataFrame:
+    """One row of the last log rows: documents, skipped ones, means of time and tokens over the others, and how many hit the
+    limit of new tokens; null means where there are no others."""
+    done = ~F.col("skipped")
+    mean = lambda c: F.round(F.avg(F.when(done, F.col(c))), 4).alias(f"mean_{c}")
+    return log.agg(
+        F.count("*").alias("n"), F.count_if("skipped").alias("n_skipped"), mean("gen_time"), mean("input_tokens"), mean("output_tokens"),
+        F.count_if("hit_max").alias("n_hit_max"),
+    )
+
+
+def rebuilt(documents: DataFrame, children: dict[str, DataFrame], key: str, json: str) -> DataFrame:
+    """key and the record as JSON: each child table (key, seq, …) as a list in order, and list_status as the stored JSON has
+    it; null where that is no JSON object with one."""
+    out = documents.select(key, F.get_json_object(json, "$.list_status").alias("status"))
+    for name, table in children.items():
+        fields = [c for c in table.columns if c not in (key, "seq")]
+        items = nest(table, key, "seq").select(key, F.transform("items", lambda x: F.struct(*(x[c].alias(c) for c in fields))).alias(name))  # noqa: B023
+        out = out.join(items, key, "left").withColumn(name, F.coalesce(F.to_json(name, {"ignoreNullFields": "false"}), F.lit("[]")))
+    parts = [x for name in children for x in (F.lit(f'"{name}":'), F.col(name), F.lit(","))]
+    body = F.concat(F.lit("{"), *parts, F.lit('"list_status":'), F.col("status"), F.lit("}"))
+    return out.select(key, body.alias("record"))
+
+
+def bundle(docs: DataFrame, key: str, body: str) -> DataFrame:
+    """One row: how many documents, and the stamp of their JSON texts, whatever their order (the first 16 hex digits)."""
+    one = manifest(docs.select(F.lit("bundle").alias("kind"), F.concat(F.col(key).cast("string"), F.lit("\t"), F.col(body)).alias("line")), "kind", "line")
+    return one.select("n", F.substring("set_sha256", 1, 16).alias("stamp"))

@@ -89,3 +89,18 @@ def upload_gate(files: DataFrame, sealed: DataFrame, most_bytes: int = 30 << 20)
 
 def question_gate(question: Column, most: int = 1000) -> Column:
     return F.coalesce((F.trim(question) != "") & (F.length(question) <= most), F.lit(False))
+
+
+def confirmed_fields(events: DataFrame) -> DataFrame:
+    """document_id, fields (sorted), complete: the core fields whose last event (document_id, field_path, action, id) confirms
+    them; a later `unconfirm` takes one back. Only a complete document may be saved."""
+    last = events.where(F.col("field_path").isin(CORE)).groupBy("document_id", "field_path").agg(F.max_by("action", "id").alias("action"))
+    own = last.groupBy("document_id").agg(F.array_sort(F.collect_set(F.when(F.col("action") == "confirm", F.col("field_path")))).alias("own"))
+    return own.select("document_id", F.array_join("own", ",").alias("fields"), (F.size("own") == len(CORE)).alias("complete"))
+
+
+def bulk_confirm(fields: DataFrame) -> DataFrame:
+    """Events that confirm all fields (document_id, field_path, status, has_evidence, pending, confirmed, reviewed) that may be
+    confirmed unseen."""
+    may = can_confirm(*(F.col(c) for c in ("status", "has_evidence", "pending", "confirmed", "reviewed")))
+    return fields.where(may).select("document_id", "field_path", F.lit("confirm").alias("action"))

@@ -289,3 +289,79 @@ def distinct_evidence(s, d):
 def recursive_chunks(s, d):
     docs = table(s, d, "documents").select("doc_id", F.col("source").alias("product"), F.lit(1).alias("section"), F.lit("text").alias("title"), F.col("text").alias("body"))
     return text.recursive_chunks(docs)
+
+
+@query("""WITH s AS (SELECT p_partkey AS doc_id, CASE p_partkey % 7 WHEN 0 THEN '/abs/x' WHEN 1 THEN 'a/../b' WHEN 2 THEN '' ELSE 'dir/' || p_name END AS source_file, CASE WHEN p_size % 9 = 0 THEN ' ' ELSE p_brand END AS lang FROM part)
+SELECT 'blank_source_file' AS rule, CAST(doc_id AS VARCHAR) AS key FROM s WHERE source_file = '' UNION ALL SELECT 'blank_lang', CAST(doc_id AS VARCHAR) FROM s WHERE trim(lang) = '' UNION ALL SELECT 'outside_root', CAST(doc_id AS VARCHAR) FROM s WHERE doc_id % 7 IN (0, 1)""")
+def source_list_violations(s, d):
+    k = F.col("p_partkey") % 7
+    file = F.when(k == 0, "/abs/x").when(k == 1, "a/../b").when(k == 2, "").otherwise(F.concat(F.lit("dir/"), "p_name"))
+    own = table(s, d, "part").select(F.col("p_partkey").alias("doc_id"), file.alias("source_file"), F.when(F.col("p_size") % 9 == 0, " ").otherwise(F.col("p_brand")).alias("lang"))
+    return governance.source_violations(own, ["doc_id", "source_file", "lang"])
+
+
+@query("""SELECT p_partkey, p_brand FROM part WHERE contains(lower(p_name || ' ' || p_type), 'e') AND contains(lower(p_name || ' ' || p_type), 'a') AND p_size = 7""")
+def document_search(s, d):
+    own = table(s, d, "part").withColumn("searched", F.concat_ws(" ", "p_name", "p_type"))
+    return records.matching(own, "searched", ["E", "a"], {"p_size": 7}).select("p_partkey", "p_brand")
+
+
+@query("""WITH m AS (SELECT user_id, max(event_id) AS id FROM events GROUP BY user_id), l AS (SELECT e.* FROM events e JOIN m ON e.user_id = m.user_id AND e.event_id = m.id),
+x AS (SELECT event_type = 'error' AS skipped, value AS gen_time, event_id % 700 AS input_tokens, event_id % 300 AS output_tokens, event_id % 3 = 0 AS hit_max FROM l)
+SELECT COUNT(*) AS n, COUNT(*) FILTER (skipped) AS n_skipped, ROUND(AVG(gen_time) FILTER (NOT skipped), 4) AS mean_gen_time, ROUND(AVG(input_tokens) FILTER (NOT skipped), 4) AS mean_input_tokens,
+ ROUND(AVG(output_tokens) FILTER (NOT skipped), 4) AS mean_output_tokens, COUNT(*) FILTER (hit_max) AS n_hit_max FROM x""")
+def run_log_means(s, d):
+    last = records.last_by(table(s, d, "events"), "user_id", "event_id")
+    return records.run_means(last.select(
+        (F.col("event_type") == "error").alias("skipped"), F.col("value").alias("gen_time"), (F.col("event_id") % 700).alias("input_tokens"),
+        (F.col("event_id") % 300).alias("output_tokens"), (F.col("event_id") % 3 == 0).alias("hit_max"),
+    ))
+
+
+@query("""SELECT s.doc_id, s.split, l.quality, m.n AS n_log, d.source FROM fx_split s LEFT JOIN labels l ON s.doc_id = l.doc_id LEFT JOIN (SELECT user_id, COUNT(*) AS n FROM events GROUP BY user_id) m ON s.doc_id = m.user_id LEFT JOIN documents d ON s.doc_id = d.doc_id""")
+def documents_with_sources_and_log(s, d):
+    log = table(s, d, "events").groupBy(F.col("user_id").alias("doc_id")).agg(F.count("*").alias("n_log"))
+    own = fixture(s, d, "fx_split").select("doc_id", "split").join(table(s, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return own.join(log, "doc_id", "left").join(table(s, d, "documents").select("doc_id", "source"), "doc_id", "left")
+
+
+CONFIRM = """e AS (SELECT user_id AS document_id, ['product_name', 'signal_word', 'ingredients', 'ghs_classification', 'hazard_statements'][event_id % 5 + 1] AS field_path, CASE WHEN value < 20 THEN 'unconfirm' ELSE 'confirm' END AS action, event_id AS id FROM events),
+m AS (SELECT document_id, field_path, arg_max(action, id) AS action FROM e GROUP BY ALL)"""
+
+
+@query(f"""WITH {CONFIRM} SELECT document_id, COALESCE(string_agg(field_path, ',' ORDER BY field_path) FILTER (action = 'confirm'), '') AS fields, COUNT(*) FILTER (action = 'confirm') = 5 AS complete FROM m GROUP BY document_id""")
+def confirmed_fields(s, d):
+    names = ["product_name", "signal_word", "ingredients", "ghs_classification", "hazard_statements"]
+    field = F.get(F.array(*map(F.lit, names)), (F.col("event_id") % 5).cast("int"))
+    action = F.when(F.col("value") < 20, "unconfirm").otherwise("confirm")
+    events = table(s, d, "events").select(F.col("user_id").alias("document_id"), field.alias("field_path"), action.alias("action"), F.col("event_id").alias("id"))
+    return review.confirmed_fields(events)
+
+
+@query("""SELECT event_id AS document_id, event_type AS field_path, 'confirm' AS action FROM events WHERE event_id % 4 = 0 AND value > 50 AND user_id % 5 <> 0 AND user_id % 7 <> 0""")
+def bulk_confirmed(s, d):
+    status = F.when(F.col("event_id") % 4 == 0, "OK").otherwise("REVIEW_REQUIRED")
+    own = table(s, d, "events").select(
+        F.col("event_id").alias("document_id"), F.col("event_type").alias("field_path"), status.alias("status"), (F.col("value") > 50).alias("has_evidence"),
+        F.lit(False).alias("pending"), (F.col("user_id") % 5 == 0).alias("confirmed"), (F.col("user_id") % 7 == 0).alias("reviewed"),
+    )
+    return review.bulk_confirm(own)
+
+
+@query("""WITH i AS (SELECT doc_id, string_agg('{"name":"' || name || '","cas":' || COALESCE('"' || cas || '"', 'null') || '}', ',' ORDER BY seq) AS items FROM fx_gold_ing GROUP BY doc_id)
+SELECT j.doc_id, CASE WHEN j.doc_id % 11 <> 0 THEN '{"ingredients":[' || COALESCE(items, '') || '],"list_status":' || regexp_extract(json, '"list_status":(\{[^}]*\})', 1) || '}' END AS record FROM fx_json j LEFT JOIN i ON j.doc_id = i.doc_id""")
+def rebuilt_records(s, d):
+    return records.rebuilt(fixture(s, d, "fx_json"), {"ingredients": fixture(s, d, "fx_gold_ing").select("doc_id", "seq", "name", "cas")}, "doc_id", "json")
+
+
+@query("""WITH h AS (SELECT sha256(CAST(event_id AS VARCHAR) || chr(9) || props) AS h FROM events), p AS (SELECT substring(h, 1, 3) AS prefix, COUNT(*) AS n, sha256(string_agg(h, chr(10) ORDER BY h)) AS part FROM h GROUP BY 1)
+SELECT CAST(SUM(n) AS BIGINT) AS n, substring(sha256(string_agg(prefix || ':' || part, chr(10) ORDER BY prefix)), 1, 16) AS stamp FROM p""")
+def results_bundle(s, d):
+    return records.bundle(table(s, d, "events"), "event_id", "props")
+
+
+@query("""SELECT conv_id, turn, '[{"role":"system","content":"Answer."},{"role":"user","content":"q1"},{"role":"assistant","content":"a1"},{"role":"user","content":' || to_json(trim(text)) || '}]' AS messages FROM conversations""")
+def prompt_messages(s, d):
+    shots = s.createDataFrame([(1, " q1 ", "a1")], "place int, text string, answer string")
+    docs = table(s, d, "conversations").select(F.struct("conv_id", "turn").alias("doc_id"), "text")
+    return governance.messages("Answer.", shots, docs).select("doc_id.conv_id", "doc_id.turn", F.to_json("messages").alias("messages"))

@@ -79,3 +79,17 @@ def header_and_rows(spark: SparkSession, path: str, header: str, rows: str) -> t
     is_row = F.get_json_object("value", "$.doc_id").isNotNull()
     parse = lambda df, schema: df.select(F.from_json("value", schema).alias("r")).select("r.*")
     return parse(lines.where(~is_row), header), parse(lines.where(is_row), rows)
+
+
+def phrase_table(spark: SparkSession, path: str) -> DataFrame:
+    """row_no, code, phrase of a CSV of codes (h_code, phrase_ko, accepted_variants with `|` between): one row a phrase."""
+    own = spark.read.csv(path, header=True, schema="h_code string, phrase string, variants string").withColumn("line", F.monotonically_increasing_id())
+    every = F.concat(F.array("phrase"), F.split(F.coalesce("variants", F.lit("")), r"\|"))
+    rows = own.select("line", F.col("h_code").alias("code"), F.posexplode(F.array_distinct(F.filter(F.transform(every, F.trim), lambda p: p != ""))).alias("n", "phrase"))
+    return rows.select((F.col("line") * 1000 + F.col("n")).alias("row_no"), "code", "phrase")
+
+
+def class_table(spark: SparkSession, path: str) -> DataFrame:
+    """hazard_class, category, signal_word, codes (with `|` between) of a CSV of classifications."""
+    own = spark.read.csv(path, header=True, schema="hazard_class string, category string, signal_word string, codes string, source string, note string")
+    return own.select("hazard_class", "category", F.nullif(F.trim("signal_word"), F.lit("")).alias("signal_word"), F.coalesce("codes", F.lit("")).alias("codes"))

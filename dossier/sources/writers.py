@@ -66,3 +66,25 @@ def training_lines(examples: DataFrame, path: str, most_tokens: int, tokens: str
 def stamped(df: DataFrame, key: str, body: str) -> DataFrame:
     """Each document's JSON with the first 16 hex digits of its hash, by which a change is seen."""
     return df.select(key, body, F.substring(F.sha2(body, 256), 1, 16).alias("stamp"))
+
+
+def append_reviews(events: DataFrame, path: str) -> None:
+    """Add to the review history, which is never rewritten; values that aren't text are stored as JSON."""
+    kinds = dict(events.dtypes)
+    value = F.col("confirmed_value") if kinds["confirmed_value"] == "string" else F.to_json("confirmed_value")
+    events.withColumn("confirmed_value", value).write.mode("append").parquet(path)
+
+
+def training_digest(spark: SparkSession, path: str) -> DataFrame:
+    """split, n, set_sha256 of written training lines."""
+    from dossier.operators.records import manifest
+
+    lines = spark.read.schema("value string, split string").option("basePath", path).text(path)
+    return manifest(lines, "split", "value")
+
+
+def tracked(stream: DataFrame, put, checkpoint: str) -> None:
+    """Give each new batch of a stream's rows to `put` (rows, batch number), once a batch, and stop at the end of what is
+    there; for sinks such as experiment trackers."""
+    query = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions import chem
 from dossier.operators import records, rules, scoring, text
-from dossier.sources import readers
+from dossier.sources import readers, writers
 from dossier.streaming import tail
 
 
@@ -121,3 +121,28 @@ def test_tail_takes_each_row_once(spark, tmp_path):
         (tmp_path / "in" / f"{k}.csv").write_text(f"step,loss\n{k},0.5\n")
         tail.tail_log(spark, f"{tmp_path}/in", "step int, loss double", f"{tmp_path}/out", f"{tmp_path}/cp")
     assert sorted(r.step for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2]
+
+
+def test_lookup_tables_and_histories(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("h_code,phrase_ko,accepted_variants\nH224,very flammable,very  flam.|\nH225,flammable,\n")
+    got = [(r.code, r.phrase) for r in readers.phrase_table(spark, f"{tmp_path}/p.csv").orderBy("row_no").collect()]
+    assert got == [("H224", "very flammable"), ("H224", "very  flam."), ("H225", "flammable")]
+    (tmp_path / "c.csv").write_text("a,b,c,d,e,f\nx,1,위험,H224|H225,s,n\ny,2,,,s,n\n")
+    assert [tuple(r) for r in readers.class_table(spark, f"{tmp_path}/c.csv").collect()] == [("x", "1", "위험", "H224|H225"), ("y", "2", None, "")]
+    one_event = spark.createDataFrame([(1, "ingredients", [{"cas": "x"}])], "document_id int, field_path string, confirmed_value array<map<string,string>>")
+    for _ in range(2):
+        writers.append_reviews(one_event, f"{tmp_path}/h")
+    assert [r.confirmed_value for r in spark.read.parquet(f"{tmp_path}/h").collect()] == ['[{"cas":"x"}]'] * 2
+    lines = spark.createDataFrame([("a", "train", "orig", [("user", "x")], 5), ("b", "val", "orig", [("user", "y")], 900)], "doc_id string, split string, variant string, messages array<struct<role:string,content:string>>, n_tokens int")
+    assert [r.doc_id for r in writers.training_lines(lines, f"{tmp_path}/t", 100).collect()] == ["b"]
+    assert [(r.split, r.n) for r in writers.training_digest(spark, f"{tmp_path}/t").collect()] == [("train", 1)]
+
+
+def test_tracked_batches(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("1,0.5\n2,0.25\n")
+    seen = []
+    stream = spark.readStream.schema("step int, loss double").csv(f"{tmp_path}/in")
+    for _ in range(2):
+        writers.tracked(stream, lambda df, n: seen.extend(r.step for r in df.collect()), f"{tmp_path}/cp")
+    assert sorted(seen) == [1, 2]
