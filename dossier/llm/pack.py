@@ -342,9 +342,11 @@ def pack(
     def measure(batches):
         df, sizes, docs_n = np.zeros(VOCABULARY, np.int64), np.zeros(VOCABULARY, np.int64), 0
         for batch in batches:
-            for key, x in zip(batch.column("key").to_pylist(), as_ids(batch), strict=True):
-                df[np.unique(x)] += 1
-                sizes[key] += len(x) % WINDOW
+            flat, at = flat_ids(batch.column("ids"))
+            size = np.diff(at)
+            pairs = np.unique(np.repeat(np.arange(len(size), dtype=np.int64), size) << 16 | flat[at[0] : at[-1]])
+            df += np.bincount(pairs & 0xFFFF, minlength=VOCABULARY)
+            np.add.at(sizes, batch.column("key").to_numpy(), size % WINDOW)
             docs_n += len(batch)
         terms, keys = np.flatnonzero(df), np.flatnonzero(sizes)
         yield pa.RecordBatch.from_arrays(
@@ -368,7 +370,8 @@ def pack(
             for shard, doc_id, x in zip(to, batch.column("doc_id").to_pylist(), as_ids(batch), strict=True):
                 for at in range(0, len(x), WINDOW):
                     own = x[at : at + WINDOW]
-                    rows.append((shard, doc_id, at, len(own), len(x), crc(own), None if len(own) == WINDOW else own.tobytes()))
+                    whole = len(own) == WINDOW
+                    rows.append((shard, doc_id, at, len(own), len(x), crc(own) if whole else None, None if whole else own.tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), CUT_TYPES, strict=True)]
                 if rows else [pa.array([], k) for k in CUT_TYPES], names=CUT_NAMES,
