@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -38,14 +39,39 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Paths of tables written since each open `tables_of`.
+_MADE: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: the rows as a Parquet table in the shared folder, read back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for made in _MADE:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)  # no part file may have been written
 
 
+@contextmanager
+def tables_of() -> Iterator[list[str]]:
+    """The paths of all tables that `written` makes within, in order."""
+    made: list[str] = []
+    _MADE.append(made)
+    try:
+        yield made
+    finally:
+        _MADE.remove(made)
+
+
+def delete_tables(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete tables that nothing will read any more."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        table = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        table.getFileSystem(conf).delete(table, True)
+
+
 def ascii_lower(col):
     """Lower-case A-Z and nothing else."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
