@@ -1,18 +1,25 @@
 """The corpus pipeline: documents become packed training sequences in five stages.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept; `run` writes each stage's rows as
-Parquet in the shared folder and reads them again, so a lost executor costs one stage at most."""
+Parquet in the shared folder and reads them again, so a lost executor costs one stage at most. What a stage wrote besides its
+rows goes when these are there, and its input when the next one's are; the last table stays.
+
+Defined results: documents with a null or empty text have no language and go in the first stage; where no document has a
+label, all that have a letter stay. Of rows that are equal or linked, one stays; null or repeated ids of unlike texts lose
+nothing. Ties go to the smallest doc_id, then to the smallest hash of the row. An empty table gives no rows, an empty
+benchmark removes none. Further columns stay until the last stage, which returns pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from dossier.llm import decontaminate, language, near_dedup, pack, secrets
-from dossier.llm.common import configure, read, written
+from dossier.llm.common import configure, delete_tables, read, tables_of, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go."""
+    """Documents without a language go; a null lang becomes the language found."""
     return language.drop_unidentified(docs)
 
 
@@ -50,7 +57,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with tables_of() as made:
+            docs = written(stage(spark, docs, sf_dir), name)
+        delete_tables(spark, before + made[:-1])
+        before = made[-1:]
     return docs
