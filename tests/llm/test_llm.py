@@ -635,5 +635,43 @@ def test_pipeline(spark, sf_dir):
         out = stage(spark, docs.union(odd), sf_dir)
         assert out.schema.names == docs.columns and out.count() > 0
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
-    assert corpus_pipeline.run(spark, sf_dir).select("doc_id").distinct().count() > 0
     assert re.match("op1_", next(iter(queries.queries())))
+
+
+def test_pipeline_equals_its_parts(spark, sf_dir):
+    """The packed documents are those that plain versions of the filters keep, with their secrets gone."""
+    folder = spark.conf.get("spark.checkpoint.dir")
+    there = set(os.listdir(folder))
+    packed = corpus_pipeline.run(spark, sf_dir)
+    assert [n.split("-")[0] for n in set(os.listdir(folder)) - there] == ["packing"]  # no other table is left
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    known = {k for k, t in texts.items() if t and any(c.isalpha() for c in t)}
+
+    def shingles(t):
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t).split()
+        return {tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))}
+
+    sets, kept, up = {k: shingles(texts[k]) for k in sorted(known)}, set(), {}
+
+    def root(k):
+        while up.get(k, k) != k:
+            k = up[k]
+        return k
+
+    for a, b in itertools.combinations(sets, 2):
+        if 20 * min(len(sets[a]), len(sets[b])) >= 17 * max(len(sets[a]), len(sets[b])):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((root(a), root(b)))
+                up[y] = x
+    kept = {k for k in sets if root(k) == k}
+    rows = decontaminate.digest(docs.where(docs.doc_id.isin(list(kept))), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    kept -= {r.doc_id for r in rows.where("contaminated").collect()}
+    got = {r.doc_id: r.doc_tokens for r in packed.collect()}
+    assert set(got) == kept
+    ids = pack.Ids(pack.default_tokenizer())
+    clean = [k for k in kept if not secrets.base_spans(texts[k])]
+    assert [len(x.as_py()) // 2 for x in ids(pa.array([texts[k] for k in clean]))] == [got[k] for k in clean]
+
+
