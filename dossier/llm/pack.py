@@ -236,9 +236,9 @@ class Shard:
         self.ids, self.query_terms = ids, query_terms
         self.left = np.array([len(x) for x in ids])  # ids not yet placed
         self.start = np.zeros(len(ids), np.int64)  # of those
-        own = np.repeat(np.arange(len(ids), dtype=np.int64), self.left)
-        pairs, tf = np.unique(own << 16 | np.concatenate(ids), return_counts=True)
-        self.docs, self.terms = pairs >> 16, (pairs & 0xFFFF).astype(np.uint16)
+        kind = np.uint32 if len(ids) <= 1 << 16 else np.uint64  # narrow numbers sort faster
+        pairs, tf = np.unique(np.repeat(np.arange(len(ids), dtype=kind), self.left) << kind(16) | np.concatenate(ids), return_counts=True)
+        self.docs, self.terms = (pairs >> kind(16)).astype(np.int64), pairs.astype(np.uint16)
         norm = K1 * (1 - B + B * self.left[self.docs] / mean_length)
         self.weight = (idf[self.terms] * tf * (K1 + 1) / (tf + norm)).astype(np.float32)
         self._index()
@@ -343,10 +343,10 @@ def pack(
         df, sizes, docs_n = np.zeros(VOCABULARY, np.int64), np.zeros(VOCABULARY, np.int64), 0
         for batch in batches:
             flat, at = flat_ids(batch.column("ids"))
-            size = np.diff(at)
-            pairs = np.unique(np.repeat(np.arange(len(size), dtype=np.int64), size) << 16 | flat[at[0] : at[-1]])
-            df += np.bincount(pairs & 0xFFFF, minlength=VOCABULARY)
-            np.add.at(sizes, batch.column("key").to_numpy(), size % WINDOW)
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                own = np.sort(flat[a:b])
+                df[own[np.flatnonzero(np.diff(own, prepend=own[0] ^ 1))]] += 1
+            np.add.at(sizes, batch.column("key").to_numpy(), np.diff(at) % WINDOW)
             docs_n += len(batch)
         terms, keys = np.flatnonzero(df), np.flatnonzero(sizes)
         yield pa.RecordBatch.from_arrays(
