@@ -73,7 +73,7 @@ class EliasFano:
         """The index of each target, or -1: successor search among the numbers that share its high part."""
         target = np.asarray(target, np.int64)
         high, low = target >> self.width, target & ((1 << self.width) - 1)
-        at, end = self._before(high), np.minimum(self._before(high + 1), self.n)
+        at, end = np.split(np.minimum(self._before(np.concatenate([high, high + 1])), self.n), 2)
         out = np.full(len(target), -1, np.int64)
         left = np.flatnonzero(at < end)
         while len(left):

@@ -95,16 +95,23 @@ class Tokens:
         c[self.begin] = model.n_docs
         return c
 
-    def grams(self, c: np.ndarray):
-        """For pairs, then triples: (tokens that have a context, their Grams); c are the counts of distinct tokens."""
-        before = np.where(self.begins, self.begin, np.concatenate([[0], self.codes[:-1]]))
-        bound, own = c[before], self.distinct[self.codes]
-        at = np.flatnonzero(bound >= LEAST)
-        yield at, Grams(self.distinct, before[at], own[at], bound[at]) if len(at) else None
-        pairs = np.concatenate([[BEGIN], pair_key(self.distinct[before], own)[:-1]])
-        bound = np.where(self.begins, 0, np.minimum(np.concatenate([[0], bound[:-1]]), bound))
+    def before(self) -> np.ndarray:
+        return np.where(self.begins, self.begin, np.concatenate([[0], self.codes[:-1]]))
+
+    def pairs(self, c: np.ndarray):
+        """(tokens that have a context, their Grams or None); c are the counts of distinct tokens."""
+        before = self.before()
+        bound = c[before]
         at = np.flatnonzero(bound >= LEAST)
-        yield at, Grams(pairs[at], None, own[at], bound[at]) if len(at) else None
+        return at, Grams(self.distinct, before[at], self.distinct[self.codes[at]], bound[at]) if len(at) else None
+
+    def triples(self, c: np.ndarray, some: np.ndarray | None = None):
+        """As `pairs`; `some` leaves out tokens whose context can't be in the model."""
+        before, own = self.before(), self.distinct[self.codes]
+        bound = np.where(self.begins, 0, np.minimum(np.concatenate([[0], c[before[:-1]]]), c[before]))
+        at = np.flatnonzero(bound >= LEAST if some is None else (bound >= LEAST) & some)
+        keys = pair_key(self.distinct[before[at - 1]], own[at - 1])
+        return at, Grams(keys, None, own[at], bound[at]) if len(at) else None
 
 
 def flushes(batches, *columns: str):
@@ -168,16 +175,19 @@ class Grams:
 
 
 def planes(x: np.ndarray, width: int) -> bytes:
-    """The low `width` bytes of integers, all first bytes first: equal ones stand together, which a shuffle compresses."""
-    return np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    """The low `width` bytes of integers, all first bytes first, so that those much alike stand together; compressed."""
+    data = np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return len(data).to_bytes(4, "little") + pa.compress(data, "zstd", asbytes=True)
 
 
 def joined(table: pa.Table, name: str, width: int) -> np.ndarray:
     """The integers of all rows' planes."""
     parts = []
     for data in table.column(name).to_pylist():
-        out = np.zeros((len(data) // width, 8), np.uint8)
-        out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
+        size = int.from_bytes(data[:4], "little")
+        out = np.zeros((size // width, 8), np.uint8)
+        if size:
+            out[:, :width] = np.frombuffer(pa.decompress(data[4:], size, "zstd", asbytes=True), np.uint8).reshape(width, -1).T
         parts.append(out.reshape(-1).view("<u8"))
     return np.concatenate(parts)
 
@@ -262,8 +272,9 @@ class Level:
         self.visit(keys, look)
         return out
 
-    def successors(self, grams: Grams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Discounted probabilities of the rows (0 where not kept); of the contexts, counts and what their successors leave."""
+    def successors(self, grams: Grams, likely: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Discounted probabilities of the rows (0 where not kept; only likely ones are looked up); of the contexts, counts and
+        what their successors leave."""
         share, count, left = np.zeros(len(grams.own)), np.zeros(len(grams.keys)), np.ones(len(grams.keys))
         ends = np.concatenate([[0], np.cumsum(grams.runs())])
 
@@ -276,9 +287,9 @@ class Level:
                 count[a + there] = arrays["count"][found]
             of = np.full(b - a, -1)
             of[there] = np.arange(len(there))
-            at, end = coded["pointer"].access(found), coded["pointer"].access(found + 1)
+            at, end = np.split(coded["pointer"].access(np.concatenate([found, found + 1])), 2)
             rows = slice(ends[a], ends[b])
-            own = of[grams.own[rows] - a]
+            own = np.where(likely[rows], of[grams.own[rows] - a], -1)
             rows, own = ends[a] + np.flatnonzero(own >= 0), own[own >= 0]
             place = between(arrays["high"], arrays["low"], at[own], end[own], grams.small[rows])
             hit = place >= 0
@@ -317,9 +328,10 @@ class Model:
         self.total = self.n_docs = 0
         self.norm = 1
 
-    def step(self, level: Level, split: Level, grams: Grams) -> tuple[np.ndarray, np.ndarray]:
-        """Of all tokens that have a context: what the kept n-grams give, and what they leave to the shorter context."""
-        share, count, left = level.successors(grams)
+    def step(self, level: Level, split: Level, grams: Grams, likely: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of all tokens that have a context: what the kept n-grams give, and what they leave to the shorter context. Tokens
+        that aren't likely have no kept n-gram."""
+        share, count, left = level.successors(grams, likely[grams.first])
         s = np.flatnonzero(grams.split)
         if len(s):  # a part knows its own count; the context's are kept apart
             real, back = np.unique(grams.real[s], return_inverse=True)
@@ -333,14 +345,18 @@ class Model:
     def logs(self, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
         """Of each token, its count and the logarithm of its smoothed probability."""
         c = tokens.counts(self)
-        p = ((c + 1) / self.norm)[tokens.codes]
-        for (at, grams), level, split in zip(
-            tokens.grams(c), (self.pairs, self.triples), (self.split_pairs, self.split_triples), strict=True
-        ):
-            if len(at):
-                share, left = self.step(level, split, grams)
-                p[at] = share + left * p[at]
-        return c[tokens.codes], np.log10(p)
+        own = c[tokens.codes]
+        p, pair = (own + 1) / self.norm, np.zeros(len(own), bool)
+        at, grams = tokens.pairs(c)
+        if len(at):
+            share, left = self.step(self.pairs, self.split_pairs, grams, own[at] >= LEAST)
+            p[at], pair[at] = share + left * p[at], share > 0
+        # A triple is kept only if both of its pairs are.
+        at, grams = tokens.triples(c, np.concatenate([[False], pair[:-1]]))
+        if len(at):
+            share, left = self.step(self.triples, self.split_triples, grams, pair[at])
+            p[at] = share + left * p[at]
+        return own, np.log10(p)
 
 
 def sent(level: Level, keys: np.ndarray, columns) -> pa.RecordBatch:
@@ -382,7 +398,7 @@ def count_grams(train: DataFrame, model: Model):
     def count(batches):
         for _, tokens in flushes(batches):
             c = tokens.counts(model)
-            for order, (at, grams) in enumerate(tokens.grams(c)):
+            for order, (at, grams) in enumerate((tokens.pairs(c), tokens.triples(c))):
                 if len(at):
                     yield counted(order, grams, c[tokens.codes[at]])
 
@@ -418,7 +434,7 @@ def count_grams(train: DataFrame, model: Model):
         taken = np.bincount(own, n, len(keys)).astype(float)
         some = np.flatnonzero(taken)  # contexts that have kept successors
         pointers = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(keys))[some])])
-        real = np.concatenate([np.frombuffer(x or bytes(8 * (len(k) // 7)), "<u8") for x, k in zip(
+        real = np.concatenate([np.frombuffer(x or bytes(8 * (int.from_bytes(k[:4], "little") // 7)), "<u8") for x, k in zip(
             table.column("x5").to_pylist(), table.column("x0").to_pylist(), strict=True)])
         of = np.zeros(len(keys), np.uint64)
         of[back] = real
