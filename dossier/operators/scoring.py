@@ -186,11 +186,12 @@ def outcomes(docs: DataFrame) -> DataFrame:
 def paired(a: DataFrame, b: DataFrame, groups: DataFrame, n_boot: int, seed: int = 42) -> DataFrame:
     """subset, metric, win, loss, tie, mean_diff, n_docs, n_groups, ci_low, ci_high of outcomes a less b, for `all` and, where
     there are several, for each subset; groups: doc_id, subset, grp. Both sides must have the same documents."""
-    both = a.unpivot(["doc_id"], OUTCOMES, "metric", "x").join(b.unpivot(["doc_id"], OUTCOMES, "metric", "y"), ["doc_id", "metric"])
-    own = both.join(groups, "doc_id")
+    wide = a.join(b.select("doc_id", *(F.col(c).alias(f"_{c}") for c in OUTCOMES)), "doc_id").join(groups, "doc_id")
+    diffs = F.array(*(F.struct(F.lit(c).alias("metric"), (F.col(c) - F.col(f"_{c}")).alias("diff")) for c in OUTCOMES))
+    own = wide.select("subset", "grp", F.inline(diffs))
     several = groups.agg(F.countDistinct("subset").alias("n")).where("n > 1").select(F.lit(True).alias("several"))
     every = own.withColumn("subset", F.lit("all")).unionByName(own.join(several).drop("several"))
-    every = every.withColumn("key", F.concat_ws("\x00", "subset", "metric")).withColumn("diff", F.col("x") - F.col("y"))
+    every = every.withColumn("key", F.concat_ws("\x00", "subset", "metric"))
     sums = every.groupBy("key", "grp").agg(
         F.sum("diff").alias("t"), F.count("*").alias("n"), F.count_if(F.col("diff") > 0).alias("win"), F.count_if(F.col("diff") < 0).alias("loss")
     )

@@ -261,13 +261,17 @@ def hcode_extract(s, d):
     return own.groupBy("code").agg(F.countDistinct("doc_id").alias("n"))
 
 
-@query()
+@query("""WITH c AS (SELECT doc_id, unnest(list_transform(range(1, length(text) + 1), lambda i: text[i])) AS ch, unnest(range(1, length(text) + 1)) AS i FROM fx_split),
+r AS (SELECT doc_id, ch, i - ROW_NUMBER() OVER (PARTITION BY doc_id, ch ORDER BY i) AS g FROM c WHERE NOT regexp_matches(ch, '\\s')), k AS (SELECT doc_id, 4 * COUNT(*) AS k FROM r GROUP BY doc_id, ch, g),
+n AS (SELECT doc_id, k, COUNT(*) AS n FROM k GROUP BY doc_id, k), b AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY n DESC, k) AS rank FROM n) SELECT doc_id, CAST(k AS INTEGER) AS k, n FROM b WHERE rank = 1 AND n >= 20""")
 def bold_repeat_factor(s, d):
     own = fixture(s, d, "fx_split").select("doc_id", F.regexp_replace("text", r"(\S)", "$1$1$1$1").alias("text"))
     return text.repeat_factor(own)
 
 
-@query()
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS n FROM fx_text),
+h AS (SELECT *, TRY_CAST(regexp_extract(line, '^\\s*(1[0-6]|[1-9])\\s*[.)]', 1) AS INTEGER) AS num FROM l), s AS (SELECT doc_id, n, line, COALESCE(last_value(num IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n), 0) AS section FROM h)
+SELECT doc_id, section, string_agg(line, chr(10) ORDER BY n) AS body FROM s GROUP BY doc_id, section""")
 def heading_sections(s, d):
     return text.sections(fixture(s, d, "fx_text"))
 
