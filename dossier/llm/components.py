@@ -9,8 +9,9 @@ from .common import written
 
 
 def _star(edges: DataFrame) -> DataFrame:
-    """Each node's rows (node, neighbour) with the least of the node and its neighbours; the minimum is combined before
-    any shuffle, and joined back, so a node with very many neighbours is dealt like any other."""
+    """Each node's rows (node, neighbour) with the least of the node and its neighbours. The minimum is combined before any
+    shuffle. Joined back, a node with very many neighbours is one key of the join: its rows stay small (two numbers), the other
+    side has one row for it, and adaptive execution splits such a partition (or broadcasts a small other side)."""
     least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     return edges.join(least, "u")
 
