@@ -11,6 +11,11 @@ KE = r"^KE-[0-9]{5}$"
 HCODE = r"^H[0-9]{3}[A-Za-z]{0,2}(\+H[0-9]{3}[A-Za-z]{0,2})*$"
 
 
+def let(x: Column, f) -> Column:
+    """f of x, with x worked out once however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def squash(c: Column) -> Column:
     """All white space of Unicode removed."""
     return F.regexp_replace(c, r"(?U)\s+", "")
@@ -39,22 +44,19 @@ def content_bounds(content: Column) -> Column:
     """struct(lo, hi) of a content such as `10~20`, `<1` or `15 %`; null if it has no or more than two numbers."""
     text = F.regexp_replace(content, "%", "")
     numbers = F.transform(F.regexp_extract_all(text, F.lit(r"([0-9]+(?:\.[0-9]+)?)"), 1), lambda x: x.cast("double"))
-    one = F.get(numbers, F.lit(0))
     upper, lower = text.rlike("<|≤|미만|이하"), text.rlike(">|≥|이상|초과")
     pair = lambda a, b: F.struct(a.cast("double").alias("lo"), b.cast("double").alias("hi"))
-    return F.when(F.size(numbers) == 2, pair(F.array_min(numbers), F.array_max(numbers))).when(
-        F.size(numbers) == 1,
-        F.when(upper, pair(F.lit(0), one)).when(lower, pair(one, F.lit(100))).otherwise(pair(one, one)),
+    single = lambda one: F.when(upper, pair(F.lit(0), one)).when(lower, pair(one, F.lit(100))).otherwise(pair(one, one))
+    return let(
+        numbers, lambda n: F.when(F.size(n) == 2, pair(F.array_min(n), F.array_max(n))).when(F.size(n) == 1, single(F.get(n, F.lit(0))))
     )
 
 
 def content_key(content: Column) -> Column:
     """A string that is equal for equal contents: `null`, `P:lo:hi` to six digits, or the squashed text."""
-    bounds = content_bounds(content)
     fixed = lambda x: F.format_string("%.6f", x)
-    return F.when(content.isNull(), "null").when(
-        bounds.isNotNull(), F.concat(F.lit("P:"), fixed(bounds["lo"]), F.lit(":"), fixed(bounds["hi"]))
-    ).otherwise(F.concat(F.lit("S:"), squash(content)))
+    amount = lambda b: F.when(b.isNotNull(), F.concat(F.lit("P:"), fixed(b["lo"]), F.lit(":"), fixed(b["hi"])))
+    return F.when(content.isNull(), "null").otherwise(F.coalesce(let(content_bounds(content), amount), F.concat(F.lit("S:"), squash(content))))
 
 
 def content_lower(content: Column) -> Column:

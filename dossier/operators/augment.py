@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .schema import let
+from dossier.functions.chem import let
 
 HANGUL = "가나다라마바사아자차카타파하"
 #: What each renderer looks for, and what stands there instead; `$1` is the pattern's group. Bullets; numbers of

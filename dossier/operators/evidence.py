@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dossier.functions.chem import let
 from dossier.functions.textnorm import strip
 
-from .schema import let
-
 #: Marks that read as a tilde; labels sought beside a value.
 TILDES = "∼～–—"
 LABELS = {"product_name": ["제품명", "상품명"], "signal_word": ["신호어"]}

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.functions.chem import HCODE, KE, cas_checksum_ok
+from dossier.functions.chem import HCODE, KE, cas_checksum_ok, let
 
 #: The record's fields, states and categories.
 STATES = ["기재", "자료없음", "해당없음"]
@@ -65,11 +65,6 @@ def some(*errors: Column) -> Column:
     return F.filter(F.array(*errors), lambda e: e.isNotNull())
 
 
-def let(x: Column, f) -> Column:
-    """f of x, with x worked out once however often f names it."""
-    return F.get(F.transform(F.array(x), f), F.lit(0))
-
-
 def then(first: Column, rule: Column) -> Column:
     """The first errors; where there are none, those of the rule across fields."""
     return let(first, lambda e: F.when(F.size(e) > 0, e).otherwise(some(rule)))

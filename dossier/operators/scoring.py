@@ -8,29 +8,49 @@ from pyspark.sql import functions as F
 from dossier.functions.chem import f1, ratio
 
 
+def _sides(gold: DataFrame, pred: DataFrame, *columns) -> DataFrame:
+    """Rows of both sides, with 1 under g or p: one aggregation over both needs no join."""
+    side = lambda df, g, p: df.select(*columns, F.lit(g).alias("g"), F.lit(p).alias("p"))
+    return side(gold, 1, 0).union(side(pred, 0, 1))
+
+
 def set_counts(gold: DataFrame, pred: DataFrame, key: str, value: str) -> DataFrame:
     """tp, fp, fn of the distinct values of each key."""
-    g = gold.where(F.col(value).isNotNull()).select(key, value).distinct().withColumn("g", F.lit(1))
-    p = pred.where(F.col(value).isNotNull()).select(key, value).distinct().withColumn("p", F.lit(1))
-    both = g.join(p, [key, value], "full")
-    n = lambda cond: F.sum(F.when(cond, 1).otherwise(0)).cast("long")
+    both = _sides(gold, pred, key, value).where(F.col(value).isNotNull()).groupBy(key, value).agg(F.max("g").alias("g"), F.max("p").alias("p"))
     return both.groupBy(key).agg(
-        n(F.col("g").isNotNull() & F.col("p").isNotNull()).alias("tp"), n(F.col("g").isNull()).alias("fp"),
-        n(F.col("p").isNull()).alias("fn"),
-    )
+        F.count_if((F.col("g") == 1) & (F.col("p") == 1)).alias("tp"), F.count_if(F.col("g") == 0).alias("fp"), F.count_if(F.col("p") == 0).alias("fn")
+    )
 
 
 def bag_counts(gold: DataFrame, pred: DataFrame, key: str, *parts: Column) -> DataFrame:
     """tp, fp, fn of one-to-one matching of equal rows: for each value, the smaller of the two multiplicities matches."""
-    names = [f"k{i}" for i in range(len(parts))]
-    count = lambda df, n: df.groupBy(key, *(p.alias(k) for p, k in zip(parts, names, strict=True))).agg(F.count("*").alias(n))
-    both = count(gold, "g").join(count(pred, "p"), [key, *names], "full")
-    g, p = F.coalesce("g", F.lit(0)), F.coalesce("p", F.lit(0))
+    named = [p.alias(f"k{i}") for i, p in enumerate(parts)]
+    both = _sides(gold, pred, key, *named).groupBy(key, *(f"k{i}" for i in range(len(parts)))).agg(F.sum("g").alias("g"), F.sum("p").alias("p"))
+    g, p = F.col("g"), F.col("p")
     return both.groupBy(key).agg(
         F.sum(F.least(g, p)).alias("tp"), F.sum(p - F.least(g, p)).alias("fp"), F.sum(g - F.least(g, p)).alias("fn")
     )
 
 
+def ingredient_counts(gold: DataFrame, pred: DataFrame, key: str, content: Column) -> DataFrame:
+    """key, the counts of the families cas, pair and nocas, and cas_paired (rows whose identifier both sides have), of
+    ingredients (key, cas, is_sub, …), in one pass: rows are counted by identifier and content, then by identifier (by the
+    substitute flag where there is none), then by key."""
+    flag = F.when(F.col("cas").isNull(), F.col("is_sub"))
+    rows = _sides(gold, pred, key, "cas", flag.alias("flag"), content.alias("content"))
+    n = lambda c: F.sum(c).alias(c)
+    own = rows.groupBy(key, "cas", "flag", "content").agg(n("g"), n("p"))
+    own = own.groupBy(key, "cas", "flag").agg(n("g"), n("p"), F.sum(F.least("g", "p")).alias("same"))
+    g, p, same, some = F.col("g"), F.col("p"), F.col("same"), F.col("cas").isNotNull()
+    total = lambda name, cond, x: F.sum(F.when(cond, x).otherwise(0)).alias(name)
+    return own.groupBy(key).agg(
+        F.count_if(some & (g > 0) & (p > 0)).alias("cas_tp"), F.count_if(some & (g == 0)).alias("cas_fp"), F.count_if(some & (p == 0)).alias("cas_fn"),
+        total("pair_tp", some, same), total("pair_fp", some, p - same), total("pair_fn", some, g - same),
+        total("nocas_tp", ~some, same), total("nocas_fp", ~some, p - same), total("nocas_fn", ~some, g - same),
+        total("cas_paired", some, F.least(g, p)),
+    )
+
+
 def micro(counts: DataFrame, by: str) -> DataFrame:
     """Micro precision, recall and F1; null where all counts are zero, 0 where one denominator is."""
     s = counts.groupBy(by).agg(*(F.sum(c).cast("long").alias(c) for c in ("tp", "fp", "fn")))
@@ -115,6 +135,8 @@ METRICS = [
     "content_acc", "doc_exact_rate", "doc_exact_ext_rate", "fab_hcode_n", "fab_hcode_docs", "fab_ghs_docs", "fab_cas_n", "fab_any_docs",
     "misplace_ke_n", "misplace_content_n", "gen_time_mean_s", "input_tokens_mean", "output_tokens_mean", "n_hit_max_new_tokens",
 ]
+#: Numbers of invented and misplaced values.
+EXTRA = ["fab_hcode", "fab_ghs", "fab_cas", "ke_misplaced", "content_misplaced"]
 #: The outcomes of a paired comparison.
 OUTCOMES = [
     "parse_rate", "schema_rate", "product_name_acc", "signal_word_acc", "ghs_classification", "hazard_statements", "cas", "pair", "nocas",
@@ -122,18 +144,20 @@ OUTCOMES = [
 ]
 
 
-def by_document(runs: DataFrame, families: dict[str, DataFrame], extra: DataFrame) -> DataFrame:
-    """One row a document: the run's flags and hits, each family's counts (0 where it has no rows), `extra`'s numbers
-    (fab_hcode, fab_ghs, fab_cas, ke_misplaced, content_misplaced, cas_paired), and `exact` and `exact_ext`.
+def by_document(runs: DataFrame, families: dict[str, DataFrame], ingredients: DataFrame, extra: DataFrame) -> DataFrame:
+    """One row a document: the run's flags and hits, the counts of each family (ghs, hcode, htext as tp, fp, fn; ingredients as
+    `ingredient_counts` gives them; 0 where there are no rows), `extra`'s numbers (doc_id and some of fab_hcode, fab_ghs, fab_cas,
+    ke_misplaced, content_misplaced, as rows that are added up), and `exact` and `exact_ext`.
 
-    The families are gathered as rows and turned into columns by one aggregation."""
+    All are gathered as rows of one shape and added up by document in one aggregation."""
+    numbers = [*(f"{f}_{c}" for f in FAMILIES for c in ("tp", "fp", "fn")), "cas_paired", *EXTRA]
+    parts = [counts.select("doc_id", *(F.col(c).alias(f"{f}_{c}") for c in ("tp", "fp", "fn"))) for f, counts in families.items()]
     rows = None
-    for name, counts in families.items():
-        own = counts.select("doc_id", F.lit(name).alias("family"), "tp", "fp", "fn")
+    for part in [*parts, ingredients.withColumnRenamed(ingredients.columns[0], "doc_id"), extra]:
+        there = set(part.columns)
+        own = part.select("doc_id", *((F.col(c) if c in there else F.lit(0)).cast("long").alias(c) for c in numbers))
         rows = own if rows is None else rows.union(own)
-    of = lambda f, c: F.sum(F.when(F.col("family") == f, F.col(c)).otherwise(0)).alias(f"{f}_{c}")
-    wide = rows.groupBy("doc_id").agg(*(of(f, c) for f in families for c in ("tp", "fp", "fn")))
-    out = runs.join(wide, "doc_id", "left").join(extra, "doc_id", "left").na.fill(0)
+    out = runs.join(rows.groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in numbers)), "doc_id", "left").na.fill(0, numbers)
     right = lambda f: F.col(f"{f}_fp") + F.col(f"{f}_fn") == 0
     exact = F.col("parsed") & F.col("schema_ok")
     for h in HITS:

@@ -6,9 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dossier.functions.chem import hcodes_of
-
-from .schema import let
+from dossier.functions.chem import hcodes_of, let
 
 #: Section headings and marks of the precaution block, as (name, pattern), in order; one line each.
 SECTION2 = [

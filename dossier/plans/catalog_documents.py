@@ -8,7 +8,7 @@ from dossier.functions import lenient_json, textnorm
 from dossier.operators import augment, evidence, governance, headings, records, retrieval, review, schema, scoring
 
 from .catalog import CAS_SETS, KEY, MICRO, NUMBERS, QUERY_VECTOR, cas_micro_f1_by_subset, query, table
-from .fixtures import fixture
+from .fixtures import fixture, spread
 
 NAMES = ["cold widget", "small", "widget economy", "steel pipe", "zzz"]
 PROMPT = "Answer from the text."
@@ -60,13 +60,13 @@ SELECT * FROM e UNION ALL SELECT * FROM r"""
 
 @query(SCHEMA_SQL)
 def schema_violations(s, d):
-    return schema.validate(fixture(s, d, "fx_json"))
+    return schema.validate(spread(fixture(s, d, "fx_json")))
 
 
 @query(f"""WITH e AS ({SCHEMA_SQL}) SELECT COUNT(*) AS n_files, COUNT(*) FILTER (try_cast(json AS JSON) IS NOT NULL) AS n_parsed,
  COUNT(*) FILTER (doc_id NOT IN (SELECT doc_id FROM e)) AS n_ok, COUNT(*) FILTER (doc_id IN (SELECT doc_id FROM e)) AS n_bad FROM fx_json""")
 def schema_totals(s, d):
-    return schema.totals(fixture(s, d, "fx_json"))
+    return schema.totals(spread(fixture(s, d, "fx_json")))
 
 
 @query("""SELECT event_id, CASE WHEN answer <> 'sorry' THEN props END AS json, CASE WHEN answer = 'sorry' THEN 'not_json' END AS error FROM fx_answer""")

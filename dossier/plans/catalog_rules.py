@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from dossier.functions import chem
 from dossier.operators import evidence, rules, schema, text
 
 from .catalog import CAS_SQL, HCODE_SQL, NUMBERS, PHRASE_SQL, SIGNAL_FOUND, SIGNAL_STEPS, SUM_SQL, by_code, query, table
 from .catalog_documents import SCHEMA_SQL
-from .fixtures import fixture
+from .fixtures import fixture, spread
 
 S2, S3 = r"(?i)^\s*(2\s*[.:)\-–]?\s*Hazards?\b|SECTION\s*2\b)", r"(?i)^\s*(3\s*[.:)\-–]?\s*Composition|SECTION\s*3\b)"
 S4 = r"(?i)^\s*(4\s*[.:)\-–]?\s*first[\s\-]*aid|제\s*4\s*항|SECTION\s*4\b)"
@@ -45,7 +46,7 @@ def section_cut(s, d):
 @query(f"WITH {CUT_SQL}, {BLOCK_SQL} SELECT status, COUNT(*) AS n, CAST(SUM(length(kept)) AS BIGINT) AS n_chars FROM p WHERE cut IS NOT NULL GROUP BY status")
 def p_block_removal(s, d):
     cut = fixture(s, d, "fx_text").select(text.cut_to_section3(text.join_codes(F.col("text")))["text"].alias("text"))
-    r = cut.select(schema.let(F.col("text"), lambda t: F.when(t.isNotNull(), text.remove_p_block(t))).alias("r")).where("r is not null")
+    r = cut.select(chem.let(F.col("text"), lambda t: F.when(t.isNotNull(), text.remove_p_block(t))).alias("r")).where("r is not null")
     return r.groupBy(F.col("r.status").alias("status")).agg(F.count("*").alias("n"), F.sum(F.length("r.text")).alias("n_chars"))
 
 
@@ -111,7 +112,7 @@ def findings(s, d):
     # Identifiers come with typing errors, contents as they are.
     own = fixture(s, d, "fx_typo_cas").join(fixture(s, d, "fx_gold_ing").select("doc_id", "seq", "content"), ["doc_id", "seq"])
     return rules.all_checks(
-        violations=schema.validate(fixture(s, d, "fx_json")), values=fixture(s, d, "fx_value"), located=found, docs=fixture(s, d, "fx_doc"), sources=sources,
+        violations=schema.validate(spread(fixture(s, d, "fx_json"))), values=fixture(s, d, "fx_value"), located=found, docs=fixture(s, d, "fx_doc"), sources=sources,
         ingredients=own, classes=fixture(s, d, "fx_ghs"), statements=fixture(s, d, "fx_haz"), signals=fixture(s, d, "fx_signal"),
         dim=fixture(s, d, "fx_dim"), phrases=fixture(s, d, "fx_phrase"),
     )
@@ -119,7 +120,7 @@ def findings(s, d):
 
 @query(f"WITH f AS ({STRUCTURE_SQL}) SELECT check_name, severity, code, COUNT(*) AS n FROM f GROUP BY ALL")
 def schema_findings(s, d):
-    return by_code(rules.check_schema(schema.validate(fixture(s, d, "fx_json"))))
+    return by_code(rules.check_schema(schema.validate(spread(fixture(s, d, "fx_json")))))
 
 
 @query(SENTINEL_SQL)

@@ -89,27 +89,25 @@ def scored(s, d):
     codes = lambda t: f(t).select("doc_id", F.explode(chem.split_hcodes(F.col("code"))).alias("v"))
     phrase = F.regexp_replace(chem.squash(F.col("text")), "[.。]+$", "")
     gold, pred = f("fx_gold_ing"), f("fx_pred_ing")
-    some, none = "cas is not null", "cas is null"
-    content = chem.content_key(F.col("content"))
     families = {
         "ghs": scoring.set_counts(keyed(f("fx_ghs"), pair), keyed(f("fx_pred_ghs"), pair), "doc_id", "v"),
         "hcode": scoring.set_counts(codes("fx_haz"), codes("fx_pred_haz"), "doc_id", "v"),
         "htext": scoring.set_counts(keyed(f("fx_haz"), phrase), keyed(f("fx_pred_haz"), phrase), "doc_id", "v"),
-        "cas": scoring.set_counts(gold, pred, "doc_id", "cas"),
-        "pair": scoring.bag_counts(gold.where(some), pred.where(some), "doc_id", F.col("cas"), content),
-        "nocas": scoring.bag_counts(gold.where(none), pred.where(none), "doc_id", F.col("is_sub"), content),
     }
+    ingredients = scoring.ingredient_counts(gold, pred, "doc_id", chem.content_key(F.col("content")))
     lines = F.collect_list(F.struct("seq", "line"))
     sources = f("fx_line_text").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(lines), lambda x: x["line"]), "\n").alias("text"))
     cas = scoring.fabricated(pred.select("doc_id", F.lit("cas").alias("kind"), F.col("cas").alias("value")), sources, "doc_id")
     invented = codes("fx_pred_haz").distinct().join(codes("fx_haz").distinct(), ["doc_id", "v"], "left_anti")
     runs = f("fx_run").withColumn("skipped", F.col("doc_id") % 23 == 0)
     empty = runs.where("doc_id % 21 = 0").join(f("fx_pred_ghs").select("doc_id").distinct(), "doc_id")
-    paired = scoring.bag_counts(gold.where(some), pred.where(some), "doc_id", F.col("cas"))
-    n = lambda df, name: df.groupBy("doc_id").agg(F.count("*").alias(name))
-    extra = n(invented, "fab_hcode").join(n(cas, "fab_cas"), "doc_id", "full").join(n(empty, "fab_ghs"), "doc_id", "full")
-    extra = extra.join(scoring.misplaced(f("fx_misplaced"), "doc_id"), "doc_id", "full").join(paired.select("doc_id", F.col("tp").alias("cas_paired")), "doc_id", "full")
-    return scoring.by_document(runs.join(f("fx_doc").select("doc_id", "subset", "grp"), "doc_id"), families, extra)
+    extra = None
+    for df, name in ((invented, "fab_hcode"), (cas, "fab_cas"), (empty, "fab_ghs")):
+        own = df.select("doc_id", *(F.lit(int(c == name)).alias(c) for c in scoring.EXTRA))
+        extra = own if extra is None else extra.union(own)
+    wrong = scoring.misplaced(f("fx_misplaced"), "doc_id")
+    extra = extra.union(wrong.select("doc_id", *(F.col(c) if c in wrong.columns else F.lit(0) for c in scoring.EXTRA)))
+    return scoring.by_document(runs.join(f("fx_doc").select("doc_id", "subset", "grp"), "doc_id"), families, ingredients, extra)
 
 
 @query(f"{REPORT_SQL} SELECT * FROM report")

@@ -127,3 +127,8 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for table in set(NAMED.findall(sql)):
         spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(f"dossier_{table}")
     return spark.sql(NAMED.sub(lambda m: m[0].replace(m[1], f"dossier_{m[1]}"), sql))
+
+
+def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows dealt to all cores: a given table may be one row group, which one task reads, and checking records is slow."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
