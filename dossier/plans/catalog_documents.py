@@ -47,6 +47,24 @@ def evidence_locate(s, d):
     return evidence.evidence(targets, sources)
 
 
+@query("""WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '경고' ELSE '위험' END AS v, CASE doc_id % 4 WHEN 0 THEN '경고 표지|a 위험|신호어: 위험|신호어 : 경고|b' WHEN 1 THEN 'x 경고|신호어|- 위험|신호어|- 경고'
+ WHEN 2 THEN '경고가 a|위험이 b|c: 위험|d: 경고' ELSE '신호 어|위 험|경 고' END AS text FROM documents), l AS (SELECT *, string_split(text, '|') AS l FROM t),
+k AS (SELECT *, list_transform(range(1, len(l) + 1), lambda i: CASE WHEN list_last(regexp_split_to_array(trim(l[i]), '[:\\s]+')) = v THEN 0 WHEN contains(l[i], v) THEN 1 END) AS rank FROM l),
+c AS (SELECT *, list_sort(list_filter(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN rank[i] IS NOT NULL THEN printf('%d%02d', rank[i], i) END), lambda x: x IS NOT NULL)) AS hits FROM k),
+n AS (SELECT *, list_filter(hits, lambda h: contains(l[CAST(h[2:] AS INTEGER)], '신호어') OR (CAST(h[2:] AS INTEGER) > 1 AND contains(l[CAST(h[2:] AS INTEGER) - 1], '신호어'))) AS named FROM c),
+b AS (SELECT *, CAST(COALESCE(named[1], hits[1])[2:] AS INTEGER) AS i, len(named) > 0 AS lab FROM n)
+SELECT doc_id, i IS NOT NULL OR contains(replace(replace(text, '|', ''), ' ', ''), v) AS found, CASE WHEN i IS NOT NULL THEN 'exact' WHEN contains(replace(replace(text, '|', ''), ' ', ''), v) THEN 'normalized' ELSE 'not_found' END AS match_type,
+ CASE WHEN i IS NULL THEN NULL WHEN lab AND NOT contains(l[i], '신호어') THEN trim(l[i - 1]) || chr(10) || trim(l[i]) ELSE trim(l[i]) END AS snippet FROM b""")
+def evidence_beside_labels(s, d):
+    """Values beside a label, or below one, are better than any without."""
+    k = F.col("doc_id") % 4
+    text = F.when(k == 0, "경고 표지|a 위험|신호어: 위험|신호어 : 경고|b").when(k == 1, "x 경고|신호어|- 위험|신호어|- 경고").when(k == 2, "경고가 a|위험이 b|c: 위험|d: 경고").otherwise("신호 어|위 험|경 고")
+    docs = table(s, d, "documents").select("doc_id", F.replace(text, F.lit("|"), F.lit("\n")).alias("text"))
+    word = F.when(F.col("doc_id") % 3 == 0, "경고").otherwise("위험")
+    found = evidence.evidence(docs.select("doc_id", F.lit("signal_word").alias("field"), word.alias("value")), docs)
+    return found.select("doc_id", "found", "match_type", "snippet")
+
+
 SCHEMA_SQL = """WITH j AS (SELECT doc_id, try_cast(json AS JSON) AS j FROM fx_json),
 e AS (SELECT doc_id, '' AS loc, 'json_invalid' AS type FROM j WHERE j IS NULL
 UNION ALL SELECT doc_id, 'product_name', 'value_error' FROM j WHERE json_type(j, '$.product_name.value') = 'NULL'
@@ -69,13 +87,17 @@ def schema_totals(s, d):
     return schema.totals(spread(fixture(s, d, "fx_json")))
 
 
-@query("""SELECT event_id, CASE WHEN answer <> 'sorry' THEN props END AS json, CASE WHEN answer = 'sorry' THEN 'not_json' END AS error FROM fx_answer""")
+#: The rule: thoughts and fences go; what is left is JSON, or from its first brace to its last one is.
+@query("""WITH t AS (SELECT event_id, trim(regexp_replace(regexp_replace(answer, '(?s)<think>.*?</think>', '', 'g'), '```(json)?', '', 'g'), E' \\n') AS t FROM fx_answer),
+c AS (SELECT event_id, CASE WHEN json_valid(t) THEN t ELSE regexp_extract(t, '(?s)\\{.*\\}', 0) END AS j FROM t)
+SELECT event_id, CASE WHEN j <> '' AND json_valid(j) AND json_type(j) = 'OBJECT' THEN j END AS json, CASE WHEN j = '' OR NOT json_valid(j) THEN 'not_json' WHEN json_type(j) <> 'OBJECT' THEN 'not_object' END AS error FROM c""")
 def lenient_json_extract(s, d):
     return fixture(s, d, "fx_answer").select("event_id", lenient_json.extract(F.col("answer")).alias("r")).select("event_id", "r.*")
 
 
-@query("""SELECT category, CASE WHEN trim(category) = '-' THEN NULL WHEN category = 'Liquefied gas' THEN '액화가스'
-ELSE CONCAT('구분 ', regexp_extract(category, '([0-9])', 1), CASE WHEN regexp_matches(category, '[0-9]b$') THEN 'B' ELSE '' END) END AS category_key, COUNT(*) AS n FROM fx_category GROUP BY ALL""")
+@query("""WITH q AS (SELECT category, regexp_replace(regexp_replace(category, '\\([^\\n]*?\\)', '', 'g'), '\\s+', '', 'g') AS q FROM fx_category), n AS (SELECT *, regexp_replace(q, '(?i)구분|category|cat\\.?', '', 'g') AS n FROM q)
+SELECT category, CASE WHEN q IN ('', '-', '—') THEN NULL WHEN contains(lower(q), 'refrigeratedliquefiedgas') THEN '냉동액화가스' WHEN contains(lower(q), 'liquefiedgas') THEN '액화가스' WHEN contains(lower(q), 'compressedgas') THEN '압축가스'
+ WHEN contains(lower(q), 'dissolvedgas') THEN '용해가스' WHEN regexp_matches(q, '류|형') THEN q WHEN regexp_matches(n, '[0-9]') THEN '구분 ' || regexp_extract(n, '([0-9])', 1) || upper(regexp_extract(n, '[0-9]([a-cA-C])?', 1)) ELSE q END AS category_key, COUNT(*) AS n FROM n GROUP BY ALL""")
 def category_forms(s, d):
     n = fixture(s, d, "fx_category").groupBy("category").agg(F.count("*").alias("n"))
     return n.select("category", textnorm.category_key(F.col("category")).alias("category_key"), "n")
@@ -128,10 +150,12 @@ def run_failures(s, d):
     return scoring.failures(log, "user_id", "error")
 
 
-@query("""SELECT document_id, CASE WHEN n = 5 THEN 'confirmed' WHEN n > 1 THEN 'needs_review' ELSE 'unconfirmed' END AS status FROM (SELECT document_id, COUNT(DISTINCT field_path) AS n FROM fx_review GROUP BY document_id)""")
+@query("""WITH n AS (SELECT document_id, field_path = 'click' AS early, COUNT(DISTINCT CAST(FLOOR(id / 7) AS BIGINT) % 5) AS n FROM fx_review WHERE id % 11 < 3 GROUP BY ALL)
+SELECT document_id, early, CASE WHEN early AND document_id % 4 = 0 THEN 'pending' WHEN n = 5 THEN 'confirmed' WHEN n > 1 THEN 'needs_review' ELSE 'unconfirmed' END AS status FROM n""")
 def document_states(s, d):
-    n = fixture(s, d, "fx_review").groupBy("document_id").agg(F.countDistinct("field_path").alias("n"))
-    return n.select("document_id", review.document_status(F.col("n"), F.lit(False)).alias("status"))
+    own = fixture(s, d, "fx_review").where("id % 11 < 3").withColumn("early", F.col("field_path") == "click")
+    n = own.groupBy("document_id", "early").agg(F.countDistinct(F.floor(F.col("id") / 7) % 5).alias("n"))
+    return n.select("document_id", "early", review.document_status(F.col("n"), F.col("early") & (F.col("document_id") % 4 == 0)).alias("status"))
 
 
 @query("""WITH m AS (SELECT document_id, MAX(batch) AS batch FROM fx_review GROUP BY document_id),

@@ -93,7 +93,7 @@ FIXTURES = {
     "fx_korean": """SELECT doc_id, CONCAT('1. 화학제품과 회사', chr(10), '가. 제품명 : ', source, chr(10), '- 위험', chr(10), '2. 유해성', chr(10),
  'CAS 번호 64-17-5 80 이상', chr(10), '3. 구성성분', chr(10), text) AS text FROM documents""",
     "fx_category": """SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN CONCAT('Category ', CAST(p_size % 4 + 1 AS STRING)) WHEN 1 THEN CONCAT('구분', CAST(p_size % 4 + 1 AS STRING), '(1A/1B)')
- WHEN 2 THEN 'Liquefied gas' WHEN 3 THEN ' - ' ELSE CONCAT('Cat. ', CAST(p_size % 4 + 1 AS STRING), 'b') END AS category FROM part""",
+ WHEN 2 THEN CASE p_size % 4 WHEN 0 THEN 'Refrigerated liquefied gas' WHEN 1 THEN '폭발물 1.1 류' WHEN 2 THEN 'Type x' ELSE 'Liquefied gas' END WHEN 3 THEN ' - ' ELSE CONCAT('Cat. ', CAST(p_size % 4 + 1 AS STRING), 'b') END AS category FROM part""",
 }
 
 

@@ -146,3 +146,27 @@ def test_tracked_batches(spark, tmp_path):
     for _ in range(2):
         writers.tracked(stream, lambda df, n: seen.extend(r.step for r in df.collect()), f"{tmp_path}/cp")
     assert sorted(seen) == [1, 2]
+
+
+def test_logs_and_cuts(spark, tmp_path):
+    from dossier.plans.fixtures import spread
+
+    df = spark.createDataFrame([("a", "OK", '{"x":1}'), ("b", "NOT_FOUND", "{}"), ("c", None, None)], "doc_id string, status string, body string")
+    writers.split_cut(df, f"{tmp_path}/cut")
+    assert spark.read.parquet(f"{tmp_path}/cut/success").count() == 1 and spark.read.parquet(f"{tmp_path}/cut/review_required").count() == 2
+    for _ in range(2):
+        writers.append_failures(df.where("status <> 'OK'").select("doc_id", "status"), f"{tmp_path}/failures")
+    assert [tuple(r) for r in readers.csv_table(spark, f"{tmp_path}/failures", "doc_id string, status string").collect()] == [("b", "NOT_FOUND")] * 2
+    stamps = {r.doc_id: r.stamp for r in writers.stamped(df, "doc_id", "body").collect()}
+    assert len(stamps["a"]) == 16 and stamps["a"] != stamps["b"] and stamps["c"] is None
+    (tmp_path / "x.jsonl").write_text('{"n": 1}\n\n{"n": 2}\n')
+    assert sorted(r.n for r in readers.json_lines(spark, f"{tmp_path}/x.jsonl", "n int").collect()) == [1, 2]
+    assert spread(df).count() == 3
+
+
+def test_stream_drops_repeats(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("a,2024-01-01 00:00:00\na,2024-01-01 00:01:00\nb,2024-01-01 00:02:00\n")
+    stream = tail.latest_by_key(spark.readStream.schema("id string, ts timestamp").csv(f"{tmp_path}/in"), "id", "1 hour", "ts")
+    stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["a", "b"]
