@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import positions, selected
+
 
 def last_by(df: DataFrame, key: str, position: str) -> DataFrame:
     """The last row of each key; aggregated on both sides of the shuffle."""
@@ -95,18 +97,12 @@ def inputs_digest(df: DataFrame, by: str, *columns: str) -> DataFrame:
 
 
 def percentiles(df: DataFrame, by: str, value: str, qs: list[int]) -> DataFrame:
-    """Nearest-rank percentiles (rank q/100 of n - 1, half to even), mean and maximum of whole numbers.
+    """Nearest-rank percentiles (rank q/100 of n - 1, half to even), mean and maximum of each group's numbers, whole or not.
 
-    Rows are counted by value first; only distinct values reach the window, so a group that holds most rows is no burden."""
-    w = Window.partitionBy(by)
-    n = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = n.select(by, value, "_n", upto.alias("_upto"), F.sum("_n").over(w).alias("_rows"))
+    Ranks are places in the sorted table, so that neither a group with most rows nor one of distinct values meets in a task."""
     at = lambda q: F.bround(F.lit(q / 100) * (F.col("_rows") - 1)).cast("long")
-    return ranked.groupBy(by).agg(
-        *(F.min(F.when(F.col("_upto") > at(q), F.col(value))).alias(f"p{q}") for q in qs),
-        F.round(F.sum(F.col(value) * F.col("_n")) / F.sum("_n"), 6).alias("mean"), F.max(value).alias("max"),
-    )
+    found = selected(df, by, value, {f"p{q}": at(q) for q in qs})
+    return found.select(by, *(f"p{q}" for q in qs), F.round("mean", 6).alias("mean"), "max")
 
 
 def next_revisions(new: DataFrame, stored: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -116,14 +112,9 @@ def next_revisions(new: DataFrame, stored: DataFrame, keys: list[str], order: st
     return new.withColumn("place", place).join(last, keys, "left").withColumn("revision", (F.coalesce("last", F.lit(0)) + F.col("place")).cast("long")).drop("place", "last")
 
 
-def numbered(df: DataFrame, by: str, order: str) -> DataFrame:
-    """Rows with a number over all of them, by group and then by order; counts of the groups come first, so that no task
-    sees more than one group."""
-    before = df.groupBy(by).agg(F.count("*").alias("n"))
-    w = Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)  # groups are few (conditions)
-    before = before.select(by, F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy(by).orderBy(order))
-    return df.withColumn("number", within).join(before, by).withColumn("number", F.col("number") + F.col("before")).drop("before")
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """Rows with a number from 1 over all of them in the given order, by places in the sorted table."""
+    return positions(df, *order, name="number").withColumn("number", F.col("number") + 1)
 
 
 def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:

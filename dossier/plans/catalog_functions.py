@@ -348,7 +348,7 @@ def bulk_confirmed(s, d):
     return review.bulk_confirm(own)
 
 
-@query("""WITH i AS (SELECT doc_id, string_agg('{"name":"' || name || '","cas":' || COALESCE('"' || cas || '"', 'null') || '}', ',' ORDER BY seq) AS items FROM fx_gold_ing GROUP BY doc_id)
+@query(r"""WITH i AS (SELECT doc_id, string_agg('{"name":"' || name || '","cas":' || COALESCE('"' || cas || '"', 'null') || '}', ',' ORDER BY seq) AS items FROM fx_gold_ing GROUP BY doc_id)
 SELECT j.doc_id, CASE WHEN j.doc_id % 11 <> 0 THEN '{"ingredients":[' || COALESCE(items, '') || '],"list_status":' || regexp_extract(json, '"list_status":(\{[^}]*\})', 1) || '}' END AS record FROM fx_json j LEFT JOIN i ON j.doc_id = i.doc_id""")
 def rebuilt_records(s, d):
     return records.rebuilt(fixture(s, d, "fx_json"), {"ingredients": fixture(s, d, "fx_gold_ing").select("doc_id", "seq", "name", "cas")}, "doc_id", "json")
