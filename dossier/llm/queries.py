@@ -8,6 +8,7 @@ from . import (
     html_text,
     language,
     licenses,
+    line_dedup,
     lm_score,
     near_dedup,
     pack,
@@ -29,6 +30,7 @@ def queries():
         "op8_secrets": lambda s, d: secrets.digest(read(s, d, "documents")),
         "op9_embedding_dedup": lambda s, d: embedding_join.near_vectors(read(s, d, "embeddings")),
         "op10_lm_score": lambda s, d: lm_score.score(read(s, d, "documents")),
+        "op11_line_dedup": lambda s, d: line_dedup.digest(read(s, d, "documents")),
     }
 
 
@@ -38,4 +40,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_minhash_dedup": near_dedup.ORACLE,
         "op7_licenses": licenses.ORACLE,
         "op9_embedding_dedup": embedding_join.ORACLE,
+        "op11_line_dedup": line_dedup.ORACLE,
     }
