@@ -78,8 +78,9 @@ def line_keys(docs: DataFrame, least_chars: int = LEAST_CHARS, *keep: str) -> Da
 class LineRuns:
     """Runs of (h1, h2, n_docs, top) in a shared folder; n_docs is exact below `least_docs`, top is the largest doc_id."""
 
-    def __init__(self, spark: SparkSession, folder: str, least_docs: int = LEAST_DOCS, fanout: int = FANOUT):
+    def __init__(self, spark: SparkSession, folder: str, least_docs: int = LEAST_DOCS, fanout: int = FANOUT, doc_type: str = "long"):
         self.spark, self.folder, self.least_docs, self.fanout = spark, folder, least_docs, fanout
+        self.schema = f"h1 long, h2 long, n_docs long, top {doc_type}"
         self.tables: dict[str, str] = {}
 
     def runs(self) -> list[tuple[int, int, int, int, str]]:
@@ -97,10 +98,9 @@ class LineRuns:
         """A run as a bucketed table of this session's catalogue, so that joins on its key need no shuffle of it."""
         path, buckets = run[4], run[3]
         if path not in self.tables:
-            columns = ", ".join(f"`{c}` {t}" for c, t in self.spark.read.parquet(path).dtypes)
             self.tables[path] = name = f"run_{uuid.uuid4().hex}"
             self.spark.sql(
-                f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {buckets} BUCKETS LOCATION '{path}'"
+                f"CREATE TABLE {name} ({self.schema}) USING parquet CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {buckets} BUCKETS LOCATION '{path}'"
             )
         return self.spark.table(self.tables[path])
 
@@ -126,7 +126,8 @@ class LineRuns:
 
     def merged(self, runs: list) -> DataFrame:
         """One row a key. Read as plain files: Spark 4.1 gives wrong sums where it groups a union of bucketed tables in place."""
-        rows = self.spark.read.parquet(*(r[4] for r in runs)) if runs else self.spark.createDataFrame([], "h1 long, h2 long, n_docs long, top long")
+        paths = [r[4] for r in runs]
+        rows = self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
         return rows.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("top").alias("top"))
 
     def compact(self) -> None:
@@ -171,7 +172,7 @@ def dropped_lines(docs: DataFrame, name: str, least_chars: int, least_docs: int,
     keyed = line_keys(docs.select("doc_id", "text", name), least_chars, name)
     keyed.withColumn(batch, descending_batches(docs, batches)).write.partitionBy(batch).parquet(path)
     lines = spark.read.schema(keyed.schema.add(batch, IntegerType())).parquet(path)
-    runs = LineRuns(spark, f"{path}-runs", least_docs, fanout)
+    runs = LineRuns(spark, f"{path}-runs", least_docs, fanout, dict(docs.dtypes)["doc_id"])
     for k in range(batches):
         runs.add(lines.where(F.col(batch) == k).select("doc_id", *KEY))
     common = written(runs.common(), "common")

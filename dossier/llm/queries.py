@@ -12,8 +12,10 @@ from . import (
     lm_score,
     near_dedup,
     pack,
+    prefix_trie,
     secrets,
     shard,
+    whitening,
 )
 from .common import read
 
@@ -31,6 +33,8 @@ def queries():
         "op9_embedding_dedup": lambda s, d: embedding_join.near_vectors(read(s, d, "embeddings")),
         "op10_lm_score": lambda s, d: lm_score.score(read(s, d, "documents")),
         "op11_line_dedup": lambda s, d: line_dedup.digest(read(s, d, "documents")),
+        "op12_whitening": lambda s, d: whitening.whitened(read(s, d, "embeddings")),
+        "op13_prefix_trie": lambda s, d: prefix_trie.prefix_trie(read(s, d, "conversations")),
     }
 
 
@@ -41,4 +45,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_licenses": licenses.ORACLE,
         "op9_embedding_dedup": embedding_join.ORACLE,
         "op11_line_dedup": line_dedup.ORACLE,
+        "op13_prefix_trie": prefix_trie.ORACLE,
     }
