@@ -6,24 +6,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .headings import sections
+from .text import recursive_chunks
 
 MOST_CONTEXT, CHUNK, OVERLAP = 12_000, 1200, 150
 
 
 def index(docs: DataFrame, splits: list[str], sealed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Chunks (doc_id, section, section_title, chunk, text) of the documents (doc_id, split, text) that may be indexed, and
-    (doc_id, reason) of the others."""
+    """Chunks (doc_id, section, section_title, chunk, text) of the documents (doc_id, split, text and, if there is one, product)
+    that may be indexed, and (doc_id, reason) of the others. Sections are cut recursively, each chunk under a line that names
+    its product (the doc_id where there is none) and section."""
     flagged = docs.join(sealed.select("doc_id").distinct().withColumn("is_sealed", F.lit(True)), "doc_id", "left")
     reason = (
         F.when(F.col("is_sealed"), "sealed").when(~F.coalesce(F.col("split").isin(splits), F.lit(False)), "other_split")
         .when(F.coalesce(F.trim("text"), F.lit("")) == "", "no_text")
     )
     flagged = flagged.withColumn("reason", reason)
-    own = sections(flagged.where("reason is null").select("doc_id", "text"))
-    n = F.greatest(F.lit(1), F.ceil((F.length("body") - OVERLAP) / F.lit(CHUNK - OVERLAP)))
-    cut = own.select("doc_id", "section", F.col("title").alias("section_title"), "body", F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))).alias("chunk"))
-    text = F.substring(F.col("body"), F.col("chunk") * (CHUNK - OVERLAP) + 1, F.lit(CHUNK))
-    return cut.select("doc_id", "section", "section_title", "chunk", text.alias("text")), flagged.where("reason is not null").select("doc_id", "reason")
+    kept = flagged.where("reason is null")
+    # The product's name goes through the cutting within the document's key.
+    product = F.coalesce("product", F.col("doc_id").cast("string")) if "product" in docs.columns else F.col("doc_id").cast("string")
+    own = sections(kept.select(F.struct("doc_id", product.alias("product")).alias("doc_id"), "text"))
+    own = own.select("doc_id.doc_id", "doc_id.product", "section", "title", "body")
+    return recursive_chunks(own, CHUNK, OVERLAP), flagged.where("reason is not null").select("doc_id", "reason")
 
 
 def chunks_wanted(n_targets: Column, named: Column) -> Column:

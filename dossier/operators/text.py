@@ -199,20 +199,21 @@ def split_recursively(text: str, size: int, overlap: int, separators: list[str]
 
 
 def recursive_chunks(sections: DataFrame, size: int = 1200, overlap: int = 150) -> DataFrame:
-    """doc_id, section, chunk, text of sections (doc_id, product, section, title, body): each chunk under a line that says
-    where it is from. Cutting depends on what was cut before, so it runs by text in Python over Arrow batches."""
+    """doc_id, section, section_title, chunk, text of sections (doc_id, product, section, title, body): each chunk under a line
+    that says where it is from. Cutting depends on what was cut before, so it runs by text in Python over Arrow batches."""
 
     def run(batches):
         for batch in batches:
             columns = (batch.column(c).to_pylist() for c in ("doc_id", "product", "section", "title", "body"))
             rows = [
-                (doc_id, section, n, f"[출처: {product} · {f'{section}. {title}' if section else title}]\n{piece}")
+                (doc_id, section, title, n, f"[출처: {product} · {f'{section}. {title}' if section else title}]\n{piece}")
                 for doc_id, product, section, title, body in zip(*columns, strict=True)
                 for n, piece in enumerate(split_recursively(body or "", size, overlap))
             ]
-            kinds = (batch.schema.field("doc_id").type, pa.int32(), pa.int32(), pa.string())
-            cut = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cut, kinds, strict=True)], names=["doc_id", "section", "chunk", "text"])
+            kinds = (batch.schema.field("doc_id").type, pa.int32(), pa.string(), pa.int32(), pa.string())
+            cut = list(zip(*rows, strict=True)) or [()] * 5
+            names = ["doc_id", "section", "section_title", "chunk", "text"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cut, kinds, strict=True)], names=names)
 
     own = sections.select("doc_id", "product", F.col("section").cast("int").alias("section"), "title", "body")
-    return own.mapInArrow(run, f"doc_id {dict(own.dtypes)['doc_id']}, section int, chunk int, text string")
+    return own.mapInArrow(run, f"doc_id {dict(own.dtypes)['doc_id']}, section int, section_title string, chunk int, text string")

@@ -308,7 +308,7 @@ def overlength_quarantine(s, d):
     return own.withColumn("too_long", F.col("n_chars") > 2000)
 
 
-from . import catalog_documents, catalog_functions, catalog_rules, catalog_scores  # noqa: E402, F401  (they register their queries here)
+from . import catalog_documents, catalog_engines, catalog_functions, catalog_rules, catalog_scores  # noqa: E402, F401  (they register their queries here)
 
 
 def queries():

@@ -1,15 +1,13 @@
-"""Tailing of growing logs: each complete row reaches the sink once."""
+"""Streams over folders of finished log files: each row reaches the sink once."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def tail_log(spark: SparkSession, folder: str, schema: str, out: str, checkpoint: str) -> None:
     """Take the files of a folder of CSV logs that weren't taken yet, append them to a Parquet table, and stop; the checkpoint
-    remembers which. For files that no longer grow; a growing one is `tail_growing`'s."""
+    remembers which. For files that no longer grow; growing ones are `growing.follow`'s."""
     stream = spark.readStream.schema(schema).option("header", True).csv(folder)
     query = (
         stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
@@ -18,30 +16,6 @@ def tail_log(spark: SparkSession, folder: str, schema: str, out: str, checkpoint
     query.awaitTermination()
 
 
-def tail_growing(spark: SparkSession, folder: str, schema: str, out: str, marker: str | None = None) -> tuple[int, bool]:
-    """Append the rows of growing CSV logs (with a header each) that the table lacks; (rows added, whether a line of any file
-    begins with the marker). A line counts once its end is written. What was taken is known from the table itself (file,
-    line_no), and an append is committed whole, so a call that failed adds nothing and the next one begins where it did."""
-    lines = spark.read.text(folder, wholetext=True).select(
-        F.col("_metadata.file_name").alias("file"), F.posexplode(F.slice(F.split("value", "\n"), 1, F.size(F.split("value", "\n")) - 1)).alias("line_no", "line")
-    )
-    lines = lines.where("line_no > 0 and trim(line) <> ''").withColumn("line", F.regexp_replace("line", "\r$", ""))
-    try:
-        taken = spark.read.parquet(out).groupBy("file").agg(F.max("line_no").alias("taken"))
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        taken = spark.createDataFrame([], "file string, taken int")
-    new = lines.join(taken, "file", "left").where(F.col("line_no") > F.coalesce("taken", F.lit(0)))
-    ended = marker is not None and bool(lines.where(F.col("line").startswith(marker or "")).limit(1).count())
-    rows = new if marker is None else new.where(~F.col("line").startswith(marker))
-    rows = rows.select("file", "line_no", F.from_csv("line", schema).alias("r")).select("file", "line_no", "r.*")
-    n = rows.count()
-    if n:
-        rows.write.mode("append").parquet(out)
-    return n, ended
-
-
 def latest_by_key(stream: DataFrame, key: str, watermark: str, ts: str) -> DataFrame:
     """Rows of a stream without repeats of a key within the watermark."""
     return stream.withWatermark(ts, watermark).dropDuplicatesWithinWatermark([key])

@@ -93,28 +93,6 @@ def test_keyed_csv_and_predictions(spark, tmp_path):
     assert sorted(map(tuple, readers.predictions(spark, f"{tmp_path}/p", "n int", mock).collect())) == [("1", 5), ("3", 0)]
 
 
-def test_tail_of_a_growing_file(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    log = tmp_path / "in" / "a.csv"
-    take = lambda: tail.tail_growing(spark, f"{tmp_path}/in", "step int, loss double", f"{tmp_path}/out", "result")
-    log.write_text("step,loss\n1,0.5\n2,0.")
-    assert take() == (1, False)
-    log.write_text("step,loss\n1,0.5\n2,0.25\n3,0.1\n")
-    assert take() == (2, False) and take() == (0, False)
-    log.write_text("step,loss\n1,0.5\n2,0.25\n3,0.1\nresult,0\n")
-    assert take() == (0, True)
-    assert sorted((r.step, r.loss) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(1, 0.5), (2, 0.25), (3, 0.1)]
-
-
-def test_upsert_and_csv_guard(spark, tmp_path):
-    df = lambda *rows: spark.createDataFrame(rows, "k string, v string")
-    readers.replace_partitions(df(("a", "1"), ("b", "2")), f"{tmp_path}/t", ["k"])
-    readers.replace_partitions(df(("b", "3")), f"{tmp_path}/t", ["k"])
-    assert sorted((r.k, r.v) for r in spark.read.schema("v string, k string").parquet(f"{tmp_path}/t").collect()) == [("a", "1"), ("b", "3")]
-    readers.write_csv(df(("=x", "ok")), f"{tmp_path}/c")
-    assert readers.csv_table(spark, f"{tmp_path}/c", "k string, v string").first().k == "'=x"
-
-
 def test_tail_takes_each_row_once(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for k in (1, 2):
