@@ -60,20 +60,3 @@ def distinct_evidence(found: DataFrame, most: int = CHUNK) -> DataFrame:
     return found.dropDuplicates(["doc_id", "product", "section", "chunk"]).withColumn(
         "text", F.substring(F.regexp_replace("text", r"^\[[^\n]*\]\n", ""), 1, most)
     )
-
-
-def unregistered(names: list[str], known: DataFrame, most: int = 1000) -> DataFrame:
-    """Those of one question's names (a short list, `most` at most) that no known item matches: neither holds the other, nor
-    does an item hold all words of the name. One pass over the items; no join."""
-    if len(names) > most:
-        raise ValueError(f"more than {most} names")
-    wanted = F.array(*(F.lit(n) for n in dict.fromkeys(names) if n)).cast("array<string>")
-    item = F.col("item")
-
-    def held(name):
-        words = F.filter(F.split(F.lower(name), r"\s+"), lambda w: w != "")
-        return item.contains(name) | name.contains(item) | F.forall(words, lambda w: F.lower(item).contains(w))
-
-    hits = known.select(F.explode(F.filter(wanted, held)).alias("name")).distinct()
-    rest = F.array_except(wanted, F.coalesce(F.collect_set("name"), F.array().cast("array<string>")))
-    return hits.agg(rest.alias("names")).select(F.explode("names").alias("name"))

@@ -207,10 +207,19 @@ def outcomes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", *(flags[k].cast("int").alias(k) for k in OUTCOMES))
 
 
+def both_sides(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """The join of two tables that must have the same keys: one pass, which fails at a key that either side lacks."""
+    both = a.withColumn("_in_a", F.lit(True)).join(b.withColumn("_in_b", F.lit(True)), key, "full")
+    lacking = F.when(F.col("_in_a").isNull(), "first").when(F.col("_in_b").isNull(), "second")
+    told = F.concat(F.lit("the "), lacking, F.lit(f" side lacks {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    return both.where(F.when(lacking.isNotNull(), F.raise_error(told).cast("boolean")).otherwise(True)).drop("_in_a", "_in_b")
+
+
 def paired(a: DataFrame, b: DataFrame, groups: DataFrame, n_boot: int, seed: int = 42) -> DataFrame:
     """subset, metric, win, loss, tie, mean_diff, n_docs, n_groups, ci_low, ci_high of outcomes a less b, for `all` and, where
-    there are several, for each subset; groups: doc_id, subset, grp. Both sides must have the same documents."""
-    wide = a.join(b.select("doc_id", *(F.col(c).alias(f"_{c}") for c in OUTCOMES)), "doc_id").join(groups, "doc_id")
+    there are several, for each subset; groups: doc_id, subset, grp. Both sides must have the same documents, else reading the
+    result fails with the name of one that a side lacks."""
+    wide = both_sides(a, b.select("doc_id", *(F.col(c).alias(f"_{c}") for c in OUTCOMES)), "doc_id").join(groups, "doc_id")
     diffs = F.array(*(F.struct(F.lit(c).alias("metric"), (F.col(c) - F.col(f"_{c}")).alias("diff")) for c in OUTCOMES))
     own = wide.select("subset", "grp", F.inline(diffs))
     several = groups.agg(F.countDistinct("subset").alias("n")).where("n > 1").select(F.lit(True).alias("several"))

@@ -10,7 +10,6 @@ from dossier.operators import augment, evidence, governance, headings, records,
 from .catalog import CAS_SETS, KEY, MICRO, NUMBERS, QUERY_VECTOR, cas_micro_f1_by_subset, query, table
 from .fixtures import fixture, spread
 
-NAMES = ["cold widget", "small", "widget economy", "steel pipe", "zzz"]
 PROMPT = "Answer from the text."
 
 
@@ -224,12 +223,6 @@ def product_list_distinct(s, d):
     return table(s, d, "part").select(F.col("p_name").alias("product")).distinct()
 
 
-@query("""WITH n AS (SELECT unnest(['cold widget', 'small', 'widget economy', 'steel pipe', 'zzz']) AS name), k AS (SELECT DISTINCT p_name || ' ' || p_type AS item FROM part)
-SELECT name FROM n WHERE NOT EXISTS (SELECT 1 FROM k WHERE contains(item, name) OR contains(name, item) OR len(list_filter(string_split(lower(name), ' '), lambda w: NOT contains(lower(item), w))) = 0)""")
-def registered_match(s, d):
-    return retrieval.unregistered(NAMES, table(s, d, "part").select(F.concat_ws(" ", "p_name", "p_type").alias("item")))
-
-
 @query(f"""WITH e AS (SELECT product, section, vec_id, CAST(embedding AS DOUBLE[]) AS e, CAST({QUERY_VECTOR} AS DOUBLE[]) AS q FROM fx_chunk WHERE section IN (2, 3) OR product = 1),
 s AS (SELECT product AS query_id, product, section, vec_id, ROUND(list_dot_product(e, q) / sqrt(list_dot_product(e, e) * list_dot_product(q, q)), 6) AS score FROM e),
 r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT * FROM r WHERE rank <= 3""")
