@@ -1,4 +1,4 @@
-"""Validation of stored records (JSON text): every error as (loc, type), found by expressions over a VARIANT.
+"""Validation of stored records (JSON text): every error as (loc, type), found by generated code over a VARIANT parsed once.
 
 Types: missing, extra_forbidden, string_type, bool_type, list_type, object_type, literal_error, value_error. As in nested
 models, the rule across a level's fields is looked at only if each of them is right."""
@@ -70,23 +70,6 @@ def then(first: Column, rule: Column) -> Column:
     return let(first, lambda e: F.when(F.size(e) > 0, e).otherwise(some(rule)))
 
 
-def value_field(v: Column, name: str) -> Column:
-    at, own = f"$.{name}", F.try_variant_get(v, f"$.{name}", "variant")
-    state, value = text(v, f"{at}.source_status"), text(v, f"{at}.value")
-    allowed = [error(~value.isin(SIGNALS), f"{name}.value", "value_error")] if name == "signal_word" else []
-    fields = F.concat(
-        some(
-            typed(v, f"{at}.value", "text?", f"{name}.value"), *allowed, typed(v, f"{at}.source_status", "text", f"{name}.source_status"),
-            error(~state.isin(STATES), f"{name}.source_status", "literal_error"),
-        ), extra(own, ["value", "source_status"], F.lit(f"{name}.")),
-    )
-    blank = F.coalesce(value, F.lit("")) == ""
-    wrong = ((state == "기재") & blank) | ((state != "기재") & value.isNotNull())
-    return F.when(kind(v, at).startswith("OBJECT"), then(fields, error(wrong, name, "value_error"))).otherwise(
-        some(typed(v, at, "object", name))
-    )
-
-
 def item(name: str, i: Column, x: Column) -> Column:
     """Errors of one list item."""
     spec, at = LISTS[name], F.concat(F.lit(f"{name}."), i.cast("string"), F.lit("."))
@@ -112,48 +95,110 @@ def _items(name: str):
     return lambda x, i: item(name, i, x)
 
 
-def errors(json: Column) -> Column:
-    """array<struct<loc, type>> of a record's JSON text; one `json_invalid` for text that is none."""
-    return let(F.try_parse_json(json), _errors)
-
-
-def _errors(v: Column) -> Column:
-    parts = [value_field(v, f) for f in VALUE_FIELDS]
-    for name, fields in (("supplier", SUPPLIER), ("list_status", list(LISTS))):
-        own = F.try_variant_get(v, f"$.{name}", "variant")
-        inner = [typed(v, f"$.{name}.{f}", "text?" if name == "supplier" else "text", f"{name}.{f}") for f in fields]
-        if name == "list_status":
-            inner += [error(~text(v, f"$.{name}.{f}").isin(STATES), f"{name}.{f}", "literal_error") for f in fields]
-        parts.append(
-            F.when(kind(v, f"$.{name}").startswith("OBJECT"), F.concat(some(*inner), extra(own, fields, F.lit(f"{name}."))))
-            .otherwise(some(typed(v, f"$.{name}", "object", name)))
-        )
-    rules = []
-    for name in LISTS:
-        rows = F.try_variant_get(v, f"$.{name}", "array<variant>")
-        parts.append(some(typed(v, f"$.{name}", "list", name)))
-        found = F.flatten(F.transform(rows, _items(name)))
-        parts.append(F.coalesce(found, _none()))
-        state = text(v, f"$.list_status.{name}")
-        rules.append(((state == "기재") & (F.size(rows) == 0)) | ((state != "기재") & (F.size(rows) > 0)))
-    parts.append(extra(v, [*VALUE_FIELDS, "supplier", *LISTS, "list_status"], F.lit("")))
-    every = F.concat(*parts)
-    broken = rules[0] | rules[1] | rules[2]
-    return F.when(v.isNull(), some(error(F.lit(True), "", "json_invalid"))).when(
-        ~F.schema_of_variant(v).startswith("OBJECT"), some(error(F.lit(True), "", "object_type"))
-    ).otherwise(then(every, error(broken, "", "value_error")))
+def found(cond: Column, loc: str, kind_: Column | str, keys: Column | None = None) -> Column:
+    """struct(loc, type, keys) or null; keys, where there are some, stand for one error each, after loc."""
+    kind_ = F.lit(kind_) if isinstance(kind_, str) else kind_
+    keys = F.lit(None).cast("array<string>") if keys is None else keys
+    return F.when(cond, F.struct(F.lit(loc).alias("loc"), kind_.alias("type"), keys.alias("keys")))
+
+
+def leaf(v: Column, path: str, want: str, loc: str) -> Column:
+    k = kind(v, path)
+    ok = {"text": k == "STRING", "text?": k.isin("STRING", "VOID")}[want]
+    return found(k.isNull() | ~ok, loc, F.when(k.isNull(), "missing").otherwise("string_type"))
+
+
+def container(v: Column, own: Column, name: str, want: str) -> Column:
+    """The error of a value that must be a list or an object (`own`, null where it is none); its contents aren't looked at."""
+    missing = F.try_variant_get(v, f"$.{name}", "variant").isNull()
+    return found(own.isNull(), name, F.when(missing, "missing").otherwise(f"{want}_type"))
+
+
+def more_keys(own: Column, allowed: list[str], loc: str) -> Column:
+    more = F.array_except(F.map_keys(own), F.array(*map(F.lit, allowed)))
+    return found(F.size(more) > 0, loc, "extra_forbidden", more)
+
+
+def _object(v: Column, own: Column, name: str, allowed: list[str], errors: list[Column]) -> list[Column]:
+    """Errors of an object's fields and of its other keys; of the object itself where it is none."""
+    inside = own.isNotNull()
+    return [*(F.when(inside, e) for e in (*errors, more_keys(own, allowed, f"{name}."))), container(v, own, name, "object")]
+
+
+def _value_field(v: Column, own: Column, name: str) -> tuple[Column, Column]:
+    """Errors of a value and its state, and whether the two contradict each other."""
+    at = f"$.{name}"
+    state, value = text(v, f"{at}.source_status"), text(v, f"{at}.value")
+    errors = [
+        leaf(v, f"{at}.value", "text?", f"{name}.value"), leaf(v, f"{at}.source_status", "text", f"{name}.source_status"),
+        found(~state.isin(STATES), f"{name}.source_status", "literal_error"),
+    ]
+    if name == "signal_word":
+        errors.append(found(~value.isin(SIGNALS), f"{name}.value", "value_error"))
+    blank = F.coalesce(value, F.lit("")) == ""
+    wrong = ((state == "기재") & blank) | ((state != "기재") & value.isNotNull())
+    return F.array(*_object(v, own, name, ["value", "source_status"], errors)), own.isNotNull() & F.coalesce(wrong, F.lit(False))
+
+
+def _any(e: Column) -> Column:
+    return F.exists(e, lambda x: x.isNotNull())
+
+
+def problems(records: DataFrame, key: str, json: str) -> DataFrame:
+    """key, problems: an array of structs (loc, type, keys) and nulls.
+
+    Each step is a projection of its own, so that what it names several times is worked out once, in generated code: the
+    parsed text, its objects and lists, the errors of each part, then the rules that only hold where a part, or the record,
+    has none. Only list items are looked at by a function over their array."""
+    v, objects = F.col("v"), [*VALUE_FIELDS, "supplier", "list_status"]
+    parsed = records.select(key, F.try_parse_json(json).alias("v"))
+    own = lambda n: F.try_variant_get(v, f"$.{n}".removesuffix("."), "map<string,variant>")
+    opened = parsed.select(
+        key, "v", own("").alias("o_"), *(own(n).alias(f"o_{n}") for n in objects),
+        *(F.try_variant_get(v, f"$.{n}", "array<variant>").alias(f"l_{n}") for n in LISTS),
+    )
+    o = lambda n: F.col(f"o_{n}")
+    states = {n: text(v, f"$.list_status.{n}") for n in LISTS}
+    supplier = [leaf(v, f"$.supplier.{f}", "text?", f"supplier.{f}") for f in SUPPLIER]
+    list_status = [leaf(v, f"$.list_status.{f}", "text", f"list_status.{f}") for f in LISTS]
+    list_status += [found(~states[f].isin(STATES), f"list_status.{f}", "literal_error") for f in LISTS]
+    top = [
+        *_object(v, o("supplier"), "supplier", SUPPLIER, supplier), *_object(v, o("list_status"), "list_status", list(LISTS), list_status),
+        *(container(v, F.col(f"l_{n}"), n, "list") for n in LISTS), more_keys(o(""), [*VALUE_FIELDS, "supplier", *LISTS, "list_status"], ""),
+    ]
+    broken = F.lit(False)
+    for n in LISTS:
+        size = F.size(f"l_{n}")
+        broken = broken | F.coalesce(((states[n] == "기재") & (size == 0)) | ((states[n] != "기재") & (size > 0)), F.lit(False))
+    fields = {n: _value_field(v, o(n), n) for n in VALUE_FIELDS}
+    keyed = lambda e: F.struct(e["loc"].alias("loc"), e["type"].alias("type"), F.lit(None).cast("array<string>").alias("keys"))
+    empty = F.array().cast("array<struct<loc:string,type:string,keys:array<string>>>")
+    items = [F.coalesce(F.transform(F.flatten(F.transform(f"l_{n}", _items(n))), keyed), empty) for n in LISTS]
+    # The functions over items keep this projection out of whole-stage code, where it would be one method too long to compile.
+    parts = opened.select(
+        key, v.isNull().alias("unread"), o("").isNotNull().alias("is_object"), F.concat(*items).alias("items"), broken.alias("broken"),
+        *(e.alias(f"e_{n}") for n, (e, _) in fields.items()), *(w.alias(f"wrong_{n}") for n, (_, w) in fields.items()), F.array(*top).alias("top"),
+    )
+    ruled = [F.array(found(F.col(f"wrong_{n}") & ~_any(F.col(f"e_{n}")), n, "value_error")) for n in VALUE_FIELDS]
+    every = F.concat(*(f"e_{n}" for n in VALUE_FIELDS), *ruled, "top", "items")
+    found_ = parts.select(key, "unread", "is_object", "broken", every.alias("every"))
+    return found_.select(key, F.when(F.col("unread"), F.array(found(F.lit(True), "", "json_invalid"))).when(
+        ~F.col("is_object"), F.array(found(F.lit(True), "", "object_type"))
+    ).otherwise(F.concat("every", F.array(found(F.col("broken") & ~_any(F.col("every")), "", "value_error")))).alias("problems"))
 
 
 def validate(records: DataFrame, key: str = "doc_id", json: str = "json") -> DataFrame:
     """key, loc, type: a row for each error."""
-    # The outer form: a plain one is filtered by its own array first, which would be worked out twice.
-    return records.select(key, F.inline_outer(errors(F.col(json)))).where("loc is not null")
+    rows = problems(records, key, json).select(key, F.inline_outer("problems")).where("loc is not null")
+    rows = rows.select(key, "loc", "type", F.explode_outer("keys").alias("extra"))
+    return rows.select(key, F.concat("loc", F.coalesce("extra", F.lit(""))).alias("loc"), "type")
 
 
 def totals(records: DataFrame, key: str = "doc_id", json: str = "json") -> DataFrame:
     """One row: numbers of records, of those that are JSON, of valid and of wrong ones."""
-    e = records.select(errors(F.col(json)).alias("e"))
-    return e.agg(
-        F.count("*").alias("n_files"), F.count_if(F.coalesce(F.get("e", F.lit(0))["type"] != "json_invalid", F.lit(True))).alias("n_parsed"),
-        F.count_if(F.size("e") == 0).alias("n_ok"), F.count_if(F.size("e") > 0).alias("n_bad"),
+    e = problems(records, key, json)
+    invalid = F.coalesce(F.get("problems", F.lit(0))["type"] == "json_invalid", F.lit(False))
+    state = e.select(_any(F.col("problems")).alias("bad"), invalid.alias("invalid"))
+    return state.agg(
+        F.count("*").alias("n_files"), F.count_if(~F.col("invalid")).alias("n_parsed"), F.count_if(~F.col("bad")).alias("n_ok"), F.count_if("bad").alias("n_bad"),
     )
