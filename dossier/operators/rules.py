@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.functions.chem import HCODE, cas_checksum_ok, cas_format_ok, content_lower, norm_phrase
+from dossier.functions.chem import HCODE, cas_checksum_ok, cas_format_ok, content_lower, let, norm_phrase
 from dossier.functions.textnorm import is_sentinel, strip
 
+from .evidence import flat
+
 #: Order of severities and of checks, and the checks of consistency.
 SEVERITIES = ["error", "warning", "info"]
 CHECKS = ["schema", "empty_value", "not_found", "evidence", "cas", "hcode", "phrase_to_hcode", "ghs_signal_hcode_consistency", "content_sum"]
@@ -108,19 +108,101 @@ def check_content_sum(ingredients: DataFrame) -> DataFrame:
     return unread.union(finding(total, "content_sum", "error", "CONTENT_SUM_EXCEEDS_100"))
 
 
-def all_checks(
-    *, violations: DataFrame, values: DataFrame, located: DataFrame, docs: DataFrame, sources: DataFrame, ingredients: DataFrame,
-    classes: DataFrame, statements: DataFrame, signals: DataFrame, dim: DataFrame, phrases: DataFrame,
-) -> DataFrame:
-    """The findings of all nine checks."""
-    return reduce(
-        DataFrame.union,
-        [
-            check_schema(violations), check_empty(values), check_not_found(located), check_source(docs, sources), check_cas(ingredients),
-            check_hcode(statements, phrases), check_phrase(statements, phrases), check_signal(classes, statements, signals, dim, phrases),
-            check_content_sum(ingredients),
-        ],
+FINDING = "struct<seq:bigint,check_name:string,severity:string,code:string>"
+#: Rows of a record that the checks look at; a row may be several of them at once.
+ITEM = {
+    "seq": "bigint", "cas": "string", "content": "string", "value": "string", "is_class": "boolean", "hazard_class": "string",
+    "category": "string", "is_statement": "boolean", "code": "string", "text": "string", "line": "string",
+}
+
+
+def found(cond: Column, check: str, severity: Column | str, code: Column | str, seq: Column | None = None) -> Column:
+    """A finding, or null where the condition doesn't hold."""
+    lit = lambda x: F.lit(x) if isinstance(x, str) else x
+    seq = F.lit(None).cast("bigint") if seq is None else seq.cast("bigint")
+    return F.when(cond, F.struct(seq.alias("seq"), F.lit(check).alias("check_name"), lit(severity).alias("severity"), lit(code).alias("code")))
+
+
+def one_pass(items: DataFrame, records: DataFrame, dim: DataFrame, phrases: DataFrame) -> DataFrame:
+    """The findings (doc_id, seq, check_name, severity, code) of all nine checks, reading each table once.
+
+    items: doc_id and the columns of ITEM, a row for each ingredient (cas, content, and value to be found in the source), class,
+    statement and source line; columns that are lacking count as null. records: a row for each document that is checked
+    (doc_id, problems of its structure, values, signal_word). dim and phrases are lookup tables, joined on their keys.
+
+    A row's own findings are made before the one shuffle, by document; what needs a whole document (its codes, its source, its
+    sum) is made of the gathered row after it."""
+    items = items.withColumns({c: F.lit(None).cast(t) for c, t in ITEM.items() if c not in items.columns})
+    seq, code = F.col("seq"), F.col("code")
+    stated = F.coalesce("is_statement", F.lit(False))
+    known = phrases.groupBy("code").agg(F.collect_set(norm_phrase(F.col("phrase"))).alias("accepted")).withColumnRenamed("code", "_code")
+    named = codes_by_phrase(phrases).select(F.col("phrase").alias("_phrase"), F.col("code").alias("_named"))
+    table = dim.select(F.col("hazard_class").alias("_class"), F.col("category").alias("_category"), "codes", F.col("signal_word").alias("_word"))
+    bare = F.when(stated & (F.coalesce("code", F.lit("")) == ""), strip(F.col("text")))
+    own = items.withColumn("_bare", bare).join(known, stated & (code == F.col("_code")), "left").join(named, F.col("_bare") == F.col("_phrase"), "left")
+    own = own.join(table, F.col("is_class") & (F.col("hazard_class") == F.col("_class")) & (F.col("category") == F.col("_category")), "left")
+
+    low, is_class = content_lower(F.col("content")), F.coalesce("is_class", F.lit(False))
+    malformed, cas = ~code.rlike(HCODE), F.col("cas")
+    bad_cas = F.when(~cas_format_ok(cas), "CAS_FORMAT_INVALID").when(~cas_checksum_ok(cas), "CAS_CHECKSUM_INVALID")
+    bad_code = F.when(malformed, "HCODE_FORMAT_INVALID").when(F.col("_code").isNull(), "HCODE_UNKNOWN_CODE")
+    mismatch = stated & F.col("text").isNotNull() & ~F.array_contains("accepted", norm_phrase(F.col("text")))
+    consistency = "ghs_signal_hcode_consistency"
+    of_row = F.array(
+        found(bad_cas.isNotNull(), "cas", "error", bad_cas, seq),
+        found(stated & code.isNotNull() & bad_code.isNotNull(), "hcode", F.when(malformed, "error").otherwise("warning"), bad_code, seq),
+        found(mismatch, "phrase_to_hcode", "error", "HCODE_PHRASE_MISMATCH", seq),
+        found(F.col("content").isNotNull() & F.col("low").isNull(), "content_sum", "warning", "CONTENT_SUM_UNPARSEABLE", seq),
+        found(is_class & F.col("codes").isNull(), consistency, "info", "CLASSIFICATION_NOT_IN_TABLE", seq),
+    )
+    codes = F.when(stated & (code != ""), F.split("code", r"\+")).when(F.col("_named").isNotNull(), F.array("_named"))
+    expected = F.when(is_class & F.col("codes").isNotNull(), F.struct("seq", F.split("codes", r"\|").alias("codes"), (F.col("codes") != "").alias("some")))
+    rank = F.when(is_class & F.col("codes").isNotNull(), F.when(F.col("_word") == "위험", 2).when(F.col("_word") == "경고", 1).otherwise(0))
+    rows = own.withColumn("low", low).select(
+        "doc_id", "low", of_row.alias("of_row"), codes.alias("stated"), expected.alias("expected"), rank.alias("rank"), "value", "seq",
+        F.when(F.col("line").isNotNull(), F.struct("seq", "line")).alias("source"),
+    )
+    docs = rows.groupBy("doc_id").agg(
+        F.collect_list(F.when(F.exists("of_row", lambda f: f.isNotNull()), F.col("of_row"))).alias("of_rows"), F.sum("low").alias("total"),
+        F.array_distinct(F.flatten(F.collect_set("stated"))).alias("stated"), F.collect_list("expected").alias("expected"), F.max("rank").alias("want"),
+        F.collect_list(F.when(F.col("value").isNotNull(), F.struct("seq", "value"))).alias("wanted"), F.array_sort(F.collect_list("source")).alias("sources"),
+    )
+    docs = records.withColumn("is_record", F.lit(True)).join(docs, "doc_id", "full")
+    return docs.select("doc_id", F.inline_outer(of_document(consistency))).where("code is not null")
+
+
+def of_document(consistency: str) -> Column:
+    """The findings of a gathered document, nulls among them."""
+    none = F.array().cast("array<string>")
+    nothing = F.array().cast(f"array<{FINDING}>")
+    stated, expected = F.coalesce("stated", none), F.coalesce("expected", F.array().cast("array<struct<seq:bigint,codes:array<string>,some:boolean>>"))
+    explained = F.flatten(F.transform(expected, lambda e: e["codes"]))
+    missing = F.transform(expected, lambda e: found(e["some"] & ~F.arrays_overlap(e["codes"], stated), consistency, "error", "HCODE_MISSING_FOR_CLASSIFICATION", e["seq"]))
+    word = F.when(F.col("want") == 2, "위험").when(F.col("want") == 1, "경고")
+    has_class = F.size(expected) > 0
+    source = F.struct(F.transform("sources", lambda x: x["line"]).alias("lines"), flat(F.array_join(F.transform("sources", lambda x: x["line"]), "\n")).alias("flat"))
+
+    def lacking(s):
+        """Values that no line holds, with white space or without."""
+        def there(v):
+            return (v != "") & (s["flat"] != "") & (F.exists(s["lines"], lambda x: x.contains(v)) | ((flat(v) != "") & s["flat"].contains(flat(v))))
+
+        return F.transform("wanted", lambda w: found(~F.coalesce(there(w["value"]), F.lit(False)), "not_found", "warning", "VALUE_NOT_FOUND_IN_SOURCE", w["seq"]))
+
+    structure = F.transform("problems", lambda p: found(p.isNotNull(), "schema", "error", "SCHEMA_FIELD_INVALID"))
+    # A list of unknown keys is one error for each.
+    extra = F.flatten(F.transform("problems", lambda p: F.transform(F.slice(F.coalesce(p["keys"], none), F.lit(2), F.size(F.coalesce(p["keys"], none))), lambda _: found(F.lit(True), "schema", "error", "SCHEMA_FIELD_INVALID"))))
+    empty = F.transform("values", lambda v: found(
+        (v["source_status"] == "기재") & v["value"].isNotNull() & is_sentinel(v["value"]), "empty_value", "warning", "EMPTY_VALUE_SUSPECT"
+    ))
+    whole = F.array(
+        found(F.col("is_record") & (F.coalesce(F.size("sources"), F.lit(0)) <= 0), "evidence", "info", "EVIDENCE_SKIPPED_NO_SOURCE"),
+        found(F.col("total") > 100.5, "content_sum", "error", "CONTENT_SUM_EXCEEDS_100"),
+        found(has_class & (F.size(F.array_except(stated, explained)) > 0), consistency, "error", "HCODE_MISSING_FOR_CLASSIFICATION"),
+        found(has_class & ~F.col("signal_word").eqNullSafe(word), consistency, "error", "SIGNAL_WORD_MISMATCH"),
     )
+    parts = [F.flatten("of_rows"), missing, let(source, lacking), structure, extra, empty, whole]
+    return F.concat(*(F.coalesce(p, nothing) for p in parts))
 
 
 def status(findings: DataFrame, docs: DataFrame) -> DataFrame:

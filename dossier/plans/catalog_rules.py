@@ -9,7 +9,7 @@ from dossier.operators import evidence, rules, schema, text
 
 from .catalog import CAS_SQL, HCODE_SQL, NUMBERS, PHRASE_SQL, SIGNAL_FOUND, SIGNAL_STEPS, SUM_SQL, by_code, query, table
 from .catalog_documents import SCHEMA_SQL
-from .fixtures import fixture, spread
+from .fixtures import column_of, fixture, spread, values_of_record, wide
 
 S2, S3 = r"(?i)^\s*(2\s*[.:)\-–]?\s*Hazards?\b|SECTION\s*2\b)", r"(?i)^\s*(3\s*[.:)\-–]?\s*Composition|SECTION\s*3\b)"
 S4 = r"(?i)^\s*(4\s*[.:)\-–]?\s*first[\s\-]*aid|제\s*4\s*항|SECTION\s*4\b)"
@@ -108,14 +108,18 @@ def located(s, d):
 
 
 def findings(s, d):
-    found, sources = located(s, d)
-    # Identifiers come with typing errors, contents as they are.
-    own = fixture(s, d, "fx_typo_cas").join(fixture(s, d, "fx_gold_ing").select("doc_id", "seq", "content"), ["doc_id", "seq"])
-    return rules.all_checks(
-        violations=schema.validate(spread(fixture(s, d, "fx_json"))), values=fixture(s, d, "fx_value"), located=found, docs=fixture(s, d, "fx_doc"), sources=sources,
-        ingredients=own, classes=fixture(s, d, "fx_ghs"), statements=fixture(s, d, "fx_haz"), signals=fixture(s, d, "fx_signal"),
-        dim=fixture(s, d, "fx_dim"), phrases=fixture(s, d, "fx_phrase"),
+    """All findings, from one scan of the lines and one of the records. Identifiers come with typing errors, those that are
+    sought in the source as they are."""
+    lines = wide(s, d, "lineitem", ["fx_gold_ing", "fx_ghs", "fx_haz"], "fx_line")
+    typed, line = (F.expr(column_of(t, c)) for t, c in (("fx_typo_cas", "cas"), ("fx_line_text", "line")))
+    items = lines.select(
+        "doc_id", "seq", typed.alias("cas"), "content", F.col("cas").alias("value"), F.lit(True).alias("is_class"), "hazard_class", "category",
+        F.lit(True).alias("is_statement"), "code", "text", F.when(F.col("cas").isNotNull(), line).alias("line"),
     )
+    records = wide(s, d, "orders", ["fx_json", "fx_signal"]).selectExpr("doc_id", "json", "signal_word", f"{values_of_record()} AS vals")
+    checked = schema.problems(spread(records.select(F.struct("doc_id", "signal_word", "vals").alias("record"), "json")), "record", "json")
+    checked = checked.select("record.doc_id", "record.signal_word", F.col("record.vals").alias("values"), "problems")
+    return rules.one_pass(items, checked, fixture(s, d, "fx_dim"), fixture(s, d, "fx_phrase"))
 
 
 @query(f"WITH f AS ({STRUCTURE_SQL}) SELECT check_name, severity, code, COUNT(*) AS n FROM f GROUP BY ALL")

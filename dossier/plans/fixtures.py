@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -97,6 +98,49 @@ FIXTURES = {
 }
 
 
+def selected(name: str) -> tuple[str, str]:
+    """The columns of a fixture without its keys (doc_id, seq), as its SELECT has them, and what it is FROM."""
+    columns, source = re.fullmatch(r"(?s)SELECT (.*) FROM (\w+)(?: WHERE .*)?", FIXTURES[name]).groups()
+    return re.sub(r"^(doc_id, seq|o_orderkey AS doc_id), ", "", columns), source
+
+
+def column_of(name: str, column: str) -> str:
+    """The expression of a fixture's last column."""
+    return re.search(rf"(?s)(?:^|, )((?:CASE|CONCAT)\b.*) AS {column}$", selected(name)[0]).group(1)
+
+
+def wide(spark: SparkSession, sf_dir: str, table: str, names: list[str], view: str | None = None) -> DataFrame:
+    """The columns of several fixtures over one table, or over one fixture of it, in one scan; expressions may name columns of
+    the fixtures before them."""
+    rows = fixture(spark, sf_dir, view) if view else spark.read.parquet(f"{sf_dir}/{table}.parquet").withColumn("doc_id", F.col("o_orderkey"))
+    for name in names:
+        rows = rows.selectExpr("*", *split_columns(selected(name)[0]))
+    return rows
+
+
+def split_columns(columns: str) -> list[str]:
+    """A SELECT list's columns: cut at commas outside brackets and quotes."""
+    out, depth, quoted, begin = [], 0, False, 0
+    for k, c in enumerate(columns):
+        quoted ^= c == "'"
+        depth += 0 if quoted else (c in "([") - (c in ")]")
+        if c == "," and not depth and not quoted:
+            out.append(columns[begin:k].strip())
+            begin = k + 1
+    return [*out, columns[begin:].strip()]
+
+
+def values_of_record() -> str:
+    """fx_value's rows of a document as one array of structs (name, value, source_status)."""
+    columns = re.match(r"(?s)SELECT o_orderkey AS doc_id, name, (.*?) FROM orders\s", FIXTURES["fx_value"]).group(1)
+    names = re.findall(r"\((\d), '(\w+)'\)", FIXTURES["fx_value"])
+    rows = []
+    for k, name in names:
+        value, state = (re.sub(r"\bk\b", k, c).rsplit(" AS ", 1)[0] for c in split_columns(columns))
+        rows.append(f"named_struct('name', '{name}', 'value', {value}, 'source_status', {state})")
+    return f"array({', '.join(rows)})"
+
+
 def needed(body: str) -> list[str]:
     """The fixtures that a statement names, those they need first."""
     out: list[str] = []
