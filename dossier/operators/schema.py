@@ -102,8 +102,8 @@ def found(cond: Column, loc: str, kind_: Column | str, keys: Column | None = Non
     return F.when(cond, F.struct(F.lit(loc).alias("loc"), kind_.alias("type"), keys.alias("keys")))
 
 
-def leaf(v: Column, path: str, want: str, loc: str) -> Column:
-    k = kind(v, path)
+def leaf(k: Column, want: str, loc: str) -> Column:
+    """The error of a text, from its kind."""
     ok = {"text": k == "STRING", "text?": k.isin("STRING", "VOID")}[want]
     return found(k.isNull() | ~ok, loc, F.when(k.isNull(), "missing").otherwise("string_type"))
 
@@ -125,16 +125,15 @@ def _object(v: Column, own: Column, name: str, allowed: list[str], errors: list[
     return [*(F.when(inside, e) for e in (*errors, more_keys(own, allowed, f"{name}."))), container(v, own, name, "object")]
 
 
-def _value_field(v: Column, own: Column, name: str) -> tuple[Column, Column]:
+def _value_field(v: Column, own: Column, name: str, k: dict, t: dict) -> tuple[Column, Column]:
     """Errors of a value and its state, and whether the two contradict each other."""
-    at = f"$.{name}"
-    state, value = text(v, f"{at}.source_status"), text(v, f"{at}.value")
+    at_value, at_state = f"{name}.value", f"{name}.source_status"
+    state, value = t[at_state], t[at_value]
     errors = [
-        leaf(v, f"{at}.value", "text?", f"{name}.value"), leaf(v, f"{at}.source_status", "text", f"{name}.source_status"),
-        found(~state.isin(STATES), f"{name}.source_status", "literal_error"),
+        leaf(k[at_value], "text?", at_value), leaf(k[at_state], "text", at_state), found(~state.isin(STATES), at_state, "literal_error"),
     ]
     if name == "signal_word":
-        errors.append(found(~value.isin(SIGNALS), f"{name}.value", "value_error"))
+        errors.append(found(~value.isin(SIGNALS), at_value, "value_error"))
     blank = F.coalesce(value, F.lit("")) == ""
     wrong = ((state == "기재") & blank) | ((state != "기재") & value.isNotNull())
     return F.array(*_object(v, own, name, ["value", "source_status"], errors)), own.isNotNull() & F.coalesce(wrong, F.lit(False))
@@ -150,6 +149,8 @@ def problems(records: DataFrame, key: str, json: str) -> DataFrame:
     Each step is a projection of its own, so that what it names several times is worked out once, in generated code: the
     parsed text, its objects and lists, the errors of each part, then the rules that only hold where a part, or the record,
     has none. Only list items are looked at by a function over their array."""
+    # Java compiles no method of more than 8000 bytes; fused into one, these projections would be interpreted.
+    records.sparkSession.conf.set("spark.sql.codegen.hugeMethodLimit", 8000)
     v, objects = F.col("v"), [*VALUE_FIELDS, "supplier", "list_status"]
     parsed = records.select(key, F.try_parse_json(json).alias("v"))
     own = lambda n: F.try_variant_get(v, f"$.{n}".removesuffix("."), "map<string,variant>")
@@ -157,10 +158,15 @@ def problems(records: DataFrame, key: str, json: str) -> DataFrame:
         key, "v", own("").alias("o_"), *(own(n).alias(f"o_{n}") for n in objects),
         *(F.try_variant_get(v, f"$.{n}", "array<variant>").alias(f"l_{n}") for n in LISTS),
     )
+    leaves = [f"{n}.{f}" for n in VALUE_FIELDS for f in ("value", "source_status")]
+    leaves += [*(f"supplier.{f}" for f in SUPPLIER), *(f"list_status.{f}" for f in LISTS)]
+    k, t = ({p: F.col(f"{of}{i}") for i, p in enumerate(leaves)} for of in "kt")
+    opened = opened.select("*", *(kind(v, f"$.{p}").alias(f"k{i}") for i, p in enumerate(leaves)))
+    opened = opened.select("*", *(F.when(k[p] == "STRING", F.try_variant_get(v, f"$.{p}", "string")).alias(f"t{i}") for i, p in enumerate(leaves)))
     o = lambda n: F.col(f"o_{n}")
-    states = {n: text(v, f"$.list_status.{n}") for n in LISTS}
-    supplier = [leaf(v, f"$.supplier.{f}", "text?", f"supplier.{f}") for f in SUPPLIER]
-    list_status = [leaf(v, f"$.list_status.{f}", "text", f"list_status.{f}") for f in LISTS]
+    states = {n: t[f"list_status.{n}"] for n in LISTS}
+    supplier = [leaf(k[f"supplier.{f}"], "text?", f"supplier.{f}") for f in SUPPLIER]
+    list_status = [leaf(k[f"list_status.{f}"], "text", f"list_status.{f}") for f in LISTS]
     list_status += [found(~states[f].isin(STATES), f"list_status.{f}", "literal_error") for f in LISTS]
     top = [
         *_object(v, o("supplier"), "supplier", SUPPLIER, supplier), *_object(v, o("list_status"), "list_status", list(LISTS), list_status),
@@ -170,7 +176,7 @@ def problems(records: DataFrame, key: str, json: str) -> DataFrame:
     for n in LISTS:
         size = F.size(f"l_{n}")
         broken = broken | F.coalesce(((states[n] == "기재") & (size == 0)) | ((states[n] != "기재") & (size > 0)), F.lit(False))
-    fields = {n: _value_field(v, o(n), n) for n in VALUE_FIELDS}
+    fields = {n: _value_field(v, o(n), n, k, t) for n in VALUE_FIELDS}
     keyed = lambda e: F.struct(e["loc"].alias("loc"), e["type"].alias("type"), F.lit(None).cast("array<string>").alias("keys"))
     empty = F.array().cast("array<struct<loc:string,type:string,keys:array<string>>>")
     items = [F.coalesce(F.transform(F.flatten(F.transform(f"l_{n}", _items(n))), keyed), empty) for n in LISTS]
