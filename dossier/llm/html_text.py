@@ -7,9 +7,12 @@ that is in links. The best container is taken with those siblings that score wel
 an article or main element, that element. Of it, all blocks but boilerplate are kept, whatever their length.
 
 Boilerplate are menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles, hidden parts and reader
-comments, told by tag, role and the words of class and id. An element with a word of VAGUE alone is none if it holds more
-than half of the page's text outside links, or, with one of LINKY, if it reads like prose. Inside a paragraph, boilerplate
-is left out and the paragraph goes on.
+comments. Tags, roles and hidden styles are sure signs; the words of class and id are doubts, and names like has-sidebar,
+no-ads or comments-open, which say how a page is laid out, are none. An element with a word of VAGUE alone is no boilerplate if
+it holds more than half of the page's text outside links, or, with one of LINKY, if it reads like prose. One that is named like
+boilerplate (WORDS) is the article if it has prose and the rest of the page hardly any, or, unless named like adverts or
+comments, eight times less; then what lies within it is looked at in the same way. Inside a paragraph, boilerplate is left out
+and the paragraph goes on.
 
 Defined results: a null, empty or text-free page has an empty text; broken and cut-off markup is read as far as it goes
 (after a tag whose quotes are never closed, quotes in tags mean nothing); time grows in proportion to the page; repeated
@@ -46,14 +49,20 @@ ENDS = {
     "option": ({"option"}, {"select"}), "tbody": ({"tbody", "thead", "tr", "td", "th"}, {"table"}),
 }
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-WORDS = set(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors cookie cookies consent gdpr newsletter "
-    "subscribe signup popup modal overlay sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs footer "
-    "comment comments commentlist disqus respond replies pagination pager login".split()
+#: Words of what an article never is, and of other boilerplate.
+OTHERS = set(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors comment comments commentlist disqus "
+    "respond replies".split()
+)
+WORDS = OTHERS | set(
+    "cookie cookies consent gdpr newsletter subscribe signup popup modal overlay sidebar sidenav menu nav navbar navigation "
+    "breadcrumb breadcrumbs footer pagination pager login".split()
 )
 #: Words that may also be those of an article.
 LINKY = set("related recommended recommendations social share sharing skip widget header foot aside reply".split())
 VAGUE = LINKY | set("promo promoted promotion banner notice subscription masthead topbar toolbar hidden".split())
+#: A name with one of these says how a page is laid out, not what the element is: has-sidebar, no-ads, comments-open.
+MODIFIERS = set("has no not with without open opened closed enabled disabled enable disable is supports".split())
 NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 QUOTE = re.compile("[>\"']")
@@ -61,27 +70,35 @@ COMMA = re.compile("[,،、，]")
 
 
 KEPT, SURE, MAYBE = 0, 1, 2
-#: Text that reads like prose has a block of so many characters.
-PROSE = 80
+#: What an element in doubt may be: boilerplate by a vague word, the same unless it reads like prose, boilerplate by its name, and
+#: by one that no article has.
+BY_SHARE, BY_PROSE, NAMED, NAMED_OTHER = 0, 1, 2, 3
+#: Text that reads like prose has a block of so many characters; an element named like boilerplate is the article only if it
+#: has prose and the rest of the page less than a block of it, or this many times less, shorter blocks (menus) not counted.
+PROSE, TIMES, SHORT = 80, 8, 25
 
 
-def boilerplate(tag: str, attributes: str, in_article: bool) -> tuple[int, bool]:
-    """Whether an element is boilerplate (SURE, or MAYBE for vague words), and whether prose would tell otherwise."""
+def boilerplate(tag: str, attributes: str, in_article: bool) -> tuple[int, int]:
+    """Whether an element is boilerplate by its tag, role or style (SURE) or may be one by its class and id (MAYBE), and how
+    that doubt is settled."""
     if tag in DROPPED or tag == "header" and not in_article:
-        return SURE, False
+        return SURE, 0
     if not attributes or tag in ("html", "body", "main"):
-        return KEPT, False
+        return KEPT, 0
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
     if "hidden" in found or found.get("aria-hidden") == "true":
-        return SURE, False
+        return SURE, 0
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")) or found.get("role") in ROLES:
-        return SURE, False
-    names = re.sub(r"([a-z])([A-Z])", r"\1 \2", found.get("class", "") + " " + found.get("id", ""))
-    words = set(re.split(r"[^a-z]+", names.lower()))
+        return SURE, 0
+    words = set()
+    for name in (found.get("class", "") + " " + found.get("id", "")).split():
+        own = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()))
+        if MODIFIERS.isdisjoint(own):
+            words |= own
     if not WORDS.isdisjoint(words):
-        return SURE, False
+        return MAYBE, NAMED if OTHERS.isdisjoint(words) else NAMED_OTHER
     vague = words & VAGUE
-    return (MAYBE if vague else KEPT), bool(vague) and vague <= LINKY
+    return (MAYBE if vague else KEPT), BY_PROSE if vague and vague <= LINKY else BY_SHARE
 
 
 class Page:
@@ -89,7 +106,8 @@ class Page:
 
     def __init__(self, source: str):
         self.tags, self.parents, self.dropped, self.in_article = ["html"], [-1], [KEPT], [False]
-        self.block_of, self.doubt = [0], {}  # doubt: of elements that may be boilerplate, whether prose would tell otherwise
+        self.block_of, self.doubt = [0], {}  # doubt: of elements that may be boilerplate, how that is settled
+        self.aside = [False]  # of inline elements, whether they or an inline element around them are in doubt
         self.blocks: list[tuple[int, str, int]] = []
         self._stack, self._open_tags = [0], Counter()
         self._text, self._links = [], 0
@@ -151,8 +169,8 @@ class Page:
         top = self._stack[-1]
         if not text or self.dropped[top] == SURE:
             return
-        if self.dropped[top] == MAYBE and self.block_of[top] != top and self.dropped[self.block_of[top]] == KEPT:
-            return  # inside a paragraph, a vague word is enough
+        if self.aside[top]:
+            return  # inside a paragraph, a word is enough
         if not self._text:
             self._at = top
         self._text.append(html.unescape(text) if decode and "&" in text else text)
@@ -178,9 +196,10 @@ class Page:
             return
         up, me = self._stack[-1], len(self.tags)
         in_article = self.in_article[up] or self.tags[up] in ("article", "main")
-        own, prose = boilerplate(tag, attributes, in_article)
-        if own == MAYBE and self.dropped[up] == KEPT:
-            self.doubt[me] = prose
+        own, how = boilerplate(tag, attributes, in_article)
+        if own == MAYBE and tag in BLOCKS:
+            self.doubt[me] = how
+        self.aside.append(tag not in BLOCKS and (own == MAYBE or self.aside[up]))
         self.tags.append(tag)
         self.parents.append(up)
         self.in_article.append(in_article)
@@ -215,26 +234,51 @@ class Page:
                 return None  # a stray inline end tag doesn't end a block
 
     def _decide(self):
-        """Keep or drop the elements in doubt, and their blocks with them."""
+        """Keep or drop the elements in doubt, and their blocks with them; from the outermost inwards, each looked at once."""
         if not self.doubt:
             return
-        of = [k if k in self.doubt else -1 for k in range(len(self.tags))]
-        for k in range(1, len(of)):
-            if of[self.parents[k]] >= 0:
-                of[k] = of[self.parents[k]]
-        plain, linked, prose, total = Counter(), Counter(), set(), 0
+        near = [k if k in self.doubt else -1 for k in range(len(self.tags))]  # the nearest element in doubt around each
+        inner: dict[int, list[int]] = {}
+        for k in range(1, len(near)):
+            around = near[self.parents[k]]
+            if near[k] == k:
+                inner.setdefault(around, []).append(k)
+            else:
+                near[k] = around
+        plain, linked, prose, total = Counter(), Counter(), Counter(), 0
+        alone = Counter()  # text of some length, without what lies in elements in doubt further in
         for at, text, links in self.blocks:
-            total += len(text) - links
-            if of[at] >= 0:
-                plain[of[at]] += len(text) - links
-                linked[of[at]] += links
-                if len(text) - links >= PROSE:
-                    prose.add(of[at])
-        kept = {
-            k for k, would in self.doubt.items()
-            if plain[k] and (2 * plain[k] > total or would and k in prose and 3 * linked[k] < plain[k])
-        }
-        self.blocks = [b for b in self.blocks if of[b[0]] < 0 or of[b[0]] in kept]
+            own = len(text) - links
+            total += own
+            plain[near[at]] += own
+            linked[near[at]] += links
+            prose[near[at]] += own if own >= PROSE else 0
+            alone[near[at]] += own if own >= SHORT else 0
+        lean = {k: 2 * linked[k] <= plain[k] for k in self.doubt}
+        for k in sorted(self.doubt, reverse=True):
+            around = near[self.parents[k]]
+            if around >= 0:
+                for sums in (plain, linked, prose):
+                    sums[around] += sums[k]
+        kept, rest = {-1}, alone[-1]
+        at = -1
+        while at is not None:
+            kept.add(at)
+            named, todo = [], list(inner.get(at, ()))
+            while todo:
+                k = todo.pop()
+                if self.doubt[k] >= NAMED:
+                    named.append(k)
+                elif plain[k] and (2 * plain[k] > total or self.doubt[k] == BY_PROSE and prose[k] and 3 * linked[k] < plain[k]):
+                    kept.add(k)
+                    rest += alone[k]
+                    todo += inner.get(k, ())
+            best = max(named, key=lambda k: (prose[k], -k), default=None)
+            at = None
+            if best is not None and prose[best] and lean[best]:
+                if rest < PROSE or self.doubt[best] == NAMED and TIMES * rest < prose[best]:
+                    at, rest = best, rest + alone[best]
+        self.blocks = [b for b in self.blocks if near[b[0]] in kept]
 
     def lineage(self, at: int):
         while at >= 0:
@@ -248,7 +292,7 @@ class Page:
         for at, text, in_links in self.blocks:
             length[at] += len(text)
             links[at] += in_links
-            if len(text) >= 25:
+            if len(text) >= SHORT:
                 own = 1 + len(COMMA.findall(text)) + min(len(text) // 100, 3)
                 up = at if self.tags[at] in CONTAINERS else self.parents[at]
                 for level in range(5):
