@@ -19,7 +19,9 @@ Smoothing is interpolated absolute discounting down to the add-one unigram of th
 with g what the kept successors leave.
 
 Defined results: null and empty texts are the end alone; null ids hash as the empty string; with no training rows N and V
-are 0; repeated rows are scored one by one; an empty table gives no rows; further columns are ignored.
+are 0; repeated rows are scored one by one; an empty table gives no rows; further columns are ignored; a model file that is
+lost after training stops the scoring with its path (it is never taken for a range without n-grams), as does a shared folder
+that isn't mounted.
 """
 
 from __future__ import annotations
@@ -208,6 +210,19 @@ class Level:
 
     def __init__(self, folder: str, bits: int):
         self.folder, self.bits = folder, bits
+        self.there: bytes | None = None
+
+    def seal(self):
+        """Training is over: from now on, a file that is there now must be there. One bit a range."""
+        there = np.zeros(1 << self.bits, bool)
+        there[[int(name) for name in os.listdir(self.folder) if name.isdigit()]] = True
+        self.there = np.packbits(there).tobytes()
+
+    def has(self, shard: int) -> bool:
+        """Whether some key of the model lies in this range."""
+        if self.there is None:
+            return os.path.exists(self.path(shard))
+        return bool(self.there[shard >> 3] >> (7 - (shard & 7)) & 1)
 
     def path(self, shard: int) -> str:
         return f"{self.folder}/{shard:08d}"
@@ -246,11 +261,9 @@ class Level:
     def visit(self, keys: np.ndarray, look):
         """Call look(first, last, arrays, sequences) for each file that some of the sorted keys lie in, mapped meanwhile."""
         for shard, a, b in self.shards(keys):
-            try:
-                f = open(self.path(shard), "rb")
-            except FileNotFoundError:  # no key of the model lies in this range
+            if not self.has(shard):
                 continue
-            with f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as view:
+            with open(self.path(shard), "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as view:
                 size = int.from_bytes(view[:8], "little")
                 sequences, entries = pickle.loads(view[8 : 8 + size])
                 start = -(-(8 + size) // 8) * 8
@@ -471,9 +484,14 @@ def train(docs: DataFrame) -> Model:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(1, size) / RANGE_BYTES)))
     folder = f"{shared_dir(docs.sparkSession)}/lm-{uuid.uuid4().hex}".removeprefix("file:")
+    if "://" in folder:
+        raise ValueError(f"model files are mapped into memory: spark.checkpoint.dir must be a mounted folder, not {folder}")
     model = Model(folder, bits)
     count_words(docs, model)
+    model.words.seal()
     count_grams(docs, model)
+    for level in (model.pairs, model.triples, model.split_pairs, model.split_triples):
+        level.seal()
     return model
 
 
