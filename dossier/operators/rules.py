@@ -205,22 +205,43 @@ def of_document(consistency: str) -> Column:
     return F.concat(*(F.coalesce(p, nothing) for p in parts))
 
 
-def status(findings: DataFrame, docs: DataFrame) -> DataFrame:
-    """Each document's state and its numbers of findings by severity. An error of structure is graver than one of
-    consistency, and that than any other error or warning."""
+def _counted() -> list[Column]:
     is_error = F.col("severity") == "error"
-    n = findings.groupBy("doc_id").agg(
+    return [
         *(F.count_if(F.col("severity") == s).alias(f"n_{s}") for s in SEVERITIES),
         F.max(is_error & (F.col("check_name") == "schema")).alias("broken"), F.max(is_error & F.col("check_name").isin(CONSISTENCY)).alias("odd"),
-    )
+    ]
+
+
+def _state() -> Column:
+    """An error of structure is graver than one of consistency, and that than any other error or warning."""
+    return F.when(F.col("broken"), "SCHEMA_ERROR").when(F.col("odd"), "INCONSISTENT").when(F.col("n_error") + F.col("n_warning") > 0, "NEEDS_REVIEW").otherwise("OK")
+
+
+def _ranked() -> Column:
+    """A finding's place: by severity, then by check, then by place in the record."""
+    at = lambda names, c: F.array_position(F.array(*map(F.lit, names)), F.col(c))
+    return F.struct(at(SEVERITIES, "severity").alias("s"), at(CHECKS, "check_name").alias("c"), F.coalesce("seq", F.lit(0)).alias("seq"), "code")
+
+
+def status(findings: DataFrame, docs: DataFrame) -> DataFrame:
+    """Each document's state and its numbers of findings by severity."""
+    n = findings.groupBy("doc_id").agg(*_counted())
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    state = F.when(F.col("broken"), "SCHEMA_ERROR").when(F.col("odd"), "INCONSISTENT").when(F.col("n_error") + F.col("n_warning") > 0, "NEEDS_REVIEW").otherwise("OK")
-    return docs.select("doc_id").join(n, "doc_id", "left").select("doc_id", *(zero(F.col(f"n_{s}")).alias(f"n_{s}") for s in SEVERITIES), state.alias("status"))
+    return docs.select("doc_id").join(n, "doc_id", "left").select("doc_id", *(zero(F.col(f"n_{s}")).alias(f"n_{s}") for s in SEVERITIES), _state().alias("status"))
+
+
+def screens(findings: DataFrame, records: DataFrame) -> DataFrame:
+    """doc_id, screen: what is shown of each record (doc_id, record as JSON), as one JSON text: state, findings in order, record."""
+    shown = F.struct(_ranked().alias("at"), F.struct("check_name", "severity", "code", "seq").alias("finding"))
+    n = findings.groupBy("doc_id").agg(*_counted(), F.transform(F.array_sort(F.collect_list(shown)), lambda x: x["finding"]).alias("findings"))
+    own = records.join(n, "doc_id", "left")
+    found = F.coalesce(F.to_json("findings", {"ignoreNullFields": "false"}), F.lit("[]"))
+    text = F.concat(F.lit('{"status":"'), _state(), F.lit('","findings":'), found, F.lit(',"record":'), F.coalesce("record", F.lit("null")), F.lit("}"))
+    return own.select("doc_id", text.alias("screen"))
 
 
 def in_order(findings: DataFrame) -> DataFrame:
     """doc_id and its findings' codes, by severity, then by check, then by place."""
-    at = lambda names, c: F.array_position(F.array(*map(F.lit, names)), F.col(c))
-    row = F.struct(at(SEVERITIES, "severity").alias("s"), at(CHECKS, "check_name").alias("c"), F.coalesce("seq", F.lit(0)).alias("seq"), "code")
-    codes = F.transform(F.array_sort(F.collect_list(row)), lambda x: x["code"])
+    codes = F.transform(F.array_sort(F.collect_list(_ranked())), lambda x: x["code"])
     return findings.groupBy("doc_id").agg(F.array_join(codes, ",").alias("codes"))

@@ -149,10 +149,10 @@ def run_failures(s, d):
     return scoring.failures(log, "user_id", "error")
 
 
-@query("""WITH n AS (SELECT document_id, field_path = 'click' AS early, COUNT(DISTINCT CAST(FLOOR(id / 7) AS BIGINT) % 5) AS n FROM fx_review WHERE id % 11 < 3 GROUP BY ALL)
+@query("""WITH n AS (SELECT document_id, field_path = 'click' AS early, COUNT(DISTINCT CAST(FLOOR(id / 7) AS BIGINT) % 5) AS n FROM fx_review GROUP BY ALL)
 SELECT document_id, early, CASE WHEN early AND document_id % 4 = 0 THEN 'pending' WHEN n = 5 THEN 'confirmed' WHEN n > 1 THEN 'needs_review' ELSE 'unconfirmed' END AS status FROM n""")
 def document_states(s, d):
-    own = fixture(s, d, "fx_review").where("id % 11 < 3").withColumn("early", F.col("field_path") == "click")
+    own = fixture(s, d, "fx_review").withColumn("early", F.col("field_path") == "click")
     n = own.groupBy("document_id", "early").agg(F.countDistinct(F.floor(F.col("id") / 7) % 5).alias("n"))
     return n.select("document_id", "early", review.document_status(F.col("n"), F.col("early") & (F.col("document_id") % 4 == 0)).alias("status"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from dossier.functions import chem
 from dossier.operators import scoring
 
-from .catalog import KEY, NUMBERS, query, table
+from .catalog import KEY, N_BOOT, NUMBERS, query, table
 from .fixtures import fixture
 
 METRIC_ROWS = ", ".join(f"('{m}', {k + 1})" for k, m in enumerate(scoring.METRICS))
@@ -149,7 +149,7 @@ def paired_by_subset(s, d):
 
 @query()
 def paired_conclusions(s, d):
-    found = scoring.paired(*both_conditions(s, d), fixture(s, d, "fx_doc").select("doc_id", "subset", "grp"), 1000)
+    found = scoring.paired(*both_conditions(s, d), fixture(s, d, "fx_doc").select("doc_id", "subset", "grp"), N_BOOT)
     return found.withColumn("conclusion", scoring.conclusion(F.col("ci_low"), F.col("ci_high"), F.col("metric").isin(scoring.NO_WORSE) & (F.col("mean_diff") < 0)))
 
 

@@ -31,7 +31,9 @@ def test_equals_sql(spark, sf_dir, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_runs(spark, sf_dir, name):
-    assert catalog.queries()[name](spark, sf_dir).count() >= 0
+    df = catalog.queries()[name](spark, sf_dir)
+    rows = df.collect()
+    assert rows and all(any(v is not None for v in r) for r in rows) and len({tuple(map(str, r)) for r in rows}) > len(rows) / 2
 
 
 def test_entry(spark):
