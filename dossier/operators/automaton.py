@@ -134,9 +134,9 @@ def known_names(names: DataFrame, items: DataFrame, name: str = "name", item: st
         return own.mapInArrow(run, "name string")
 
     inside = matches(wanted, own, "name", "name", "item", most).select("name")
-    every = wanted.join(own.where("item = ''").limit(1).select(F.lit(True).alias("any")))  # an empty item is in every name
+    every = wanted.where(F.lit(not own.where("item = ''").isEmpty()))  # an empty item is in every name
     parts = [scan(Block(names.sparkSession, block)) for block in blocks(wanted, "name", most)]
-    return reduce(DataFrame.union, [inside, every.select("name"), *parts]).distinct()
+    return reduce(DataFrame.union, [inside, every, *parts]).distinct()
 
 
 def unknown_names(names: DataFrame, items: DataFrame, name: str = "name", item: str = "item", most: int = BLOCK) -> DataFrame:

@@ -109,7 +109,8 @@ class VectorIndex:
         own = queries.where(usable("q")).withColumn("q", F.transform("q", lambda c: c.cast("double")))
         header = self.header()
         if header.empty:
-            return own.select("query_id").limit(0).join(self._empty(), F.lit(True)).select("query_id", self.key, "score", "rank")
+            none = [F.lit(None).cast(t).alias(c) for c, t in ((self.key, "long"), ("score", "double"), ("rank", "long"))]
+            return own.select("query_id", *none).limit(0)
         own = own.where(F.size("q") == len(header.centroid[0]))
         found = self._ranked(self._met(self._wanted(own, header, probes, None), header, keep, k), k)
         if not exact:
@@ -120,9 +121,6 @@ class VectorIndex:
         more = self._met(self._wanted(again, header, probes, "least"), header, keep, k)
         return self._ranked(found.select("query_id", self.key, "score").unionByName(more), k)
 
-    def _empty(self) -> DataFrame:
-        return self.spark.createDataFrame([], f"{self.key} long, score double, rank long")
-
     def _wanted(self, queries: DataFrame, header: pd.DataFrame, probes: int, least: str | None) -> DataFrame:
         """The queries, a row for each cell to be read: the nearest `probes`, or, where `least` is named, the others that may
         hold a cosine of that much."""
