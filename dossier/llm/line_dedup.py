@@ -199,9 +199,10 @@ def _joined(docs: DataFrame, least_chars: int, least_docs: int, batches: int, fa
     lost_ = fresh("lost", docs.columns)
     keyed = with_text_key(docs, key)
     lost = dropped_lines(keyed, key, least_chars, least_docs, batches, fanout)
-    lost = lost.select(F.col("doc_id").alias("_doc"), F.col(key).alias("_key"), F.col("lost").alias(lost_))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col(key) == F.col("_key"))
-    return keyed.join(lost, same, "left").drop("_doc", "_key"), key, lost_
+    doc, its_key = fresh("doc", docs.columns), fresh("key", docs.columns)
+    lost = lost.select(F.col("doc_id").alias(doc), F.col(key).alias(its_key), F.col("lost").alias(lost_))
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(its_key))
+    return keyed.join(lost, same, "left").drop(doc, its_key), key, lost_
 
 
 def drop_common_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, batches: int = BATCHES,

@@ -200,16 +200,13 @@ def trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
 
     hashes = written(ends_hashes(ends.select("d1", "d2", "conv_id")), "hashes")
     parents = nodes.select(F.col("d1").alias("q1"), F.col("d2").alias("q2"), F.col("conv_id").alias("parent"))
-    top = ends.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"), F.sum("total").alias("totals"))
-    distinct = owned.agg(F.coalesce(F.sum("owned"), F.lit(0)).alias("owned"), F.coalesce(F.sum("leaves"), F.lit(0)).alias("leaves"))
-    first = children.where("d1 = 0 and d2 = 0").agg(F.coalesce(F.max("n_children"), F.lit(0)).alias("n_children"))
-    root = top.crossJoin(distinct).crossJoin(first).where("n_convs > 0")  # one row each
-    root = root.select(
-        F.lit(0).cast("long").alias("d1"), F.lit(0).cast("long").alias("d2"), "conv_id", F.lit(0).cast("long").alias("depth"),
-        F.lit(None).cast("long").alias("parent_conv_id"), "n_convs", "n_children", F.greatest("leaves", F.lit(1)).alias("n_leaves"),
-        (F.col("totals") - F.col("owned")).alias("saved_tokens"),
-    )
-    smallest = F.lit(ends.agg(F.min("conv_id")).first()[0]).cast("long")
+    top = ends.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n"), F.sum("total").alias("total")).first()
+    distinct = owned.agg(F.sum("owned").alias("words"), F.sum("leaves").alias("leaves")).first()
+    first = children.where("d1 = 0 and d2 = 0").first()
+    root = (0, 0, top.conv_id, 0, None, top.n, first.n_children if first else 0, max(1, distinct.leaves or 0), (top.total or 0) - (distinct.words or 0))
+    columns = "d1 long, d2 long, conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long"
+    root = nodes.sparkSession.createDataFrame([root] if top.n else [], columns)
+    smallest = F.lit(top.conv_id).cast("long")
     below = F.col("totals") - F.col("n_convs") * F.col("pre")
     distinct_below = F.col("owned") - F.col("own") + F.col("own_total") - F.col("pre")
     full = nodes.join(weighed, ["d1", "d2"]).join(parents, ["q1", "q2"], "left").select(
