@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.functions.chem import f1, ratio
+from dossier.sources.shared import written
 
 
 def _sides(gold: DataFrame, pred: DataFrame, *columns) -> DataFrame:
@@ -228,6 +229,7 @@ def paired(a: DataFrame, b: DataFrame, groups: DataFrame, n_boot: int, seed: int
     sums = every.groupBy("key", "grp").agg(
         F.sum("diff").alias("t"), F.count("*").alias("n"), F.count_if(F.col("diff") > 0).alias("win"), F.count_if(F.col("diff") < 0).alias("loss")
     )
+    sums = written(sums, "sums")  # a row for each subset, metric and group, read by the totals and by the draws
     totals = sums.groupBy("key").agg(
         F.sum("win").alias("win"), F.sum("loss").alias("loss"), F.sum("n").alias("n_docs"), F.count("*").alias("n_groups"),
         F.round(F.sum("t") / F.sum("n"), 6).alias("mean_diff"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions import chem
 from dossier.operators import scoring
+from dossier.sources.shared import written
 
 from .catalog import KEY, N_BOOT, NUMBERS, query, table
 from .fixtures import fixture
@@ -82,8 +83,10 @@ report AS ({" UNION ALL ".join(f"SELECT subset, '{m}' AS metric, {m} AS value, {
 
 
 def scored(s, d):
-    """The rows of `by_document` on the fixtures, with subset and grp."""
-    f = lambda name: fixture(s, d, name)
+    """The rows of `by_document` on the fixtures, with subset and grp. The numbered lines that most fixtures are made of, which
+    take a sort of the whole table, are written once for all of them."""
+    lines = {"fx_line": written(fixture(s, d, "fx_line"), "lines")}
+    f = lambda name: fixture(s, d, name, lines)
     keyed = lambda df, v: df.select("doc_id", v.alias("v"))
     pair = F.concat_ws("/", "hazard_class", "category")
     codes = lambda t: f(t).select("doc_id", F.explode(chem.split_hcodes(F.col("code"))).alias("v"))
@@ -95,8 +98,8 @@ def scored(s, d):
         "htext": scoring.set_counts(keyed(f("fx_haz"), phrase), keyed(f("fx_pred_haz"), phrase), "doc_id", "v"),
     }
     ingredients = scoring.ingredient_counts(gold, pred, "doc_id", chem.content_key(F.col("content")))
-    lines = F.collect_list(F.struct("seq", "line"))
-    sources = f("fx_line_text").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(lines), lambda x: x["line"]), "\n").alias("text"))
+    gathered = F.array_sort(F.collect_list(F.struct("seq", "line")))
+    sources = f("fx_line_text").groupBy("doc_id").agg(F.array_join(F.transform(gathered, lambda x: x["line"]), "\n").alias("text"))
     cas = scoring.fabricated(pred.select("doc_id", F.lit("cas").alias("kind"), F.col("cas").alias("value")), sources, "doc_id")
     invented = codes("fx_pred_haz").distinct().join(codes("fx_haz").distinct(), ["doc_id", "v"], "left_anti")
     runs = f("fx_run").withColumn("skipped", F.col("doc_id") % 23 == 0)
@@ -136,7 +139,7 @@ SELECT subset, metric, COUNT(*) FILTER (diff > 0) AS win, COUNT(*) FILTER (diff
 
 
 def both_conditions(s, d):
-    a = scoring.outcomes(scored(s, d))
+    a = written(scoring.outcomes(scored(s, d)), "outcomes")
     b = a.select("doc_id", *(F.when(F.col("doc_id") % 5 == 0, 0).otherwise(F.col(c)).alias(c) for c in scoring.OUTCOMES))
     return a, b
 

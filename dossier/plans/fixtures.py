@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -165,9 +166,14 @@ def with_fixtures(body: str) -> str:
     return "WITH " + ",\n".join(parts) + (",\n" + stripped[4:] if recursive else "\n" + stripped)
 
 
-def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The fixture's rows; tables are read into views with a prefix of their own, so that a session's views stay."""
+def fixture(spark: SparkSession, sf_dir: str, name: str, given: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The fixture's rows; tables are read into views with a prefix of their own, so that a session's views stay. `given`: rows
+    that stand for fixtures which this one is made of."""
     sql = with_fixtures(f"SELECT * FROM {name}")
+    for base, rows in (given or {}).items():
+        view = f"dossier_{base}_{uuid.uuid4().hex}"
+        rows.createOrReplaceTempView(view)
+        sql = sql.replace(f"{base} AS ({FIXTURES[base]})", f"{base} AS (SELECT * FROM {view})")
     for table in set(NAMED.findall(sql)):
         spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(f"dossier_{table}")
     return spark.sql(NAMED.sub(lambda m: m[0].replace(m[1], f"dossier_{m[1]}"), sql))
