@@ -260,7 +260,13 @@ def line_above(s, d):
     return fixture(s, d, "fx_line_text").select("doc_id", F.last(shown, ignorenulls=True).over(w).alias("above"), "seq")
 
 
-@query("""SELECT doc_id, page_no AS page FROM (SELECT l.doc_id, l.seq, MIN(m.seq) AS page_no FROM fx_line_text l JOIN fx_line_text m ON l.doc_id = m.doc_id AND m.line = l.line WHERE l.seq = 2 GROUP BY l.doc_id, l.seq)""")
+#: A line as `page_of` compares it: no white space, and of characters that repeat only the first.
+COLLAPSED = """array_to_string(list_transform(list_filter(range(1, length(x) + 1), lambda i: i = 1 OR x[i] <> x[i - 1]), lambda i: x[i]), '')"""
+
+
+@query(f"""WITH n AS (SELECT doc_id, seq, regexp_replace(line, '[\\s\\x0B]+', '', 'g') AS x FROM fx_line_text), m AS (SELECT doc_id, seq, {COLLAPSED} AS line FROM n),
+l AS (SELECT doc_id, seq, {COLLAPSED} AS line FROM (SELECT doc_id, seq, regexp_replace(string_split(line, chr(10))[1], '[\\s\\x0B]+', '', 'g') AS x FROM fx_line_text WHERE seq = 2))
+SELECT l.doc_id, MIN(m.seq) FILTER (l.line <> '' AND contains(m.line, l.line)) AS page FROM l JOIN m ON l.doc_id = m.doc_id GROUP BY l.doc_id, l.seq""")
 def evidence_page(s, d):
     from dossier.operators import evidence
 
