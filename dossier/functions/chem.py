@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,12 +30,12 @@ def cas_format_ok(cas: Column) -> Column:
 
 def cas_checksum_ok(cas: Column) -> Column:
     """The last digit is the sum of the digits before it, weighted 1, 2, ... from the right, modulo 10; null for other text."""
-    digits = F.reverse(F.regexp_replace(cas, "-", ""))
-    at = F.sequence(F.lit(2), F.length(digits))
-    total = F.aggregate(
-        at, F.lit(0), lambda acc, k: acc + (k - 1) * F.substring(digits, k, F.lit(1)).cast("int")
-    )
-    return F.when(cas_format_ok(cas), F.pmod(total, F.lit(10)) == F.substring(digits, 1, 1).cast("int"))
+    def right(digits):
+        # Ten digits at most, and 0 for places there are not.
+        digit = lambda k: F.greatest(F.ascii(F.substring(digits, k, 1)) - 48, F.lit(0))
+        return F.pmod(reduce(add, ((k - 1) * digit(k) for k in range(2, 11))), F.lit(10)) == digit(1)
+
+    return F.when(cas_format_ok(cas), let(F.reverse(F.translate(cas, "-", "")), right))
 
 
 def norm_signal_word(c: Column) -> Column:

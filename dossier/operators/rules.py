@@ -24,9 +24,13 @@ def finding(df: DataFrame, check: str, severity: Column | str, code: Column | st
     )
 
 
+def bad_cas(cas: Column) -> Column:
+    """What is wrong with an identifier; null where nothing is."""
+    return F.when(~cas_format_ok(cas), "CAS_FORMAT_INVALID").when(~cas_checksum_ok(cas), "CAS_CHECKSUM_INVALID")
+
+
 def check_cas(ingredients: DataFrame) -> DataFrame:
-    bad = F.when(~cas_format_ok(F.col("cas")), "CAS_FORMAT_INVALID").when(~cas_checksum_ok(F.col("cas")), "CAS_CHECKSUM_INVALID")
-    return finding(ingredients.withColumn("bad", bad).where("bad is not null"), "cas", "error", F.col("bad"))
+    return finding(ingredients.withColumn("bad", bad_cas(F.col("cas"))).where("bad is not null"), "cas", "error", F.col("bad"))
 
 
 def check_hcode(statements: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -143,13 +147,12 @@ def one_pass(items: DataFrame, records: DataFrame, dim: DataFrame, phrases: Data
     own = own.join(table, F.col("is_class") & (F.col("hazard_class") == F.col("_class")) & (F.col("category") == F.col("_category")), "left")
 
     low, is_class = content_lower(F.col("content")), F.coalesce("is_class", F.lit(False))
-    malformed, cas = ~code.rlike(HCODE), F.col("cas")
-    bad_cas = F.when(~cas_format_ok(cas), "CAS_FORMAT_INVALID").when(~cas_checksum_ok(cas), "CAS_CHECKSUM_INVALID")
+    malformed, wrong = ~code.rlike(HCODE), bad_cas(F.col("cas"))
     bad_code = F.when(malformed, "HCODE_FORMAT_INVALID").when(F.col("_code").isNull(), "HCODE_UNKNOWN_CODE")
     mismatch = stated & F.col("text").isNotNull() & ~F.array_contains("accepted", norm_phrase(F.col("text")))
     consistency = "ghs_signal_hcode_consistency"
     of_row = F.array(
-        found(bad_cas.isNotNull(), "cas", "error", bad_cas, seq),
+        found(wrong.isNotNull(), "cas", "error", wrong, seq),
         found(stated & code.isNotNull() & bad_code.isNotNull(), "hcode", F.when(malformed, "error").otherwise("warning"), bad_code, seq),
         found(mismatch, "phrase_to_hcode", "error", "HCODE_PHRASE_MISMATCH", seq),
         found(F.col("content").isNotNull() & F.col("low").isNull(), "content_sum", "warning", "CONTENT_SUM_UNPARSEABLE", seq),

@@ -109,8 +109,7 @@ CAS_SQL = """SELECT doc_id, seq, 'cas' AS check_name, 'error' AS severity, CASE
 @query("WITH b AS (" + CAS_SQL.replace("{t}", "fx_typo_cas") + """) SELECT COALESCE(b.code, 'ok') AS code, COUNT(*) AS n FROM fx_typo_cas c LEFT JOIN b ON c.doc_id = b.doc_id AND c.seq = b.seq WHERE c.cas IS NOT NULL GROUP BY 1""")
 def cas_checksum_audit(s, d):
     own = fixture(s, d, "fx_typo_cas").where("cas is not null")
-    bad = rules.check_cas(own).select("doc_id", "seq", "code")
-    return own.select("doc_id", "seq").join(bad, ["doc_id", "seq"], "left").groupBy(F.coalesce("code", F.lit("ok")).alias("code")).agg(F.count("*").alias("n"))
+    return own.groupBy(F.coalesce(rules.bad_cas(F.col("cas")), F.lit("ok")).alias("code")).agg(F.count("*").alias("n"))
 
 
 @query("""WITH g AS (SELECT doc_id, list_sort(list(DISTINCT cas) FILTER (cas IS NOT NULL)) AS v FROM fx_gold_ing GROUP BY doc_id),

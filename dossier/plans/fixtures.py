@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 
@@ -12,6 +13,9 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 
+#: Tables that are dealt by order: rows of a partition at most, about, and the key. Both give the same number of partitions.
+DEALT = {"lineitem": (200_000, "l_orderkey"), "orders": (50_000, "o_orderkey")}
+
 #: A table where a statement reads it.
 NAMED = re.compile(r"\b(?:FROM|JOIN)\s+(" + "|".join(TABLES) + r")\b")
 
@@ -113,7 +117,10 @@ def column_of(name: str, column: str) -> str:
 def wide(spark: SparkSession, sf_dir: str, table: str, names: list[str], view: str | None = None) -> DataFrame:
     """The columns of several fixtures over one table, or over one fixture of it, in one scan; expressions may name columns of
     the fixtures before them."""
-    rows = fixture(spark, sf_dir, view) if view else spark.read.parquet(f"{sf_dir}/{table}.parquet").withColumn("doc_id", F.col("o_orderkey"))
+    if view:
+        rows = fixture(spark, sf_dir, view)
+    else:
+        rows = dealt(spark.read.parquet(f"{sf_dir}/{table}.parquet"), table).withColumn("doc_id", F.col("o_orderkey"))
     for name in names:
         rows = rows.selectExpr("*", *split_columns(selected(name)[0]))
     return rows
@@ -174,11 +181,23 @@ def fixture(spark: SparkSession, sf_dir: str, name: str, given: dict[str, DataFr
         view = f"dossier_{base}_{uuid.uuid4().hex}"
         rows.createOrReplaceTempView(view)
         sql = sql.replace(f"{base} AS ({FIXTURES[base]})", f"{base} AS (SELECT * FROM {view})")
+    joined = name == "fx_doc"  # on other keys
     for table in set(NAMED.findall(sql)):
-        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(f"dossier_{table}")
+        rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+        (rows if joined else dealt(rows, table)).createOrReplaceTempView(f"dossier_{table}")
     return spark.sql(NAMED.sub(lambda m: m[0].replace(m[1], f"dossier_{m[1]}"), sql))
 
 
-def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows dealt to all cores: a given table may be one row group, which one task reads, and checking records is slow."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+def dealt(rows: DataFrame, table: str) -> DataFrame:
+    """The rows of a table of DEALT, hashed by order into partitions whose number grows with the table, so that a task holds as
+    much of a large table as of a small one, and what is gathered or joined by document later needs no other shuffle."""
+    if table not in DEALT:
+        return rows
+    most, key = DEALT[table]
+    return rows.repartition(partitions(rows, most), key)
+
+
+def partitions(rows: DataFrame, most: int) -> int:
+    """A power of two: partitions of `most` rows, but one a core, unless these had few rows."""
+    n, power = rows.count(), lambda x: 1 << max(0, math.ceil(x) - 1).bit_length()  # noqa: E731  (Parquet counts from its footers)
+    return min(max(power(n / most), power(rows.sparkSession.sparkContext.defaultParallelism)), power(n * 100 / most))

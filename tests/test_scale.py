@@ -3,7 +3,8 @@
 import duckdb
 import pytest
 
-from dossier.plans import catalog
+from dossier.functions import chem
+from dossier.plans import catalog, fixtures
 
 
 @pytest.fixture
@@ -19,3 +20,30 @@ def test_page_of_lines_that_are_alike(spark, alike):
     con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{alike}/lineitem.parquet'")
     got = [tuple(r) for r in catalog.queries()["evidence_page"](spark, alike).select("doc_id", "page").collect()]
     assert got == con.sql(f"SELECT doc_id, page FROM ({catalog.oracle_sql()['evidence_page']})").fetchall() == [(1, 1)]
+
+
+def test_partitions_grow_with_the_table(spark):
+    n = lambda rows: fixtures.partitions(spark.range(rows), 1000)
+    assert n(5) == n(0) == 1 and n(4_000) == 4 and n(64_000) == 64 and n(65_000) == 128
+
+
+def test_lines_are_shuffled_once(spark, sf_dir):
+    """Counts of lines and what is gathered by document share one shuffle, whose partitions come from the table's size."""
+    own = fixtures.fixture(spark, sf_dir, "fx_gold_ing")
+    assert own.rdd.getNumPartitions() == fixtures.partitions(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), 200_000)
+    plan = own.groupBy("doc_id").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def test_audit_reads_its_rows_once(spark, sf_dir):
+    plan = catalog.queries()["cas_checksum_audit"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan
+
+
+def test_checksum_of_all_lengths(spark):
+    good = ["64-17-5", "7732-18-5", "1234567-89-5", "0000000-00-0", "10-00-4"]
+    bad = ["64-17-4", "7732-18-0", "1234567-89-4"]
+    rows = spark.createDataFrame([(x,) for x in [*good, *bad, "64-17-5x", "", None]], "cas string")
+    got = {r.cas: r.ok for r in rows.select("cas", chem.cas_checksum_ok(rows["cas"]).alias("ok")).collect()}
+    weighted = lambda x: sum(k * int(c) for k, c in enumerate(reversed(x.replace("-", "")[:-1]), 1)) % 10 == int(x[-1])
+    assert got == {**{x: weighted(x) for x in [*good, *bad]}, "64-17-5x": None, "": None, None: None}
