@@ -30,12 +30,10 @@ def cas_format_ok(cas: Column) -> Column:
 
 def cas_checksum_ok(cas: Column) -> Column:
     """The last digit is the sum of the digits before it, weighted 1, 2, ... from the right, modulo 10; null for other text."""
-    def right(digits):
-        # Ten digits at most, and 0 for places there are not.
-        digit = lambda k: F.greatest(F.ascii(F.substring(digits, k, 1)) - 48, F.lit(0))
-        return F.pmod(reduce(add, ((k - 1) * digit(k) for k in range(2, 11))), F.lit(10)) == digit(1)
-
-    return F.when(cas_format_ok(cas), let(F.reverse(F.translate(cas, "-", "")), right))
+    # Ten digits at most: one, a hyphen, two, a hyphen, two to seven; 0 for places there are not.
+    digit = lambda at: F.greatest(F.ascii(F.substring(cas, -at, 1)) - 48, F.lit(0))
+    total = reduce(add, (k * digit(at) for k, at in enumerate((3, 4, *range(6, 13)), 1)))
+    return F.when(cas_format_ok(cas), F.pmod(total, F.lit(10)) == digit(1))
 
 
 def norm_signal_word(c: Column) -> Column:
@@ -64,7 +62,7 @@ def content_key(content: Column) -> Column:
 
 def content_lower(content: Column) -> Column:
     """The amount a content stands for at least: 0 for one number with an upper mark, else its smallest number."""
-    numbers = F.transform(F.regexp_extract_all(content, F.lit(r"([0-9]+(?:\.[0-9]+)?)"), 1), lambda x: x.cast("double"))
+    numbers = F.regexp_extract_all(content, F.lit(r"([0-9]+(?:\.[0-9]+)?)"), 1).cast("array<double>")
     return F.when((F.size(numbers) == 1) & content.rlike("미만|이하|<"), F.lit(0.0)).otherwise(F.array_min(numbers))
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dossier.functions.chem import HCODE, cas_checksum_ok, cas_format_ok, content_lower, let, norm_phrase
+from dossier.functions.chem import HCODE, cas_checksum_ok, cas_format_ok, content_lower, norm_phrase
 from dossier.functions.textnorm import is_sentinel, strip
 
 from .evidence import flat
@@ -112,7 +112,6 @@ def check_content_sum(ingredients: DataFrame) -> DataFrame:
     return unread.union(finding(total, "content_sum", "error", "CONTENT_SUM_EXCEEDS_100"))
 
 
-FINDING = "struct<seq:bigint,check_name:string,severity:string,code:string>"
 #: Rows of a record that the checks look at; a row may be several of them at once.
 ITEM = {
     "seq": "bigint", "cas": "string", "content": "string", "value": "string", "is_class": "boolean", "hazard_class": "string",
@@ -127,15 +126,15 @@ def found(cond: Column, check: str, severity: Column | str, code: Column | str,
     return F.when(cond, F.struct(seq.alias("seq"), F.lit(check).alias("check_name"), lit(severity).alias("severity"), lit(code).alias("code")))
 
 
-def one_pass(items: DataFrame, records: DataFrame, dim: DataFrame, phrases: DataFrame) -> DataFrame:
+def one_pass(items: DataFrame, records: DataFrame, dim: DataFrame, phrases: DataFrame, partitions: int | None = None) -> DataFrame:
     """The findings (doc_id, seq, check_name, severity, code) of all nine checks, reading each table once.
 
     items: doc_id and the columns of ITEM, a row for each ingredient (cas, content, and value to be found in the source), class,
     statement and source line; columns that are lacking count as null. records: a row for each document that is checked
     (doc_id, problems of its structure, values, signal_word). dim and phrases are lookup tables, joined on their keys.
 
-    A row's own findings are made before the one shuffle, by document; what needs a whole document (its codes, its source, its
-    sum) is made of the gathered row after it."""
+    Records are rows beside the items, so that nothing is joined by document. partitions: how many they are dealt into by
+    document, which should grow with the tables; findings that are then gathered by document stay there."""
     items = items.withColumns({c: F.lit(None).cast(t) for c, t in ITEM.items() if c not in items.columns})
     seq, code = F.col("seq"), F.col("code")
     stated = F.coalesce("is_statement", F.lit(False))
@@ -151,61 +150,69 @@ def one_pass(items: DataFrame, records: DataFrame, dim: DataFrame, phrases: Data
     bad_code = F.when(malformed, "HCODE_FORMAT_INVALID").when(F.col("_code").isNull(), "HCODE_UNKNOWN_CODE")
     mismatch = stated & F.col("text").isNotNull() & ~F.array_contains("accepted", norm_phrase(F.col("text")))
     consistency = "ghs_signal_hcode_consistency"
-    of_row = F.array(
-        found(wrong.isNotNull(), "cas", "error", wrong, seq),
-        found(stated & code.isNotNull() & bad_code.isNotNull(), "hcode", F.when(malformed, "error").otherwise("warning"), bad_code, seq),
-        found(mismatch, "phrase_to_hcode", "error", "HCODE_PHRASE_MISMATCH", seq),
-        found(F.col("content").isNotNull() & F.col("low").isNull(), "content_sum", "warning", "CONTENT_SUM_UNPARSEABLE", seq),
-        found(is_class & F.col("codes").isNull(), consistency, "info", "CLASSIFICATION_NOT_IN_TABLE", seq),
-    )
+    bad = [
+        wrong.alias("wrong"), F.when(stated & code.isNotNull(), bad_code).alias("bad_code"), malformed.alias("malformed"), mismatch.alias("mismatch"),
+        (F.col("content").isNotNull() & F.col("low").isNull()).alias("unread"), (is_class & F.col("codes").isNull()).alias("unlisted"),
+    ]
     codes = F.when(stated & (code != ""), F.split("code", r"\+")).when(F.col("_named").isNotNull(), F.array("_named"))
-    expected = F.when(is_class & F.col("codes").isNotNull(), F.struct("seq", F.split("codes", r"\|").alias("codes"), (F.col("codes") != "").alias("some")))
-    rank = F.when(is_class & F.col("codes").isNotNull(), F.when(F.col("_word") == "위험", 2).when(F.col("_word") == "경고", 1).otherwise(0))
+    listed = is_class & F.col("codes").isNotNull()
+    rank = F.when(listed, F.when(F.col("_word") == "위험", 2).when(F.col("_word") == "경고", 1).otherwise(0))
     rows = own.withColumn("low", low).select(
-        "doc_id", "low", of_row.alias("of_row"), codes.alias("stated"), expected.alias("expected"), rank.alias("rank"), "value", "seq",
-        F.when(F.col("line").isNotNull(), F.struct("seq", "line")).alias("source"),
+        "doc_id", "seq", "low", codes.alias("stated"), F.when(listed, F.split("codes", r"\|")).alias("expected"), (F.col("codes") != "").alias("some"),
+        rank.alias("rank"), "value", "line", flat(F.col("line")).alias("flat_line"), *bad,
     )
-    docs = rows.groupBy("doc_id").agg(
-        F.collect_list(F.when(F.exists("of_row", lambda f: f.isNotNull()), F.col("of_row"))).alias("of_rows"), F.sum("low").alias("total"),
-        F.array_distinct(F.flatten(F.collect_set("stated"))).alias("stated"), F.collect_list("expected").alias("expected"), F.max("rank").alias("want"),
-        F.collect_list(F.when(F.col("value").isNotNull(), F.struct("seq", "value"))).alias("wanted"), F.array_sort(F.collect_list("source")).alias("sources"),
-    )
-    docs = records.withColumn("is_record", F.lit(True)).join(docs, "doc_id", "full")
-    return docs.select("doc_id", F.inline_outer(of_document(consistency))).where("code is not null")
+    told = records.select("doc_id", "signal_word", F.lit(True).alias("is_record"), problem_count(F.col("problems")).alias("n_schema"), empty_count(F.col("values")).alias("n_empty"))
+    both = rows.unionByName(told, allowMissingColumns=True)
+    return of_documents(both if partitions is None else both.repartition(partitions, "doc_id"), consistency)
+
 
+def problem_count(problems: Column) -> Column:
+    """Findings of a record's structure; a list of unknown keys is one for each."""
+    n = lambda p: F.when(p.isNotNull(), F.greatest(F.lit(1), F.coalesce(F.size(p["keys"]), F.lit(1)))).otherwise(0)
+    return F.coalesce(F.aggregate(problems, F.lit(0), lambda acc, p: acc + n(p)), F.lit(0))
 
-def of_document(consistency: str) -> Column:
-    """The findings of a gathered document, nulls among them."""
-    none = F.array().cast("array<string>")
-    nothing = F.array().cast(f"array<{FINDING}>")
-    stated, expected = F.coalesce("stated", none), F.coalesce("expected", F.array().cast("array<struct<seq:bigint,codes:array<string>,some:boolean>>"))
-    explained = F.flatten(F.transform(expected, lambda e: e["codes"]))
-    missing = F.transform(expected, lambda e: found(e["some"] & ~F.arrays_overlap(e["codes"], stated), consistency, "error", "HCODE_MISSING_FOR_CLASSIFICATION", e["seq"]))
+
+def empty_count(values: Column) -> Column:
+    suspect = lambda v: (v["source_status"] == "기재") & v["value"].isNotNull() & is_sentinel(v["value"])
+    return F.coalesce(F.size(F.filter(values, suspect)), F.lit(0))
+
+
+def of_documents(rows: DataFrame, consistency: str) -> DataFrame:
+    """The findings of rows and their documents. What a row must know of its document (codes, source lines, sum) comes from a
+    window over the document, so that rows stay where they were dealt; a document's own findings stand with its first row."""
+    at = Window.partitionBy("doc_id").orderBy("seq", "line")
+    every = at.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.select(
+        "*", F.row_number().over(at).alias("_n"), F.flatten(F.collect_list("stated").over(every)).alias("all_stated"),
+        F.flatten(F.collect_list("expected").over(every)).alias("explained"), F.count("expected").over(every).alias("n_classes"),
+        F.sum("low").over(every).alias("total"), F.max("rank").over(every).alias("want"), F.max("signal_word").over(every).alias("word"),
+        F.array_join(F.collect_list("line").over(every), "\n").alias("lines"), F.array_join(F.collect_list("flat_line").over(every), "").alias("flat_lines"),
+        F.count("line").over(every).alias("n_lines"), F.max("is_record").over(every).alias("has_record"),
+    )
+    v, seq, first = F.col("value"), F.col("seq"), F.col("_n") == 1
+    # A value may stand in a line, or in the lines without white space.
+    in_line = ~v.contains("\n") & F.col("lines").contains(v)
+    there = (v != "") & (F.col("flat_lines") != "") & (in_line | ((flat(v) != "") & F.col("flat_lines").contains(flat(v))))
     word = F.when(F.col("want") == 2, "위험").when(F.col("want") == 1, "경고")
-    has_class = F.size(expected) > 0
-    source = F.struct(F.transform("sources", lambda x: x["line"]).alias("lines"), flat(F.array_join(F.transform("sources", lambda x: x["line"]), "\n")).alias("flat"))
-
-    def lacking(s):
-        """Values that no line holds, with white space or without."""
-        def there(v):
-            return (v != "") & (s["flat"] != "") & (F.exists(s["lines"], lambda x: x.contains(v)) | ((flat(v) != "") & s["flat"].contains(flat(v))))
-
-        return F.transform("wanted", lambda w: found(~F.coalesce(there(w["value"]), F.lit(False)), "not_found", "warning", "VALUE_NOT_FOUND_IN_SOURCE", w["seq"]))
-
-    structure = F.transform("problems", lambda p: found(p.isNotNull(), "schema", "error", "SCHEMA_FIELD_INVALID"))
-    # A list of unknown keys is one error for each.
-    extra = F.flatten(F.transform("problems", lambda p: F.transform(F.slice(F.coalesce(p["keys"], none), F.lit(2), F.size(F.coalesce(p["keys"], none))), lambda _: found(F.lit(True), "schema", "error", "SCHEMA_FIELD_INVALID"))))
-    empty = F.transform("values", lambda v: found(
-        (v["source_status"] == "기재") & v["value"].isNotNull() & is_sentinel(v["value"]), "empty_value", "warning", "EMPTY_VALUE_SUSPECT"
-    ))
-    whole = F.array(
-        found(F.col("is_record") & (F.coalesce(F.size("sources"), F.lit(0)) <= 0), "evidence", "info", "EVIDENCE_SKIPPED_NO_SOURCE"),
-        found(F.col("total") > 100.5, "content_sum", "error", "CONTENT_SUM_EXCEEDS_100"),
-        found(has_class & (F.size(F.array_except(stated, explained)) > 0), consistency, "error", "HCODE_MISSING_FOR_CLASSIFICATION"),
-        found(has_class & ~F.col("signal_word").eqNullSafe(word), consistency, "error", "SIGNAL_WORD_MISMATCH"),
+    has_class = F.col("n_classes") > 0
+    own = F.array(
+        found(F.col("wrong").isNotNull(), "cas", "error", F.col("wrong"), seq),
+        found(F.col("bad_code").isNotNull(), "hcode", F.when(F.col("malformed"), "error").otherwise("warning"), F.col("bad_code"), seq),
+        found(F.col("mismatch"), "phrase_to_hcode", "error", "HCODE_PHRASE_MISMATCH", seq),
+        found(F.col("unread"), "content_sum", "warning", "CONTENT_SUM_UNPARSEABLE", seq),
+        found(F.col("unlisted"), consistency, "info", "CLASSIFICATION_NOT_IN_TABLE", seq),
+        found(F.col("some") & ~F.arrays_overlap("expected", "all_stated"), consistency, "error", "HCODE_MISSING_FOR_CLASSIFICATION", seq),
+        found(v.isNotNull() & ~there, "not_found", "warning", "VALUE_NOT_FOUND_IN_SOURCE", seq),
+        found(first & F.col("has_record") & (F.col("n_lines") == 0), "evidence", "info", "EVIDENCE_SKIPPED_NO_SOURCE"),
+        found(first & (F.col("total") > 100.5), "content_sum", "error", "CONTENT_SUM_EXCEEDS_100"),
+        found(first & has_class & (F.size(F.array_except("all_stated", "explained")) > 0), consistency, "error", "HCODE_MISSING_FOR_CLASSIFICATION"),
+        found(first & has_class & ~F.col("word").eqNullSafe(word), consistency, "error", "SIGNAL_WORD_MISMATCH"),
     )
-    parts = [F.flatten("of_rows"), missing, let(source, lacking), structure, extra, empty, whole]
-    return F.concat(*(F.coalesce(p, nothing) for p in parts))
+    many = lambda n, check, severity, code: F.array_repeat(found(F.lit(True), check, severity, code), F.coalesce(F.col(n), F.lit(0)))
+    counted = [many("n_schema", "schema", "error", "SCHEMA_FIELD_INVALID"), many("n_empty", "empty_value", "warning", "EMPTY_VALUE_SUSPECT")]
+    # A projection of its own, so that generated code makes the array; a generator would interpret it.
+    made = rows.select("doc_id", F.concat(own, *counted).alias("made"))
+    return made.select("doc_id", F.inline("made")).where("code is not null")
 
 
 def _counted() -> list[Column]:
@@ -237,7 +244,7 @@ def status(findings: DataFrame, docs: DataFrame) -> DataFrame:
 def screens(findings: DataFrame, records: DataFrame) -> DataFrame:
     """doc_id, screen: what is shown of each record (doc_id, record as JSON), as one JSON text: state, findings in order, record."""
     shown = F.struct(_ranked().alias("at"), F.struct("check_name", "severity", "code", "seq").alias("finding"))
-    n = findings.groupBy("doc_id").agg(*_counted(), F.transform(F.array_sort(F.collect_list(shown)), lambda x: x["finding"]).alias("findings"))
+    n = findings.groupBy("doc_id").agg(*_counted(), F.transform(F.sort_array(F.collect_list(shown)), lambda x: x["finding"]).alias("findings"))
     own = records.join(n, "doc_id", "left")
     found = F.coalesce(F.to_json("findings", {"ignoreNullFields": "false"}), F.lit("[]"))
     text = F.concat(F.lit('{"status":"'), _state(), F.lit('","findings":'), found, F.lit(',"record":'), F.coalesce("record", F.lit("null")), F.lit("}"))
@@ -246,5 +253,5 @@ def screens(findings: DataFrame, records: DataFrame) -> DataFrame:
 
 def in_order(findings: DataFrame) -> DataFrame:
     """doc_id and its findings' codes, by severity, then by check, then by place."""
-    codes = F.transform(F.array_sort(F.collect_list(_ranked())), lambda x: x["code"])
+    codes = F.transform(F.sort_array(F.collect_list(_ranked())), lambda x: x["code"])
     return findings.groupBy("doc_id").agg(F.array_join(codes, ",").alias("codes"))

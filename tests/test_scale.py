@@ -1,5 +1,7 @@
 """Rules and plans that show only in larger tables: lines that are alike but not equal, partitions that grow with a table."""
 
+import json
+
 import duckdb
 import pytest
 
@@ -47,3 +49,32 @@ def test_checksum_of_all_lengths(spark):
     got = {r.cas: r.ok for r in rows.select("cas", chem.cas_checksum_ok(rows["cas"]).alias("ok")).collect()}
     weighted = lambda x: sum(k * int(c) for k, c in enumerate(reversed(x.replace("-", "")[:-1]), 1)) % 10 == int(x[-1])
     assert got == {**{x: weighted(x) for x in [*good, *bad]}, "64-17-5x": None, "": None, None: None}
+
+
+def test_findings_are_made_where_documents_were_dealt(spark, sf_dir):
+    """No join by document, and one shuffle after rows and records have met: into partitions that grow with the table."""
+    plan = catalog.queries()["findings_in_order"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    union = plan.index("Union")
+    assert "FullOuter" not in plan and plan[:union].count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan[:union]
+
+
+def test_shape_of_records_hides_no_item(spark):
+    """Lists whose schema as a whole looks right: a lacking key, a null beside an item, a null where a text must be."""
+    from dossier.operators import schema
+
+    field = lambda v: {"value": v, "source_status": "기재"}
+    record = {
+        **{n: field("위험") for n in schema.VALUE_FIELDS}, "supplier": dict.fromkeys(schema.SUPPLIER), "ingredients": [], "hazard_statements": [],
+        "list_status": {"ingredients": "자료없음", "ghs_classification": "기재", "hazard_statements": "자료없음"},
+    }
+    good, lacking, bad, empty = {"hazard_class": "x", "category": "구분 2"}, {"hazard_class": "x"}, {"hazard_class": "x", "category": "2"}, {"hazard_class": None, "category": None}
+    lists = [[good], [good, lacking], [None], [good, None], [good, empty], [bad], [bad, good], []]
+    rows = spark.createDataFrame([(k, json.dumps({**record, "ghs_classification": x})) for k, x in enumerate(lists)], "doc_id int, json string")
+    got = sorted((r.doc_id, r.loc, r.type) for r in schema.validate(rows).collect())
+    at = "ghs_classification."
+    assert got == [
+        (1, at + "1.category", "missing"), (2, at + "0", "object_type"), (3, at + "1", "object_type"), (4, at + "1.hazard_class", "string_type"),
+        (5, at + "0.category", "value_error"), (6, at + "0.category", "value_error"), (7, "", "value_error"),
+    ]
+    plan = schema.problems(rows, ["doc_id"], "json").where("size(problems) > 0")
+    assert plan.count() == len(lists)
