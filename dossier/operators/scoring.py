@@ -33,22 +33,62 @@ def bag_counts(gold: DataFrame, pred: DataFrame, key: str, *parts: Column) -> Da
     )
 
 
-def ingredient_counts(gold: DataFrame, pred: DataFrame, key: str, content: Column) -> DataFrame:
-    """key, the counts of the families cas, pair and nocas, and cas_paired (rows whose identifier both sides have), of
-    ingredients (key, cas, is_sub, …), in one pass: rows are counted by identifier and content, then by identifier (by the
-    substitute flag where there is none), then by key."""
-    flag = F.when(F.col("cas").isNull(), F.col("is_sub"))
-    rows = _sides(gold, pred, key, "cas", flag.alias("flag"), content.alias("content"))
+ENTRY = "struct<family:string,v:string,flag:boolean,content:string,g:int,p:int,lacking:boolean>"
+
+
+def entries(family: str, gold: Column, pred: Column, there: tuple[Column, Column] | None = None, **more: Column) -> Column:
+    """An array of ENTRY for a row's value on both sides (null: none): one where the sides are equal, else one for each. `there`
+    says whether each side has the row, where a null is a value too; `more`: flag, content and lacking as pairs of both sides."""
+    has_gold, has_pred = there or (gold.isNotNull(), pred.isNotNull())
+    none = F.lit(None)
+    sides = {k: more.get(k, (none, none)) for k in ("flag", "content", "lacking")}
+    of = lambda k, v, g, p: F.struct(
+        F.lit(family).alias("family"), v.alias("v"), sides["flag"][k].cast("boolean").alias("flag"), sides["content"][k].cast("string").alias("content"),
+        g.alias("g"), p.alias("p"), sides["lacking"][k].cast("boolean").alias("lacking"),
+    )
+    same = has_gold & has_pred & gold.eqNullSafe(pred)
+    for k in ("flag", "content", "lacking"):
+        same = same & sides[k][0].eqNullSafe(sides[k][1])
+    return F.array(F.when(has_gold, of(0, gold, F.lit(1), same.cast("int"))), F.when(has_pred & ~same, of(1, pred, F.lit(0), F.lit(1)))).cast(f"array<{ENTRY}>")
+
+
+def listed(family: str, values: Column, gold: bool) -> Column:
+    """An array of ENTRY for a row's list of values on one side."""
+    own = lambda x: F.struct(
+        F.lit(family).alias("family"), x.alias("v"), F.lit(None).cast("boolean").alias("flag"), F.lit(None).cast("string").alias("content"),
+        F.lit(int(gold)).alias("g"), F.lit(int(not gold)).alias("p"), F.lit(None).cast("boolean").alias("lacking"),
+    )
+    return F.coalesce(F.transform(values, own), F.array()).cast(f"array<{ENTRY}>")
+
+
+def row_counts(rows: DataFrame, key: str, sums: list[str]) -> DataFrame:
+    """key, the counts of all FAMILIES, cas_paired (rows whose identifier both sides have), fab_hcode (codes of the prediction
+    alone), fab_cas (its identifiers that are `lacking` in the source), and the sums of further columns, of rows
+    (key, entries, sums). Families ghs, hcode and htext are sets; rows of family `ing` (identifier, substitute flag where there is
+    none, content) make cas, pair and nocas.
+
+    One pass: entries are counted by value and content, then by value, then by key. Rows that come dealt by key stay where they
+    are."""
     n = lambda c: F.sum(c).alias(c)
-    own = rows.groupBy(key, "cas", "flag", "content").agg(n("g"), n("p"))
-    own = own.groupBy(key, "cas", "flag").agg(n("g"), n("p"), F.sum(F.least("g", "p")).alias("same"))
-    g, p, same, some = F.col("g"), F.col("p"), F.col("same"), F.col("cas").isNotNull()
+    number = [F.lit(0).cast("long").alias(c) for c in sums]
+    # The rows' own sums ride along with their first entry.
+    every = rows.select(key, F.posexplode_outer("entries").alias("_at", "e"), *sums).where("e is not null or coalesce(_at, 0) = 0")
+    own = every.select(key, "e.*", *(F.when(F.coalesce("_at", F.lit(0)) == 0, F.col(c)).otherwise(number[k]).cast("long").alias(c) for k, c in enumerate(sums)))
+    by = [key, "family", "v", "flag"]
+    own = own.groupBy(*by, "content").agg(n("g"), n("p"), F.max("lacking").alias("lacking"), *map(n, sums))
+    own = own.groupBy(*by).agg(n("g"), n("p"), F.sum(F.least("g", "p")).alias("same"), F.max("lacking").alias("lacking"), *map(n, sums))
+    g, p, same, v, family = F.col("g"), F.col("p"), F.col("same"), F.col("v"), F.col("family")
     total = lambda name, cond, x: F.sum(F.when(cond, x).otherwise(0)).alias(name)
+    sets = [(f, (family == f) & v.isNotNull()) for f in ("ghs", "hcode", "htext")] + [("cas", (family == "ing") & v.isNotNull())]
+    out = []
+    for f, is_own in sets:
+        out += [F.count_if(is_own & (g > 0) & (p > 0)).alias(f"{f}_tp"), F.count_if(is_own & (g == 0)).alias(f"{f}_fp"), F.count_if(is_own & (p == 0)).alias(f"{f}_fn")]
+    for f, is_own in (("pair", (family == "ing") & v.isNotNull()), ("nocas", (family == "ing") & v.isNull())):
+        out += [total(f"{f}_tp", is_own, same), total(f"{f}_fp", is_own, p - same), total(f"{f}_fn", is_own, g - same)]
+    some = (family == "ing") & v.isNotNull()
     return own.groupBy(key).agg(
-        F.count_if(some & (g > 0) & (p > 0)).alias("cas_tp"), F.count_if(some & (g == 0)).alias("cas_fp"), F.count_if(some & (p == 0)).alias("cas_fn"),
-        total("pair_tp", some, same), total("pair_fp", some, p - same), total("pair_fn", some, g - same),
-        total("nocas_tp", ~some, same), total("nocas_fp", ~some, p - same), total("nocas_fn", ~some, g - same),
-        total("cas_paired", some, F.least(g, p)),
+        *out, total("cas_paired", some, F.least(g, p)), F.count_if((family == "hcode") & v.isNotNull() & (g == 0)).alias("fab_hcode"),
+        F.count_if(some & (p > 0) & F.col("lacking")).alias("fab_cas"), *map(n, sums),
     )
 
 
@@ -145,20 +185,12 @@ OUTCOMES = [
 ]
 
 
-def by_document(runs: DataFrame, families: dict[str, DataFrame], ingredients: DataFrame, extra: DataFrame) -> DataFrame:
-    """One row a document: the run's flags and hits, the counts of each family (ghs, hcode, htext as tp, fp, fn; ingredients as
-    `ingredient_counts` gives them; 0 where there are no rows), `extra`'s numbers (doc_id and some of fab_hcode, fab_ghs, fab_cas,
-    ke_misplaced, content_misplaced, as rows that are added up), and `exact` and `exact_ext`.
-
-    All are gathered as rows of one shape and added up by document in one aggregation."""
+def by_document(runs: DataFrame, counts: DataFrame) -> DataFrame:
+    """One row a document: the run's flags and hits, its numbers of `counts` (doc_id, those of `row_counts` and of EXTRA; 0 where
+    there are no rows), and `exact` and `exact_ext`."""
     numbers = [*(f"{f}_{c}" for f in FAMILIES for c in ("tp", "fp", "fn")), "cas_paired", *EXTRA]
-    parts = [counts.select("doc_id", *(F.col(c).alias(f"{f}_{c}") for c in ("tp", "fp", "fn"))) for f, counts in families.items()]
-    rows = None
-    for part in [*parts, ingredients.withColumnRenamed(ingredients.columns[0], "doc_id"), extra]:
-        there = set(part.columns)
-        own = part.select("doc_id", *((F.col(c) if c in there else F.lit(0)).cast("long").alias(c) for c in numbers))
-        rows = own if rows is None else rows.union(own)
-    out = runs.join(rows.groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in numbers)), "doc_id", "left").na.fill(0, numbers)
+    own = counts.select("doc_id", *(F.col(c).cast("long").alias(c) for c in numbers))
+    out = runs.join(own, "doc_id", "left").na.fill(0, numbers)
     right = lambda f: F.col(f"{f}_fp") + F.col(f"{f}_fn") == 0
     exact = F.col("parsed") & F.col("schema_ok")
     for h in HITS:
@@ -303,6 +335,12 @@ def misplaced(pred: DataFrame, key: str) -> DataFrame:
     )
 
 
+def lacks(flat: Column, value: Column) -> Column:
+    """Whether an identifier isn't in a source text without white space, not even all but its last digit."""
+    body = F.regexp_replace(value, "[^-]*$", "")
+    return ~(flat.contains(value) | ((body != "") & flat.contains(body)))
+
+
 def fabricated(values: DataFrame, sources: DataFrame, key: str) -> DataFrame:
     """(key, kind, value) of predicted codes (kind `hcode`) and identifiers (kind `cas`) that the source text lacks; an
     identifier broken across lines counts as there if all but its last digit is."""

@@ -109,6 +109,16 @@ def selected(name: str) -> tuple[str, str]:
     return re.sub(r"^(doc_id, seq|o_orderkey AS doc_id), ", "", columns), source
 
 
+def beside(rows: DataFrame, name: str, prefix: str, given: str = "") -> DataFrame:
+    """The rows with a fixture's columns, made of theirs (of those with the prefix `given`), under a prefix; `there` is whether the
+    fixture has the row, and the others are null where it hasn't."""
+    columns, where = re.fullmatch(r"(?s)SELECT doc_id, seq, (.*) FROM \w+(?: WHERE (.*))?", FIXTURES[name]).groups()
+    there = f"({where})" if where else f"{given}there"
+    own = [re.fullmatch(r"(?s)(?:(.*) AS )?(\w+)", c).groups() for c in split_columns(columns)]
+    read = lambda e: re.sub(r"(?<!')\b(cas|content)\b(?!')", given + r"\1", e) if given else e
+    return rows.selectExpr("*", f"{there} AS {prefix}there", *(f"CASE WHEN {there} THEN {read(e or c)} END AS {prefix}{c}" for e, c in own))
+
+
 def column_of(name: str, column: str) -> str:
     """The expression of a fixture's last column."""
     return re.search(rf"(?s)(?:^|, )((?:CASE|CONCAT)\b.*) AS {column}$", selected(name)[0]).group(1)

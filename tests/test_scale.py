@@ -78,3 +78,30 @@ def test_shape_of_records_hides_no_item(spark):
     ]
     plan = schema.problems(rows, ["doc_id"], "json").where("size(problems) > 0")
     assert plan.count() == len(lists)
+
+
+def test_scores_come_from_one_scan_of_the_lines(spark, sf_dir):
+    plan = catalog.queries()["score_report"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.split("\n") if "FileScan" in line]
+    assert len([line for line in scans if "l_orderkey" in line]) == 1 and not any("lines-" in line for line in scans)
+
+
+def test_counts_of_both_sides_of_a_row(spark):
+    """A value twice in a document, one side alone, rows without a value, sums of rows without entries."""
+    from pyspark.sql import functions as F
+
+    from dossier.operators import scoring
+
+    rows = spark.createDataFrame(
+        [(1, "a", "a", True, "x", "x", 1), (1, "a", "b", True, "y", "y", 1), (1, None, None, True, "x", "z", 1), (2, None, "c", True, "x", "x", 1), (3, "d", None, False, "x", None, 1)],
+        "k int, g string, p string, there boolean, x string, y string, n int",
+    )
+    one = F.lit(True)
+    made = scoring.entries("ing", F.col("g"), F.col("p"), (one, F.col("there")), content=(F.col("x"), F.col("y")), lacking=(one, one))
+    made = F.when(F.col("k") > 0, F.concat(made, scoring.entries("ghs", F.col("g"), F.col("p")), scoring.listed("hcode", F.array("p"), False)))
+    both = rows.select("k", made.alias("entries"), "n").union(rows.limit(1).select(F.lit(4), F.lit(None), F.lit(7)))
+    got = {r.k: r for r in scoring.row_counts(both, "k", ["n"]).collect()}
+    counts = lambda r, f: tuple(r[f"{f}_{c}"] for c in ("tp", "fp", "fn"))
+    assert [counts(got[1], f) for f in ("cas", "pair", "nocas", "ghs")] == [(1, 1, 0), (1, 1, 1), (0, 1, 1), (1, 1, 0)]
+    assert [counts(got[k], "cas") for k in (2, 3)] == [(0, 1, 0), (0, 0, 1)] and counts(got[2], "nocas") == (0, 0, 1)
+    assert (got[1].cas_paired, got[1].fab_cas, got[3].fab_cas, got[1].fab_hcode, got[3].fab_hcode) == (1, 2, 0, 2, 0) and [got[k].n for k in (1, 2, 3, 4)] == [3, 1, 1, 7]
