@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from dossier.functions.chem import HCODE, cas_checksum_ok, cas_format_ok, content_lower, norm_phrase
@@ -177,6 +177,25 @@ def empty_count(values: Column) -> Column:
     return F.coalesce(F.size(F.filter(values, suspect)), F.lit(0))
 
 
+def lines_over(every: WindowSpec) -> list[Column]:
+    """A document's source, from its rows' lines as they are and without white space."""
+    return [F.array_join(F.collect_list("line").over(every), "\n").alias("lines"), F.array_join(F.collect_list("flat_line").over(every), "").alias("flat_lines")]
+
+
+def stands(v: Column) -> Column:
+    """Whether a value stands in a line, or in the lines without white space."""
+    in_line = ~v.contains("\n") & F.col("lines").contains(v)
+    return (v != "") & (F.col("flat_lines") != "") & (in_line | ((flat(v) != "") & F.col("flat_lines").contains(flat(v))))
+
+
+def check_lines(items: DataFrame) -> DataFrame:
+    """Values of rows (doc_id, seq, value, line) that the lines of their document lack, as `check_not_found` has them; a window
+    over the document, so that rows which come dealt by document stay there. Documents without a line have no source to look in."""
+    every = Window.partitionBy("doc_id").orderBy("seq", "line").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = items.withColumn("flat_line", flat(F.col("line"))).select("doc_id", "seq", "value", *lines_over(every), F.count("line").over(every).alias("n_lines"))
+    return check_not_found(rows.where("value is not null and n_lines > 0").withColumn("found", stands(F.col("value"))))
+
+
 def of_documents(rows: DataFrame, consistency: str) -> DataFrame:
     """The findings of rows and their documents. What a row must know of its document (codes, source lines, sum) comes from a
     window over the document, so that rows stay where they were dealt; a document's own findings stand with its first row."""
@@ -186,13 +205,10 @@ def of_documents(rows: DataFrame, consistency: str) -> DataFrame:
         "*", F.row_number().over(at).alias("_n"), F.flatten(F.collect_list("stated").over(every)).alias("all_stated"),
         F.flatten(F.collect_list("expected").over(every)).alias("explained"), F.count("expected").over(every).alias("n_classes"),
         F.sum("low").over(every).alias("total"), F.max("rank").over(every).alias("want"), F.max("signal_word").over(every).alias("word"),
-        F.array_join(F.collect_list("line").over(every), "\n").alias("lines"), F.array_join(F.collect_list("flat_line").over(every), "").alias("flat_lines"),
+        *lines_over(every),
         F.count("line").over(every).alias("n_lines"), F.max("is_record").over(every).alias("has_record"),
     )
     v, seq, first = F.col("value"), F.col("seq"), F.col("_n") == 1
-    # A value may stand in a line, or in the lines without white space.
-    in_line = ~v.contains("\n") & F.col("lines").contains(v)
-    there = (v != "") & (F.col("flat_lines") != "") & (in_line | ((flat(v) != "") & F.col("flat_lines").contains(flat(v))))
     word = F.when(F.col("want") == 2, "위험").when(F.col("want") == 1, "경고")
     has_class = F.col("n_classes") > 0
     own = F.array(
@@ -202,7 +218,7 @@ def of_documents(rows: DataFrame, consistency: str) -> DataFrame:
         found(F.col("unread"), "content_sum", "warning", "CONTENT_SUM_UNPARSEABLE", seq),
         found(F.col("unlisted"), consistency, "info", "CLASSIFICATION_NOT_IN_TABLE", seq),
         found(F.col("some") & ~F.arrays_overlap("expected", "all_stated"), consistency, "error", "HCODE_MISSING_FOR_CLASSIFICATION", seq),
-        found(v.isNotNull() & ~there, "not_found", "warning", "VALUE_NOT_FOUND_IN_SOURCE", seq),
+        found(v.isNotNull() & ~stands(v), "not_found", "warning", "VALUE_NOT_FOUND_IN_SOURCE", seq),
         found(first & F.col("has_record") & (F.col("n_lines") == 0), "evidence", "info", "EVIDENCE_SKIPPED_NO_SOURCE"),
         found(first & (F.col("total") > 100.5), "content_sum", "error", "CONTENT_SUM_EXCEEDS_100"),
         found(first & has_class & (F.size(F.array_except("all_stated", "explained")) > 0), consistency, "error", "HCODE_MISSING_FOR_CLASSIFICATION"),

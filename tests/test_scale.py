@@ -105,3 +105,8 @@ def test_counts_of_both_sides_of_a_row(spark):
     assert [counts(got[1], f) for f in ("cas", "pair", "nocas", "ghs")] == [(1, 1, 0), (1, 1, 1), (0, 1, 1), (1, 1, 0)]
     assert [counts(got[k], "cas") for k in (2, 3)] == [(0, 1, 0), (0, 0, 1)] and counts(got[2], "nocas") == (0, 0, 1)
     assert (got[1].cas_paired, got[1].fab_cas, got[3].fab_cas, got[1].fab_hcode, got[3].fab_hcode) == (1, 2, 0, 2, 0) and [got[k].n for k in (1, 2, 3, 4)] == [3, 1, 1, 7]
+
+
+def test_values_are_sought_where_documents_were_dealt(spark, sf_dir):
+    plan = catalog.queries()["not_found_findings"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
