@@ -1,6 +1,7 @@
 """Variants of documents for training: renderers keep every protected token, mutators change the labels with the text.
 
-Choices come from a hash of (seed, doc_id, variant), so a variant is the same wherever and whenever it is made."""
+Choices come from a hash of (seed, doc_id, variant), so a variant is the same wherever and whenever it is made. Patterns that may
+begin anywhere look at the next character first (`(?=[...])`), which changes no match and spares most places the rest."""
 
 from __future__ import annotations
 
@@ -16,8 +17,8 @@ SECTION = r"(?m)^[ \t]*(?:제[ \t]*)?([123])[ \t]*(?:항)?[ \t]*[.)]?[ \t]*(?=(?
 STYLES = {
     "bullet": (r"(?m)^([ \t]*)(?:[◦○•·▶※\-]|[ㅇo](?=[ \t]))[ \t]*", ["$1◦ ", "$1○ ", "$1- ", "$1• ", "$1· ", "$1▶ ", "$1※ ", "$1"]),
     "section": (SECTION, ["$1. ", "$1) ", "제$1항 ", "【$1】 ", "$1.", "SECTION $1. "]),
-    "colon": (r"(?<=[가-힣)])[ \t]*[:：][ \t]*(?![^()\n]*\))", [" : ", ": ", ":", " ： ", " - "]),
-    "caslabel": (r"(?i)\bCAS[ \t]*(?:Registry[ \t]*)?(?:No\.?|번호|Number)", ["CAS No.", "CAS 번호", "CAS NO.", "CAS번호", "CAS Registry No."]),
+    "colon": (r"(?=[ \t:：])(?<=[가-힣)])[ \t]*[:：][ \t]*(?![^()\n]*\))", [" : ", ": ", ":", " ： ", " - "]),
+    "caslabel": (r"(?i)(?=C)\bCAS[ \t]*(?:Registry[ \t]*)?(?:No\.?|번호|Number)", ["CAS No.", "CAS 번호", "CAS NO.", "CAS번호", "CAS Registry No."]),
 }
 #: Sub-item numbers, by syllable {h} or digit {d}; header lines; words for a masked identifier, one twice as often.
 SUB_STYLES = ["{h}. ", "{h}) ", "({h}) ", "{d}) ", "({d}) "]
@@ -27,12 +28,14 @@ PAGE_HEADERS = [
 SECRETS = ["영업비밀", "영업비밀", "비공개", "자료없음(영업비밀)", "Trade Secret"]
 #: Fixed patterns of tokens that decide a label, and of a statement's codes with what stands between them and the phrase.
 PROTECTED = {
-    "signal": r"(?i)위[ \t]*험|경[ \t]*고|\bDANGER\b|\bWARNING\b", "category": r"(?i)(?:구[ \t]*분|Category)[ \t]*[0-9][A-C]?",
-    "gas": r"(?i)압축[ \t]*가스|냉동[ \t]*액화[ \t]*가스|액화[ \t]*가스|용해[ \t]*가스|Liquefied gas|Compressed gas",
-    "state": r"(?i)자[ \t]*료[ \t]*없[ \t]*음|해[ \t]*당[ \t]*없[ \t]*음|분류[ \t]*되지[ \t]*않|Not applicable",
-    "bound": "[<>≤≥＜＞]=?|이상|이하|미만|초과",
+    "signal": r"(?i)(?=[위경DW])(?:위[ \t]*험|경[ \t]*고|\bDANGER\b|\bWARNING\b)", "category": r"(?i)(?=[구C])(?:구[ \t]*분|Category)[ \t]*[0-9][A-C]?",
+    "gas": r"(?i)(?=[압냉액용LC])(?:압축[ \t]*가스|냉동[ \t]*액화[ \t]*가스|액화[ \t]*가스|용해[ \t]*가스|Liquefied gas|Compressed gas)",
+    "state": r"(?i)(?=[자해분N])(?:자[ \t]*료[ \t]*없[ \t]*음|해[ \t]*당[ \t]*없[ \t]*음|분류[ \t]*되지[ \t]*않|Not applicable)",
+    "bound": "(?=[<>≤≥＜＞이미초])(?:[<>≤≥＜＞]=?|이상|이하|미만|초과)",
 }
-CODES = r"\bH[0-9]{3}(?:[ \t]*\+[ \t]*H[0-9]{3})*[ \t]*[:：\-]?[ \t]*"
+#: What a line with a protected token has at least; no token reaches over the end of a line.
+MAYBE = r"[<>≤-＞]", r"(?i)(?=[DGQWP])(?:danger\b|warning\b|gory[ \t]*[0-9]|quefied gas|pressed gas|pplicable)"
+CODES = r"(?=H)\bH[0-9]{3}(?:[ \t]*\+[ \t]*H[0-9]{3})*[ \t]*[:：\-]?[ \t]*"
 #: Draws of a variant until one passes the checks.
 TRIES = 6
 
@@ -56,6 +59,11 @@ def sub_numbers(text: Column, pick: Column) -> Column:
     syllable, digit = rf"^(\s*)([{HANGUL}])\s*[.)]\s*(?=[^ ])", r"^(\s*)\(?([1-9]|1[0-4])\)\s*(?=[가-힣])"
 
     def renumber(s):
+        # Most lines are told by their first characters, without a look at the rest.
+        begin = F.substring(F.ltrim(s, F.lit(" \t\n\x0b\f\r")), 1, 1)
+        return F.when(begin.isin(*HANGUL, *"(123456789"), numbered(s)).otherwise(s)
+
+    def numbered(s):
         by = lambda p, g: F.regexp_extract(s, p, g)
         own = F.when(s.rlike(syllable), F.instr(F.lit(HANGUL), by(syllable, 2))).when(s.rlike(digit), by(digit, 2).try_cast("int"))
         mark = F.replace(F.replace(choose(pick, SUB_STYLES), F.lit("{d}"), own.cast("string")), F.lit("{h}"), F.substring(F.lit(HANGUL), own, F.lit(1)))
@@ -67,19 +75,21 @@ def sub_numbers(text: Column, pick: Column) -> Column:
 
 def page_headers(text: Column, pick: Column) -> Column:
     """A header line before each section heading but one in the first line, each drawn anew; pages count from 2."""
-    lines = F.split(text, "\n")
-    heads = F.transform(lines, lambda s, i: s.rlike(SECTION) & (i > 0))
     number = lambda k, low, n: (F.pmod(F.xxhash64(pick, k), F.lit(n)) + low).cast("string")
 
-    def put(s, i):
-        page = F.size(F.filter(F.slice(heads, 1, i + 1), lambda x: x)) + 1
+    def put(heads, s, i):
+        page = F.array_position(heads, i).cast("int") + 1
         header = choose(F.pmod(F.xxhash64(pick, page), F.lit(len(PAGE_HEADERS))).cast("int"), PAGE_HEADERS)
         values = {"{p}": page.cast("string"), "{t}": number(F.lit(0), 3, 10), "{num}": number(page + 1000, 10**9, 9 * 10**9), "{m}": number(page + 2000, 1, 9)}
         for mark, value in values.items():
             header = F.replace(header, F.lit(mark), value)
-        return F.when(F.get(heads, i), F.concat(header, F.lit("\n"), s)).otherwise(s)
+        return F.when(F.array_contains(heads, i), F.concat(header, F.lit("\n"), s)).otherwise(s)
+
+    def paged(lines):  # the headings' places are worked out once for all lines
+        heads = F.filter(F.transform(lines, lambda s, i: F.when((i > 0) & s.rlike(SECTION), i)), lambda i: i.isNotNull())
+        return let(heads, lambda found: F.array_join(F.transform(lines, lambda s, i: put(found, s, i)), "\n"))
 
-    return F.array_join(F.transform(lines, put), "\n")
+    return let(F.split(text, "\n"), paged)
 
 
 RENDERERS = {
@@ -100,25 +110,28 @@ def mask_ingredient(text: Column, ingredients: Column, pick: Column) -> Column:
         lambda c: (occurrences(text, c["x"]["cas"]) == 1) & ~c["x"]["is_sub"]
         & (occurrences(text, F.coalesce(c["x"]["ke"], F.lit(""))) <= 1),
     )
-    c = F.get(usable, F.pmod(pick, F.greatest(F.size(usable), F.lit(1))))
-    cas, ke = c["x"]["cas"], c["x"]["ke"]
-    joined = F.concat(F.lit(r"\Q"), cas, F.lit(r"\E"), F.coalesce(F.concat(F.lit(r"(?:\s*/?\s*\Q"), ke, F.lit(r"\E)?")), F.lit("")))
-    hidden = F.regexp_replace(text, joined, choose(F.pmod(pick, F.lit(len(SECRETS))), SECRETS))
-    hidden = F.when(ke.isNotNull(), F.replace(hidden, ke, F.lit(""))).otherwise(hidden)
-    masked = F.transform(
-        ingredients,
-        lambda x, i: F.when(i == c["i"], x.withField("cas", F.lit(None).cast("string")).withField("ke", F.lit(None).cast("string")).withField("is_sub", F.lit(True))).otherwise(x),
-    )
-    gone = F.filter(F.array(cas, ke), lambda x: x.isNotNull())
-    return F.when(c.isNotNull(), F.struct(hidden.alias("text"), masked.alias("ingredients"), gone.alias("gone")))
+
+    def masked(c):
+        cas, ke = c["x"]["cas"], c["x"]["ke"]
+        joined = F.concat(F.lit(r"\Q"), cas, F.lit(r"\E"), F.coalesce(F.concat(F.lit(r"(?:\s*/?\s*\Q"), ke, F.lit(r"\E)?")), F.lit("")))
+        hidden = F.regexp_replace(text, joined, choose(F.pmod(pick, F.lit(len(SECRETS))), SECRETS))
+        hidden = F.when(ke.isNotNull(), F.replace(hidden, ke, F.lit(""))).otherwise(hidden)
+        others = F.transform(
+            ingredients,
+            lambda x, i: F.when(i == c["i"], x.withField("cas", F.lit(None).cast("string")).withField("ke", F.lit(None).cast("string")).withField("is_sub", F.lit(True))).otherwise(x),
+        )
+        gone = F.filter(F.array(cas, ke), lambda x: x.isNotNull())
+        return F.when(c.isNotNull(), F.struct(hidden.alias("text"), others.alias("ingredients"), gone.alias("gone")))
+
+    return let(let(usable, lambda u: F.get(u, F.pmod(pick, F.greatest(F.size(u), F.lit(1))))), masked)
 
 
 def drop_codes(text: Column, statements: Column) -> Column:
     """struct(text, statements): no code in the text or the statements; null if there was none, or one stays."""
-    bare = F.regexp_replace(text, CODES, "")
     some = F.exists(statements, lambda h: h["code"].isNotNull())
     cleared = F.transform(statements, lambda h: h.withField("code", F.lit(None).cast("string")))
-    return F.when(some & ~bare.rlike(r"\bH[0-9]{3}\b"), F.struct(bare.alias("text"), cleared.alias("statements")))
+    own = lambda bare: F.when(some & ~bare.rlike(r"(?=H)\bH[0-9]{3}\b"), F.struct(bare.alias("text"), cleared.alias("statements")))
+    return let(F.regexp_replace(text, CODES, ""), own)
 
 
 def add_ec_numbers(text: Column, cas_numbers: Column, pick: Column) -> Column:
@@ -138,8 +151,7 @@ def add_ec_numbers(text: Column, cas_numbers: Column, pick: Column) -> Column:
 
 def protected_tokens(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, kind, token, n: protected tokens without white space, in capitals."""
-    found = [_found(k, p, F.col("text")) for k, p in PROTECTED.items()]
-    return docs.select(key, F.inline(F.concat(*found))).groupBy(key, "kind", "token").agg(F.count("*").alias("n"))
+    return docs.select(key, F.inline(found_tokens(F.col("text")))).groupBy(key, "kind", "token").agg(F.count("*").alias("n"))
 
 
 def _found(kind: str, pattern: str, text: Column) -> Column:
@@ -147,6 +159,12 @@ def _found(kind: str, pattern: str, text: Column) -> Column:
     return F.transform(tokens, lambda t: F.struct(F.lit(kind).alias("kind"), F.upper(F.regexp_replace(t, r"\s+", "")).alias("token")))
 
 
+def found_tokens(text: Column) -> Column:
+    """array<struct<kind, token>> of a text: the patterns are sought in those lines alone that may have a token."""
+    lines = F.array_join(F.filter(F.split(text, "\n"), lambda s: s.rlike(MAYBE[0]) | s.rlike(MAYBE[1])), "\n")
+    return let(lines, lambda own: F.flatten(F.array(*(_found(k, p, own) for k, p in PROTECTED.items()))))
+
+
 def token_changes(before: DataFrame, after: DataFrame, more_allowed: bool = False, key: str = "doc_id") -> DataFrame:
     """Tokens whose number fell, or changed at all where more aren't allowed."""
     a = protected_tokens(before, key).withColumnRenamed("n", "n_before")
@@ -169,7 +187,7 @@ def variants(docs: DataFrame, names: list[str], seed: int = 42) -> DataFrame:
 
 def tokens_of(text: Column) -> Column:
     """The protected tokens of a text, sorted."""
-    return F.array_sort(F.flatten(F.array(*(_found(k, p, text) for k, p in PROTECTED.items()))))
+    return F.array_sort(found_tokens(text))
 
 
 def assemble(docs: DataFrame, seed: int = 42) -> DataFrame:
@@ -208,28 +226,18 @@ def assemble(docs: DataFrame, seed: int = 42) -> DataFrame:
     mutators = {"secret1": (secret, TRIES), "nohcode": (no_codes, 1)}
     steps = [(v, rendered(v), TRIES, None) for v in RENDERERS] + [(v, mutated(m), n, m) for v, (m, n) in mutators.items()]
 
-    def rows(left, seen, out):
-        """The rows of the variants that are left; draws are made one after the other, until one passes."""
-        if not left:
-            return out
-        (name, attempt, tries, make), *rest = left
-        found = F.coalesce(*(attempt(k, seen) for k in range(tries)))
-        if make is None:
-            lost = F.lit("rejected")
-        else:  # for training alone
+    # A column for each variant, not expressions within each other: their types would be worked out anew for each row.
+    own = docs.where("text is not null").withColumn("_tokens", tokens_of(text))
+    out = [row("orig", F.lit("made"), F.coalesce(text, none))]
+    for at, (name, attempt, tries, make) in enumerate(steps):
+        seen = F.filter(F.array(text, *(F.col(f"_made{k}") for k in range(at))), lambda t: t.isNotNull())
+        found, lost = F.coalesce(*(attempt(k, seen) for k in range(tries))), F.lit("rejected")
+        if make is not None:  # for training alone
             found = F.when(F.col("split") == "train", found)
             lost = F.when(F.col("split") == "train", let(make(0), lambda m: F.when(m.isNull(), "not_applicable").otherwise("rejected")))
-
-        def go_on(t):
-            own = row(name, F.when(t.isNotNull(), "made").otherwise(lost), t)
-            more = F.struct(F.when(t.isNotNull(), F.concat(seen, F.array(t))).otherwise(seen).alias("seen"), F.concat(out, F.array(own)).alias("out"))
-            return let(more, lambda acc: rows(rest, acc["seen"], acc["out"]))
-
-        return let(found, go_on)
-
-    first = F.array(row("orig", F.lit("made"), F.coalesce(text, none)))
-    own = docs.where("text is not null").withColumn("_tokens", tokens_of(text))
-    made = own.select("doc_id", "form", F.inline(rows(steps, F.array(text), first)))
+        own, t = own.withColumn(f"_made{at}", found), F.col(f"_made{at}")
+        out.append(row(name, F.when(t.isNotNull(), "made").otherwise(lost), t))
+    made = own.select("doc_id", "form", F.inline(F.array(*out)))
     return made.where("state is not null").select("doc_id", "form", "variant", "state", "text")
 
 

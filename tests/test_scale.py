@@ -5,8 +5,11 @@ import json
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 from dossier.functions import chem
-from dossier.plans import catalog, fixtures
+from dossier.operators import augment
+from dossier.plans import catalog, catalog_documents, fixtures
 
 
 @pytest.fixture
@@ -110,3 +113,19 @@ def test_counts_of_both_sides_of_a_row(spark):
 def test_values_are_sought_where_documents_were_dealt(spark, sf_dir):
     plan = catalog.queries()["not_found_findings"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_documents_of_one_row_group_are_dealt(spark, sf_dir):
+    """A file of one row group was one task's work, whatever its size."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert catalog_documents.korean(spark, sf_dir).rdd.getNumPartitions() == fixtures.partitions(rows, 1_000) > rows.rdd.getNumPartitions()
+
+
+def test_tokens_are_sought_in_lines_that_may_have_some(spark):
+    """Lines without any part of a token are left out, and no token with them."""
+    tokens = ["위 험", "경고", "Danger", "WARNING", "구 분 2A", "category 1", "압축 가스", "liquefied Gas", "Compressed gas", "자료 없음", "분류되지 않음", "not applicable", "<=", "≥", "이상", "초과"]
+    texts = [f"stranger dangers\nx {t} y\nz" for t in tokens] + ["\n".join(tokens), "plain\nwarnings gory", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    plain = F.array_sort(F.flatten(F.array(*(augment._found(k, p, F.col("text")) for k, p in augment.PROTECTED.items()))))
+    got = df.select(augment.tokens_of(F.col("text")).alias("a"), plain.alias("b")).collect()
+    assert all(r.a == r.b for r in got) and all(r.a for r in got[: len(tokens)]) and len(got[len(tokens)].a) == len(tokens)
