@@ -174,6 +174,21 @@ def token_changes(before: DataFrame, after: DataFrame, more_allowed: bool = Fals
     return both.where("n_after < n_before" if more_allowed else "n_after <> n_before")
 
 
+def token_changes_in_rows(rows: DataFrame, before: str, after: str, more_allowed: bool = False, key: str = "doc_id") -> DataFrame:
+    """As `token_changes`, of rows that hold both texts (a document each): equal texts are not searched, and nothing is joined."""
+    times = lambda of, x: F.size(F.filter(of, lambda y: y == x)).cast("long")
+
+    def told(x, own):
+        n = F.struct(x["kind"].alias("kind"), x["token"].alias("token"), times(own["a"], x).alias("n_before"), times(own["b"], x).alias("n_after"))
+        return let(n, lambda c: F.when(c["n_after"] < c["n_before"] if more_allowed else c["n_after"] != c["n_before"], c))
+
+    none = F.array().cast("array<struct<kind:string,token:string>>")
+    both = F.struct(F.coalesce(found_tokens(F.col(before)), none).alias("a"), F.coalesce(found_tokens(F.col(after)), none).alias("b"))
+    changed = let(both, lambda own: F.transform(F.array_distinct(F.concat(own["a"], own["b"])), lambda x: told(x, own)))
+    found = rows.where(~F.col(before).eqNullSafe(F.col(after))).select(key, F.explode(changed).alias("c"))
+    return found.where("c is not null").select(key, "c.*")
+
+
 def variants(docs: DataFrame, names: list[str], seed: int = 42) -> DataFrame:
     """doc_id, variant, text of the renderers' variants that differ from the text, and from each other within a document."""
     doc = F.col("doc_id")

@@ -129,3 +129,13 @@ def test_tokens_are_sought_in_lines_that_may_have_some(spark):
     plain = F.array_sort(F.flatten(F.array(*(augment._found(k, p, F.col("text")) for k, p in augment.PROTECTED.items()))))
     got = df.select(augment.tokens_of(F.col("text")).alias("a"), plain.alias("b")).collect()
     assert all(r.a == r.b for r in got) and all(r.a for r in got[: len(tokens)]) and len(got[len(tokens)].a) == len(tokens)
+
+
+def test_token_changes_of_rows(spark):
+    """Both texts in one row give what two tables give, without a join."""
+    rows = spark.createDataFrame([(1, "이상 < <", "< x"), (2, "경고", "경고 경고"), (3, "위험", "위험"), (4, None, "미만"), (5, "초과", None)], "doc_id int, old string, new string")
+    before, after = (rows.select("doc_id", F.col(c).alias("text")) for c in ("old", "new"))
+    for more in (True, False):
+        got = augment.token_changes_in_rows(rows, "old", "new", more)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, augment.token_changes(before, after, more).collect()))
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
