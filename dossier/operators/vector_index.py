@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from dossier.sources.shared import written
+
 SAMPLE, TILE, DIGITS = 50_000, 8192, 6
 #: What rounding may add to a bound of cosines.
 MARGIN = 2e-6
@@ -188,6 +190,8 @@ class VectorIndex:
                     if by_section and row["sections"] is not None:
                         ok &= np.isin(places.astype(float), [float(s) for s in row["sections"] if s is not None])
                     at = np.flatnonzero(ok)
+                    if len(at) > k:  # what is below the k-th score isn't sorted
+                        at = at[~(scores[at] < -np.partition(-scores[at], k - 1)[k - 1])]
                     at = at[np.lexsort((ids[at], -scores[at]))[:k]]
                     out[0] += [row["query_id"]] * len(at)
                     out[1] += ids[at].tolist()
@@ -205,13 +209,15 @@ class VectorIndex:
 
     def probes_for(self, queries: DataFrame, k: int, recall: float) -> int:
         """The least power of two of cells at which these queries (a bounded sample) find that share of their true neighbours."""
-        truth = self.search(queries, k, len(self.header()))
+        n_cells = len(self.header())
+        # The full scan is written, so that it is done once, not for each number of cells.
+        truth = written(self.search(queries, k, n_cells), "truth")
         probes = 1
-        while probes < len(self.header()):
+        while probes < n_cells:
             if recall_at(self.search(queries, k, probes), truth, self.key) >= recall:
                 break
             probes *= 2
-        return min(probes, max(1, len(self.header())))
+        return min(probes, max(1, n_cells))
 
 
 def recall_at(found: DataFrame, truth: DataFrame, key: str) -> float:

@@ -107,3 +107,19 @@ def test_odd_vectors(spark, tmp_path):
     assert set(by_query(index.search(queries, 9, 1, exact=True))) == {1}
     none = VectorIndex.build(rows.limit(0), str(tmp_path / "none"))
     assert none.search(queries, 3, 1, exact=True).count() == 0
+
+
+def test_the_full_scan_is_done_once(spark, index, vectors, monkeypatch):
+    """Every number of cells that is tried is held against one written full scan."""
+    made, scans, search, written = [], [], VectorIndex.search, vector_index.written
+    monkeypatch.setattr(vector_index, "written", lambda df, name: made.append(name) or written(df, name))
+    monkeypatch.setattr(VectorIndex, "search", lambda self, queries, k, probes, *a, **b: scans.append(probes) or search(self, queries, k, probes, *a, **b))
+    index.probes_for(asked(spark, vectors, range(0, 1500, 100)), 10, 0.95)
+    assert made == ["truth"] and scans[0] == len(index.header()) and scans[1] == 1
+
+
+def test_equal_scores_go_to_the_smaller_id(spark, tmp_path):
+    """More equal scores than are asked for: what is cut off before sorting must not be one of them."""
+    rows = spark.createDataFrame([(k, [1.0, float(k % 2)]) for k in range(60)], "vec_id long, embedding array<double>")
+    found = VectorIndex.build(rows, str(tmp_path / "i"), cells=2).search(spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, q array<double>"), 5, 2)
+    assert [r[0] for r in by_query(found)[7]] == [0, 2, 4, 6, 8]
