@@ -139,3 +139,61 @@ def test_token_changes_of_rows(spark):
         got = augment.token_changes_in_rows(rows, "old", "new", more)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, augment.token_changes(before, after, more).collect()))
         assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lists_of_lines_count_as_their_rows(spark):
+    """Lines gathered by document give the counts of `row_counts`, without its rows of values: nulls, repeated values, lines that
+    one side lacks, amounts written in two ways, a document without source lines."""
+    import random
+
+    from dossier.operators import scoring
+
+    draw = random.Random(7)
+    some = lambda *xs: draw.choice([None, *xs])
+    line = lambda: (some("a", "b"), some("x", "y"), [draw.choice("HK")] * draw.randint(0, 2), some("1-2-3", "1-2-4", "55-6"), some("10~20", "20 ~ 10", "<1", "z"), draw.random() < 0.5)
+    rows = []
+    for k in range(300):
+        for seq in range(draw.choice([1, 2, 5, 40])):
+            gold, there = line(), draw.random() < 0.8
+            pred = (gold if draw.random() < 0.5 else line()) if there else (None, None, [], None, None, None)
+            rows.append((k, seq, *gold, *pred, there, some("1-2", "-3 55-6") if k % 3 else None, 1))
+    names = "ghs htext hcode cas content is_sub".split()
+    types = dict(zip(names, "string string array<string> string string boolean".split()))
+    schema = ", ".join(["doc_id int", "seq int", *(f"{p}{c} {types[c]}" for p in ("", "p_") for c in names), "p_there boolean", "source string", "n int"])
+    df, c = spark.createDataFrame(rows, schema), F.col
+    flat = df.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "source")))["source"].alias("all"))
+    flat = flat.select("doc_id", F.when(F.exists("all", lambda x: x.isNotNull()), F.regexp_replace(F.array_join("all", ""), " ", "")).alias("flat"))
+    flags = [F.when(c(f"{p}cas").isNull(), c(f"{p}is_sub")) for p in ("", "p_")]
+    made = F.concat(
+        scoring.entries("ghs", c("ghs"), c("p_ghs")), scoring.entries("htext", c("htext"), c("p_htext")), scoring.listed("hcode", c("hcode"), True), scoring.listed("hcode", c("p_hcode"), False),
+        scoring.entries("ing", c("cas"), c("p_cas"), (F.lit(True), c("p_there")), flag=flags, content=[chem.content_key(c(f"{p}content")) for p in ("", "p_")], lacking=[scoring.lacks(c("flat"), c(f"{p}cas")) for p in ("", "p_")]),
+    )
+    want = scoring.row_counts(df.join(flat, "doc_id").select("doc_id", made.alias("entries"), "n"), "doc_id", ["n"])
+    got = scoring.line_counts(df, "doc_id", "seq", ["n"])
+    assert set(got.columns) == set(want.columns)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert want.where("fab_cas > 0").count() and want.where("nocas_tp > 1").count() and want.where("pair_tp > 1").count()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange") == 1
+
+
+def test_scores_are_not_rows_of_values(spark, sf_dir):
+    """No row for each value of a line: one sort to number lines, one gathering by document."""
+    plan = catalog.queries()["score_report"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Window [") == 1
+
+
+def test_white_space_is_that_of_unicode(spark):
+    """Of all characters, 4096 a row."""
+    texts = [("".join(chr(k) for k in range(at, at + 4096) if not 0xD800 <= k <= 0xDFFF),) for at in range(0, 0x110000, 4096)]
+    every = spark.createDataFrame(texts, "c string").select("c", chem.squash(F.col("c")).alias("got"), F.regexp_replace("c", r"(?U)\s+", "").alias("want"))
+    assert every.where("got <> want").count() == 0 and every.agg(F.sum(F.length("c") - F.length("got"))).first()[0] == 25
+
+
+def test_keys_of_amounts(spark):
+    """Six digits as %.6f has them, whatever the size; marks and numbers after percent signs are gone."""
+    texts = ["10~20", "20%~10", "<1", "1미%만", "≥90", "0.0000005", "0.00000049", "1.0000015", "123456789.123456789", "9" * 40, "1" + "0" * 25 + ".5", "a b", "", "1 2 3", None]
+    got = [r.k for r in spark.createDataFrame([(t,) for t in texts], "c string").select(chem.content_key(F.col("c")).alias("k")).collect()]
+    one = lambda a, b: spark.range(1).select(F.format_string("P:%.6f:%.6f", F.lit(a).cast("double"), F.lit(b).cast("double"))).first()[0]
+    same = lambda t: one(t, t)
+    assert got == [one("10", "20"), one("10", "20"), one("0", "1"), one("0", "1"), one("90", "100"), *map(same, texts[5:11]), "S:ab", "S:", "S:123", "null"]
