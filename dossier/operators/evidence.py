@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.functions.chem import let
+from dossier.functions.chem import let, squash
 from dossier.functions.textnorm import strip
 
 #: Marks that read as a tilde; labels sought beside a value.
@@ -14,17 +14,20 @@ LABELS = {"product_name": ["제품명", "상품명"], "signal_word": ["신호어
 
 
 def flat(c: Column) -> Column:
-    return F.regexp_replace(F.translate(c, TILDES, "~~~~"), r"(?U)\s+", "")
+    return squash(F.translate(c, TILDES, "~~~~"))
 
 
 def last_token(line: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(strip(line), r"(?U)[:\s]+"), -1), "[.)]+$", "")
 
 
+def marked(lines: Column) -> Column:
+    return F.transform(lines, lambda s: F.struct(s.alias("raw"), strip(s).alias("line"), last_token(s).alias("last")))
+
+
 def lines_of(text: Column) -> Column:
     """struct(lines, flat) of a text: what values are looked up in. Bound by `let`, it is made once for all of them."""
-    marked = F.transform(F.split(text, "\n"), lambda s: F.struct(s.alias("raw"), strip(s).alias("line"), last_token(s).alias("last")))
-    return F.struct(marked.alias("lines"), flat(text).alias("flat"))
+    return F.struct(marked(F.split(text, "\n")).alias("lines"), flat(text).alias("flat"))
 
 
 def locate(text: Column, value: Column, labels: Column | None = None) -> Column:
@@ -58,30 +61,48 @@ def shown(source: Column, hits: Column, value: Column, labels: Column | None) ->
 
         with_label = F.array_min(F.filter(F.transform(hits, labelled), lambda h: h["line"].isNotNull()))["line"]
         snippet = F.when(F.size(labels) == 0, first).otherwise(F.coalesce(with_label, first))
-    near = (flat(value) != "") & source["flat"].contains(flat(value))
-    kind = (
-        F.when((value == "") | value.isNull() | (source["flat"] == "") | source["flat"].isNull(), "not_found").when(F.size(hits) > 0, "exact")
-        .when(near, "normalized").otherwise("not_found")
-    )
+    kind = kind_of(source["flat"], hits, value)
     return F.struct((kind != "not_found").alias("found"), kind.alias("match_type"), F.when(kind == "exact", snippet).alias("snippet"))
 
 
+def kind_of(source: Column, hits: Column, value: Column) -> Column:
+    """How a value is found: in lines (hits), in the source without white space, or not at all."""
+    return (
+        F.when((value == "") | value.isNull() | (source == "") | source.isNull(), "not_found").when(F.size(hits) > 0, "exact")
+        .when((flat(value) != "") & source.contains(flat(value)), "normalized").otherwise("not_found")
+    )
+
+
 def evidence(targets: DataFrame, sources: DataFrame, key: str = "doc_id") -> DataFrame:
     """Each target (key, field, value) located in its source (key, text); fields `product_name` and `signal_word` have labels.
 
     Targets are gathered by document first, so a text is joined and split once for all its values."""
     own = targets.groupBy(key).agg(F.collect_list(F.struct("field", "value")).alias("targets"))
-    hints = F.create_map(*(x for k, v in LABELS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
-    name = lambda t: F.regexp_extract(t["field"], "([a-z_]+)", 1)
-    labels = lambda t: F.coalesce(F.try_element_at(hints, name(t)), F.array().cast("array<string>"))
+    return located(own.join(sources.select(key, "text"), key, "left"), key)
+
 
-    def look(source):
-        return F.transform("targets", lambda t: let(locate_in(source, t["value"], labels(t)), lambda at: F.struct(
-            t["field"].alias("field"), t["value"].alias("value"), at["found"].alias("found"), at["match_type"].alias("match_type"), at["snippet"].alias("snippet"),
-        )))
+def evidence_in_lines(rows: DataFrame, key: str, place: str) -> DataFrame:
+    """As `evidence`, of rows (key, place, line, field, value), whose lines by place are the source: values and lines are gathered
+    together, without a join. Rows that come dealt by key stay where they are."""
+    own = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(place, "line", "field", "value"))).alias("targets"))
+    return located(own.withColumn("text", F.array_join(F.col("targets")["line"], "\n")), key)
 
-    found = own.join(sources.select(key, "text"), key, "left").select(key, let(lines_of(F.col("text")), look).alias("found"))
-    return found.select(key, F.inline("found"))
+
+def located(docs: DataFrame, key: str) -> DataFrame:
+    """The targets of documents (key, text, targets with field and value), located. A value without labels needs no more of a line
+    than whether the value is in it; last tokens are only looked at where several lines have the value."""
+    c = F.col
+    own = docs.select(key, "targets", F.split("text", "\n").alias("lines"), flat(c("text")).alias("flat"))
+    rows = own.select(key, F.explode("targets").alias("t"), "lines", "flat").select(key, "t.field", "t.value", "lines", "flat")
+    rows = rows.withColumn("hits", F.filter("lines", lambda s: s.contains(c("value"))))
+    rows = rows.withColumn("match_type", kind_of(c("flat"), c("hits"), c("value"))).withColumn("name", F.regexp_extract("field", "([a-z_]+)", 1))
+    hints = F.create_map(*(x for k, v in LABELS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    source = F.struct(marked(c("lines")).alias("lines"), c("flat").alias("flat"))
+    beside = let(source, lambda t: locate_in(t, c("value"), F.try_element_at(hints, c("name"))))["snippet"]
+    first = F.get("hits", F.lit(0))
+    best = F.when(F.size("hits") > 1, F.coalesce(F.get(F.filter("hits", lambda s: last_token(s) == c("value")), F.lit(0)), first)).otherwise(first)
+    snippet = F.when(c("match_type") == "exact", F.when(c("name").isin(*LABELS), beside).otherwise(strip(best)))
+    return rows.select(key, "field", "value", (c("match_type") != "not_found").alias("found"), "match_type", snippet.alias("snippet"))
 
 
 def not_found(located: DataFrame, key: str = "doc_id") -> DataFrame:

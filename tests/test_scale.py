@@ -197,3 +197,35 @@ def test_keys_of_amounts(spark):
     one = lambda a, b: spark.range(1).select(F.format_string("P:%.6f:%.6f", F.lit(a).cast("double"), F.lit(b).cast("double"))).first()[0]
     same = lambda t: one(t, t)
     assert got == [one("10", "20"), one("10", "20"), one("0", "1"), one("0", "1"), one("90", "100"), *map(same, texts[5:11]), "S:ab", "S:", "S:123", "null"]
+
+
+def test_values_and_lines_are_gathered_together(spark, sf_dir):
+    plan = catalog.queries()["evidence_locate"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1 and plan.count("Window [") == 1 and "Join" not in plan
+
+
+def test_values_in_gathered_lines(spark):
+    """As `locate` has them: several lines with a value, last tokens, labels, white space within values, no value, no text."""
+    from dossier.operators import evidence
+
+    docs = [
+        ["a 64-17-5 b", "x: 64-17-5.", "64-17-5 64-17-5", "67- 64-1", None, "in two\nlines 7"], [" 신호어 : 위험", "위험", "신호어", "경고", "제품명", "", "x 위험"], ["  ", ""], [None], ["1～2", "　 5 \xa0"],
+    ]
+    values = ["64-17-5", "67-64-1", "위험", "경고", "x", "", " ", None, "lines", "1~2", "5", "two\nlines", "7"]
+    fields = ["ingredients.1", "signal_word", "product_name", "other", None]
+    rows = [(k, n, line, f, v) for k, lines in enumerate(docs) for n, line in enumerate(lines) for f in fields for v in values]
+    once = [(k, n, line if not j else None, f, v) for (k, n, line), group in _grouped(rows) for j, (f, v) in enumerate(group)]
+    df = spark.createDataFrame(once, "doc_id int, seq int, line string, field string, value string")
+    got = evidence.evidence_in_lines(df, "doc_id", "seq").distinct().collect()
+    texts = spark.createDataFrame([(k, "\n".join(x for x in lines if x is not None)) for k, lines in enumerate(docs)], "doc_id int, text string")
+    c = F.col
+    labels = F.when(c("field") == "signal_word", F.array(F.lit("신호어"))).when(c("field") == "product_name", F.array(F.lit("제품명"), F.lit("상품명"))).otherwise(F.array().cast("array<string>"))
+    want = df.select("doc_id", "field", "value").distinct().join(texts, "doc_id").withColumn("at", evidence.locate(c("text"), c("value"), labels)).select("doc_id", "field", "value", "at.*")
+    assert sorted(map(repr, got)) == sorted(map(repr, want.collect())) and len(got) == len(docs) * len(fields) * len(values)
+    assert {r.match_type for r in got} == {"exact", "normalized", "not_found"} and len({r.snippet for r in got}) > 8
+
+
+def _grouped(rows):
+    from itertools import groupby
+
+    return [(at, [(f, v) for *_, f, v in group]) for at, group in groupby(rows, key=lambda r: r[:3])]
